@@ -14,7 +14,6 @@ def _(spark, sf):
     return qa.dup_ts_count(defects(spark, sf))
 
 
-_SHUFFLED = """, s AS (SELECT symbol, ts, ord + CASE WHEN ord%40=1 AND ord>1 THEN -1 WHEN ord%40=0 AND ord>0 THEN 1 ELSE 0 END AS ord FROM b)"""
 
 
 @query(

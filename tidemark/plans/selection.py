@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.plans.series import with_ordinal
+from tidemark.plans.series import scan, with_ordinal
 
 ACCURACY = 10_000
 
@@ -93,3 +93,53 @@ def value_positions(df: DataFrame, keys, value: str, tie, name: str = "pos", spr
     share = (F.col(value) - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0))
     bucket = F.coalesce(F.floor(share * spread), F.lit(0))
     return with_ordinal(tagged, keys, [value, *tie], bucket, name).drop("_mn", "_mx")
+
+
+def prefix_ranks(df: DataFrame, events, keys=("symbol",), value: str = "value", base: int = 4096) -> DataFrame:
+    """For each event row, how many earlier rows of its series have a value <= its `probe`.
+
+    `df` holds keys, ord, `value`; the Column `events` marks rows and `probe` is their
+    threshold. Rows of the event's own block of `base` positions are compared directly.
+    Earlier blocks are met level by level, as in a merge sort over time: on each level a
+    right half counts the rows of the left half below its thresholds with a running sum
+    in value order. Every row takes part in log2(n / base) running sums and no pairs of
+    distant rows are formed.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, "ord", F.col(value).alias("_v"), F.when(events, F.col("probe")).alias("_probe"))
+    top = rows.agg(F.max("ord")).first()[0] or 0  # one number, read from file statistics
+    asked = rows.filter(F.col("_probe").isNotNull())
+    blk = lambda c: F.floor(F.col(c) / base)
+    near = (
+        asked.select(*keys, "ord", "_probe", blk("ord").alias("_blk"))
+        .join(
+            rows.filter(F.col("_v").isNotNull()).select(*keys, F.col("ord").alias("_o"), "_v", blk("ord").alias("_blk")),
+            [*keys, "_blk"],
+        )
+        .filter((F.col("_o") < F.col("ord")) & (F.col("_v") <= F.col("_probe")))
+        .groupBy(*keys, "ord")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    parts = [near]
+    half = base
+    while half <= top:
+        side = F.floor(F.col("ord") / half) % 2
+        group = F.floor(F.col("ord") / (2 * half))
+        points = rows.filter((side == 0) & F.col("_v").isNotNull()).select(
+            *keys, "ord", group.alias("_g"), F.col("_v").alias("_at"), F.lit(0).alias("_side")
+        )
+        probes = asked.filter(side == 1).select(
+            *keys, "ord", group.alias("_g"), F.col("_probe").alias("_at"), F.lit(1).alias("_side")
+        )
+        both = value_positions(points.unionByName(probes), [*keys, "_g"], "_at", ["_side", "ord"])
+        both = scan(
+            both.withColumnsRenamed({"ord": "_t", "pos": "ord"}),
+            {"_n": ("sum", F.when(F.col("_side") == 0, 1).otherwise(0).cast("long"))},
+            [*keys, "_g"],
+        )
+        parts.append(both.filter("_side = 1").select(*keys, F.col("_t").alias("ord"), "_n"))
+        half *= 2
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return total.groupBy(*keys, "ord").agg(F.sum("_n").alias("rank"))
