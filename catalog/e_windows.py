@@ -351,13 +351,13 @@ def _(spark, sf):
     return out(on_chunks(positions(spark, sf), build, back=2), "symbol", "ts", turnover=4)
 
 
-@query("op_E36_slope", B() + f", i AS (SELECT *, {SMA(50)} AS m FROM b) SELECT {KEYED}, {R('m-lag(m) OVER w',6)} AS slope FROM i {W_SQL}")
+@query("op_E36_slope", B() + f", i AS (SELECT *, {SMA(50)} AS m FROM b) SELECT {KEYED}, {R('m-lag(m) OVER w')} AS slope FROM i {W_SQL}")
 def _(spark, sf):
     def build(d, c):
         d = d.withColumn("_m", ind.sma(c, "close", 50))
         return d.withColumn("slope", C("_m") - c.lag("_m"))
 
-    return out(on_chunks(bars(spark, sf), build, back=51), "symbol", "ts", slope=6)
+    return out(on_chunks(bars(spark, sf), build, back=51), "symbol", "ts", slope=4)
 
 
 @query(

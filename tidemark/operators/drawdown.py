@@ -10,6 +10,7 @@ from tidemark.functions.indicators import rolling
 from tidemark.operators.quality import micros
 from tidemark.plans.selection import exact_percentiles
 from tidemark.plans.series import SERIES, cumulative_runs, on_chunks, scan
+from tidemark.session import stage
 
 DAY = 86_400_000_000
 
@@ -101,6 +102,7 @@ def regime_labels(df: DataFrame, ret="r", window: int = 63, keys=SERIES) -> Data
     vol = on_chunks(
         df, lambda d, c: d.withColumn("vol", rolling(c, ret, window, F.stddev_samp, least)), keys, back=window
     ).filter(F.col("vol").isNotNull())
+    vol = stage(vol, "trailing-vol")  # read several times below
     edges = exact_percentiles(vol, keys, "vol", {"q33": 1 / 3, "q67": 2 / 3})
     enough = vol.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 30").drop("_n")
     label = F.when(F.col("vol") >= F.col("q67"), "high").when(F.col("vol") <= F.col("q33"), "low").otherwise("mid")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import rolling
 from tidemark.plans.series import SERIES, on_chunks
 
+C = F.col
+
 
 def rolling_volatility(df: DataFrame, ret="r", windows=(21, 63, 252), ppy: float = 252.0, keys=SERIES) -> DataFrame:
     def build(d, c):
@@ -16,26 +18,38 @@ def rolling_volatility(df: DataFrame, ret="r", windows=(21, 63, 252), ppy: float
     return on_chunks(df, build, keys, back=max(windows))
 
 
+def _sorted_frame(c, ret: str, n: int) -> Column:
+    """The last n values in ascending order, null until n are present."""
+    w = c.last(n)
+    return F.when(F.count(ret).over(w) >= n, F.sort_array(F.collect_list(ret).over(w)))
+
+
+def _quantile(values: Column, n: int, q: float) -> Column:
+    """Linear interpolation in a sorted array of n values."""
+    rank = q * (n - 1)
+    lo, part = int(rank), rank - int(rank)
+    low = F.get(values, F.lit(lo))
+    return low + part * (F.get(values, F.lit(lo + 1)) - low) if part else low
+
+
 def rolling_var(df: DataFrame, ret="r", n: int = 252, q: float = 0.05, keys=SERIES) -> DataFrame:
     """Rolling quantile and the mean of the frame's values at or below it."""
 
     def build(d, c):
-        d = d.withColumn("var", rolling(c, ret, n, lambda x: F.percentile(x, q)))
-        d = d.withColumn("_frame", F.collect_list(F.col(ret)).over(c.last(n)))
-        tail = F.filter("_frame", lambda x: x <= F.col("var"))
+        d = d.withColumn("_frame", _sorted_frame(c, ret, n))
+        d = d.withColumn("var", _quantile(C("_frame"), n, q))
+        tail = F.filter(C("_frame"), lambda x: x <= C("var"))
         total = F.aggregate(tail, F.lit(0.0), lambda acc, x: acc + x)
-        return d.withColumn("cvar", F.when(F.col("var").isNotNull(), total / F.nullif(F.size(tail), F.lit(0)))).drop("_frame")
+        return d.withColumn("cvar", total / F.nullif(F.size(tail), F.lit(0))).drop("_frame")
 
     return on_chunks(df, build, keys, back=n)
 
 
 def rolling_tail_ratio(df: DataFrame, ret="r", n: int = 252, keys=SERIES) -> DataFrame:
     def build(d, c):
-        hi = rolling(c, ret, n, lambda x: F.percentile(x, 0.95))
-        lo = rolling(c, ret, n, lambda x: F.percentile(x, 0.05))
-        return d.withColumns({"_hi": hi, "_lo": lo}).withColumn(
-            "tail_ratio", F.col("_hi") / F.nullif(F.abs("_lo"), F.lit(0.0))
-        ).drop("_hi", "_lo")
+        d = d.withColumn("_frame", _sorted_frame(c, ret, n))
+        low = F.nullif(F.abs(_quantile(C("_frame"), n, 0.05)), F.lit(0.0))
+        return d.withColumn("tail_ratio", _quantile(C("_frame"), n, 0.95) / low).drop("_frame")
 
     return on_chunks(df, build, keys, back=n)
 

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions import indicators as ind
 from tidemark.functions.ewm import ewm, ewm_reach, span_alpha, wilder_alpha
+from tidemark.operators.calendar import rebalance_dates
 from tidemark.operators.contracts import mask_to_weight
-from tidemark.plans.series import SERIES, on_chunks, scan
+from tidemark.operators.sweep import with_grid
+from tidemark.plans.fold import keyed_fold
+from tidemark.plans.series import CHUNK_ROWS, SERIES, on_chunks, scan
 
 C = F.col
 
@@ -213,3 +217,183 @@ REGISTRY = {
     "vwap_reversion": vwap_reversion,
     "bollinger_rsi_double": bollinger_rsi_double,
 }
+
+
+def _pullback_fold(cols: dict, state: list[float], stop_atr: float, trail_atr: float):
+    """State: side, entry price, most favourable price since entry."""
+    side, entry, best = state
+    out = []
+    for c, h, l, a, slow, enter in zip(cols["close"], cols["high"], cols["low"], cols["_atr"], cols["_slow"], cols["_enter"]):
+        if a == a:
+            if side:
+                best = max(best, h) if side > 0 else min(best, l)
+                # Mirrored so that one rule serves both sides: exit when the price falls to a stop.
+                stop = max(side * entry - stop_atr * a, side * best - trail_atr * a)
+                if side * c <= stop or side * c < side * slow:
+                    side, entry, best = 0.0, 0.0, 0.0
+            if not side and enter:
+                side, entry, best = enter, c, h if enter > 0 else l
+        out.append(side)
+    return out, [side, entry, best]
+
+
+def trend_pullback(
+    df: DataFrame, near: float = 0.005, adx_min: float = 25.0, stop_atr: float = 1.5, trail_atr: float = 2.0,
+    fast: int = 50, slow: int = 200, pull: int = 20, n: int = 14, keys=SERIES, rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Trend with pullback entries. `near` is 0.005 on four-hour and 0.003 on hourly bars."""
+
+    def build(d, c):
+        d = ewm(d, c, {f"_{k}": ("close", span_alpha(v), v) for k, v in (("fast", fast), ("slow", slow), ("pull", pull))})
+        d = add_rsi(d, c, "_rsi", n)
+        d = add_adx(add_atr(d, c, "_atr", n), c, n)
+        x, r, pr = C("close"), C("_rsi"), c.lag("_rsi")
+        close_by = F.abs(x - C("_pull")) / F.nullif("_pull", F.lit(0.0)) <= near
+        strong = C("adx") > adx_min
+        long = (
+            (C("_fast") > C("_slow")) & (x > C("_slow")) & (C("plus_di") > C("minus_di")) & strong & close_by
+            & (x > C("_pull")) & (r > 50) & (pr <= 50)
+        )
+        short = (
+            (C("_fast") < C("_slow")) & (x < C("_slow")) & (C("minus_di") > C("plus_di")) & strong & close_by
+            & (x < C("_pull")) & (r < 50) & (pr >= 50)
+        )
+        return d.withColumn("_enter", F.when(long, 1.0).when(short, -1.0).otherwise(0.0))
+
+    back = max(ewm_reach(span_alpha(slow), slow), reach((wilder_alpha(n), n), (wilder_alpha(n), n)))
+    rich = on_chunks(df, build, keys, back=back)
+    rich = rich.select(*df.columns, "_atr", "_slow", "_enter")
+    done = keyed_fold(
+        rich, lambda cols, s: _pullback_fold(cols, s, stop_atr, trail_atr),
+        ["close", "high", "low", "_atr", "_slow", "_enter"], [0.0, 0.0, 0.0], keys, rows=rows,
+    )
+    return done.drop("_atr", "_slow", "_enter")
+
+
+def _reversion_fold(cols: dict, state: list[float], z_in: float, z_stop: float, max_hold: int):
+    """State: side, entry price, ATR at entry, bars held."""
+    side, entry, risk, held = state
+    out = []
+    for c, dev, a in zip(cols["close"], cols["_dev"], cols["_atr"]):
+        if side:
+            held += 1
+            adverse = side * (entry - c) / risk if risk > 0 else 0.0
+            if adverse >= z_stop or held >= max_hold or side * dev >= 0:
+                side, entry, risk, held = 0.0, 0.0, 0.0, 0.0
+        elif abs(dev) > z_in:
+            side, entry, risk, held = (-1.0 if dev > 0 else 1.0), c, a, 0.0
+        out.append(side)
+    return out, [side, entry, risk, held]
+
+
+def vwap_refined(
+    df: DataFrame, z_threshold: float = 1.5, z_stop: float = 3.0, vwap_window: int = 20, atr_window: int = 20,
+    max_hold: int = 10, keys=SERIES, rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Fade moves away from a rolling VWAP, measured in ATR."""
+
+    def build(d, c):
+        d = add_atr(d.withColumn("_pv", ind.typical_price() * C("volume")), c, "_atr", atr_window)
+        total = F.nullif(ind.rolling(c, "volume", vwap_window, F.sum), F.lit(0.0))
+        vwap = ind.rolling(c, "_pv", vwap_window, F.sum) / total
+        return d.withColumn("_dev", (C("close") - vwap) / F.nullif("_atr", F.lit(0.0)))
+
+    rich = on_chunks(df, build, keys, back=max(vwap_window, reach((wilder_alpha(atr_window), atr_window))))
+    rich = rich.select(*df.columns, "_atr", "_dev")
+    done = keyed_fold(
+        rich, lambda cols, s: _reversion_fold(cols, s, z_threshold, z_stop, max_hold),
+        ["close", "_dev", "_atr"], [0.0, 0.0, 0.0, 0.0], keys, rows=rows,
+    )
+    return done.drop("_atr", "_dev")
+
+
+REGISTRY["trend_pullback"] = trend_pullback
+REGISTRY["vwap_refined"] = vwap_refined
+
+# Grid of the golden-cross sweep.
+FAST_PERIODS = [5, 10, 20, 30, 40, 50, 60, 75, 100]
+SLOW_PERIODS = [50, 75, 100, 150, 200, 250, 300, 400, 500]
+MODES = ["long_only", "long_short"]
+FILTERS = ["none", "price_slow", "slow_slope", "fast_slope", "combined"]
+BUFFERS = [0.0, 0.001, 0.0025, 0.005]
+
+
+def variant_grid(fast=FAST_PERIODS, slow=SLOW_PERIODS, modes=MODES, filters=FILTERS, buffers=BUFFERS) -> list[dict]:
+    return [
+        {"fast": f, "slow": s, "mode": m, "filter": x, "buffer": b}
+        for f in fast for s in slow if f < s for m in modes for x in filters for b in buffers
+    ]
+
+
+def variant_weight(x: Column, f: Column, s: Column, df_: Column, ds: Column, mode, filt, buf) -> Column:
+    """Weight of one golden-cross variant from price, two averages and their slopes."""
+    up, dn = f > s * (1 + buf), f < s * (1 - buf)
+    named = [
+        ("price_slow", x > s, x < s),
+        ("slow_slope", ds > 0, ds < 0),
+        ("fast_slope", df_ > 0, df_ < 0),
+        ("combined", (x > s) & (ds > 0) & (df_ > 0), (x < s) & (ds < 0) & (df_ < 0)),
+    ]
+    go_long, go_short = F.lit(True), F.lit(True)
+    for label, a, b in named:
+        go_long = F.when(filt == label, a).otherwise(go_long)
+        go_short = F.when(filt == label, b).otherwise(go_short)
+    return F.when((mode == "long_short") & dn & go_short, -1.0).when(up & go_long, 1.0).otherwise(0.0)
+
+
+def golden_cross_variants(df: DataFrame, grid: list[dict], keys=SERIES) -> DataFrame:
+    """One row per bar and parameter set. Each average is computed once per bar, before the grid."""
+    periods = sorted({g["fast"] for g in grid} | {g["slow"] for g in grid})
+    place = {n: i for i, n in enumerate(periods)}
+
+    def build(d, c):
+        d = d.withColumns({f"_m{n}": ind.sma(c, "close", n) for n in periods})
+        return d.withColumns(
+            {
+                "_sma": F.array(*[C(f"_m{n}") for n in periods]),
+                "_slope": F.array(*[C(f"_m{n}") - c.lag(f"_m{n}") for n in periods]),
+            }
+        )
+
+    rich = on_chunks(df, build, keys, back=max(periods) + 1).select(*df.columns, "_sma", "_slope")
+    sets = [{**g, "_fi": place[g["fast"]], "_si": place[g["slow"]]} for g in grid]
+    wide = with_grid(rich, sets)
+    at = lambda arr, i: F.get(C(arr), C(i))
+    weight = variant_weight(
+        C("close"), at("_sma", "_fi"), at("_sma", "_si"), at("_slope", "_fi"), at("_slope", "_si"), C("mode"), C("filter"), C("buffer")
+    )
+    return wide.withColumn("weight", F.when(C("ord") < C("slow"), 0.0).otherwise(weight)).drop("_sma", "_slope", "_fi", "_si")
+
+
+def xs_momentum(
+    aligned: DataFrame, lookback: int = 252, skip: int = 21, top_k: int = 3, bottom_k: int = 3,
+    long_short: bool = True, gross: float = 1.0, reset_unselected: bool = False,
+) -> DataFrame:
+    """Monthly long-short weights by past return across symbols, on aligned bars.
+
+    Only rebalance times are ranked. By default a symbol that is not selected keeps its
+    old weight, so the gross weight can exceed `gross`; `reset_unselected` sets it to 0.
+    """
+
+    def build(d, c):
+        return d.withColumn("mom", c.lag("close", skip) / c.lag("close", lookback + skip) - 1)
+
+    d = on_chunks(aligned, build, back=lookback + skip)
+    dates = rebalance_dates(aligned)
+    ranked = d.join(dates, "ts").filter(C("mom").isNotNull())
+    by_ts = W.partitionBy("ts")
+    ranked = ranked.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(by_ts),
+            "_top": F.row_number().over(by_ts.orderBy(F.desc("mom"), "symbol")),
+        }
+    )
+    ranked = ranked.filter(C("_n") >= top_k + (bottom_k if long_short else 0))
+    leg = gross / 2 if long_short else gross
+    state = F.when(C("_top") <= top_k, leg / top_k)
+    if long_short:
+        state = state.when(C("_top") > C("_n") - bottom_k, -leg / bottom_k)
+    if reset_unselected:
+        state = state.otherwise(0.0)
+    picks = ranked.select("symbol", "ts", state.alias("state")).filter(C("state").isNotNull())
+    return hold(d.join(picks, ["symbol", "ts"], "left"))
