@@ -283,6 +283,7 @@ def _(spark, sf):
     return qa.more_than_one_per_day(s, F.date_format("ts", "yyyy-MM-dd"))
 
 
-@query("op_B15_direction_time", B("events") + ORB_CTE + " SELECT dir AS direction, hm AS hhmm, count(*) AS n FROM br GROUP BY ROLLUP (dir, hm)")
+@query("op_B15_direction_time", B("events") + ORB_CTE + ", d AS (SELECT CASE dir WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, hm AS hhmm FROM br) SELECT direction, hhmm, count(*) AS n FROM d GROUP BY ROLLUP (direction, hhmm)")
 def _(spark, sf):
-    return out(qa.direction_time_distribution(orb_events(spark, sf)), "direction", "hhmm", "n")
+    e = orb_events(spark, sf).withColumn("direction", F.when(C("direction") == 1, "LONG").otherwise("SHORT"))
+    return out(qa.direction_time_distribution(e), "direction", "hhmm", "n")
