@@ -21,7 +21,7 @@ KEYED = f"symbol, {ISO('ts')} AS ts"
 
 @query("op_E1_sma", B() + f" SELECT {KEYED}, {R(SMA(20))} AS sma20, {R(SMA(60))} AS sma60 FROM b")
 def _(spark, sf):
-    d = on_chunks(bars(spark, sf), lambda d, c: d.withColumns({f"sma{n}": ind.sma(c, "close", n) for n in (20, 60)}), back=60)
+    d = on_chunks(bars(spark, sf), lambda d, c: ind.add_moments(d, c, {f"sma{n}": ("close", n, "mean") for n in (20, 60)}), back=60)
     return out(d, "symbol", "ts", sma20=4, sma60=4)
 
 
@@ -354,7 +354,7 @@ def _(spark, sf):
 @query("op_E36_slope", B() + f", i AS (SELECT *, {SMA(50)} AS m FROM b) SELECT {KEYED}, {R('m-lag(m) OVER w')} AS slope FROM i {W_SQL}")
 def _(spark, sf):
     def build(d, c):
-        d = d.withColumn("_m", ind.sma(c, "close", 50))
+        d = ind.add_moments(d, c, {"_m": ("close", 50, "mean")})
         return d.withColumn("slope", C("_m") - c.lag("_m"))
 
     return out(on_chunks(bars(spark, sf), build, back=51), "symbol", "ts", slope=4)

@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query("op_K9_path_outcomes", PATHS + f" SELECT symbol, sim, {R('arg_max(e,i)', 6)} AS terminal, {R('min(dd)', 6)} AS maxdd FROM pq GROUP BY symbol, sim")
 def _(spark, sf):
-    return out(rs.path_outcomes(paths(spark, sf)), "symbol", "sim", terminal=6, maxdd=6)
+    return out(rs.path_outcomes(gold_equity(spark, sf), SIMS, 20), "symbol", "sim", terminal=6, maxdd=6)
 
 
 @query(
@@ -152,7 +152,7 @@ def _(spark, sf):
     PATHS + f", oc AS (SELECT symbol, sim, arg_max(e,i) AS terminal, min(dd) AS maxdd FROM pq GROUP BY symbol, sim) SELECT symbol, {', '.join(R(f'quantile_cont({c},{p/100})', 6) + f' AS {c}_p{p:02d}' for c in ('terminal', 'maxdd') for p in (5, 50, 95))} FROM oc GROUP BY symbol",
 )
 def _(spark, sf):
-    m = rs.marker_percentiles(rs.path_outcomes(paths(spark, sf)))
+    m = rs.marker_percentiles(rs.path_outcomes(gold_equity(spark, sf), SIMS, 20))
     return out(m, "symbol", **{f"{c}_p{p:02d}": 6 for c in ("terminal", "maxdd") for p in (5, 50, 95)})
 
 
@@ -186,7 +186,7 @@ def excess_matrix(spark, sf):
 
         b = bars(spark, sf, "lines")
         ns = sorted({n for p in PAIRS for n in p})
-        rich = on_chunks(b, lambda d, c: d.withColumns({f"m{n}": ind.sma(c, "close", n) for n in ns}), back=max(ns))
+        rich = on_chunks(b, lambda d, c: ind.add_moments(d, c, {f"m{n}": ("close", n, "mean") for n in ns}), back=max(ns))
         sets = F.array(
             *[
                 F.struct(

@@ -40,36 +40,40 @@ def ewm(df: DataFrame, c: Chunk, specs: dict[str, tuple]) -> DataFrame:
     """Add one column per spec `name -> (value column, alpha, min_periods)`.
 
     The value must be non-null from its first non-null row on. Results are null until
-    `min_periods` values were seen.
+    `min_periods` values were seen. Averages of one alpha share their windows, so it pays
+    to ask for them together.
     """
-    values = {n: f"_e_{n}" for n in specs}
-    df = df.withColumns({values[n]: F.col(s[0]) if isinstance(s[0], str) else s[0] for n, s in specs.items()})
-    df = df.withColumns(
-        {f"_f_{n}": F.min(F.when(F.col(v).isNotNull(), F.col("ord"))).over(c.whole) for n, v in values.items()}
-    )
-    for name, (_, alpha, n) in specs.items():
-        df = _ewm_one(df, c, name, F.col(values[name]), F.col(f"_f_{name}"), alpha, n)
-    return df.drop(*values.values(), *[f"_f_{n}" for n in specs])
-
-
-def _ewm_one(df: DataFrame, c: Chunk, name: str, x: Column, first: Column, alpha: float, n: int) -> DataFrame:
-    seen = F.col("ord") - first + 1
-    ready = x.isNotNull() & (seen >= n)
-    if alpha >= 1.0:
-        return df.withColumn(name, F.when(ready, x))
-    q = 1.0 - alpha
-    block = max(1, math.floor(math.log(BLOCK_DECAY) / -math.log(q)))
-    df = df.withColumn("_blk", F.floor(F.col("ord") / F.lit(block)))
-    j = F.pmod(F.col("ord"), F.lit(block)).cast("double")
-    term = F.when(F.col("ord") == first, x).otherwise(F.lit(alpha) * x)
-    inside = W.partitionBy(*c.part, "_blk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy(*c.part).orderBy("_blk", "ord").rowsBetween(W.unboundedPreceding, -1)
-    is_end = j == F.lit(float(block - 1))
-    df = df.withColumn(
-        "_loc", F.pow(F.lit(q), j) * F.sum(F.coalesce(term, F.lit(0.0)) * F.pow(F.lit(q), -j)).over(inside)
-    )
-    df = df.withColumn("_e1", F.coalesce(F.last(F.when(is_end, F.col("_loc")), True).over(earlier), F.lit(0.0)))
-    df = df.withColumn("_e2", F.coalesce(F.last(F.when(is_end, F.col("_e1")), True).over(earlier), F.lit(0.0)))
-    carry = F.col("_e1") + F.lit(q**block) * F.col("_e2")
-    y = F.col("_loc") + carry * F.pow(F.lit(q), j + 1)
-    return df.withColumn(name, F.when(ready, y)).drop("_blk", "_loc", "_e1", "_e2")
+    first = lambda n: F.col(f"_f_{n}")
+    value = lambda n: F.col(f"_e_{n}")
+    df = df.withColumns({f"_e_{n}": F.col(s[0]) if isinstance(s[0], str) else s[0] for n, s in specs.items()})
+    df = df.withColumns({f"_f_{n}": F.min(F.when(value(n).isNotNull(), F.col("ord"))).over(c.whole) for n in specs})
+    ready = {n: value(n).isNotNull() & (F.col("ord") - first(n) + 1 >= s[2]) for n, s in specs.items()}
+    helpers = [f"_{t}_{n}" for n in specs for t in "efxyz"]
+    for alpha in dict.fromkeys(s[1] for s in specs.values()):
+        names = [n for n, s in specs.items() if s[1] == alpha]
+        if alpha >= 1.0:
+            df = df.withColumns({n: F.when(ready[n], value(n)) for n in names})
+            continue
+        q = 1.0 - alpha
+        block = max(1, math.floor(math.log(BLOCK_DECAY) / -math.log(q)))
+        df = df.withColumn("_blk", F.floor(F.col("ord") / F.lit(block)))
+        j = F.pmod(F.col("ord"), F.lit(block)).cast("double")
+        inside = W.partitionBy(*c.part, "_blk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+        ordered = W.partitionBy(*c.part).orderBy("_blk", "ord")
+        one_back = ordered.rowsBetween(W.unboundedPreceding, -1)
+        two_back = ordered.rowsBetween(W.unboundedPreceding, -block - 1)
+        local = {}
+        for n in names:
+            term = F.when(F.col("ord") == first(n), value(n)).otherwise(F.lit(alpha) * value(n))
+            local[f"_x_{n}"] = F.pow(F.lit(q), j) * F.sum(F.coalesce(term, F.lit(0.0)) * F.pow(F.lit(q), -j)).over(inside)
+        df = df.withColumns(local)
+        # Block ends lie `block` rows apart, so the end before the last one needs no nesting.
+        ends = {n: F.when(j == F.lit(float(block - 1)), F.col(f"_x_{n}")) for n in names}
+        df = df.withColumns(
+            {f"_{t}_{n}": F.last(ends[n], True).over(w) for n in names for t, w in (("y", one_back), ("z", two_back))}
+        )
+        carry = lambda n: F.coalesce(F.col(f"_y_{n}"), F.lit(0.0)) + F.lit(q**block) * F.coalesce(F.col(f"_z_{n}"), F.lit(0.0))
+        df = df.withColumns(
+            {n: F.when(ready[n], F.col(f"_x_{n}") + carry(n) * F.pow(F.lit(q), j + 1)) for n in names}
+        ).drop("_blk")
+    return df.drop(*helpers)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.plans.series import Chunk
 
+LONG_FRAME = 48
+
 
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -23,6 +26,51 @@ def sma(c: Chunk, x, n: int) -> Column:
     return rolling(c, x, n, F.avg)
 
 
+def add_moments(df: DataFrame, c: Chunk, specs: dict[str, tuple]) -> DataFrame:
+    """Rolling mean, sd, sd_pop or sum: `name -> (column name, n, statistic[, min_count])`.
+
+    A frame of n rows is folded anew for every row, n updates each. For long frames the
+    series is cut into blocks of n rows instead: a window is the end of one block plus the
+    start of the next, both running aggregates, and their moments combine without
+    cancellation. The cost per row no longer grows with n.
+    """
+    short = {k: s for k, s in specs.items() if s[1] < LONG_FRAME}
+    agg = {"mean": F.avg, "sd": F.stddev_samp, "sd_pop": F.stddev_pop, "sum": F.sum}
+    if short:
+        df = df.withColumns({k: rolling(c, s[0], s[1], agg[s[2]], s[3] if len(s) > 3 else None) for k, s in short.items()})
+    for x, n in dict.fromkeys((s[0], s[1]) for k, s in specs.items() if k not in short):
+        df = df.withColumn("_blk", F.floor(F.col("ord") / F.lit(n)))
+        head = W.partitionBy(*c.part, "_blk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+        tail = W.partitionBy(*c.part, "_blk").orderBy(F.desc("ord")).rowsBetween(W.unboundedPreceding, 0)
+        mine = {k: s for k, s in specs.items() if k not in short and (s[0], s[1]) == (x, n)}
+        spread = any(s[2] in ("sd", "sd_pop") for s in mine.values())
+        part = lambda w: F.struct(
+            F.count(x).over(w).alias("n"), F.avg(x).over(w).alias("m"), (F.var_pop(x).over(w) if spread else F.lit(0.0)).alias("v")
+        )
+        df = df.withColumn("_tail", part(tail)).withColumn("_head", part(head))
+        # At the end of a block the frame is the block itself, else it starts n-1 rows back.
+        back = F.lag("_tail", n - 1).over(W.partitionBy(*c.part).orderBy("_blk", "ord"))
+        df = df.withColumn("_tail", F.when(F.pmod(F.col("ord"), F.lit(n)) != n - 1, back))
+        n1, n2 = F.coalesce(F.col("_tail.n"), F.lit(0)), F.col("_head.n")
+        m1, m2 = F.coalesce(F.col("_tail.m"), F.lit(0.0)), F.coalesce(F.col("_head.m"), F.lit(0.0))
+        v1, v2 = F.coalesce(F.col("_tail.v"), F.lit(0.0)), F.coalesce(F.col("_head.v"), F.lit(0.0))
+        # Before the first full frame the start of the series is the frame.
+        total = n1 + n2
+        some = F.nullif(total, F.lit(0))
+        mean = (n1 * m1 + n2 * m2) / some
+        m2sum = n1 * v1 + n2 * v2 + (m1 - m2) * (m1 - m2) * (n1 * n2) / some
+        stat = {
+            "mean": mean,
+            "sum": n1 * m1 + n2 * m2,
+            "sd_pop": F.sqrt(m2sum / some),
+            "sd": F.sqrt(m2sum / F.nullif(total - 1, F.lit(0))),
+        }
+        df = df.withColumns(
+            {k: F.when(total >= (s[3] if len(s) > 3 else n), stat[s[2]]) for k, s in mine.items()}
+        ).drop("_blk", "_tail", "_head")
+    return df
+
+
 def bollinger(c: Chunk, x, n: int = 20, k: float = 2.0, population: bool = False):
     """(lower, mid, upper)."""
     mid = sma(c, x, n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.indicators import rolling
+from tidemark.functions.indicators import add_moments
 from tidemark.operators.quality import micros
 from tidemark.plans.selection import exact_percentiles
 from tidemark.plans.series import SERIES, cumulative_runs, on_chunks, scan
@@ -100,7 +100,7 @@ def regime_labels(df: DataFrame, ret="r", window: int = 63, keys=SERIES) -> Data
     """
     least = max(20, window // 3)
     vol = on_chunks(
-        df, lambda d, c: d.withColumn("vol", rolling(c, ret, window, F.stddev_samp, least)), keys, back=window
+        df, lambda d, c: add_moments(d, c, {"vol": (ret, window, "sd", least)}), keys, back=window
     ).filter(F.col("vol").isNotNull())
     vol = stage(vol, "trailing-vol")  # read several times below
     edges = exact_percentiles(vol, keys, "vol", {"q33": 1 / 3, "q67": 2 / 3})

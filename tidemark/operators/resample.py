@@ -16,7 +16,7 @@ from tidemark.functions.rng import uniform
 from tidemark.operators.metrics import nz, span_days
 from tidemark.operators.pnl import next_open_returns
 from tidemark.operators.quality import micros
-from tidemark.plans.series import SERIES, equity_scan, scan, with_ordinal
+from tidemark.plans.series import SERIES, equity_scan, path_summary, scan, with_ordinal
 from tidemark.session import stage
 
 C = F.col
@@ -100,16 +100,12 @@ def _bootstrap_paths(equity: DataFrame, draws_of, keys) -> DataFrame:
     keys = list(keys)
     x = indexed_returns(equity, keys)
     rows = gather(draws_of(sample_sizes(x, keys)), x, keys)
-    rows = rows.select(*keys, "sim", "n", C("i").alias("ord"), F.when(C("i") > 0, C("x")).alias("r"))
-    curve = equity_scan(rows, "r", [*keys, "sim"])
-    g = curve.groupBy(*keys, "sim").agg(
-        F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s"), F.sum(F.ln(1 + C("r"))).alias("_g"),
-        F.first("n").alias("n"), F.min("drawdown").alias("maxdd"),
-    ).join(inferred_ppy(equity, keys), keys)
+    rows = rows.select(*keys, "sim", C("i").alias("ord"), F.when(C("i") > 0, C("x")).alias("r"))
+    g = path_summary(rows, "r", [*keys, "sim"]).join(inferred_ppy(equity, keys), keys)
     return g.select(
-        *keys, "sim", "maxdd",
-        (C("_m") / nz("_s") * F.sqrt("ppy")).alias("sharpe"),
-        (F.exp(C("_g") * C("ppy") / (C("n") - 1)) - 1).alias("cagr"),
+        *keys, "sim", C("max_drawdown").alias("maxdd"),
+        (C("mean") / nz("sd") * F.sqrt("ppy")).alias("sharpe"),
+        (F.pow("growth", C("ppy") / C("n")) - 1).alias("cagr"),
     )
 
 
@@ -262,14 +258,19 @@ def signal_block_shuffle(
     )
 
 
-def simulated_paths(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
-    """keys, sim, n, ord, equity, drawdown of block-resampled curves; series must exceed 3 blocks."""
-    keys = list(keys)
+def _path_draws(equity: DataFrame, n_sims: int, block: int, seed: int, keys) -> DataFrame:
+    """Block draws of series longer than three blocks."""
     x = indexed_returns(equity, keys)
     sizes = sample_sizes(x, keys).filter(C("n") >= 3 * block)
     rows = gather(block_draws(sizes, n_sims, block, seed, "paths"), x, keys)
-    rows = rows.select(*keys, "sim", "n", C("i").alias("ord"), C("x").alias("r"))
-    return equity_scan(rows, "r", [*keys, "sim"])
+    return rows.select(*keys, "sim", "n", C("i").alias("ord"), C("x").alias("r"))
+
+
+def simulated_paths(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
+    """keys, sim, n, ord, equity, drawdown of block-resampled curves. The draws are written
+    once, since the running product reads them twice."""
+    keys = list(keys)
+    return equity_scan(stage(_path_draws(equity, n_sims, block, seed, keys), "draws"), "r", [*keys, "sim"])
 
 
 def kept_bars(paths: DataFrame, max_bars: int = 400) -> DataFrame:
@@ -284,9 +285,12 @@ def path_bands(paths: DataFrame, max_bars: int = 400, keys=SERIES) -> DataFrame:
     )
 
 
-def path_outcomes(paths: DataFrame, keys=SERIES) -> DataFrame:
-    """Terminal wealth and largest drawdown per simulation."""
-    return paths.groupBy(*keys, "sim").agg(F.max_by("equity", "ord").alias("terminal"), F.min("drawdown").alias("maxdd"))
+def path_outcomes(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
+    """Terminal wealth and largest drawdown per simulation of `simulated_paths`, without building the curves."""
+    keys = list(keys)
+    rows = _path_draws(equity, n_sims, block, seed, keys)
+    g = path_summary(rows, "r", [*keys, "sim"])
+    return g.select(*keys, "sim", C("growth").alias("terminal"), C("max_drawdown").alias("maxdd"))
 
 
 def sampled_paths(paths: DataFrame, n_paths: int, n_sims: int, max_bars: int = 400, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.indicators import rolling
+from tidemark.functions.indicators import add_moments
 from tidemark.plans.series import SERIES, on_chunks
 
 C = F.col
@@ -13,7 +13,8 @@ C = F.col
 
 def rolling_volatility(df: DataFrame, ret="r", windows=(21, 63, 252), ppy: float = 252.0, keys=SERIES) -> DataFrame:
     def build(d, c):
-        return d.withColumns({f"vol_{n}": rolling(c, ret, n, F.stddev_samp) * ppy**0.5 for n in windows})
+        d = add_moments(d, c, {f"_sd{n}": (ret, n, "sd") for n in windows})
+        return d.withColumns({f"vol_{n}": C(f"_sd{n}") * ppy**0.5 for n in windows}).drop(*[f"_sd{n}" for n in windows])
 
     return on_chunks(df, build, keys, back=max(windows))
 
@@ -56,8 +57,8 @@ def rolling_tail_ratio(df: DataFrame, ret="r", n: int = 252, keys=SERIES) -> Dat
 
 def rolling_sharpe(df: DataFrame, ret="r", n: int = 126, ppy: float = 252.0, keys=SERIES) -> DataFrame:
     def build(d, c):
-        sd = F.nullif(rolling(c, ret, n, F.stddev_samp), F.lit(0.0))
-        return d.withColumn("sharpe", rolling(c, ret, n, F.avg) / sd * ppy**0.5)
+        d = add_moments(d, c, {"_mean": (ret, n, "mean"), "_sd": (ret, n, "sd")})
+        return d.withColumn("sharpe", C("_mean") / F.nullif("_sd", F.lit(0.0)) * ppy**0.5).drop("_mean", "_sd")
 
     return on_chunks(df, build, keys, back=n)
 

@@ -66,24 +66,27 @@ def add_macd(df, c, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFram
     return df.withColumn("macd_hist", C("macd") - C("macd_signal"))
 
 
-def add_adx(df, c, n: int = 14) -> DataFrame:
-    up = C("high") - c.lag("high")
-    down = c.lag("low") - C("low")
+def directional_moves(c) -> tuple[Column, Column]:
+    """(upward, downward) directional movement of each bar."""
+    up, down = C("high") - c.lag("high"), c.lag("low") - C("low")
+    larger = lambda x, y: F.when((x > y) & (x > 0), x).otherwise(0.0)
+    return larger(up, down), larger(down, up)
+
+
+def adx_from(df, c, tr: str, up: str, down: str, n: int) -> DataFrame:
+    """plus_di, minus_di and adx from smoothed true range and directional movement."""
     zero = F.lit(0.0)
-    df = df.withColumns(
-        {
-            "_pdm": F.when((up > down) & (up > 0), up).otherwise(zero),
-            "_mdm": F.when((down > up) & (down > 0), down).otherwise(zero),
-            "_tr": ind.true_range(c),
-        }
-    )
-    a = wilder_alpha(n)
-    df = ewm(df, c, {"_trw": ("_tr", a, n), "_pw": ("_pdm", a, n), "_mw": ("_mdm", a, n)})
-    df = df.withColumns(
-        {"plus_di": 100 * C("_pw") / F.nullif("_trw", zero), "minus_di": 100 * C("_mw") / F.nullif("_trw", zero)}
-    )
+    share = lambda x: 100 * C(x) / F.nullif(tr, zero)
+    df = df.withColumns({"plus_di": share(up), "minus_di": share(down)})
     dx = 100 * F.abs(C("plus_di") - C("minus_di")) / F.nullif(C("plus_di") + C("minus_di"), zero)
-    return ewm(df, c, {"adx": (dx, a, n)})
+    return ewm(df, c, {"adx": (dx, wilder_alpha(n), n)})
+
+
+def add_adx(df, c, n: int = 14) -> DataFrame:
+    up, down = directional_moves(c)
+    a = wilder_alpha(n)
+    df = ewm(df, c, {"_trw": (ind.true_range(c), a, n), "_pw": (up, a, n), "_mw": (down, a, n)})
+    return adx_from(df, c, "_trw", "_pw", "_mw", n)
 
 
 def reach(*alphas_and_ns) -> int:
@@ -99,7 +102,7 @@ def golden_cross(df: DataFrame, fast: int = 50, slow: int = 200, kind: str = "sm
         if kind == "ema":
             d = ewm(d, c, {"_f": ("close", span_alpha(fast), fast), "_s": ("close", span_alpha(slow), slow)})
         else:
-            d = d.withColumns({"_f": ind.sma(c, "close", fast), "_s": ind.sma(c, "close", slow)})
+            d = ind.add_moments(d, c, {"_f": ("close", fast, "mean"), "_s": ("close", slow, "mean")})
         return d.withColumn("weight", F.when(C("_f") > C("_s"), 1.0).otherwise(0.0))
 
     back = ewm_reach(span_alpha(slow), slow) if kind == "ema" else slow
@@ -116,7 +119,7 @@ def ema_cross(df: DataFrame, fast: int = 12, slow: int = 26, keys=SERIES) -> Dat
 
 def rsi_meanrev(df: DataFrame, n: int = 2, lo: float = 10.0, hi: float = 70.0, trend: int = 200, keys=SERIES) -> DataFrame:
     def build(d, c):
-        d = add_rsi(d, c, "_rsi", n).withColumn("_trend", ind.sma(c, "close", trend))
+        d = ind.add_moments(add_rsi(d, c, "_rsi", n), c, {"_trend": ("close", trend, "mean")})
         return d.withColumn("state", states([((C("_rsi") < lo) & (C("close") > C("_trend")), 1.0), (C("_rsi") > hi, 0.0)]))
 
     return hold(_with(df, keys, max(trend, reach((wilder_alpha(n), n))), build), keys=keys)
@@ -192,7 +195,8 @@ def bollinger_rsi_double(
 ) -> DataFrame:
     def build(d, c):
         d = add_rsi(d, c, "_rsi", rsi_n, no_loss=100.0)
-        lower, _, upper = ind.bollinger(c, "close", n, k, population=True)
+        d = ind.add_moments(d, c, {"_mid": ("close", n, "mean"), "_sd": ("close", n, "sd_pop")})
+        lower, upper = C("_mid") - k * C("_sd"), C("_mid") + k * C("_sd")
         d = d.withColumns({"_lo": lower, "_up": upper, "_l50": F.lit(level_lo), "_h50": F.lit(level_hi)})
         x = C("close")
         long = ind.crossover(c, C("_rsi"), C("_l50")) & ind.crossover(c, x, C("_lo"))
@@ -244,9 +248,19 @@ def trend_pullback(
     """Trend with pullback entries. `near` is 0.005 on four-hour and 0.003 on hourly bars."""
 
     def build(d, c):
-        d = ewm(d, c, {f"_{k}": ("close", span_alpha(v), v) for k, v in (("fast", fast), ("slow", slow), ("pull", pull))})
-        d = add_rsi(d, c, "_rsi", n)
-        d = add_adx(add_atr(d, c, "_atr", n), c, n)
+        gain, loss = ind.gain_loss(c)
+        up_move, down_move = directional_moves(c)
+        a = wilder_alpha(n)
+        d = ewm(
+            d, c,
+            {
+                **{f"_{k}": ("close", span_alpha(v), v) for k, v in (("fast", fast), ("slow", slow), ("pull", pull))},
+                "_gain": (gain, a, n), "_loss": (loss, a, n), "_atr": (ind.true_range(c), a, n),
+                "_up": (up_move, a, n), "_dn": (down_move, a, n),
+            },
+        )
+        d = adx_from(d, c, "_atr", "_up", "_dn", n)
+        d = d.withColumn("_rsi", ind.rsi_from(C("_gain"), C("_loss"), None))
         x, r, pr = C("close"), C("_rsi"), c.lag("_rsi")
         close_by = F.abs(x - C("_pull")) / F.nullif("_pull", F.lit(0.0)) <= near
         strong = C("adx") > adx_min
@@ -347,7 +361,7 @@ def golden_cross_variants(df: DataFrame, grid: list[dict], keys=SERIES) -> DataF
     place = {n: i for i, n in enumerate(periods)}
 
     def build(d, c):
-        d = d.withColumns({f"_m{n}": ind.sma(c, "close", n) for n in periods})
+        d = ind.add_moments(d, c, {f"_m{n}": ("close", n, "mean") for n in periods})
         return d.withColumns(
             {
                 "_sma": F.array(*[C(f"_m{n}") for n in periods]),

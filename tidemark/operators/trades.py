@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,63 +83,53 @@ def _touch(lo: Column, hi: Column) -> Column:
     return (lo <= down) | (hi >= up)
 
 
-def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 64) -> DataFrame:
+def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
     """`hit_ord`: position of the first bar after the entry that reaches stop or target, or null.
 
     Bars form a tree: a node covers `fan` nodes below it and keeps their lowest low and
     highest high. A plan looks at the siblings to its right, climbs while none of them
     is reached, and then descends into the first node that is. Each step is an equi-join
-    on (symbol, parent) with at most `fan` rows per plan, however long the series is.
+    on (symbol, parent) with fewer than `fan` rows per plan, however long the series is,
+    and only plans still searching take part.
     """
     top = bars.agg(F.max("ord")).first()[0] or 0  # one number, read from file statistics
-    height = max(1, math.ceil(math.log(top + 1, fan))) if top else 1
     low, high = F.least("low", "open"), F.greatest("high", "open")
     levels = [bars.select("symbol", C("ord").alias("node"), low.alias("lo"), high.alias("hi"))]
-    for _ in range(1, height + 1):
+    while fan ** len(levels) <= top:
         levels.append(
             levels[-1]
             .groupBy("symbol", F.floor(C("node") / fan).alias("node"))
             .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         )
     parented = [x.withColumn("parent", F.floor(C("node") / fan)) for x in levels]
-    state = plans.select(
-        "plan_id", "symbol", "direction", "stop_price", "target_price", C("ord").alias("at"),
-        F.lit(None).cast("long").alias("found"), F.lit(-1).alias("level"),
-    )
     keep = ["plan_id", "symbol", "direction", "stop_price", "target_price"]
 
-    def first_of(s: DataFrame, nodes: DataFrame, cond: Column) -> DataFrame:
-        """Smallest touched node per plan among the rows the equi-join brings together."""
-        hit = s.join(nodes, ["symbol", "parent"]).filter(cond & _touch(C("lo"), C("hi")))
-        return hit.groupBy("plan_id").agg(F.min("node").alias("_hit"))
-
-    for k in range(height):
-        probe = state.filter(C("found").isNull()).withColumn("parent", F.floor(C("at") / fan))
-        got = first_of(probe, parented[k], C("node") > C("at"))
-        state = stage(
-            state.join(got, "plan_id", "left").select(
-                *keep,
-                F.floor(C("at") / fan).alias("at"),
-                F.coalesce("found", "_hit").alias("found"),
-                F.when(C("found").isNotNull(), C("level")).when(C("_hit").isNotNull(), k).otherwise(-1).alias("level"),
-            ),
-            "touch-up",
-        )
-    for k in range(height - 1, 0, -1):
-        probe = state.filter(C("level") == k).withColumn("parent", C("found"))
-        got = first_of(probe, parented[k - 1], F.lit(True))
-        state = stage(
-            state.join(got, "plan_id", "left").select(
-                *keep, "at",
-                F.when(C("level") == k, C("_hit")).otherwise(C("found")).alias("found"),
-                F.when(C("level") == k, k - 1).otherwise(C("level")).alias("level"),
-            ),
-            "touch-down",
-        )
-    return state.select("plan_id", C("found").alias("hit_ord"))
-
-
-def bracket_exits(plans: DataFrame, bars: DataFrame, fan: int = 64) -> DataFrame:
+    def search(s: DataFrame, nodes: DataFrame, cond: Column, tag: str) -> DataFrame:
+        """Each plan with `hit`, the smallest node it touches among those its join brings together."""
+        near = s.join(nodes, ["symbol", "parent"], "left")
+        hit = F.min(F.when(cond & _touch(C("lo"), C("hi")), C("node"))).alias("hit")
+        return stage(near.groupBy(*keep, "at").agg(hit), tag)
+
+    done, climbed = [], []
+    state = plans.select(*keep, C("ord").alias("at"))
+    for k, nodes in enumerate(parented):
+        got = search(state.withColumn("parent", F.floor(C("at") / fan)), nodes, C("node") > C("at"), "touch-up")
+        climbed.append(got.filter(C("hit").isNotNull()))
+        state = got.filter(C("hit").isNull()).select(*keep, F.floor(C("at") / fan).alias("at"))
+    done.append(climbed[0].select("plan_id", C("hit").alias("hit_ord")))
+    descend = None
+    for k in range(len(levels) - 1, 0, -1):
+        here = climbed[k].select(*keep, C("hit").alias("parent"), "at")
+        descend = here if descend is None else here.unionByName(descend)
+        got = search(descend, parented[k - 1], F.lit(True), "touch-down")
+        descend = got.select(*keep, C("hit").alias("parent"), "at")
+    if descend is not None:
+        done.append(descend.select("plan_id", C("parent").alias("hit_ord")))
+    found = done[0] if len(done) == 1 else done[0].unionByName(done[1])
+    return found.unionByName(state.select("plan_id", F.lit(None).cast("long").alias("hit_ord")))
+
+
+def bracket_exits(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
     """Exit of each plan (plan_id, symbol, ord, direction, entry/stop/target price).
 
     On the first bar that reaches a level the open decides first (gap), then the stop,

@@ -178,6 +178,39 @@ def equity_scan(
     )
 
 
+def path_summary(df: DataFrame, ret: str = "r", keys=SERIES, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per series: n, mean, sd, growth and max_drawdown of the compounded path, in one pass.
+
+    Nulls in `ret` keep the level and do not count. Each chunk is reduced to its sums, its
+    growth, its extremes and its own drawdown, so resampled paths are never joined back.
+    """
+    keys = list(keys)
+    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
+    upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    base = base.withColumn("_g", F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
+    base = base.withColumn("_top", F.max("_g").over(upto))
+    parts = base.groupBy(*keys, "_chunk").agg(
+        F.count(ret).alias("_n"),
+        F.sum(ret).alias("_s"),
+        F.sum(F.col(ret) * F.col(ret)).alias("_q"),
+        F.max_by("_g", "ord").alias("_growth"),
+        F.min("_g").alias("_low"),
+        F.max("_g").alias("_high"),
+        F.min(F.col("_g") / F.col("_top") - 1).alias("_dd"),
+    )
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.coalesce(F.product("_growth").over(before), F.lit(1.0)))
+    parts = parts.withColumn("_peak", F.max(F.col("_base") * F.col("_high")).over(before))
+    deepest = F.least(F.col("_dd"), F.col("_base") * F.col("_low") / F.col("_peak") - 1)
+    g = parts.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"),
+        F.product("_growth").alias("growth"), F.min(deepest).alias("max_drawdown"),
+    )
+    mean = F.col("_s") / F.nullif("n", F.lit(0))
+    var = (F.col("_q") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0))
+    return g.withColumns({"mean": mean, "sd": F.sqrt(F.greatest(F.lit(0.0), var))}).drop("_s", "_q")
+
+
 def cumulative_runs(df: DataFrame, starts_new: Column, keys=SERIES, name: str = "run", rows: int = CHUNK_ROWS) -> DataFrame:
     """Number the stretches of a series; `starts_new` is true on the first row of each."""
     return scan(df, {name: ("sum", F.when(starts_new, 1).otherwise(0).cast("long"))}, keys, rows)
