@@ -11,10 +11,18 @@ from pyspark.sql import Window as W
 from tidemark.plans.series import CHUNK_ROWS, SERIES
 
 C = F.col
+WIDE_GRID = 32
 
 
 def with_grid(df: DataFrame, grid: list[dict]) -> DataFrame:
-    """One copy of each row per parameter set. The grid is a literal of fixed size."""
+    """One copy of each row per parameter set. The grid is a literal of fixed size.
+
+    A large grid multiplies small partitions, so their rows are spread evenly first; that
+    moves one row per grid-full of output rows.
+    """
+    if len(grid) >= WIDE_GRID:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, *[c for c in ("symbol", "ord") if c in df.columns])
     sets = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in g.items()]) for g in grid])
     return df.withColumn("_g", F.explode(sets)).select(*df.columns, "_g.*")
 
@@ -176,7 +184,7 @@ def full_sweep(df: DataFrame, grid: list[dict], commission_bps: float = 1.0, sli
         *vk, C("fill_ts").alias("ts"), C("delta_weight").alias("qty"), "price",
         (F.abs("delta_weight") * C("price") * commission_bps / 1e4).alias("commission"),
     )
-    fills = with_ordinal(fills, vk, ["ts"], time_bucket())
+    fills = stage(with_ordinal(stage(fills, "variant-fills"), vk, ["ts"], time_bucket()), "variant-fills")
     trades = trade_metrics(extract_trades(fills, vk), vk).select(*vk, "num_trades", "win_rate", "profit_factor", "expectancy")
     none = {"num_trades": 0}
     return core.join(trades, vk, "left").fillna(none)
