@@ -21,7 +21,7 @@ def running_drawdown(df: DataFrame, value="equity", keys=SERIES) -> DataFrame:
 
 def _runs_from_peaks(df: DataFrame, value: str, keys) -> DataFrame:
     """`run` numbers the bars at a peak; bars below a peak share the run of that peak."""
-    d = running_drawdown(df, value, keys)
+    d = df if "peak" in df.columns else running_drawdown(df, value, keys)
     return cumulative_runs(d, F.col(value) >= F.col("peak"), keys)
 
 

@@ -11,12 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions.rng import uniform
 from tidemark.operators.metrics import nz, span_days
 from tidemark.operators.pnl import next_open_returns
 from tidemark.operators.quality import micros
-from tidemark.plans.series import SERIES, equity_scan, path_summary, scan, with_ordinal
+from tidemark.plans.series import SERIES, array_segment, equity_scan, path_summary, scan, summarize_segments, with_ordinal
 from tidemark.session import stage
 
 C = F.col
@@ -43,11 +44,34 @@ def iid_draws(sizes: DataFrame, n_sims: int, seed: int = 42, stream: str = "iid"
     return d.withColumn("idx", F.floor(uniform(seed, stream, "sim", "i") * C("n")).cast("long"))
 
 
+def block_starts(sizes: DataFrame, n_sims: int, block: int, seed: int = 42, stream: str = "block") -> DataFrame:
+    """One row per (sim, block number k): `start` in [0, n - block) and `take`, cut at n draws in all."""
+    d = with_sims(sizes.filter(C("n") > block), n_sims).withColumn("_k", F.ceil(C("n") / block))
+    d = numbered(d, "_k", "k").drop("_k")
+    start = F.floor(uniform(seed, stream, "sim", "k") * (C("n") - block)).cast("long")
+    return d.withColumns({"start": start, "take": F.least(F.lit(block), C("n") - C("k") * block).cast("int")})
+
+
 def block_draws(sizes: DataFrame, n_sims: int, block: int, seed: int = 42, stream: str = "block") -> DataFrame:
-    """Fixed-length blocks with starts in [0, n - block), cut at n draws."""
-    d = numbered(with_sims(sizes.filter(C("n") > block), n_sims))
-    start = F.floor(uniform(seed, stream, "sim", F.floor(C("i") / block)) * (C("n") - block))
-    return d.withColumn("idx", (start + C("i") % block).cast("long"))
+    """The blocks of `block_starts` unfolded to draws i with index idx."""
+    d = block_starts(sizes, n_sims, block, seed, stream)
+    d = d.withColumn("_j", F.explode(F.sequence(F.lit(0), C("take") - 1)))
+    return d.withColumns({"i": C("k") * block + C("_j"), "idx": C("start") + C("_j")}).drop("_j", "k", "start", "take")
+
+
+def gather_blocks(starts: DataFrame, returns: DataFrame, block: int, keys=SERIES) -> DataFrame:
+    """`xs`, the values of each drawn block as an array of at most `block` values.
+
+    Returns are packed once into arrays of two neighbouring stretches of `block` values; any
+    block lies inside one of them. The join then moves one row per block, not per value.
+    """
+    keys = list(keys)
+    at = F.floor(C("idx") / block)
+    twice = returns.withColumn("_b", F.explode(F.array(at, at - 1))).filter("_b >= 0")
+    packed = twice.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("_p"))
+    packed = packed.select(*keys, "_b", F.transform("_p", lambda v: v["x"]).alias("_xs"))
+    d = starts.withColumn("_b", F.floor(C("start") / block)).join(packed, [*keys, "_b"])
+    return d.withColumn("xs", F.slice("_xs", (C("start") % block + 1).cast("int"), C("take"))).drop("_b", "_xs")
 
 
 def stationary_draws(sizes: DataFrame, n_sims: int, mean_block: float | None = None, seed: int = 42, keys=()) -> DataFrame:
@@ -59,6 +83,13 @@ def stationary_draws(sizes: DataFrame, n_sims: int, mean_block: float | None = N
     p = 1.0 / F.lit(float(mean_block)) if mean_block else 1.0 / F.greatest(F.lit(5.0), F.sqrt("n"))
     d = numbered(with_sims(sizes, n_sims)).withColumnRenamed("i", "ord")
     fresh = (C("ord") == 0) | (uniform(seed, "new", "sim", "ord") < p)
+    if mean_block is None:
+        # About sqrt(n) starts per sim: keep only those and unfold each up to the next one.
+        d = d.filter(fresh).withColumn("_s", F.floor(uniform(seed, "start", "sim", "ord") * C("n")).cast("long"))
+        until = F.lead("ord").over(W.partitionBy(*keys, "sim").orderBy("ord"))
+        d = d.withColumn("_len", F.coalesce(until, C("n")) - C("ord"))
+        d = d.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), C("_len") - 1)))
+        return d.withColumns({"i": C("ord") + C("_j"), "idx": F.pmod(C("_s") + C("_j"), C("n"))}).drop("ord", "_s", "_len", "_j")
     start = F.floor(uniform(seed, "start", "sim", "ord") * C("n")).cast("long")
     d = scan(d, {"_s": ("last", F.when(fresh, start)), "_t": ("last", F.when(fresh, C("ord")))}, [*keys, "sim"])
     return d.withColumn("idx", F.pmod(C("_s") + C("ord") - C("_t"), C("n"))).withColumnRenamed("ord", "i").drop("_s", "_t")
@@ -92,16 +123,8 @@ def _observed(equity: DataFrame, keys) -> DataFrame:
     )
 
 
-def _bootstrap_paths(equity: DataFrame, draws_of, keys) -> DataFrame:
-    """Per simulation: Sharpe, CAGR and largest drawdown of the resampled curve.
-
-    As in the curve metrics, the first draw only sets the starting level.
-    """
-    keys = list(keys)
-    x = indexed_returns(equity, keys)
-    rows = gather(draws_of(sample_sizes(x, keys)), x, keys)
-    rows = rows.select(*keys, "sim", C("i").alias("ord"), F.when(C("i") > 0, C("x")).alias("r"))
-    g = path_summary(rows, "r", [*keys, "sim"]).join(inferred_ppy(equity, keys), keys)
+def _sim_metrics(g: DataFrame, equity: DataFrame, keys) -> DataFrame:
+    g = g.join(inferred_ppy(equity, keys), list(keys))
     return g.select(
         *keys, "sim", C("max_drawdown").alias("maxdd"),
         (C("mean") / nz("sd") * F.sqrt("ppy")).alias("sharpe"),
@@ -109,6 +132,17 @@ def _bootstrap_paths(equity: DataFrame, draws_of, keys) -> DataFrame:
     )
 
 
+def _block_segments(equity: DataFrame, n_sims: int, block: int, seed: int, stream: str, keys, skip_first: bool) -> DataFrame:
+    """Path segments of drawn blocks, in block order."""
+    x = indexed_returns(equity, keys)
+    sizes = sample_sizes(x, keys).filter(C("n") >= (3 * block if stream == "paths" else 0))
+    d = gather_blocks(block_starts(sizes, n_sims, block, seed, stream), x, block, keys)
+    xs = C("xs")
+    if skip_first:
+        xs = F.when(C("k") == 0, F.transform(xs, lambda v, i: F.when(i > 0, v))).otherwise(xs)
+    return d.select(*keys, "sim", C("k").alias("ord"), array_segment(xs).alias("_g")).select(*keys, "sim", "ord", "_g.*")
+
+
 def _summary(sims: DataFrame, observed: DataFrame, keys) -> DataFrame:
     """Reduce simulations; their number is set by the caller, so percentiles are small."""
     keys = list(keys)
@@ -128,12 +162,21 @@ def _summary(sims: DataFrame, observed: DataFrame, keys) -> DataFrame:
 
 
 def bootstrap_iid(equity: DataFrame, n_sims: int = 5000, seed: int = 42, keys=SERIES) -> DataFrame:
-    sims = _bootstrap_paths(equity, lambda s: iid_draws(s, n_sims, seed), keys)
+    """Single returns drawn with replacement. As in the curve metrics, the first draw only
+    sets the starting level."""
+    keys = list(keys)
+    x = indexed_returns(equity, keys)
+    rows = gather(iid_draws(sample_sizes(x, keys), n_sims, seed), x, keys)
+    rows = rows.select(*keys, "sim", C("i").alias("ord"), F.when(C("i") > 0, C("x")).alias("r"))
+    sims = _sim_metrics(path_summary(rows, "r", [*keys, "sim"]), equity, keys)
     return _summary(sims, _observed(equity, keys), keys)
 
 
 def bootstrap_block(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
-    sims = _bootstrap_paths(equity, lambda s: block_draws(s, n_sims, block, seed), keys)
+    """Blocks of neighbouring returns; each drawn block becomes one path segment."""
+    keys = list(keys)
+    segments = _block_segments(equity, n_sims, block, seed, "block", keys, skip_first=True)
+    sims = _sim_metrics(summarize_segments(segments, [*keys, "sim"]), equity, keys)
     return _summary(sims, _observed(equity, keys), keys)
 
 
@@ -146,7 +189,8 @@ def bootstrap_null(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed:
     x = indexed_returns(equity, keys)
     mean = x.groupBy(*keys).agg(F.avg("x").alias("_mean"), (F.avg("x") / nz(F.stddev_samp("x"))).alias("_obs"))
     flat = x.join(mean, keys).withColumn("x", C("x") - C("_mean"))
-    rows = gather(block_draws(sample_sizes(x, keys), n_sims, block, seed, "null"), flat, keys)
+    drawn = gather_blocks(block_starts(sample_sizes(x, keys), n_sims, block, seed, "null"), flat, block, keys)
+    rows = drawn.select(*keys, "sim", F.explode("xs").alias("x"))
     ppy = inferred_ppy(equity, keys)
     sims = rows.groupBy(*keys, "sim").agg(F.coalesce(F.avg("x") / nz(F.stddev_samp("x")), F.lit(0.0)).alias("_s"))
     sims = sims.join(ppy, keys).join(mean, keys).select(
@@ -288,8 +332,7 @@ def path_bands(paths: DataFrame, max_bars: int = 400, keys=SERIES) -> DataFrame:
 def path_outcomes(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
     """Terminal wealth and largest drawdown per simulation of `simulated_paths`, without building the curves."""
     keys = list(keys)
-    rows = _path_draws(equity, n_sims, block, seed, keys)
-    g = path_summary(rows, "r", [*keys, "sim"])
+    g = summarize_segments(_block_segments(equity, n_sims, block, seed, "paths", keys, skip_first=False), [*keys, "sim"])
     return g.select(*keys, "sim", C("growth").alias("terminal"), C("max_drawdown").alias("maxdd"))
 
 
@@ -361,8 +404,6 @@ def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | Non
 
 def top_combos(f: DataFrame, n: int = 5) -> DataFrame:
     """Best combos by mean excess return, with rank and yearly value."""
-    from pyspark.sql import Window as W
-
     top = f.groupBy("combo").agg(F.avg("f").alias("mean")).orderBy(F.desc("mean"), F.desc("combo")).limit(n)
     rank = F.row_number().over(W.orderBy(F.desc("mean"), F.desc("combo")))  # over n rows
     return top.select("combo", "mean", (C("mean") * 252).alias("annualized"), rank.cast("long").alias("rank"))

@@ -75,22 +75,14 @@ def extract_trades_multi(fills: DataFrame) -> DataFrame:
     return extract_trades(fills.withColumn("symbol", F.coalesce("symbol", F.lit("ASSET"))))
 
 
-def _touch(lo: Column, hi: Column) -> Column:
-    """Some price in [lo, hi] reaches the plan's stop or target."""
-    long = C("direction") == "LONG"
-    down = F.when(long, C("stop_price")).otherwise(C("target_price"))
-    up = F.when(long, C("target_price")).otherwise(C("stop_price"))
-    return (lo <= down) | (hi >= up)
-
-
 def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
     """`hit_ord`: position of the first bar after the entry that reaches stop or target, or null.
 
     Bars form a tree: a node covers `fan` nodes below it and keeps their lowest low and
     highest high. A plan looks at the siblings to its right, climbs while none of them
-    is reached, and then descends into the first node that is. Each step is an equi-join
-    on (symbol, parent) with fewer than `fan` rows per plan, however long the series is,
-    and only plans still searching take part.
+    is reached, and then descends into the first node that is. Siblings are packed into one
+    row per parent, so each step is an equi-join on (symbol, parent) with one match per
+    plan, however long the series is, and only plans still searching take part.
     """
     top = bars.agg(F.max("ord")).first()[0] or 0  # one number, read from file statistics
     low, high = F.least("low", "open"), F.greatest("high", "open")
@@ -101,19 +93,33 @@ def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
             .groupBy("symbol", F.floor(C("node") / fan).alias("node"))
             .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         )
-    parented = [x.withColumn("parent", F.floor(C("node") / fan)) for x in levels]
+    packed = [
+        x.groupBy("symbol", F.floor(C("node") / fan).alias("parent")).agg(
+            F.sort_array(F.collect_list(F.struct("node", "lo", "hi"))).alias("_kids")  # at most `fan`
+        )
+        for x in levels
+    ]
     keep = ["plan_id", "symbol", "direction", "stop_price", "target_price"]
 
-    def search(s: DataFrame, nodes: DataFrame, cond: Column, tag: str) -> DataFrame:
-        """Each plan with `hit`, the smallest node it touches among those its join brings together."""
-        near = s.join(nodes, ["symbol", "parent"], "left")
-        hit = F.min(F.when(cond & _touch(C("lo"), C("hi")), C("node"))).alias("hit")
-        return stage(near.groupBy(*keep, "at").agg(hit), tag)
+    def search(s: DataFrame, nodes: DataFrame, after: Column, tag: str) -> DataFrame:
+        """Each plan with `hit`, the first child beyond `after` that it touches."""
+        long = C("direction") == "LONG"
+        near = s.join(nodes, ["symbol", "parent"], "left").withColumns(
+            {
+                "_down": F.when(long, C("stop_price")).otherwise(C("target_price")),
+                "_up": F.when(long, C("target_price")).otherwise(C("stop_price")),
+                "_after": after,
+            }
+        )
+        touched = F.filter(
+            "_kids", lambda k: (k["node"] > C("_after")) & ((k["lo"] <= C("_down")) | (k["hi"] >= C("_up")))
+        )
+        return stage(near.select(*keep, "at", F.get(touched, F.lit(0))["node"].alias("hit")), tag)
 
     done, climbed = [], []
     state = plans.select(*keep, C("ord").alias("at"))
-    for k, nodes in enumerate(parented):
-        got = search(state.withColumn("parent", F.floor(C("at") / fan)), nodes, C("node") > C("at"), "touch-up")
+    for nodes in packed:
+        got = search(state.withColumn("parent", F.floor(C("at") / fan)), nodes, C("at"), "touch-up")
         climbed.append(got.filter(C("hit").isNotNull()))
         state = got.filter(C("hit").isNull()).select(*keep, F.floor(C("at") / fan).alias("at"))
     done.append(climbed[0].select("plan_id", C("hit").alias("hit_ord")))
@@ -121,7 +127,7 @@ def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
     for k in range(len(levels) - 1, 0, -1):
         here = climbed[k].select(*keep, C("hit").alias("parent"), "at")
         descend = here if descend is None else here.unionByName(descend)
-        got = search(descend, parented[k - 1], F.lit(True), "touch-down")
+        got = search(descend, packed[k - 1], F.lit(-1), "touch-down")
         descend = got.select(*keep, C("hit").alias("parent"), "at")
     if descend is not None:
         done.append(descend.select("plan_id", C("parent").alias("hit_ord")))

@@ -178,37 +178,75 @@ def equity_scan(
     )
 
 
-def path_summary(df: DataFrame, ret: str = "r", keys=SERIES, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Per series: n, mean, sd, growth and max_drawdown of the compounded path, in one pass.
+SEGMENT = ("n", "s", "q", "growth", "low", "high", "dd")
+
+
+def merge_segments(df: DataFrame, keys, order: str = "ord") -> DataFrame:
+    """Join consecutive path segments of each group of `keys` into one.
 
-    Nulls in `ret` keep the level and do not count. Each chunk is reduced to its sums, its
-    growth, its extremes and its own drawdown, so resampled paths are never joined back.
+    A segment holds the count, sum and sum of squares of its returns, its growth, the
+    lowest and highest level relative to its start, and its own deepest drawdown. Growth
+    before a segment scales it; its drawdown is its own or its low against earlier peaks.
     """
     keys = list(keys)
-    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
-    upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    base = base.withColumn("_g", F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
-    base = base.withColumn("_top", F.max("_g").over(upto))
-    parts = base.groupBy(*keys, "_chunk").agg(
-        F.count(ret).alias("_n"),
-        F.sum(ret).alias("_s"),
-        F.sum(F.col(ret) * F.col(ret)).alias("_q"),
-        F.max_by("_g", "ord").alias("_growth"),
-        F.min("_g").alias("_low"),
-        F.max("_g").alias("_high"),
-        F.min(F.col("_g") / F.col("_top") - 1).alias("_dd"),
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    d = df.withColumn("_base", F.coalesce(F.product("growth").over(before), F.lit(1.0)))
+    d = d.withColumns({"_low": F.col("_base") * F.col("low"), "_high": F.col("_base") * F.col("high")})
+    d = d.withColumn("_peak", F.max("_high").over(before))
+    return d.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.product("growth").alias("growth"),
+        F.min("_low").alias("low"), F.max("_high").alias("high"),
+        F.min(F.least(F.col("dd"), F.col("_low") / F.col("_peak") - 1)).alias("dd"),
     )
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("_base", F.coalesce(F.product("_growth").over(before), F.lit(1.0)))
-    parts = parts.withColumn("_peak", F.max(F.col("_base") * F.col("_high")).over(before))
-    deepest = F.least(F.col("_dd"), F.col("_base") * F.col("_low") / F.col("_peak") - 1)
-    g = parts.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"),
-        F.product("_growth").alias("growth"), F.min(deepest).alias("max_drawdown"),
+
+
+def summarize_segments(segments: DataFrame, keys, rows: int = CHUNK_ROWS) -> DataFrame:
+    """n, mean, sd, growth and max_drawdown per series from its segments, in `ord` order.
+
+    Segments merge by chunks first, so no series has all its segments in one task.
+    """
+    keys = list(keys)
+    chunked = segments.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
+    g = merge_segments(merge_segments(chunked, [*keys, "_chunk"]), keys, "_chunk")
+    mean = F.col("s") / F.nullif("n", F.lit(0))
+    var = (F.col("q") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0))
+    return g.select(
+        *keys, "n", "growth", F.col("dd").alias("max_drawdown"), mean.alias("mean"),
+        F.sqrt(F.greatest(F.lit(0.0), var)).alias("sd"),
     )
-    mean = F.col("_s") / F.nullif("n", F.lit(0))
-    var = (F.col("_q") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0))
-    return g.withColumns({"mean": mean, "sd": F.sqrt(F.greatest(F.lit(0.0), var))}).drop("_s", "_q")
+
+
+def path_summary(df: DataFrame, ret: str = "r", keys=SERIES, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Summary of the compounded path of `ret`, without building the path.
+
+    Nulls keep the level and do not count. Every row is a segment of its own.
+    """
+    r = F.col(ret)
+    g = 1 + F.coalesce(r, F.lit(0.0))
+    one = df.select(
+        *keys, "ord", F.when(r.isNull(), 0).otherwise(1).alias("n"), F.coalesce(r, F.lit(0.0)).alias("s"),
+        F.coalesce(r * r, F.lit(0.0)).alias("q"), g.alias("growth"), g.alias("low"), g.alias("high"), F.lit(0.0).alias("dd"),
+    )
+    return summarize_segments(one, keys, rows)
+
+
+def array_segment(values: Column) -> Column:
+    """Struct of SEGMENT fields of an array of returns; nulls keep the level and do not count."""
+    zero = F.struct(
+        F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(1.0).alias("growth"),
+        F.lit(float("inf")).alias("low"), F.lit(0.0).alias("high"), F.lit(0.0).alias("dd"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        r = F.coalesce(x, F.lit(0.0))
+        g = acc["growth"] * (1 + r)
+        top = F.greatest(acc["high"], g)
+        return F.struct(
+            (acc["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"), (acc["s"] + r).alias("s"), (acc["q"] + r * r).alias("q"),
+            g.alias("growth"), F.least(acc["low"], g).alias("low"), top.alias("high"), F.least(acc["dd"], g / top - 1).alias("dd"),
+        )
+
+    return F.aggregate(values, zero, step)
 
 
 def cumulative_runs(df: DataFrame, starts_new: Column, keys=SERIES, name: str = "run", rows: int = CHUNK_ROWS) -> DataFrame:
