@@ -117,15 +117,23 @@ rule("op_F25b_vwap_refined", sig.vwap_refined, FADE_SQL)
 
 # Opening ranges on half-hour bars: the window holds six bars of 30 minutes.
 SESSION = dict(start="08:00", end="11:00", cutoff="15:30", bars_needed=6, zone=None, bar_minutes=30)
-ORB_CTE = f""", t AS (SELECT *, strftime(ts,'%Y-%m-%d') AS day, strftime(ts,'%H:%M') AS hm FROM b), tr AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w)) AS tr FROM t {W_SQL}),
+
+
+def orb_cte(start: str = "08:00", end: str = "11:00", needed: int = 6) -> str:
+    return f""", t AS (SELECT *, strftime(ts,'%Y-%m-%d') AS day, strftime(ts,'%H:%M') AS hm FROM b), tr AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w)) AS tr FROM t {W_SQL}),
  at0 AS (SELECT *, {SMA(14, 'tr')} AS atr FROM tr), x AS MATERIALIZED (SELECT *, lag(atr) OVER w AS cur FROM at0 {W_SQL}),
- rg AS (SELECT symbol, day, max(high) AS oh, min(low) AS ol FROM x WHERE hm>='08:00' AND hm<'11:00' GROUP BY symbol, day HAVING count(*)=6),
- po AS (SELECT x.*, oh, ol, row_number() OVER (PARTITION BY symbol, day ORDER BY ord) AS pos FROM x JOIN rg USING (symbol, day) WHERE hm>='11:00'),
+ rg AS (SELECT symbol, day, max(high) AS oh, min(low) AS ol FROM x WHERE hm>='{start}' AND hm<'{end}' GROUP BY symbol, day HAVING count(*)={needed}),
+ po AS (SELECT x.*, oh, ol, row_number() OVER (PARTITION BY symbol, day ORDER BY ord) AS pos FROM x JOIN rg USING (symbol, day) WHERE hm>='{end}'),
  br AS (SELECT * FROM (SELECT *, CASE WHEN close>oh THEN 1 ELSE -1 END AS dir, row_number() OVER (PARTITION BY symbol, day ORDER BY ord) AS k FROM po WHERE (close>oh OR close<ol) AND oh>ol) WHERE k=1 AND hm<='15:30')"""
 
 
+ORB_CTE = orb_cte()
+# Retests need tight ranges to occur at all on these tables: an hour of two bars.
+TIGHT = dict(SESSION, start="10:00", end="11:00", bars_needed=2)
+
+
 def orb_sql(extra_break: str = "true", extra_confirm: str = "true") -> str:
-    return ORB_CTE + f""", cf AS (SELECT c.symbol, c.ts, b.dir FROM br b JOIN po r ON r.symbol=b.symbol AND r.day=b.day AND r.pos=b.pos+1 JOIN po c ON c.symbol=b.symbol AND c.day=b.day AND c.pos=b.pos+2
+    return orb_cte("10:00", "11:00", 2) + f""", cf AS (SELECT c.symbol, c.ts, b.dir FROM br b JOIN po r ON r.symbol=b.symbol AND r.day=b.day AND r.pos=b.pos+1 JOIN po c ON c.symbol=b.symbol AND c.day=b.day AND c.pos=b.pos+2
   WHERE {extra_break} AND CASE WHEN b.dir=1 THEN r.low<=b.oh AND r.close>b.oh AND c.close>b.high ELSE r.high>=b.ol AND r.close<b.ol AND c.close<b.low END AND c.hm<='15:30' AND {extra_confirm}),
  sig AS (SELECT b.*, coalesce(cf.dir,0) AS weight FROM b LEFT JOIN cf USING (symbol, ts))"""
 
@@ -137,20 +145,20 @@ _CLVOK = f"CASE WHEN b.dir=1 THEN {_CLV('c')}>=0.7 ELSE {_CLV('c')}<=0.3 END"
 
 def orb_rule(name, sql, kind, **kw):
     query(name, B(kind) + sql + _NOTE_SELECT)(
-        lambda spark, sf: out(orb.orb_signals(bars(spark, sf, kind), **SESSION, **kw), "symbol", "ts", "weight")
+        lambda spark, sf: out(orb.orb_signals(bars(spark, sf, kind), **(SESSION if kw["mode"] == "breakout" else TIGHT), **kw), "symbol", "ts", "weight")
     )
 
 
 orb_rule("op_F17_orb_breakout", ORB_CTE + ", sig AS (SELECT b.*, coalesce(br.dir,0) AS weight FROM b LEFT JOIN br USING (symbol, ts))", "events", mode="breakout")
-orb_rule("op_F18_orb_retest", orb_sql(), "market", mode="retest")
-orb_rule("op_F19_orb_retest_rejection", orb_sql(extra_confirm=f"CASE WHEN b.dir=1 THEN {_CLV('r')}>=0.5 ELSE {_CLV('r')}<=0.5 END"), "market", mode="retest_rejection")
-orb_rule("op_F20_orb_quality", orb_sql(extra_confirm=f"{_BODY}>=0.6 AND {_CLVOK}"), "market", mode="quality", min_body=0.6, min_clv=0.7)
-orb_rule("op_F21_orb_clv", orb_sql(extra_confirm=_CLVOK), "market", mode="clv", min_clv=0.7)
-orb_rule("op_F22_orb_atr_range", orb_sql(extra_break="b.cur>0 AND (b.oh-b.ol)/b.cur BETWEEN 0.5 AND 2.5"), "market", mode="orb_atr", atr_min=0.5, atr_max=2.5)
+orb_rule("op_F18_orb_retest", orb_sql(), "events", mode="retest")
+orb_rule("op_F19_orb_retest_rejection", orb_sql(extra_confirm=f"CASE WHEN b.dir=1 THEN {_CLV('r')}>=0.5 ELSE {_CLV('r')}<=0.5 END"), "events", mode="retest_rejection")
+orb_rule("op_F20_orb_quality", orb_sql(extra_confirm=f"{_BODY}>=0.6 AND {_CLVOK}"), "events", mode="quality", min_body=0.6, min_clv=0.7)
+orb_rule("op_F21_orb_clv", orb_sql(extra_confirm=_CLVOK), "events", mode="clv", min_clv=0.7)
+orb_rule("op_F22_orb_atr_range", orb_sql(extra_break="b.cur>0 AND (b.oh-b.ol)/b.cur BETWEEN 0.5 AND 2.5"), "events", mode="orb_atr", atr_min=0.5, atr_max=2.5)
 orb_rule(
     "op_F23_orb_atr_regime",
     orb_sql(extra_break="(SELECT count(a.atr)>=50 AND b.cur>=quantile_cont(a.atr,0.5) FROM x a WHERE a.symbol=b.symbol AND a.ord<b.ord AND a.atr IS NOT NULL)"),
-    "market",
+    "events",
     mode="atr_regime",
 )
 
