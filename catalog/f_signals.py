@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import B, ISO, R, ROLL, W_SQL, bars, out, query
+from catalog.base import B, ISO, R, ROLL, W_SQL, bars, ctes, out, query
 from catalog.d_alignment import ALIGN_SQL, SNAP_SQL
 from catalog.e_windows import ADX_SQL, KEYED, VWAP_SQL
 from catalog.sqlfrag import EMA, HOLD, LOSS, PRE, RSI, SD, SMA, sp, wi
@@ -128,7 +128,7 @@ def orb_cte(start: str = "08:00", end: str = "11:00", needed: int = 6) -> str:
 
 
 ORB_CTE = orb_cte()
-# Retests need tight ranges to occur at all on these tables: an hour of two bars.
+# Retests need tight ranges to occur: an hour of two bars.
 TIGHT = dict(SESSION, start="10:00", end="11:00", bars_needed=2)
 
 
@@ -143,22 +143,40 @@ _BODY = "(CASE WHEN c.high-c.low<=0 THEN 0 ELSE abs(c.close-c.open)/(c.high-c.lo
 _CLVOK = f"CASE WHEN b.dir=1 THEN {_CLV('c')}>=0.7 ELSE {_CLV('c')}<=0.3 END"
 
 
-def orb_rule(name, sql, kind, **kw):
-    query(name, B(kind) + sql + _NOTE_SELECT)(
-        lambda spark, sf: out(orb.orb_signals(bars(spark, sf, kind), **(SESSION if kw["mode"] == "breakout" else TIGHT), **kw), "symbol", "ts", "weight")
+# Supplier bars, four to a candle, laid out as sessions of twelve half hours from 10:00.
+SESSION_SQL = "WITH " + ctes("supp", "bb") + """, b AS (SELECT symbol, TIMESTAMP '2024-01-01 10:00:00' + to_days((ord//48)::INT) + to_minutes(30*((ord//4)%12)) AS ts, min_by(open,ord) AS open, max(high) AS high, min(low) AS low, max_by(close,ord) AS close, sum(volume) AS volume, ord//4 AS ord FROM bb GROUP BY symbol, ord//48, ord//4)"""
+
+
+def half_hour_bars(spark, sf):
+    n = F.floor(C("ord") / 4)
+    four = bars(spark, sf, "supp").groupBy("symbol", n.alias("n")).agg(
+        F.min_by("open", "ord").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "ord").alias("close"), F.sum("volume").alias("volume"),
+    )
+    at = "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(cast(n div 12 as int), 0, cast(30 * (n % 12) as int), 0)"
+    return four.select("symbol", F.expr(at).alias("ts"), "open", "high", "low", "close", "volume", C("n").alias("ord"))
+
+
+def orb_rule(name, sql, **kw):
+    if kw["mode"] == "breakout":
+        make, head, times = (lambda spark, sf: bars(spark, sf, "events")), B("events"), SESSION
+    else:
+        make, head, times = half_hour_bars, SESSION_SQL, TIGHT
+    query(name, head + sql + _NOTE_SELECT)(
+        lambda spark, sf: out(orb.orb_signals(make(spark, sf), **times, **kw), "symbol", "ts", "weight")
     )
 
 
-orb_rule("op_F17_orb_breakout", ORB_CTE + ", sig AS (SELECT b.*, coalesce(br.dir,0) AS weight FROM b LEFT JOIN br USING (symbol, ts))", "events", mode="breakout")
-orb_rule("op_F18_orb_retest", orb_sql(), "events", mode="retest")
-orb_rule("op_F19_orb_retest_rejection", orb_sql(extra_confirm=f"CASE WHEN b.dir=1 THEN {_CLV('r')}>=0.5 ELSE {_CLV('r')}<=0.5 END"), "events", mode="retest_rejection")
-orb_rule("op_F20_orb_quality", orb_sql(extra_confirm=f"{_BODY}>=0.6 AND {_CLVOK}"), "events", mode="quality", min_body=0.6, min_clv=0.7)
-orb_rule("op_F21_orb_clv", orb_sql(extra_confirm=_CLVOK), "events", mode="clv", min_clv=0.7)
-orb_rule("op_F22_orb_atr_range", orb_sql(extra_break="b.cur>0 AND (b.oh-b.ol)/b.cur BETWEEN 0.5 AND 2.5"), "events", mode="orb_atr", atr_min=0.5, atr_max=2.5)
+orb_rule("op_F17_orb_breakout", ORB_CTE + ", sig AS (SELECT b.*, coalesce(br.dir,0) AS weight FROM b LEFT JOIN br USING (symbol, ts))", mode="breakout")
+orb_rule("op_F18_orb_retest", orb_sql(), mode="retest")
+orb_rule("op_F19_orb_retest_rejection", orb_sql(extra_confirm=f"CASE WHEN b.dir=1 THEN {_CLV('r')}>=0.5 ELSE {_CLV('r')}<=0.5 END"), mode="retest_rejection")
+orb_rule("op_F20_orb_quality", orb_sql(extra_confirm=f"{_BODY}>=0.6 AND {_CLVOK}"), mode="quality", min_body=0.6, min_clv=0.7)
+orb_rule("op_F21_orb_clv", orb_sql(extra_confirm=_CLVOK), mode="clv", min_clv=0.7)
+orb_rule("op_F22_orb_atr_range", orb_sql(extra_break="b.cur>0 AND (b.oh-b.ol)/b.cur BETWEEN 0.5 AND 2.5"), mode="orb_atr", atr_min=0.5, atr_max=2.5)
 orb_rule(
     "op_F23_orb_atr_regime",
     orb_sql(extra_break="(SELECT count(a.atr)>=50 AND b.cur>=quantile_cont(a.atr,0.5) FROM x a WHERE a.symbol=b.symbol AND a.ord<b.ord AND a.atr IS NOT NULL)"),
-    "events",
+   
     mode="atr_regime",
 )
 
