@@ -25,10 +25,17 @@ SPAN = 4096
 
 
 def numbered(sizes: DataFrame, n: str = "n", name: str = "i") -> DataFrame:
-    """Rows 0..n-1 per input row, unfolded by spans so that no long array is built."""
-    spans = sizes.filter(C(n) > 0).withColumn("_span", F.explode(F.sequence(F.lit(0), F.floor((C(n) - 1) / SPAN))))
-    lo = C("_span") * SPAN
-    return spans.withColumn(name, F.explode(F.sequence(lo, F.least(lo + SPAN - 1, C(n) - 1)))).drop("_span")
+    """Rows 0..n-1 per input row, unfolded in three steps so that no long array is built."""
+    d = sizes.filter(C(n) > 0)
+    upper = C(n) - 1
+    outer = None
+    for i, width in enumerate((SPAN * SPAN, SPAN, 1)):
+        lo = F.lit(0).cast("long") if outer is None else outer * SPAN
+        hi = F.floor(upper / width)
+        hi = hi if outer is None else F.least(lo + SPAN - 1, hi)
+        d = d.withColumn(f"_u{i}", F.explode(F.sequence(lo, hi)))
+        outer = C(f"_u{i}")
+    return d.withColumnRenamed("_u2", name).drop("_u0", "_u1")
 
 
 def with_sims(df: DataFrame, n_sims: int) -> DataFrame:
@@ -348,7 +355,9 @@ def marker_percentiles(outcomes: DataFrame, keys=SERIES) -> DataFrame:
     )
 
 
-def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | None = None, seed: int = 42, sims_per_block: int = 256) -> DataFrame:
+def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | None = None, seed: int = 42,
+    sims_per_block: int = 256, combos_per_block: int = 256,
+) -> DataFrame:
     """Best-of-many test on excess returns f(ord, combo, f), one value per time and combo.
 
     The resampled time indices are shared by all combos and counted first. The sums over
@@ -368,8 +377,13 @@ def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | Non
     centred = f.join(means, "combo").select(C("ord").alias("idx"), "combo", (C("f") - C("mean")).alias("c"))
     tile = F.floor(C("idx") / SPAN)
     groups = -(-n_bootstrap // sims_per_block)
-    left = counts.withColumns({"tile": tile, "part": F.floor(C("sim") / sims_per_block)})
-    right = centred.withColumn("tile", tile).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    lots = F.broadcast(sizes.select(F.ceil(C("k") / combos_per_block).alias("_lots")))  # one row
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = counts.join(lots).withColumns({"tile": tile, "part": F.floor(C("sim") / sims_per_block), "lot": upto(C("_lots"))})
+    right = centred.join(lots).withColumns(
+        {"tile": tile, "part": upto(F.lit(groups).cast("long")), "lot": F.pmod(F.xxhash64("combo"), C("_lots"))}
+    )
+    tile_keys = ("tile", "part", "lot")
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -385,7 +399,7 @@ def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | Non
         s = w @ c
         return pd.DataFrame({"sim": np.repeat(sims, len(names)), "combo": np.tile(names, len(sims)), "s": s.ravel()})
 
-    sums = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInPandas(product, "sim int, combo string, s double")
+    sums = left.drop("_lots").groupBy(*tile_keys).cogroup(right.drop("_lots").groupBy(*tile_keys)).applyInPandas(product, "sim int, combo string, s double")
     per_sim = sums.groupBy("sim", "combo").agg(F.sum("s").alias("s")).groupBy("sim").agg(F.max("s").alias("best"))
     observed = means.agg(
         F.max("mean").alias("best_mean"), F.max_by("combo", F.struct(C("mean"), C("combo"))).alias("best_combo"),
