@@ -115,6 +115,10 @@ FADE_SQL = REC + PRE + VWAP_SQL + ", " + EMA("e", "pre", {"a": ("tr", wi(20), 20
  sig AS (SELECT symbol, ts, ord, pos AS weight FROM fold JOIN b USING (symbol, ord))"""
 rule("op_F25b_vwap_refined", sig.vwap_refined, FADE_SQL)
 
+query("op_K1_keyed_fold", FADE_SQL.replace(REC, B("orders", recursive=True)) + _NOTE_SELECT)(
+    lambda spark, sf: out(sig.vwap_refined(bars(spark, sf, "orders")), "symbol", "ts", "weight")
+)
+
 # Opening ranges on half-hour bars: the window holds six bars of 30 minutes.
 SESSION = dict(start="08:00", end="11:00", cutoff="15:30", bars_needed=6, zone=None, bar_minutes=30)
 
