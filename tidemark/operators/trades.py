@@ -75,18 +75,23 @@ def extract_trades_multi(fills: DataFrame) -> DataFrame:
     return extract_trades(fills.withColumn("symbol", F.coalesce("symbol", F.lit("ASSET"))))
 
 
+HIT = ("hit_ord", "hit_ts", "hit_open", "hit_high", "hit_low")
+
+
 def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
-    """`hit_ord`: position of the first bar after the entry that reaches stop or target, or null.
+    """Plans plus the first bar after their entry that reaches stop or target, or nulls.
 
     Bars form a tree: a node covers `fan` nodes below it and keeps their lowest low and
     highest high. A plan looks at the siblings to its right, climbs while none of them
     is reached, and then descends into the first node that is. Siblings are packed into one
     row per parent, so each step is an equi-join on (symbol, parent) with one match per
-    plan, however long the series is, and only plans still searching take part.
+    plan, however long the series is, and only plans still searching take part. The leaves
+    carry the bar itself, so the hit needs no join of its own.
     """
     top = bars.agg(F.max("ord")).first()[0] or 0  # one number, read from file statistics
     low, high = F.least("low", "open"), F.greatest("high", "open")
-    levels = [bars.select("symbol", C("ord").alias("node"), low.alias("lo"), high.alias("hi"))]
+    leaf = F.struct("ord", "ts", "open", "high", "low")
+    levels = [bars.select("symbol", C("ord").alias("node"), low.alias("lo"), high.alias("hi"), leaf.alias("bar"))]
     while fan ** len(levels) <= top:
         levels.append(
             levels[-1]
@@ -95,16 +100,16 @@ def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
         )
     packed = [
         x.groupBy("symbol", F.floor(C("node") / fan).alias("parent")).agg(
-            F.sort_array(F.collect_list(F.struct("node", "lo", "hi"))).alias("_kids")  # at most `fan`
+            F.sort_array(F.collect_list(F.struct("node", *[c for c in x.columns if c not in ("symbol", "node")]))).alias("_kids")  # at most `fan`
         )
         for x in levels
     ]
-    keep = ["plan_id", "symbol", "direction", "stop_price", "target_price"]
+    own = plans.columns
 
-    def search(s: DataFrame, nodes: DataFrame, after: Column, tag: str) -> DataFrame:
-        """Each plan with `hit`, the first child beyond `after` that it touches."""
+    def search(s: DataFrame, level: int, after: Column, tag: str) -> DataFrame:
+        """Each plan with `hit`, the first child beyond `after` that it touches; on leaves also its bar."""
         long = C("direction") == "LONG"
-        near = s.join(nodes, ["symbol", "parent"], "left").withColumns(
+        near = s.join(packed[level], ["symbol", "parent"], "left").withColumns(
             {
                 "_down": F.when(long, C("stop_price")).otherwise(C("target_price")),
                 "_up": F.when(long, C("target_price")).otherwise(C("stop_price")),
@@ -114,39 +119,48 @@ def first_touch(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
         touched = F.filter(
             "_kids", lambda k: (k["node"] > C("_after")) & ((k["lo"] <= C("_down")) | (k["hi"] >= C("_up")))
         )
-        return stage(near.select(*keep, "at", F.get(touched, F.lit(0))["node"].alias("hit")), tag)
-
-    done, climbed = [], []
-    state = plans.select(*keep, C("ord").alias("at"))
-    for nodes in packed:
-        got = search(state.withColumn("parent", F.floor(C("at") / fan)), nodes, C("at"), "touch-up")
-        climbed.append(got.filter(C("hit").isNotNull()))
-        state = got.filter(C("hit").isNull()).select(*keep, F.floor(C("at") / fan).alias("at"))
-    done.append(climbed[0].select("plan_id", C("hit").alias("hit_ord")))
+        near = near.withColumn("_hit", F.get(touched, F.lit(0)))
+        bar = [C("_hit.bar").alias("bar")] if level == 0 else []
+        return stage(near.select(*own, "at", C("_hit.node").alias("hit"), *bar), tag)
+
+    found, climbed = [], {}
+    state = plans.withColumn("at", C("ord"))
+    for k in range(len(levels)):
+        got = search(state.withColumn("parent", F.floor(C("at") / fan)), k, C("at"), "touch-up")
+        climbed[k] = got.filter(C("hit").isNotNull())
+        state = got.filter(C("hit").isNull()).select(*own, F.floor(C("at") / fan).alias("at"))
+    found.append(climbed[0])
     descend = None
     for k in range(len(levels) - 1, 0, -1):
-        here = climbed[k].select(*keep, C("hit").alias("parent"), "at")
+        here = climbed[k].select(*own, "at", C("hit").alias("parent"))
         descend = here if descend is None else here.unionByName(descend)
-        got = search(descend, packed[k - 1], F.lit(-1), "touch-down")
-        descend = got.select(*keep, C("hit").alias("parent"), "at")
-    if descend is not None:
-        done.append(descend.select("plan_id", C("parent").alias("hit_ord")))
-    found = done[0] if len(done) == 1 else done[0].unionByName(done[1])
-    return found.unionByName(state.select("plan_id", F.lit(None).cast("long").alias("hit_ord")))
+        got = search(descend, k - 1, F.lit(-1), "touch-down")
+        descend = got.select(*own, "at", C("hit").alias("parent"))
+        if k == 1:
+            found.append(got)
+    parts = [
+        f.select(*own, *[C(f"bar.{x}").alias(h) for h, x in zip(HIT, ("ord", "ts", "open", "high", "low"))]) for f in found
+    ]
+    types = dict(parts[0].dtypes)
+    parts.append(state.select(*own, *[F.lit(None).cast(types[h]).alias(h) for h in HIT]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bracket_exits(plans: DataFrame, bars: DataFrame, fan: int = 16) -> DataFrame:
-    """Exit of each plan (plan_id, symbol, ord, direction, entry/stop/target price).
+    """Exit of each plan (symbol, ts, ord, direction, entry/stop/target price).
 
     On the first bar that reaches a level the open decides first (gap), then the stop,
     then the target. Without one the last close ends the trade.
     """
-    hits = plans.join(first_touch(plans, bars, fan), "plan_id")
-    at_hit = bars.select("symbol", C("ord").alias("hit_ord"), C("ts").alias("_ts"), C("open").alias("_o"), C("high").alias("_h"), C("low").alias("_l"))
     ends = bars.groupBy("symbol").agg(
         F.max("ord").alias("_last"), F.max_by("ts", "ord").alias("_last_ts"), F.max_by("close", "ord").alias("_last_close")
     )
-    j = hits.join(at_hit, ["symbol", "hit_ord"], "left").join(ends, "symbol")
+    j = first_touch(plans, bars, fan).join(ends, "symbol").withColumnsRenamed(
+        {"hit_ts": "_ts", "hit_open": "_o", "hit_high": "_h", "hit_low": "_l"}
+    )
     # Mirrored prices let one rule serve both sides.
     side = F.when(C("direction") == "LONG", 1.0).otherwise(-1.0)
     o, stop, target = side * C("_o"), side * C("stop_price"), side * C("target_price")
