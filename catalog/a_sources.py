@@ -218,8 +218,6 @@ def run_folder(spark, sf):
 
 def catalog_table(spark, sf):
     def make():
-        from pathlib import Path  # local check only
-
         root, manifest, metrics = run_folder(spark, sf)
         for name, table in (("manifest", manifest), ("metrics", metrics)):
             table.repartition("run").write.partitionBy("run").text(f"{root}/{name}")
