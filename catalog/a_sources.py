@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import B, ISO, R, bars, ctes, iso, out, query, rnd
+from catalog.base import B, ISO, R, bars, iso, out, query, rnd
 from tidemark.operators import ingest as ing
 from tidemark.session import staged_once, work_root
 from tidemark.sources import bar_files as files

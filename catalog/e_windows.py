@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import B, ISO, R, ROLL, W_SQL, bars, out, query
-from catalog.sqlfrag import EMA, PRE, RSI, SD, SMA, TR, sp, wi
+from catalog.sqlfrag import EMA, PRE, RSI, SD, SMA, sp, wi
 from tidemark.functions import indicators as ind
 from tidemark.functions.ewm import ewm, ewm_reach, span_alpha, wilder_alpha
 from tidemark.operators import drawdown as dd
 from tidemark.operators import returns as ret
 from tidemark.operators import rolling as rol
 from tidemark.operators import signals as sig
-from tidemark.plans.selection import prefix_ranks
-from tidemark.plans.series import cumulative_runs, equity_scan, on_chunks, scan
+from tidemark.plans.series import equity_scan, on_chunks, scan
 
 C = F.col
 KEYED = f"symbol, {ISO('ts')} AS ts"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import B, ISO, R, ROLL, W_SQL, bars, ctes, out, query
+from catalog.base import B, ISO, ROLL, W_SQL, bars, ctes, out, query
 from catalog.d_alignment import ALIGN_SQL, SNAP_SQL
 from catalog.e_windows import ADX_SQL, KEYED, VWAP_SQL
-from catalog.sqlfrag import EMA, HOLD, LOSS, PRE, RSI, SD, SMA, sp, wi
+from catalog.sqlfrag import EMA, HOLD, PRE, RSI, SD, SMA, sp, wi
 from tidemark.operators import orb
 from tidemark.operators import quality as qa
 from tidemark.operators import signals as sig

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import B, ISO, R, W_SQL, bars, ctes, fills, out, query
+from catalog.base import B, ISO, R, W_SQL, bars, fills, out, query
 from catalog.c_predicates import PLAN_SQL, plans
 from catalog.d_alignment import ALIGN_SQL, SNAP_SQL
 from catalog.e_windows import KEYED
@@ -14,7 +14,7 @@ from tidemark.operators import metrics as met
 from tidemark.operators import pnl
 from tidemark.operators import signals as sig
 from tidemark.operators import trades as trd
-from tidemark.plans.series import equity_scan, time_bucket, with_ordinal
+from tidemark.plans.series import equity_scan
 from tidemark.session import staged_once
 
 C = F.col

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import B, ISO, R, W_SQL, bars, out, query
-from catalog.e_windows import EPISODE_SQL, KEYED, REGIME_SQL, RET
+from catalog.e_windows import EPISODE_SQL, REGIME_SQL, RET
 from catalog.g_returns import FILL_SQL, G1, GOLD, TRADE_SQL, gold_equity, trades
 from tidemark.operators import drawdown as dd
 from tidemark.operators import metrics as met
 from tidemark.operators import returns as ret
 from tidemark.plans.series import time_bucket, with_ordinal
-from tidemark.session import staged_once
 
 C = F.col
 EQ = B() + GOLD + G1

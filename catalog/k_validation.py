@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import B, ISO, R, W_SQL, bars, out, query, rnd
-from catalog.e_windows import KEYED
 from catalog.f_signals import variant_sql
-from catalog.g_returns import FILL_SQL, G1, GOLD, SAME_SQL, TRADE_SQL, g2_sql, gold, gold_equity, trades
+from catalog.g_returns import FILL_SQL, GOLD, SAME_SQL, TRADE_SQL, g2_sql, gold, gold_equity, trades
 from catalog.h_metrics import CAGR, DAYS, EQ
 from catalog.sqlfrag import SD, SMA
 from tidemark.operators import metrics as met

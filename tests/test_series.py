@@ -1,7 +1,6 @@
 """Chunked plans must not depend on the chunk size."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import rebalance_dates
-from tidemark.plans.series import SERIES, equity_scan, on_chunks, scan, time_bucket, with_ordinal
+from tidemark.plans.series import SERIES, equity_scan, on_chunks
 
 C = F.col
 
