@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, line_dedup, secrets, topk, url_rules
+from tidemark.llm import bpe, decontaminate, line_dedup, ordinal, secrets, topk, toxicity, url_rules
 from tidemark.llm.shared import table
 
 QUERIES: dict = {}
@@ -69,3 +69,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query("op1_ordinal_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 good but toxic, 2 good."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    rated = labels.select("doc_id", grade.alias("grade")).where(~toxicity.held_out(F.col("doc_id")))
+    found = ordinal.score(docs, ordinal.train(docs, rated, 3), drop=("text",))
+    return found.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "expected_grade", "top_probability", "selected")
+
+
+@query("op10_compression_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
