@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, line_dedup, ordinal, secrets, topk, toxicity, url_rules
+from tidemark.llm import bpe, decontaminate, line_dedup, ngram_join, ordinal, secrets, topk, toxicity, url_rules
 from tidemark.llm.shared import table
 
 QUERIES: dict = {}
@@ -88,3 +88,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_ngram_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
