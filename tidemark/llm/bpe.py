@@ -169,8 +169,8 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids") -> Da
     return _with(df, {"decoded": "binary", "decoded_text": "string"}, (), make)
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Encode, then decode the ids: n_tokens, ids_sha256 and decoded_sha256 instead of the text."""
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, then decode the ids: n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids instead of the text."""
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         coder = Coder.get(vocabulary, pattern)
@@ -179,7 +179,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
             pa.array([len(i) // 4 for i in ids], pa.int64()),
             pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
             pa.array([hashlib.sha256(coder.decode(i)).hexdigest() for i in ids], pa.string()),
-        ]
+        ] + [pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32()))] * with_ids
 
-    add = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
-    return _with(df, add, () if keep_text else (text,), make)
+    add = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
+    return _with(df, add, (text,), make)

@@ -57,14 +57,14 @@ def winnow(words: W.Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]
     return at[keep], _of_length(grams[keep], k)
 
 
-def _fingerprints(key: str, text: str, short: list[int], bits: bytes | None):
-    """mapInArrow: key, text_key, n_words, hits. Items (no `bits`): all fingerprints, documents: those that pass `bits`."""
+def _fingerprints(short: list[int], bits: bytes | None):
+    """(id, text, text key) to (_id, _text, n_words, _hits). Items (no `bits`): all fingerprints, documents: those that pass `bits`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_bits = None if bits is None else np.frombuffer(bits, np.uint8)
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key))
-            for row, data, offsets in W.chunks(batch.column(batch.schema.get_field_index(text))):
+            keys, texts, text_keys = batch.columns
+            for row, data, offsets in W.chunks(texts):
                 words = W.split_words(data, offsets, W.ALNUM, lower=True)
                 n = words.counts
                 first = np.cumsum(n) - n
@@ -90,12 +90,8 @@ def _fingerprints(key: str, text: str, short: list[int], bits: bytes | None):
                         hits[d].append(
                             {"h": x, "k": k, "pos": int(p - first[d]), "before": near[: p - lo][::-1], "mid": " ".join(near[p - lo : p - lo + k]), "after": near[p - lo + k :]}
                         )
-                up, down = W.powers(len(data) + 1)
-                total = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(W.BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-                text_key = W.mix((total[offsets[1:]] - total[offsets[:-1]]) * down[offsets[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(row, len(n)), pa.array(W.signed(text_key), pa.int64()), pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT))],
+                    [keys.slice(row, len(n)), text_keys.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT))],
                     names=["_id", "_text", "n_words", "_hits"],
                 )
 
@@ -105,7 +101,13 @@ def _fingerprints(key: str, text: str, short: list[int], bits: bytes | None):
 def _scan(df: DataFrame, key: str, text: str, short: list[int], bits: bytes | None) -> DataFrame:
     short_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(_fingerprints(key, text, short, bits), f"_id {kind}, _text bigint, n_words bigint, _hits {_HIT_SQL}")
+    read = df.select(F.col(key).alias("_id"), F.col(text).alias("_t"), text_key(F.col(text)))
+    return read.mapInArrow(_fingerprints(short, bits), f"_id {kind}, _text bigint, n_words bigint, _hits {_HIT_SQL}")
+
+
+def text_key(text: Column) -> Column:
+    """Tells apart rows that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def bit_table(hashes: DataFrame, column: str = "h", bits: int = BITS) -> bytes:
@@ -139,7 +141,7 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: `doc_id`, n_words, n_hit, n_items, items (sorted), spans (hit words), contaminated."""
+    """One row per document: `doc_id`, n_words, n_hit, n_items, items (sorted), spans (hit words), contaminated, text_key."""
     items = stage(_scan(benchmark, item_id, item_text, [], None), "items")
     prints = items.select(F.col("_id").alias("_item"), "n_words", F.explode("_hits").alias("x"))
     prints = stage(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, line_dedup, ngram_join, ordinal, secrets, topk, toxicity, url_rules
+from tidemark.llm import bpe, decontaminate, line_dedup, ngram_join, ordinal, repeats, secrets, topk, toxicity, url_rules
 from tidemark.llm.shared import table
 
 QUERIES: dict = {}
@@ -93,3 +93,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_block_anchor_dedup", repeats.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), texts=False)
