@@ -27,10 +27,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = mark
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
+        least = stage(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("w")).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = stage(large, "large-star")
-        low = large.groupBy(F.col("a").alias("w")).agg(F.min("b").alias("m"))
+        low = stage(large.groupBy(F.col("a").alias("w")).agg(F.min("b").alias("m")), "least")
         small = large.join(low, F.col("a") == F.col("w"))
         small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("w").alias("a"), F.col("m").alias("b")))
         e = stage(small.distinct(), "small-star")
