@@ -16,7 +16,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs every node's neighbours on its least neighbour, first the larger ones, then
     the smaller ones, and is written to the shared folder. Edges stay (larger, smaller), and
-    distinct, so their number never grows; a hub's edges are split by adaptive execution.
+    distinct, so their number never grows. Least neighbours are written before they are joined,
+    so that the join stands on plain shuffles and a hub's edges can be split.
     """
     x, y = F.col(a), F.col(b)
     e = stage(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")

@@ -32,7 +32,7 @@ from tidemark.llm.shared import short_batches
 BUCKETS = 1 << 16
 SAMPLE = 3000
 FIT_CHARS = 20_000
-STEPS, RATE, RIDGE = 250, 0.3, 1e-5
+STEPS, RATE, RIDGE = 250, 0.3, 1e-4
 
 _ascii = np.arange(256)
 #: Printable ASCII other than letters, digits and the space.

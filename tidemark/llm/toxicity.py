@@ -7,7 +7,7 @@ document's features are how many windows reach each of several thresholds, and i
 advantages; a logistic model calibrated on the sample turns them into a score.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary learns from the windows that
-set them apart: those with a run of `GRAM` characters found in far more toxic than ordinary
+set them apart: those with a run of a few bytes (`GRAMS`) found in far more toxic than ordinary
 documents of the sample. Dictionary matches then also cover unseen words with such a run.
 
 The fit uses a bounded sample: at most `SAMPLE` labelled rows of each class, of at most
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ from tidemark.llm.shared import short_batches
 
 SAMPLE = 4000
 FIT_CHARS = 20_000
-GRAM = 5
+#: Bytes of the runs looked at; a word's edges are spaces.
+GRAMS = (5, 7, 9)
 #: A run sets toxic text apart if it is in this share of toxic documents and so many times the share of ordinary ones.
 LEAST_SHARE, LEAST_RATIO = 0.01, 8.0
 TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 64 << 10
@@ -139,28 +141,39 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ np.array(self.weights), -30, 30))))
 
 
+def _grams(word: bytes) -> set[bytes]:
+    x = b" " + word + b" "
+    return {x[i : i + n] for n in GRAMS for i in range(len(x) - n + 1)}
+
+
+def _likeness(words: set[bytes]) -> tuple:
+    """Three MinHash values, equal for most copies of a text: copies are counted as one text."""
+    h = np.array([crc32(w) for w in words], np.uint64)
+    return tuple(int((h * a & np.uint64(0xFFFFFFFF)).min()) for a in (np.uint64(2654435761), np.uint64(2246822519), np.uint64(3266489917))) if len(h) else ()
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Dictionaries and calibration from labelled texts."""
     n = (toxic.count(0), toxic.count(1))
     if not n[0] or not n[1]:
         return Model(b"", b"", (), n[1] / max(1, sum(n)))
-    grams_of: dict[bytes, tuple[bytes, ...]] = {}
-    held = (Counter(), Counter())
+    groups: tuple[dict, dict] = ({}, {})
     for text, y in zip(texts, toxic):
         words = set(windows(text))
-        for w in words:
-            if w not in grams_of:
-                grams_of[w] = tuple(w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1)))
-        held[y].update(set().union(*(grams_of[w] for w in words)))
-    apart = {
-        g
-        for g, a in held[1].items()
-        if a >= max(3, LEAST_SHARE * n[1]) and (a + 0.5) / (n[1] + 1) >= LEAST_RATIO * (held[0][g] + 0.5) / (n[0] + 1)
-    }
+        groups[y].setdefault(_likeness(words), set()).update(words)
+    m = tuple(map(len, groups))
+    often, rarely = Counter(), Counter()
+    for words in groups[1].values():
+        often.update(set().union(*map(_grams, words)))
+    often = {g: a for g, a in often.items() if a >= max(3, LEAST_SHARE * m[1])}
+    for words in groups[0].values():
+        rarely.update(set().union(*map(_grams, words)).intersection(often))
+    apart = {g for g, a in often.items() if (a + 0.5) / (m[1] + 1) >= LEAST_RATIO * (rarely[g] + 0.5) / (m[0] + 1)}
     parts: tuple[list[bytes], list[bytes]] = ([], [])
     for text, y in zip(texts, toxic):
-        parts[y].extend(w for w in windows(text) if not y or any(g in apart for g in grams_of[w]))
-    model = Model(_dictionary(parts[1], TOXIC_BYTES), _dictionary(parts[0][:ORDINARY_WORDS], ORDINARY_BYTES), ())
+        if y or len(parts[0]) < ORDINARY_WORDS:
+            parts[y].extend(w for w in windows(text) if not y or not apart.isdisjoint(_grams(w)))
+    model = Model(_dictionary(parts[1], TOXIC_BYTES), _dictionary(parts[0], ORDINARY_BYTES), ())
     x, y = np.array([model.features(t) for t in texts]), np.array(toxic, float)
     beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
     for _ in range(50):  # Newton steps of ridge logistic regression
