@@ -199,7 +199,7 @@ VERDICT_SQL = f""", v AS (SELECT symbol, CASE WHEN hash_bucket=0 THEN NULL ELSE
 @query(
     "op_H18_verdict",
     EQ + VERDICT_SQL + """ SELECT symbol, CASE WHEN robust IS NULL THEN '—' WHEN robust THEN 'YES' ELSE 'NO' END AS wf_robust, CASE WHEN chained_excess IS NULL THEN '—' WHEN has_edge THEN 'YES' ELSE 'NO' END AS edge, CASE WHEN p_value<0.05 THEN 'YES' ELSE 'NO' END AS rc_significant,
- CASE WHEN robust IS NULL THEN 'No walk-forward or cross-asset validation available.' WHEN robust AND has_edge THEN 'Walk-forward robust with positive excess Sharpe. Real edge.' WHEN robust THEN 'Walk-forward robust, but no excess return over a passive same-exposure position. Beta capture, not alpha.' ELSE 'Fails walk-forward robustness. Overfit to the full sample.' END AS summary FROM v""",
+ CASE WHEN robust IS NULL THEN 'not validated' WHEN robust AND has_edge THEN 'robust, beats its exposure' WHEN robust THEN 'robust, only its exposure' ELSE 'not robust' END AS summary FROM v""",
 )
 def _(spark, sf):
     e = gold_equity(spark, sf).groupBy("symbol").agg(

@@ -135,7 +135,7 @@ def paths(spark, sf):
 
 @query(
     "op_K9_path_bands",
-    PATHS + f" SELECT symbol, i AS ord, {', '.join(R(f'quantile_cont(e,{p/100})', 6) + f' AS p{p:02d}' for p in (5, 25, 50, 75, 95))} FROM pq WHERE i%greatest(1,n//400)=0 AND i/greatest(1,n//400)<400 GROUP BY symbol, i",
+    PATHS + f" SELECT symbol, i AS ord, {', '.join(R(f'quantile_cont(e,{p/100})', 6) + f' AS p{p:02d}' for p in (5, 25, 50, 75, 95))} FROM pq WHERE i%ceil(n/400.0)::BIGINT=0 OR i=n-1 GROUP BY symbol, i",
 )
 def _(spark, sf):
     return out(rs.path_bands(paths(spark, sf)), "symbol", "ord", p05=6, p25=6, p50=6, p75=6, p95=6)
@@ -470,7 +470,7 @@ def _(spark, sf):
     return out(shuffled(spark, sf).withColumn("class", rk.p_class(C("p_value"))), "symbol", "block", "class")
 
 
-@query("op_I8_downsample", B() + ", n AS (SELECT symbol, count(*) AS n FROM b GROUP BY symbol) SELECT symbol, ord, " + R("close") + " AS close FROM b JOIN n USING (symbol) WHERE ord%greatest(1,n//100)=0 AND ord/greatest(1,n//100)<100")
+@query("op_I8_downsample", B() + ", n AS (SELECT symbol, count(*) AS n FROM b GROUP BY symbol) SELECT symbol, ord, " + R("close") + " AS close FROM b JOIN n USING (symbol) WHERE ord%ceil(n/100.0)::BIGINT=0 OR ord=n-1")
 def _(spark, sf):
     b = bars(spark, sf)
     sizes = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))

@@ -28,8 +28,24 @@ def test_null_bootstrap_is_centred_and_repeatable(equity):
     assert abs(a["null_sharpe_mean"]) < 4 * (ppy / n) ** 0.5 / 200**0.5 * 3
     assert a["null_sharpe_std"] == pytest.approx((ppy / n) ** 0.5, rel=0.35)
     assert a["null_sharpe_p05"] < a["null_sharpe_mean"] < a["null_sharpe_p95"]
-    assert rs.bootstrap_null(equity, 200).first() == a
-    assert rs.bootstrap_null(equity.repartition(5), 200).first()["p_value_one_sided"] == a["p_value_one_sided"]
+    for again in (equity, equity.repartition(5)):
+        b = rs.bootstrap_null(again, 200).first()
+        assert b["p_value_one_sided"] == a["p_value_one_sided"]
+        assert b["symbol"] == a["symbol"] and list(b)[1:] == pytest.approx(list(a)[1:], rel=1e-9)
+
+
+def test_drawn_blocks_do_not_depend_on_partitions(equity):
+    x = rs.indexed_returns(equity)
+    draws = lambda d: sorted(map(tuple, rs.block_starts(rs.sample_sizes(d), 20, 20).collect()))
+    assert draws(x) == draws(x.repartition(7))
+
+
+@pytest.mark.parametrize("n,most", [(10, 400), (401, 400), (799, 400), (1000, 400)])
+def test_kept_bars_span_the_path(spark, n, most):
+    paths = spark.range(n).select(F.col("id").alias("ord"), F.lit(n).alias("n"))
+    kept = sorted(r["ord"] for r in rs.kept_bars(paths, most).collect())
+    assert kept[0] == 0 and kept[-1] == n - 1 and len(kept) <= most + 1
+    assert max(b - a for a, b in zip(kept, kept[1:])) <= -(-n // most)
 
 
 def test_block_paths_match_brute_force(equity):

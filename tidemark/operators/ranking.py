@@ -59,10 +59,9 @@ def excess_class(x: Column) -> Column:
 
 
 def every_kth(df: DataFrame, sizes: DataFrame, most: int, keys=("symbol",)) -> DataFrame:
-    """Every k-th row with k = max(1, n // most), at most `most` rows per series; `sizes` has keys and n."""
-    step = F.greatest(F.lit(1), F.floor(C("n") / most))
-    d = df.join(sizes, list(keys)).withColumn("_step", step)
-    return d.filter((C("ord") % C("_step") == 0) & (C("ord") / C("_step") < most)).drop("_step", "n")
+    """Every k-th row with k = ceil(n / most), and the last one; `sizes` has keys and n."""
+    d = df.join(sizes, list(keys)).withColumn("_step", F.ceil(C("n") / most))
+    return d.filter((C("ord") % C("_step") == 0) | (C("ord") == C("n") - 1)).drop("_step", "n")
 
 
 def comparison_table(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -187,19 +187,30 @@ def bootstrap_block(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed
     return _summary(sims, _observed(equity, keys), keys)
 
 
+def exact_moments(x: Column, square: Column, n: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation from sums of values and of squares, as aggregates."""
+    total = lambda c: F.sum(c.cast("decimal(28,18)")).cast("double")
+    mean = total(x) / n
+    return mean, F.sqrt(F.greatest(total(square) - n * mean * mean, F.lit(0.0)) / nz(n - 1))
+
+
 def bootstrap_null(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
     """Blocks of de-meaned returns: how often a world without drift reaches the Sharpe ratio.
 
-    Only means and deviations are needed, so the draws are aggregated without ordering.
+    Only means and deviations are needed, so each drawn block is reduced to its count and
+    sums inside its row. Sums add up as decimals, which no order of arrival can change.
     """
     keys = list(keys)
     x = indexed_returns(equity, keys)
-    mean = x.groupBy(*keys).agg(F.avg("x").alias("_mean"), (F.avg("x") / nz(F.stddev_samp("x"))).alias("_obs"))
+    m, s = exact_moments(C("x"), C("x") * C("x"), F.count("x"))
+    mean = x.groupBy(*keys).agg(m.alias("_mean"), (m / nz(s)).alias("_obs"))
     flat = x.join(mean, keys).withColumn("x", C("x") - C("_mean"))
     drawn = gather_blocks(block_starts(sample_sizes(x, keys), n_sims, block, seed, "null"), flat, block, keys)
-    rows = drawn.select(*keys, "sim", F.explode("xs").alias("x"))
+    add = lambda f: F.aggregate("xs", F.lit(0.0), lambda acc, v: acc + f(v))
+    blocks = drawn.select(*keys, "sim", F.size("xs").alias("_n"), add(lambda v: v).alias("_a"), add(lambda v: v * v).alias("_b"))
     ppy = inferred_ppy(equity, keys)
-    sims = rows.groupBy(*keys, "sim").agg(F.coalesce(F.avg("x") / nz(F.stddev_samp("x")), F.lit(0.0)).alias("_s"))
+    m, s = exact_moments(C("_a"), C("_b"), F.sum("_n"))
+    sims = blocks.groupBy(*keys, "sim").agg(F.coalesce(m / nz(s), F.lit(0.0)).alias("_s"))
     sims = sims.join(ppy, keys).join(mean, keys).select(
         *keys, (C("_s") * F.sqrt("ppy")).alias("s"), (F.coalesce("_obs", F.lit(0.0)) * F.sqrt("ppy")).alias("o")
     )
@@ -325,8 +336,9 @@ def simulated_paths(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed
 
 
 def kept_bars(paths: DataFrame, max_bars: int = 400) -> DataFrame:
-    step = F.greatest(F.lit(1), F.floor(C("n") / max_bars))
-    return paths.filter((C("ord") % step == 0) & (C("ord") / step < max_bars))
+    """Every k-th bar with k = ceil(n / max_bars), and the last one: the kept bars span the path."""
+    step = F.ceil(C("n") / max_bars)
+    return paths.filter((C("ord") % step == 0) | (C("ord") == C("n") - 1))
 
 
 def path_bands(paths: DataFrame, max_bars: int = 400, keys=SERIES) -> DataFrame:
