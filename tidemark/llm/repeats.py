@@ -41,7 +41,7 @@ from tidemark.llm.shared import short_batches, stage
 WINDOW = 50
 BLOCK = 25
 #: Packed entries of a group, about.
-GROUP = 2_000_000
+GROUP = 500_000
 
 _PACKED = pa.schema(
     [("p", pa.int32()), ("done", pa.bool_()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32())), ("h", pa.binary()), ("at", pa.binary())]
