@@ -104,3 +104,30 @@ def test_fold_is_chunk_free(make_bars, rule):
     whole, cut = frame(rule(bars)), frame(rule(bars, rows=37))
     assert (whole.weight != 0).any()
     assert (whole.weight == cut.weight).all()
+
+
+@pytest.mark.parametrize("build", ["chunks", "scan", "equity"])
+def test_windows_are_dealt_by_chunk_after_a_join_on_symbol(spark, walk, build):
+    """With broadcasts off the join deals rows by symbol; windows on (symbol, chunk) must deal them anew."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_symbol = walk.groupBy("symbol").agg(F.max("close").alias("top"))
+        joined = walk.join(per_symbol, "symbol").withColumn("r", F.col("close") / F.col("top") - 1)
+        made = {
+            "chunks": lambda: on_chunks(joined, lambda d, c: d.withColumn("x", c.lag("r")), back=1, rows=64),
+            "scan": lambda: scan(joined, {"x": ("sum", "r")}, rows=64),
+            "equity": lambda: equity_scan(joined, "r", rows=64),
+        }[build]()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(symbol" in plan and "_chunk" in plan
+        below = None
+        for line in plan.splitlines():
+            if "Window" in line and "_chunk" in line.split("], [", 1)[-1].split("]")[0]:
+                below = True
+            elif below and "Exchange hashpartitioning" in line:
+                assert "_chunk" in line, line
+                below = None
+        assert made.count() == walk.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -30,7 +30,7 @@ def with_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ord")
     (a span of time holds a bounded number of bars). Positions are the bucket's start,
     taken from running bucket counts, plus the row number inside the bucket.
     """
-    keys = list(keys)
+    keys, df = list(keys), split_series(df)
     tagged = df.withColumn("_bucket", bucket)
     counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -46,6 +46,20 @@ def with_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ord")
     )
 
 
+def split_series(df: DataFrame) -> DataFrame:
+    """Have every window and aggregate deal rows by all of its keys.
+
+    A join on the symbol leaves rows dealt by symbol, which Spark takes as good enough for
+    windows on (symbol, chunk): one symbol would then be one task. With the first setting they
+    get an exchange of their own. With the second, adaptive execution splits the rows of a hot
+    symbol in such a join even where an aggregate by symbol follows, at the cost of a shuffle.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+    conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return df
+
+
 def time_bucket(ts: str = "ts", days: int = 64) -> Column:
     """Whole number of `days`-long spans since 1970, for `with_ordinal`."""
     return F.floor(F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")) / days)
@@ -84,6 +98,7 @@ def on_chunks(
     One exchange on (keys, chunk) serves every window of `build`. Copied rows cost
     (back + ahead) / rows of the input.
     """
+    df = split_series(df)
     rows = max(rows, back, ahead, 1)
     home = F.floor(F.col("ord") / F.lit(rows))
     pos = F.pmod(F.col("ord"), F.lit(rows))
@@ -124,7 +139,7 @@ def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int = CHUNK_ROWS) -> Dat
     `specs` maps an output name to (op, column), op one of sum, prod, max, min and
     last (most recent non-null value).
     """
-    keys = list(keys)
+    keys, df = list(keys), split_series(df)
     base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
     for name, (_, col) in specs.items():
         base = base.withColumn(f"_x_{name}", F.col(col) if isinstance(col, str) else col)
@@ -157,7 +172,7 @@ def equity_scan(
     The chunk total is (growth, highest growth inside); peaks of earlier chunks are
     scaled by the growth before them, so no second scan over the rows is needed.
     """
-    keys = list(keys)
+    keys, df = list(keys), split_series(df)
     base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
     upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     local = base.withColumn("_g", F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
