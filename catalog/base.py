@@ -62,6 +62,7 @@ _KEY = "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 TICKS = {
     "supp": f"SELECT 'S'||l_suppkey AS symbol, l_shipdate AS ts, 500+l_extendedprice/l_quantity/1000 AS px, l_quantity AS qty, {_KEY} AS k FROM lineitem",
     "lines": f"SELECT l_returnflag AS symbol, l_shipdate AS ts, 500+l_extendedprice/l_quantity/1000 AS px, l_quantity AS qty, {_KEY} AS k FROM lineitem",
+    "ticks": f"SELECT l_returnflag AS symbol, l_shipdate + to_seconds((l_orderkey % 10800)*8 + l_linenumber) AS ts, 500+l_extendedprice/l_quantity/1000 AS px, l_quantity AS qty, {_KEY} AS k FROM lineitem",
     "orders": "SELECT o_orderpriority AS symbol, o_orderdate AS ts, 1000+o_totalprice/5000 AS px, 1.0::DOUBLE AS qty, o_orderkey AS k FROM orders",
     "events": "SELECT event_type AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, 100+value/20 AS px, 1.0::DOUBLE AS qty, (ts, event_id) AS k FROM events",
     "market": "SELECT 'ALL' AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, 100+value/20 AS px, 1.0::DOUBLE AS qty, (ts, event_id) AS k FROM events",

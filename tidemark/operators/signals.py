@@ -16,7 +16,7 @@ from tidemark.operators.calendar import rebalance_dates
 from tidemark.operators.contracts import mask_to_weight
 from tidemark.operators.sweep import with_grid
 from tidemark.plans.fold import keyed_fold
-from tidemark.plans.series import CHUNK_ROWS, SERIES, on_chunks, scan
+from tidemark.plans.series import SERIES, on_chunks, scan
 
 C = F.col
 
@@ -243,7 +243,7 @@ def _pullback_fold(cols: dict, state: list[float], stop_atr: float, trail_atr: f
 
 def trend_pullback(
     df: DataFrame, near: float = 0.005, adx_min: float = 25.0, stop_atr: float = 1.5, trail_atr: float = 2.0,
-    fast: int = 50, slow: int = 200, pull: int = 20, n: int = 14, keys=SERIES, rows: int = CHUNK_ROWS,
+    fast: int = 50, slow: int = 200, pull: int = 20, n: int = 14, keys=SERIES, rows: int | None = None,
 ) -> DataFrame:
     """Trend with pullback entries. `near` is 0.005 on four-hour and 0.003 on hourly bars."""
 
@@ -302,7 +302,7 @@ def _reversion_fold(cols: dict, state: list[float], z_in: float, z_stop: float,
 
 def vwap_refined(
     df: DataFrame, z_threshold: float = 1.5, z_stop: float = 3.0, vwap_window: int = 20, atr_window: int = 20,
-    max_hold: int = 10, keys=SERIES, rows: int = CHUNK_ROWS,
+    max_hold: int = 10, keys=SERIES, rows: int | None = None,
 ) -> DataFrame:
     """Fade moves away from a rolling VWAP, measured in ATR."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.plans.series import CHUNK_ROWS, SERIES
+from tidemark.plans.series import SERIES, chunk_rows
 
 C = F.col
 WIDE_GRID = 32
@@ -64,7 +64,7 @@ def _pair_weights(x, f, s, modes, filters, buffers) -> np.ndarray:
 
 
 def screen_variants(
-    df: DataFrame, fast, slow, modes, filters, buffers, cost: float = 0.0006, keys=SERIES, rows: int = CHUNK_ROWS
+    df: DataFrame, fast, slow, modes, filters, buffers, cost: float = 0.0006, keys=SERIES, rows: int | None = None
 ) -> DataFrame:
     """Screening metrics of every golden-cross variant of every series.
 
@@ -79,7 +79,7 @@ def screen_variants(
     pairs = [(a, b) for a in fast for b in slow if a < b]
     combos = [(m, x, b) for m in modes for x in filters for b in buffers]
     back = max(periods) + 3
-    rows = max(rows, back)
+    rows = max(chunk_rows(rows), back)
     home = F.floor(C("ord") / rows)
     copied = df.select(*keys, "ord", "close").withColumn(
         "_chunk", F.explode(F.array_compact(F.array(home, F.when(F.pmod(C("ord"), F.lit(rows)) >= rows - back, home + 1))))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.plans.series import CHUNK_ROWS, SERIES
+from tidemark.plans.series import SERIES, chunk_rows
 from tidemark.session import stage
 
 # fold(columns by name as lists, state as a list of floats) -> (weights, end state)
@@ -30,7 +30,7 @@ def keyed_fold(
     initial: list[float],
     keys=SERIES,
     name: str = "weight",
-    rows: int = CHUNK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add `name` computed by `fold` over each series in `ord` order."""
     keys = list(keys)
@@ -38,7 +38,7 @@ def keyed_fold(
     starts = [f"_s{i}" for i in range(k)]
     stops = [f"_z{i}" for i in range(k)]
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-    lean = df.select(*keys, "ord", F.floor(F.col("ord") / F.lit(rows)).alias("_chunk"), *inputs)
+    lean = df.select(*keys, "ord", F.floor(F.col("ord") / F.lit(chunk_rows(rows))).alias("_chunk"), *inputs)
 
     def run(pdf: pd.DataFrame):
         pdf = pdf.sort_values("ord")

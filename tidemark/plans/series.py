@@ -13,6 +13,9 @@ Here each series carries a dense 0-based position `ord` and is cut into chunks o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -21,6 +24,21 @@ from pyspark.sql import Window as W
 
 CHUNK_ROWS = 65_536
 SERIES = ("symbol",)
+_chunk: ContextVar[int] = ContextVar("chunk_rows", default=CHUNK_ROWS)
+
+
+@contextmanager
+def chunks_of(rows: int) -> Iterator[None]:
+    """Plans built inside cut series into chunks of so many rows."""
+    was = _chunk.set(rows)
+    try:
+        yield
+    finally:
+        _chunk.reset(was)
+
+
+def chunk_rows(rows: int | None = None) -> int:
+    return rows or _chunk.get()
 
 
 def with_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ord") -> DataFrame:
@@ -91,7 +109,7 @@ class Chunk:
 
 
 def on_chunks(
-    df: DataFrame, build, keys=SERIES, back: int = 0, ahead: int = 0, rows: int = CHUNK_ROWS
+    df: DataFrame, build, keys=SERIES, back: int = 0, ahead: int = 0, rows: int | None = None
 ) -> DataFrame:
     """Apply `build(df, chunk)`, whose frames reach `back` rows back and `ahead` rows on.
 
@@ -99,7 +117,7 @@ def on_chunks(
     (back + ahead) / rows of the input.
     """
     df = split_series(df)
-    rows = max(rows, back, ahead, 1)
+    rows = max(chunk_rows(rows), back, ahead, 1)
     home = F.floor(F.col("ord") / F.lit(rows))
     pos = F.pmod(F.col("ord"), F.lit(rows))
     targets = [F.col("_home")]
@@ -133,14 +151,14 @@ _MERGE = {
 }
 
 
-def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int = CHUNK_ROWS) -> DataFrame:
+def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int | None = None) -> DataFrame:
     """Running aggregates from the start of each series, current row included.
 
     `specs` maps an output name to (op, column), op one of sum, prod, max, min and
     last (most recent non-null value).
     """
     keys, df = list(keys), split_series(df)
-    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
+    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows))))
     for name, (_, col) in specs.items():
         base = base.withColumn(f"_x_{name}", F.col(col) if isinstance(col, str) else col)
     totals = base.groupBy(*keys, "_chunk").agg(
@@ -165,7 +183,7 @@ def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int = CHUNK_ROWS) -> Dat
 
 
 def equity_scan(
-    df: DataFrame, ret: str = "r", keys=SERIES, rows: int = CHUNK_ROWS, start: float = 1.0
+    df: DataFrame, ret: str = "r", keys=SERIES, rows: int | None = None, start: float = 1.0
 ) -> DataFrame:
     """Add `equity` = start * cumprod(1+r), its running `peak` and `drawdown` in one pass.
 
@@ -173,7 +191,7 @@ def equity_scan(
     scaled by the growth before them, so no second scan over the rows is needed.
     """
     keys, df = list(keys), split_series(df)
-    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
+    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows))))
     upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     local = base.withColumn("_g", F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
     totals = local.groupBy(*keys, "_chunk").agg(
@@ -215,13 +233,13 @@ def merge_segments(df: DataFrame, keys, order: str = "ord") -> DataFrame:
     )
 
 
-def summarize_segments(segments: DataFrame, keys, rows: int = CHUNK_ROWS) -> DataFrame:
+def summarize_segments(segments: DataFrame, keys, rows: int | None = None) -> DataFrame:
     """n, mean, sd, growth and max_drawdown per series from its segments, in `ord` order.
 
     Segments merge by chunks first, so no series has all its segments in one task.
     """
     keys = list(keys)
-    chunked = segments.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
+    chunked = segments.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows))))
     g = merge_segments(merge_segments(chunked, [*keys, "_chunk"]), keys, "_chunk")
     mean = F.col("s") / F.nullif("n", F.lit(0))
     var = (F.col("q") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0))
@@ -231,7 +249,7 @@ def summarize_segments(segments: DataFrame, keys, rows: int = CHUNK_ROWS) -> Dat
     )
 
 
-def path_summary(df: DataFrame, ret: str = "r", keys=SERIES, rows: int = CHUNK_ROWS) -> DataFrame:
+def path_summary(df: DataFrame, ret: str = "r", keys=SERIES, rows: int | None = None) -> DataFrame:
     """Summary of the compounded path of `ret`, without building the path.
 
     Nulls keep the level and do not count. Every row is a segment of its own.
@@ -264,6 +282,6 @@ def array_segment(values: Column) -> Column:
     return F.aggregate(values, zero, step)
 
 
-def cumulative_runs(df: DataFrame, starts_new: Column, keys=SERIES, name: str = "run", rows: int = CHUNK_ROWS) -> DataFrame:
+def cumulative_runs(df: DataFrame, starts_new: Column, keys=SERIES, name: str = "run", rows: int | None = None) -> DataFrame:
     """Number the stretches of a series; `starts_new` is true on the first row of each."""
     return scan(df, {name: ("sum", F.when(starts_new, 1).otherwise(0).cast("long"))}, keys, rows)

@@ -29,6 +29,16 @@ def ticks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             F.col("l_quantity").alias("qty"),
             F.struct(*LINE_ORDER).alias("k"),
         )
+    if kind == "ticks":
+        # Line items by the second, one long series per return flag.
+        second = F.expr("make_dt_interval(0, 0, 0, (l_orderkey % 10800) * 8 + l_linenumber)")
+        return read("lineitem").select(
+            F.col("l_returnflag").alias("symbol"),
+            (F.col("l_shipdate") + second).alias("ts"),
+            (500 + F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("px"),
+            F.col("l_quantity").alias("qty"),
+            F.struct(*LINE_ORDER).alias("k"),
+        )
     if kind == "orders":
         return read("orders").select(
             F.col("o_orderpriority").alias("symbol"),
