@@ -179,17 +179,17 @@ def _(spark, sf):
     return ing.universe_fingerprint(bars(spark, sf))
 
 
-@query("op_A13_read_equity_artifact", B("lines") + f" SELECT {ISO('ts')} AS ts, {R('100*close/first(close) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS equity FROM b WHERE symbol='N'")
+@query("op_A13_read_equity_artifact", B("lines") + f" SELECT symbol, {ISO('ts')} AS ts, {R('100*close/first(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS equity FROM b")
 def _(spark, sf):
-    """An equity curve written as CSV and read back by its column roles."""
+    """Equity curves written as CSV, a folder per symbol, and read back by their column roles."""
     path = f"{work_root(spark)}/{spark.sparkContext.applicationId}/equity-{uuid.uuid4().hex}"
-    b = bars(spark, sf, "lines").filter("symbol = 'N'")
-    first = b.filter("ord = 0").select(F.col("close").alias("c0"))
-    eq = b.join(first, F.lit(True)).select(
-        iso("ts").alias("Date"), F.col("symbol").alias("label"), (100 * F.col("close") / F.col("c0")).alias("equity")
+    b = bars(spark, sf, "lines")
+    first = b.filter("ord = 0").select("symbol", F.col("close").alias("c0"))
+    eq = b.join(first, "symbol").select(
+        "symbol", iso("ts").alias("Date"), F.col("symbol").alias("label"), (100 * F.col("close") / F.col("c0")).alias("equity")
     )
-    eq.write.option("header", True).csv(path)
-    return out(files.read_equity_artifact(spark, path), "ts", equity=4)
+    eq.write.partitionBy("symbol").option("header", True).csv(path)
+    return out(files.read_equity_artifact(spark, path, ["symbol"]), "symbol", "ts", equity=4)
 
 
 def run_folder(spark, sf):

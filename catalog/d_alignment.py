@@ -76,15 +76,15 @@ def _(spark, sf):
 @query(
     "op_D7_inner_join_returns",
     B("orders") + f""", r AS (SELECT symbol, ts, close/lag(close) OVER w-1 AS r FROM b {W_SQL})
- SELECT {ISO('x.ts')} AS ts, {R('x.r',6)} AS strat, {R('y.r',6)} AS bench FROM r x JOIN r y ON x.ts=y.ts AND x.symbol='1-URGENT' AND y.symbol='5-LOW' WHERE x.r IS NOT NULL AND y.r IS NOT NULL""",
+, mk AS (SELECT ts, avg(r) AS m FROM r WHERE r IS NOT NULL GROUP BY ts)
+ SELECT symbol, {ISO('r.ts')} AS ts, {R('r.r',6)} AS strat, {R('m',6)} AS bench FROM r JOIN mk ON r.ts=mk.ts WHERE r.r IS NOT NULL""",
 )
 def _(spark, sf):
     from tidemark.operators.returns import asset_returns
 
     r = asset_returns(bars(spark, sf, "orders"))
-    a = r.filter("symbol = '1-URGENT'").select("ts", F.col("r").alias("strat"))
-    b = r.filter("symbol = '5-LOW'").select("ts", F.col("r").alias("bench"))
-    return out(a.join(b, "ts").dropna(), "ts", strat=6, bench=6)
+    market = r.groupBy("ts").agg(F.avg("r").alias("bench"))
+    return out(r.select("symbol", "ts", F.col("r").alias("strat")).join(market, "ts").dropna(), "symbol", "ts", strat=6, bench=6)
 
 
 @query(

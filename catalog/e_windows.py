@@ -255,8 +255,8 @@ def _(spark, sf):
     return out(rol.rolling_cagr(bars(spark, sf, "lines"), "close"), "symbol", "ts", cagr_252=6, cagr_756=6)
 
 
-_PAIR = """, x AS (SELECT ts, max(CASE WHEN symbol='N' THEN r END) AS s, max(CASE WHEN symbol='R' THEN r END) AS bb FROM r GROUP BY ts),
- y AS (SELECT 'N' AS symbol, ts, s, bb, row_number() OVER (ORDER BY ts)-1 AS ord FROM x WHERE s IS NOT NULL AND bb IS NOT NULL)"""
+_PAIR = """, mk AS (SELECT ts, avg(r) AS bb FROM r WHERE r IS NOT NULL GROUP BY ts),
+ y AS (SELECT symbol, ts, r AS s, bb, row_number() OVER (PARTITION BY symbol ORDER BY ts)-1 AS ord FROM r JOIN mk USING (ts) WHERE r IS NOT NULL)"""
 
 
 @query(
@@ -267,9 +267,9 @@ def _(spark, sf):
     from tidemark.plans.series import time_bucket, with_ordinal
 
     r = ret.asset_returns(bars(spark, sf, "lines"))
-    s = r.filter("symbol = 'N'").select("symbol", "ts", C("r").alias("s"))
-    b = r.filter("symbol = 'R'").select("ts", C("r").alias("b"))
-    pair = with_ordinal(s.join(b, "ts").dropna(), ["symbol"], ["ts"], time_bucket())
+    market = r.groupBy("ts").agg(F.avg("r").alias("b"))
+    pair = r.select("symbol", "ts", C("r").alias("s")).join(market, "ts").dropna()
+    pair = with_ordinal(pair, ["symbol"], ["ts"], time_bucket())
     return out(rol.rolling_beta(pair), "symbol", "ts", beta=6)
 
 

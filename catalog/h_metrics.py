@@ -175,14 +175,14 @@ def _(spark, sf):
 
 @query(
     "op_H16_bull_bear",
-    B("lines") + RET + f""", x AS (SELECT s.r AS s, m.r AS m FROM r s JOIN r m ON s.ts=m.ts AND s.symbol='N' AND m.symbol='R' WHERE s.r IS NOT NULL AND m.r IS NOT NULL)
- SELECT CASE WHEN m>0 THEN 'Bull' ELSE 'Bear' END AS period, {R('avg(s)*252.0')} AS strat, {R('avg(m)*252.0')} AS bench, count(*) AS n_bars FROM x GROUP BY 1""",
+    B("lines") + RET + f""", mk AS (SELECT ts, avg(r) AS m FROM r WHERE r IS NOT NULL GROUP BY ts), x AS (SELECT symbol, r AS s, m FROM r JOIN mk USING (ts) WHERE r IS NOT NULL)
+ SELECT symbol, CASE WHEN m>0 THEN 'Bull' ELSE 'Bear' END AS period, {R('avg(s)*252.0')} AS strat, {R('avg(m)*252.0')} AS bench, count(*) AS n_bars FROM x GROUP BY 1, 2""",
 )
 def _(spark, sf):
     r = ret.asset_returns(bars(spark, sf, "lines"))
-    s = r.filter("symbol = 'N'").select("ts", C("r").alias("s"))
-    m = r.filter("symbol = 'R'").select("ts", C("r").alias("m"))
-    return out(met.bull_bear(s.join(m, "ts"), "s", "m"), "period", "n_bars", strat=4, bench=4)
+    market = r.groupBy("ts").agg(F.avg("r").alias("m"))
+    pairs = r.select("symbol", "ts", C("r").alias("s")).join(market, "ts")
+    return out(met.bull_bear(pairs, "s", "m", keys=["symbol"]), "symbol", "period", "n_bars", strat=4, bench=4)
 
 
 @query(

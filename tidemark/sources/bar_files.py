@@ -53,23 +53,30 @@ def scan_bars_csv(spark: SparkSession, paths, volume_required: bool = True) -> D
 
 
 def sink_bars(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("symbol").parquet(path)
+    """A folder per symbol. Rows are gathered by symbol first, and a hot symbol split by size, so
+    that the number of files follows the data, not tasks times symbols."""
+    df.hint("rebalance", "symbol").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
-def read_equity_artifact(spark: SparkSession, path: str) -> DataFrame:
-    """ts and equity: the first time-like column and the first other column that is numeric."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
+def read_equity_artifact(spark: SparkSession, path: str, keep=()) -> DataFrame:
+    """`keep`, ts and equity: the first time-like column and the first other column that is numeric.
+
+    Columns are read as text; the first row tells which one is numeric, so the files are read once.
+    """
+    raw = spark.read.option("header", True).csv(path)
     by_name = {c.lower(): c for c in raw.columns}
     when = next((by_name[n] for n in ("timestamp", "date", "index") if n in by_name), raw.columns[0])
-    numeric = [c for c, t in raw.dtypes if c != when and t in ("int", "bigint", "double", "float")]
+    others = [c for c in raw.columns if c != when and c not in keep]
+    first = raw.select([F.col(c).try_cast("double").alias(c) for c in others]).first() if others else None
+    numeric = [c for c in others if first and first[c] is not None]
     if not numeric:
         raise ValueError(f"no numeric column in {path}")
-    return raw.select(F.col(when).cast("timestamp_ntz").alias("ts"), F.col(numeric[0]).cast("double").alias("equity"))
+    return raw.select(*keep, F.col(when).cast("timestamp_ntz").alias("ts"), F.col(numeric[0]).try_cast("double").alias("equity"))
 
 
 def write_artifacts(df: DataFrame, path: str) -> None:
     """One table per artifact, partitioned by run; a rerun replaces only its own partitions."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    df.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def _run_of(path: Column) -> Column:
