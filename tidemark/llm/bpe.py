@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.shared import short_batches
 
 #: Words, and pieces, whose ids a worker remembers.
-KEPT = 500_000
+KEPT = 150_000
 _loaded: dict[tuple[str, str], "Coder"] = {}
 
 

@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.shared import short_batches
 
-SAMPLE = 4000
+SAMPLE = 3000
 FIT_CHARS = 20_000
 #: Bytes of the runs looked at; a word's edges are spaces.
 GRAMS = (5, 7, 9)
 #: A run sets toxic text apart if it is in this share of toxic documents and so many times the share of ordinary ones.
 LEAST_SHARE, LEAST_RATIO = 0.01, 8.0
 TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 64 << 10
+#: Counters that tell rare runs; 16 MB.
+SLOTS = 1 << 22
 #: Words of the sample that the ordinary dictionary is trained on.
 ORDINARY_WORDS = 400_000
 #: Bytes saved that count as a hit, from weak to strong.
@@ -52,7 +54,7 @@ THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 #: would be stored as they are, and zstandard starts no match in the last eight.
 CARRIER = bytes(range(128, 192))
 #: Windows whose advantage a worker remembers.
-KEPT = 400_000
+KEPT = 150_000
 
 
 #: Lower case for A-Z; other ASCII but digits and letters parts words.
@@ -158,14 +160,18 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     if not n[0] or not n[1]:
         return Model(b"", b"", (), n[1] / max(1, sum(n)))
     groups: tuple[dict, dict] = ({}, {})
+    one: dict[bytes, bytes] = {}
     for text, y in zip(texts, toxic):
-        words = set(windows(text))
+        words = {one.setdefault(w, w) for w in windows(text)}
         groups[y].setdefault(_likeness(words), set()).update(words)
     m = tuple(map(len, groups))
-    often, rarely = Counter(), Counter()
+    least = max(3, LEAST_SHARE * m[1])
+    slots, often, rarely = np.zeros(SLOTS, np.int32), Counter(), Counter()
+    for words in groups[1].values():  # most runs are rare: their slots tell so, and they are not counted one by one
+        slots[np.unique(np.array([crc32(g) % SLOTS for w in words for g in _grams(w)], np.int64))] += 1
     for words in groups[1].values():
-        often.update(set().union(*map(_grams, words)))
-    often = {g: a for g, a in often.items() if a >= max(3, LEAST_SHARE * m[1])}
+        often.update({g for w in words for g in _grams(w) if slots[crc32(g) % SLOTS] >= least})
+    often = {g: a for g, a in often.items() if a >= least}
     for words in groups[0].values():
         rarely.update(set().union(*map(_grams, words)).intersection(often))
     apart = {g for g, a in often.items() if (a + 0.5) / (m[1] + 1) >= LEAST_RATIO * (rarely[g] + 0.5) / (m[0] + 1)}
