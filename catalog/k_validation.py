@@ -20,7 +20,7 @@ from tidemark.plans.series import equity_scan, time_bucket, with_ordinal
 from tidemark.session import stage, staged_once
 
 C = F.col
-SIMS = 12
+SIMS = 100
 
 
 def U(stream: str, *coords: str) -> str:
@@ -159,10 +159,10 @@ STAT_SQL = f""", st0 AS (SELECT n, sim, unnest(generate_series(0,n-1)) AS i FROM
  st2 AS (SELECT n, sim, i, last_value(CASE WHEN fresh THEN s END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN fresh THEN i END IGNORE NULLS) OVER w AS t FROM st1 WINDOW w AS (PARTITION BY sim ORDER BY i)), sd AS MATERIALIZED (SELECT sim, i, (s+i-t)%n AS idx FROM st2)"""
 
 
-@query("op_K11_stationary_index", B("lines") + ", sz AS (SELECT count(DISTINCT ts) AS n FROM b)" + STAT_SQL.format(sims=10) + " SELECT sim, i, idx FROM sd")
+@query("op_K11_stationary_index", B("lines") + ", sz AS (SELECT count(DISTINCT ts) AS n FROM b)" + STAT_SQL.format(sims=50) + " SELECT sim, i, idx FROM sd")
 def _(spark, sf):
     n = bars(spark, sf, "lines").agg(F.count_distinct("ts").alias("n"))
-    return out(rs.stationary_draws(n, 10), "sim", "i", "idx")
+    return out(rs.stationary_draws(n, 50), "sim", "i", "idx")
 
 
 PAIRS = [(5, 20), (5, 50), (10, 50), (20, 60), (20, 100), (50, 200)]
@@ -171,7 +171,7 @@ _PAIR_SQL = " UNION ALL ".join(
 )
 EXC_SQL = B("lines") + f", cs AS MATERIALIZED ({_PAIR_SQL})" + g2_sql(0, "cs", name="er", part="combo") + """, ew AS (SELECT combo, avg(weight) AS aw FROM cs GROUP BY combo), ra AS (SELECT combo, ts, r, coalesce(close/lag(close) OVER (PARTITION BY combo ORDER BY ord)-1,0) AS ra FROM er),
  cm AS (SELECT ts FROM b GROUP BY ts HAVING count(DISTINCT symbol)=3), fx AS MATERIALIZED (SELECT combo, ts, r-aw*ra AS f, row_number() OVER (PARTITION BY combo ORDER BY ts)-1 AS idx FROM ra JOIN ew USING (combo) WHERE ts IN (SELECT ts FROM cm))"""
-RC_SQL = EXC_SQL + ", sz AS (SELECT count(*) AS n FROM cm)" + STAT_SQL.format(sims=30) + """, fm AS (SELECT combo, avg(f) AS m FROM fx GROUP BY combo), bs AS (SELECT sim, max(s) AS s FROM (SELECT sim, combo, sum(f-m) AS s FROM sd JOIN fx USING (idx) JOIN fm USING (combo) GROUP BY sim, combo) GROUP BY sim),
+RC_SQL = EXC_SQL + ", sz AS (SELECT count(*) AS n FROM cm)" + STAT_SQL.format(sims=200) + """, fm AS (SELECT combo, avg(f) AS m FROM fx GROUP BY combo), bs AS (SELECT sim, max(s) AS s FROM (SELECT sim, combo, sum(f-m) AS s FROM sd JOIN fx USING (idx) JOIN fm USING (combo) GROUP BY sim, combo) GROUP BY sim),
  vv AS (SELECT s/sqrt(n) AS v, (SELECT max(m) FROM fm)*sqrt(n) AS vo FROM bs, sz)"""
 
 
@@ -210,7 +210,7 @@ def excess_matrix(spark, sf):
  {R('any_value(vo)', 8)} AS v_obs, {R('avg(v)', 8)} AS v_mean, {R('stddev_samp(v)', 8)} AS v_std, {R('quantile_cont(v,0.5)', 8)} AS v_p50, {R('quantile_cont(v,0.95)', 8)} AS v_p95, {R('max(v)', 8)} AS v_max, {R('avg((v>=vo)::INT)', 6)} AS p_value FROM vv""",
 )
 def _(spark, sf):
-    d = rs.reality_check(excess_matrix(spark, sf), 30)
+    d = rs.reality_check(excess_matrix(spark, sf), 200)
     return out(d, "n", "k", "best_combo", "n_positive", "n_negative", v_obs=8, v_mean=8, v_std=8, v_p50=8, v_p95=8, v_max=8, p_value=6)
 
 
