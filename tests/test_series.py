@@ -106,6 +106,18 @@ def test_fold_is_chunk_free(make_bars, rule):
     assert (whole.weight == cut.weight).all()
 
 
+def test_value_positions_on_a_skewed_series_with_ties(spark):
+    """Lognormal values, half of them equal: exact ranks, and no bucket near the whole series."""
+    rng = np.random.default_rng(8)
+    v = np.exp(rng.normal(0, 3, 4000))
+    v[rng.random(4000) < 0.5] = 1.5
+    df = spark.createDataFrame([("A", i, float(x)) for i, x in enumerate(v)], "symbol string, t long, x double")
+    got = value_positions(df, ["symbol"], "x", ["t"], rows=256).toPandas().sort_values("t")
+    want = np.empty(4000, int)
+    want[np.lexsort((np.arange(4000), v))] = np.arange(4000)
+    assert (got.pos.to_numpy() == want).all()
+
+
 @pytest.mark.parametrize("build", ["chunks", "scan", "equity"])
 def test_windows_are_dealt_by_chunk_after_a_join_on_symbol(spark, walk, build):
     """With broadcasts off the join deals rows by symbol; windows on (symbol, chunk) must deal them anew."""

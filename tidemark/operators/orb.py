@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as ind
 from tidemark.operators.contracts import in_session
 from tidemark.plans.selection import prefix_ranks
-from tidemark.plans.series import SERIES, on_chunks
+from tidemark.plans.series import SERIES, on_chunks, scan
 
 C = F.col
 
@@ -25,11 +25,9 @@ def above_expanding_quantile(
     keys = list(keys)
     marked = df.withColumn("probe", C(current))
     ranks = prefix_ranks(marked, events & C(current).isNotNull(), keys, value)
-    everything = prefix_ranks(
-        marked.withColumn("probe", F.lit(float("inf"))), events & C(current).isNotNull(), keys, value
-    ).withColumnRenamed("rank", "n")
-    picked = df.filter(events & C(current).isNotNull())
-    joined = picked.join(ranks, [*keys, "ord"]).join(everything, [*keys, "ord"]).filter(C("n") >= at_least)
+    own = F.when(C(value).isNotNull(), 1).otherwise(0).cast("long")
+    picked = scan(df, {"n": ("sum", own)}, keys).withColumn("n", C("n") - own).filter(events & C(current).isNotNull())
+    joined = picked.join(ranks, [*keys, "ord"]).filter(C("n") >= at_least)
     return joined.withColumn("at_or_above", C("rank") > F.ceil(F.lit(q) * (C("n") - 1)))
 
 

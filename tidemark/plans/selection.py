@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.plans.series import scan, with_ordinal
+from tidemark.plans.series import chunk_rows, scan, with_ordinal
 
 ACCURACY = 10_000
 
@@ -81,18 +81,28 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float])
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == p, value_of)).alias(p) for p in names])
 
 
-def value_positions(df: DataFrame, keys, value: str, tie, name: str = "pos", spread: int = 4096) -> DataFrame:
+def value_positions(df: DataFrame, keys, value: str, tie, name: str = "pos", spread: int = 64, rows: int | None = None) -> DataFrame:
     """0-based rank of each row by (value, tie) within its group, without one task per group.
 
-    Rows are bucketed by their relative place between the group's smallest and largest
-    value, which grows with `value`, and numbered inside each bucket.
+    A mergeable sketch gives `spread` cut points per group, so the buckets between them hold
+    about equal numbers of rows however the values lie. A value frequent enough to fill a
+    bucket is itself a cut point and gets a bucket of its own, which is split further by the
+    last column of `tie`, a position or a time.
     """
     keys = list(keys)
-    ends = df.groupBy(*keys).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    tagged = df.join(ends, keys)
-    share = (F.col(value) - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0))
-    bucket = F.coalesce(F.floor(share * spread), F.lit(0))
-    return with_ordinal(tagged, keys, [value, *tie], bucket, name).drop("_mn", "_mx")
+    at = [i / spread for i in range(1, spread)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, ACCURACY).alias("_cuts"))
+    v, c = F.col(value), F.array_distinct("_cuts")
+    below = F.size(F.filter("_cuts", lambda x: x < v))
+    equal = F.array_contains("_cuts", v)
+    last, kind = F.col(tie[-1]), dict(df.dtypes)[tie[-1]]
+    day = F.datediff(last.cast("date"), F.lit("1970-01-01").cast("date"))
+    stretch = day if kind.startswith(("timestamp", "date")) else F.floor(last / F.lit(chunk_rows(rows)))
+    part = F.when(equal, stretch.cast("long")).otherwise(F.lit(0).cast("long"))
+    first = [F.when(equal, F.col(t)).alias(f"_{i}") for i, t in enumerate(tie[:-1])]
+    bucket = F.struct((2 * below + equal.cast("int")).alias("_b"), *first, part.alias("_p"))
+    tagged = df.join(cuts.withColumn("_cuts", c), keys)
+    return with_ordinal(tagged, keys, [value, *tie], bucket, name).drop("_cuts")
 
 
 def prefix_ranks(df: DataFrame, events, keys=("symbol",), value: str = "value", base: int = 4096) -> DataFrame:
