@@ -124,7 +124,7 @@ SESSION = dict(start="08:00", end="11:00", cutoff="15:30", bars_needed=6, zone=N
 
 
 def orb_cte(start: str = "08:00", end: str = "11:00", needed: int = 6) -> str:
-    return f""", t AS (SELECT *, strftime(ts,'%Y-%m-%d') AS day, strftime(ts,'%H:%M') AS hm FROM b), tr AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w)) AS tr FROM t {W_SQL}),
+    return f""", t AS (SELECT *, strftime((ts),'%Y-%m-%d') AS day, strftime((ts),'%H:%M') AS hm FROM b), tr AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w)) AS tr FROM t {W_SQL}),
  at0 AS (SELECT *, {SMA(14, 'tr')} AS atr FROM tr), x AS MATERIALIZED (SELECT *, lag(atr) OVER w AS cur FROM at0 {W_SQL}),
  rg AS (SELECT symbol, day, max(high) AS oh, min(low) AS ol FROM x WHERE hm>='{start}' AND hm<'{end}' GROUP BY symbol, day HAVING count(*)={needed}),
  po AS (SELECT x.*, oh, ol, row_number() OVER (PARTITION BY symbol, day ORDER BY ord) AS pos FROM x JOIN rg USING (symbol, day) WHERE hm>='{end}'),
@@ -169,6 +169,11 @@ def orb_rule(name, sql, **kw):
     query(name, head + sql + _NOTE_SELECT)(
         lambda spark, sf: out(orb.orb_signals(make(spark, sf), **times, **kw), "symbol", "ts", "weight")
     )
+    # The same rule on New York sessions of bars stamped in UTC, daylight saving included.
+    local = "((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
+    query(f"{name}_ny", B("events") + sql.replace("strftime((ts)", f"strftime({local}") + _NOTE_SELECT)(
+        lambda spark, sf: out(orb.orb_signals(bars(spark, sf, "events"), **{**times, "zone": "UTC"}, **kw), "symbol", "ts", "weight")
+    )
 
 
 orb_rule("op_F17_orb_breakout", ORB_CTE + ", sig AS (SELECT b.*, coalesce(br.dir,0) AS weight FROM b LEFT JOIN br USING (symbol, ts))", mode="breakout")
