@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     read = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
     known = read.where(F.col("_id").isNotNull() & F.col("_t").isNotNull())
     chars = known.agg(F.sum(F.length("_t"))).first()[0] or 0
-    groups = max(1, math.ceil(chars / 6 / GROUP))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fewer groups would leave tasks idle
+    groups = max(least, math.ceil(chars / 6 / GROUP))
     packed = known.mapInArrow(_anchors(groups, window, block), _PACKED_SQL)
     marks = stage(packed.groupBy("p").applyInArrow(_shared("<u4", _anchored), _MARKS_SQL), "marks")
 
@@ -274,7 +275,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     of_doc = marks.groupBy(F.col("_id").alias("_of")).agg(F.flatten(F.collect_list("at")).alias("marks"))
     some = known.withColumn("h", F.xxhash64("_id")).mapInArrow(_only(bit(marks), True), "_id bigint, _t string, h bigint")
     some = some.join(of_doc, F.col("_id") == F.col("_of")).select("_id", "_t", F.xxhash64("_t").alias("_key"), "marks")
-    packed = some.mapInArrow(_extend(max(1, math.ceil(n / GROUP)), window, block), _PACKED_SQL)
+    packed = some.mapInArrow(_extend(max(least, math.ceil(n / GROUP)), window, block), _PACKED_SQL)
     spans = stage(packed.groupBy("p").applyInArrow(_shared("<u8", _later), _MARKS_SQL), "repeats")
 
     bits = bit(spans)
