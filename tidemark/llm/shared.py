@@ -1,40 +1,16 @@
-"""Work folder, staged tables and Arrow batch sizes for this subpackage."""
+"""Staged tables, Arrow batch sizes and table reading for this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import stage  # noqa: F401
+
 #: Rows of one Arrow batch; texts may be long, so batches are short.
 BATCH_ROWS = 256
 
 
-def work_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset (tests), a temporary folder is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
-
-    The files outlive lost executors and carry true sizes, so that a later join is broadcast
-    only if the table is known to fit.
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/llm/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
