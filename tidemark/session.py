@@ -46,3 +46,11 @@ def staged_once(spark: SparkSession, key: tuple, make) -> DataFrame:
     if full not in _STAGED:
         _STAGED[full] = stage(make(), "-".join(str(k).strip("/").replace("/", "_") for k in key))
     return _STAGED[full]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has staged; frames that still read them can no longer be run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _STAGED if k[0] == spark.sparkContext.applicationId]:
+        del _STAGED[key]
