@@ -24,7 +24,6 @@ id count once, with the least vector. Fewer than k candidates: all are returned.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
