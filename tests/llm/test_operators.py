@@ -259,6 +259,26 @@ def test_repeats_match_brute_force(corpus, monkeypatch):
         assert sum(n > 0 for _, n, _ in want.values()) >= 9
 
 
+def test_settled_marks_of_chunks_that_begin_alike_are_spread(prose, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 40, raising=False)
+    same = prose(5, 60)
+    chunks = [pa.RecordBatch.from_pydict({"_id": [2 * i, 2 * i + 1], "_t": [same, same]}) for i in range(64)]
+    packed = pa.Table.from_batches(repeats._anchors(16, 50, 25)(iter(chunks)))
+    settled = packed.filter(packed["done"])
+    _, doc, _, at = repeats._unpack(settled, "<u4")
+    assert sorted(zip(doc.tolist(), at.tolist())) == [(d, p) for d in range(128) for p in range(36)]
+    count = {}
+    for p, runs in zip(settled["p"].to_pylist(), settled["runs"].to_pylist()):
+        count[p] = count.get(p, 0) + sum(runs)
+    assert len(count) == 16 and max(count.values()) <= 2 * 128 * 36 / 16
+
+    text, keys = pa.array([same, same]), pa.array([0, 0])
+    marks = pa.array([list(range(36))] * 2, pa.list_(pa.int32()))
+    marked = [pa.RecordBatch.from_arrays([pa.array([2 * i, 2 * i + 1]), text, keys, marks], names=["_id", "_t", "_key", "marks"]) for i in range(64)]
+    packed = pa.Table.from_batches(repeats._extend(16, 50, 25)(iter(marked)))
+    assert len(set(packed.filter(packed["done"])["p"].to_pylist())) == 16
+
+
 def test_repeats_of_odd_rows(spark, prose):
     t = prose(1, 70)
     rows = [(2, t), (2, t), (2, prose(3, 60)), (1, prose(3, 60)), (None, t), (7, "w " * 200), (8, "w " * 120)]

@@ -9,7 +9,7 @@ multiples of BLOCK; as 2 * BLOCK - 1 words always hold a whole block, so does ev
    position for a word, documents as runs. A hash that is a block somewhere and found in two
    documents marks its positions. Of a hash that several documents of one chunk share, the chunk
    marks all positions itself and sends one, so neither copies nor a passage on a third of all
-   pages fill a group.
+   pages fill a group. What a chunk has marked itself meets nothing and is dealt in turn.
 2. Extension. Windows that hold a marked run are looked up as a whole: by 64-bit hash, the
    least document id of each is found, again packed, dealt out and first settled inside a chunk.
    Windows of other documents are to be removed; neighbouring ones make up the maximal repeats.
@@ -26,11 +26,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ WINDOW = 50
 BLOCK = 25
 #: Packed entries of a group, about.
 GROUP = 500_000
+#: Settled marks that go to one group together.
+PIECE = 65_536
 
 _PACKED = pa.schema(
     [("p", pa.int32()), ("done", pa.bool_()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32())), ("h", pa.binary()), ("at", pa.binary())]
@@ -131,8 +135,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[W.Words, np.ndarr
             yield words, ids[row : row + len(n)], n, np.cumsum(n) - n, batch, row
 
 
+def _in_turn(groups: int):
+    """Groups for the settled marks of each chunk: piece by piece in turn, from a start of the task's own, never by content."""
+    task = TaskContext.get()
+    at = zlib.crc32(b"%d" % (task.partitionId() if task else 0))
+
+    def deal(n: int) -> np.ndarray:
+        nonlocal at
+        group = (at + np.arange(n) // PIECE) % groups
+        at += -(-n // PIECE)
+        return group
+
+    return deal
+
+
 def _anchors(groups: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = _in_turn(groups)
         for words, ids, n, first, _, _ in _read(batches):
             at, g = W.ngrams(words, block)
             long = n[words.doc[at]] >= window
@@ -155,8 +174,7 @@ def _anchors(groups: int, window: int, block: int):
             group = ((g >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
             low = (g & np.uint64(0xFFFFFFFE)) | block_here.astype(np.uint64)
             yield from filter(None, [_pack(group[send], False, doc[send], ids, none, pos[send], low[send], "<u4")])
-            where = np.full(int(mine.sum()), group[0])
-            yield from filter(None, [_pack(where, True, doc[mine], ids, none, pos[mine], low[mine], "<u4")])
+            yield from filter(None, [_pack(deal(int(mine.sum())), True, doc[mine], ids, none, pos[mine], low[mine], "<u4")])
 
     return run
 
@@ -196,6 +214,7 @@ def _extend(groups: int, window: int, block: int):
     """(_id, _t, _key, marks) to packed hashes of the windows that hold a marked run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = _in_turn(groups)
         for words, ids, n, first, batch, row in _read(batches):
             marks = batch.column(3).slice(row, len(n))
             keys = batch.column(2).slice(row, len(n)).to_numpy()
@@ -215,8 +234,7 @@ def _extend(groups: int, window: int, block: int):
             later = _later(g, ids[doc])
             group = (g % np.uint64(groups)).astype(np.int64)
             yield from filter(None, [_pack(group[~later], False, doc[~later], ids, keys, pos[~later], g[~later], "<u8")])
-            where = np.full(int(later.sum()), group[0])
-            yield from filter(None, [_pack(where, True, doc[later], ids, keys, pos[later], g[later], "<u8")])
+            yield from filter(None, [_pack(deal(int(later.sum())), True, doc[later], ids, keys, pos[later], g[later], "<u8")])
 
     return run
 
