@@ -97,6 +97,17 @@ def test_timeframe(spark, name, expected):
     assert spark.range(1).select(ing.timeframe_from_name(F.lit(name)).alias("t")).first()["t"] == expected
 
 
+def test_equity_column_is_chosen_over_all_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,label,equity,cash\n2020-01-01,7,,5.5\n2020-01-02,x,101.5,5.5\n")
+    (tmp_path / "b.csv").write_text("Date,label,equity,cash\n2020-01-03,8,,5.5\n2020-01-04,9,99.0,5.5\n")
+    got = [r["equity"] for r in files.read_equity_artifact(spark, str(tmp_path)).orderBy("ts").collect()]
+    assert got == [None, 101.5, None, 99.0]
+    with pytest.raises(ValueError, match="no numeric column"):
+        (tmp_path / "text").mkdir()
+        (tmp_path / "text" / "c.csv").write_text("Date,label,equity\n2020-01-01,7,\n2020-01-02,x,\n")
+        files.read_equity_artifact(spark, str(tmp_path / "text"))
+
+
 def test_run_catalog(spark, tmp_path):
     import json
     import os

@@ -61,14 +61,17 @@ def sink_bars(df: DataFrame, path: str) -> None:
 def read_equity_artifact(spark: SparkSession, path: str, keep=()) -> DataFrame:
     """`keep`, ts and equity: the first time-like column and the first other column that is numeric.
 
-    Columns are read as text; the first row tells which one is numeric, so the files are read once.
+    Columns are read as text. One that parses wherever it is not empty, and somewhere does, is
+    numeric; one aggregate over all rows tells, so a warm-up row or a label like "7" decides nothing.
     """
     raw = spark.read.option("header", True).csv(path)
     by_name = {c.lower(): c for c in raw.columns}
     when = next((by_name[n] for n in ("timestamp", "date", "index") if n in by_name), raw.columns[0])
     others = [c for c in raw.columns if c != when and c not in keep]
-    first = raw.select([F.col(c).try_cast("double").alias(c) for c in others]).first() if others else None
-    numeric = [c for c in others if first and first[c] is not None]
+    parses = lambda c: F.col(c).try_cast("double").isNotNull()
+    counts = [x for i, c in enumerate(others) for x in (F.count(c).alias(f"n{i}"), F.count_if(parses(c)).alias(f"p{i}"))]
+    seen = raw.agg(*counts).first() if others else None
+    numeric = [c for i, c in enumerate(others) if seen[f"p{i}"] and seen[f"p{i}"] == seen[f"n{i}"]]
     if not numeric:
         raise ValueError(f"no numeric column in {path}")
     return raw.select(*keep, F.col(when).cast("timestamp_ntz").alias("ts"), F.col(numeric[0]).try_cast("double").alias("equity"))
