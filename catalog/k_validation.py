@@ -470,6 +470,33 @@ def _(spark, sf):
     return out(shuffled(spark, sf).withColumn("class", rk.p_class(C("p_value"))), "symbol", "block", "class")
 
 
+# The same three over all block sizes, with enough shuffles to tell the classes apart. Ties of the SQL's sums differ in the last digits.
+ALL_BLOCKS, SHUFFLES = [2, 5, 20, 40, 80, 160], 100
+SIZES_SQL = SHUFFLE.replace(str(BLOCKS), str(ALL_BLOCKS)).replace("generate_series(0,5)", f"generate_series(0,{SHUFFLES - 1})")
+SIZES_P = ", bp AS (SELECT symbol, b, floor(avg((s>=o-1e-9)::INT)*1e6+0.5)/1e6 AS p FROM sf GROUP BY symbol, b)"
+
+
+def shuffled_sizes(spark, sf):
+    return staged_once(spark, (sf, "shuffle-sizes"), lambda: rs.signal_block_shuffle(gold(spark, sf), ALL_BLOCKS, SHUFFLES))
+
+
+@query("op_K8_signal_block_shuffle_sizes", SIZES_SQL + f" SELECT symbol, b AS block, {R('any_value(o)')} AS observed_sharpe, {R('avg(s)')} AS null_sharpe_mean, {R('stddev_pop(s)')} AS null_sharpe_std, {R('quantile_cont(s,0.05)')} AS null_sharpe_p05, {R('avg((s>=o-1e-9)::INT)', 6)} AS p_value FROM sf GROUP BY symbol, b")
+def _(spark, sf):
+    return out(shuffled_sizes(spark, sf), "symbol", "block", observed_sharpe=4, null_sharpe_mean=4, null_sharpe_std=4, null_sharpe_p05=4, p_value=6)
+
+
+@query("op_I5_best_block_sizes", SIZES_SQL + SIZES_P + " SELECT symbol, arg_min(b,(p,b)) AS block, min(p) AS p_value FROM bp GROUP BY symbol")
+def _(spark, sf):
+    s = shuffled_sizes(spark, sf).withColumn("p", rnd("p_value", 6))
+    return s.groupBy("symbol").agg(F.min_by("block", F.struct("p", "block")).cast("long").alias("block"), F.min("p").alias("p_value"))
+
+
+@query("op_I6_p_value_class_sizes", SIZES_SQL + SIZES_P + " SELECT symbol, b AS block, CASE WHEN p<0.01 THEN 'strong' WHEN p<0.05 THEN 'sig' WHEN p<0.1 THEN 'marginal' ELSE 'no' END AS class FROM bp")
+def _(spark, sf):
+    s = shuffled_sizes(spark, sf).withColumn("class", rk.p_class(rnd("p_value", 6)))
+    return out(s, "symbol", "block", "class")
+
+
 @query("op_I8_downsample", B() + ", n AS (SELECT symbol, count(*) AS n FROM b GROUP BY symbol) SELECT symbol, ord, " + R("close") + " AS close FROM b JOIN n USING (symbol) WHERE ord%ceil(n/100.0)::BIGINT=0 OR ord=n-1")
 def _(spark, sf):
     b = bars(spark, sf)

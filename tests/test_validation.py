@@ -60,6 +60,38 @@ def test_block_paths_match_brute_force(equity):
         assert out.loc[sim, "maxdd"] == pytest.approx((e / np.maximum.accumulate(e) - 1).min())
 
 
+@pytest.mark.parametrize("warmup", [0, 30])
+def test_packed_shuffle_matches_shuffled_rows(make_bars, warmup):
+    """Packed blocks must give what moving each weight gives; a shuffle that changes nothing ties."""
+    from tidemark.operators.pnl import next_open_returns
+
+    rng = np.random.default_rng(3)
+    closes = 100 * np.cumprod(1 + rng.normal(0.0003, 0.012, 103))
+    b = make_bars(closes.tolist(), opens=(closes * (1 + rng.normal(0, 0.003, 103))).tolist()).withColumn("weight", F.expr("CAST((ord * 7) % 5 AS DOUBLE) / 4"))
+    got = {r["block"]: r for r in rs.signal_block_shuffle(b, [2, 5, 40, 160], 12, warmup=warmup).collect()}
+    ppy = rs.inferred_ppy(b).first()["ppy"]
+    sharpe = lambda x: x.mean() / x.std(ddof=1) * ppy**0.5
+    own = sharpe(next_open_returns(b, warmup=warmup).filter("ord > 0").toPandas()["r"])
+    rows = rs.shuffled_weights(b.select("symbol", "ord", "weight"), [2, 5, 40, 160], 12).join(b.select("symbol", "ord", "open", "close"), ["symbol", "ord"])
+    rows = next_open_returns(rows, warmup=warmup, keys=["symbol", "block", "sim"]).filter("ord > 0").toPandas()
+    for block, g in rows.groupby("block"):
+        s = g.groupby("sim")["r"].apply(sharpe)
+        assert got[block]["observed_sharpe"] == pytest.approx(own)
+        assert got[block]["null_sharpe_mean"] == pytest.approx(s.mean())
+        assert got[block]["p_value"] == pytest.approx((s >= own - 1e-9).mean())
+    assert set(got) == {2, 5, 40, 160} and got[160]["p_value"] == 1.0
+
+
+def test_whole_shuffle_can_tell_every_class():
+    """One shuffle of the registered sweep must weigh at most a hundredth, over all sizes of the reference."""
+    from catalog import ORACLE
+    from catalog import k_validation as k
+
+    assert k.ALL_BLOCKS == [2, 5, 20, 40, 80, 160] and k.SHUFFLES >= 100
+    for name in ("op_K8_signal_block_shuffle_sizes", "op_I5_best_block_sizes", "op_I6_p_value_class_sizes"):
+        assert "generate_series(0,99)" in ORACLE[name] and "[2, 5, 20, 40, 80, 160]" in ORACLE[name]
+
+
 def test_stationary_blocks_wrap_and_have_the_mean_length(spark):
     n = spark.createDataFrame([(2000,)], "n long")
     d = rs.stationary_draws(n, 20).toPandas().sort_values(["sim", "i"])

@@ -17,7 +17,7 @@ from tidemark.functions.rng import uniform
 from tidemark.operators.metrics import nz, span_days
 from tidemark.operators.pnl import next_open_returns
 from tidemark.operators.quality import micros
-from tidemark.plans.series import SERIES, array_segment, equity_scan, path_summary, scan, summarize_segments, with_ordinal
+from tidemark.plans.series import SERIES, array_segment, equity_scan, on_chunks, path_summary, scan, split_series, summarize_segments, with_ordinal
 from tidemark.session import stage
 
 C = F.col
@@ -295,22 +295,70 @@ def shuffled_weights(df: DataFrame, blocks: list[int], n_sims: int, seed: int =
     return moved.unionByName(tail)
 
 
+def _placed_blocks(sizes: DataFrame, n_sims: int, seed: int, keys) -> DataFrame:
+    """keys, block, sim, src, dst, prev: where each block of a series goes and which block stands before it.
+
+    The tail keeps its place. Simulation -1 leaves all blocks where they are. Blocks are
+    ordered in buckets of about SPAN, so no task sorts a whole series.
+    """
+    by = [*keys, "block", "sim"]
+    d = sizes.withColumns({"_k": F.floor(C("n") / C("block")), "_m": F.ceil(C("n") / C("block"))})
+    d = d.withColumn("sim", F.explode(F.sequence(F.lit(-1), F.lit(n_sims - 1))))
+    d = numbered(d, "_m", "src")
+    d = d.withColumn("_u", F.when(C("src") >= C("_k"), 1.0).when(C("sim") < 0, C("src") / C("_m")).otherwise(uniform(seed, "shuffle", "block", "sim", "src")))
+    d = d.select(*by, "src", "_u", F.floor(C("_u") * F.ceil(C("_m") / SPAN)).alias("_bucket"))
+    before = W.partitionBy(*by).orderBy("_bucket")
+    starts = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max_by("src", F.struct("_u", "src")).alias("_last"))
+    starts = starts.select(
+        *by, "_bucket", F.coalesce(F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lag("_last").over(before).alias("_before")
+    )
+    inside = W.partitionBy(*by, "_bucket").orderBy("_u", "src")
+    d = d.withColumns({"_rn": F.row_number().over(inside), "_p": F.lag("src").over(inside)}).join(starts.hint("merge"), [*by, "_bucket"])
+    return d.select(*by, "src", (C("_start") + C("_rn") - 1).alias("dst"), F.coalesce("_p", "_before").alias("prev"))
+
+
 def signal_block_shuffle(
     df: DataFrame, blocks: list[int], n_sims: int = 500, commission_bps: float = 1.0, slippage_bps: float = 5.0,
     seed: int = 42, warmup: int = 0, keys=SERIES,
 ) -> DataFrame:
-    """Sharpe ratio of the rule against the same weights with their blocks shuffled."""
+    """Sharpe ratio of the rule against the same weights with their blocks shuffled.
+
+    The weights of a block and the price moves they meet travel as one row each; a placed block is
+    reduced to its count and sums in its row, as in the null test. The rule itself is one more
+    placement, so that a shuffle that changes nothing ties with it exactly. Estimates of size do
+    not count unfolded rows, and a broadcast would not fit the driver, hence the merge joins.
+    """
     keys = list(keys)
-    ppy = inferred_ppy(df, keys)
-    sharpe = lambda g: F.coalesce(F.avg(g) / nz(F.stddev_samp(g)), F.lit(0.0))
-    own = next_open_returns(df, commission_bps, slippage_bps, warmup, keys).filter("ord > 0")
-    own = own.groupBy(*keys).agg(sharpe("r").alias("_o"))
-    prices = df.select(*keys, "ord", "open", "close")
-    sims = shuffled_weights(df.select(*keys, "ord", "weight"), blocks, n_sims, seed, keys).join(prices, [*keys, "ord"])
-    sims = next_open_returns(sims, commission_bps, slippage_bps, warmup, [*keys, "block", "sim"]).filter("ord > 0")
-    sims = sims.groupBy(*keys, "block", "sim").agg(sharpe("r").alias("_s")).join(own, keys).join(ppy, keys)
-    sims = sims.select(*keys, "block", (C("_s") * F.sqrt("ppy")).alias("s"), (C("_o") * F.sqrt("ppy")).alias("o"))
-    return sims.groupBy(*keys, "block").agg(
+    df = split_series(df)
+    rate = (commission_bps + slippage_bps) / 1e4
+    each = lambda d: d.withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks])))
+    pack = lambda d, at, row: each(d).groupBy(*keys, "block", F.floor(at / C("block")).alias("_at")).agg(F.sort_array(F.collect_list(row)).alias("_v"))
+    weights = pack(df, C("ord"), F.struct("ord", C("weight").alias("w"))).select(*keys, "block", "_at", F.transform("_v", lambda v: v["w"]).alias("ws"))
+    moves = on_chunks(df.select(*keys, "ord", "open", "close"), lambda d, c: d.withColumn("_pc", c.lag("close")), keys, back=1).filter("ord > 0")
+    moves = pack(moves, C("ord") - 1, F.struct("ord", (C("open") / C("_pc") - 1).alias("gap"), (C("close") / C("open") - 1).alias("day")))
+    sizes = each(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    d = _placed_blocks(sizes, n_sims, seed, keys)
+    last = weights.select(*keys, "block", C("_at").alias("prev"), F.element_at("ws", -1).alias("_last"))
+    d = d.join(last.hint("merge"), [*keys, "block", "prev"], "left").withColumn("_last", F.when(C("prev").isNull(), 0.0).otherwise(C("_last")))
+    d = d.select(*keys, "block", "sim", "dst", "_last", C("src").alias("_at")).join(weights.hint("merge"), [*keys, "block", "_at"])
+    d = d.select(*keys, "block", "sim", "ws", "_last", C("dst").alias("_at")).join(moves.hint("merge"), [*keys, "block", "_at"], "left")
+
+    def at(w: Column, v: Column, lag: int) -> Column:
+        return F.when(v["ord"] - lag >= warmup, w).otherwise(0.0) if warmup else w
+
+    def r(v: Column, j: Column) -> Column:
+        new = at(F.get("ws", j), v, 1)
+        old = at(F.when(j > 0, F.get("ws", j - 1)).otherwise(C("_last")), v, 2)
+        return F.coalesce((1 + old * v["gap"]) * (1 + new * v["day"] - F.abs(new - old) * rate) - 1, F.lit(0.0))
+
+    d = d.select(*keys, "block", "sim", F.transform(F.coalesce("_v", F.array()), r).alias("rs"))
+    add = lambda f: F.aggregate("rs", F.lit(0.0), lambda acc, v: acc + f(v))
+    d = d.select(*keys, "block", "sim", F.size("rs").alias("_n"), add(lambda v: v).alias("_a"), add(lambda v: v * v).alias("_b"))
+    m, s = exact_moments(C("_a"), C("_b"), nz(F.sum("_n")))
+    sims = d.groupBy(*keys, "block", "sim").agg(F.coalesce(m / nz(s), F.lit(0.0)).alias("_s")).join(inferred_ppy(df, keys).hint("merge"), keys)
+    sims = sims.select(*keys, "block", "sim", (C("_s") * F.sqrt("ppy")).alias("s"))
+    own = F.max(F.when(C("sim") < 0, C("s"))).over(W.partitionBy(*keys, "block"))  # over n_sims + 1 rows
+    return sims.withColumn("o", own).filter("sim >= 0").groupBy(*keys, "block").agg(
         F.first("o").alias("observed_sharpe"),
         F.avg("s").alias("null_sharpe_mean"),
         F.stddev_pop("s").alias("null_sharpe_std"),
