@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, line_dedup, ngram_join, ordinal, repeats, secrets, topk, toxicity, url_rules
+from tidemark.llm import bpe, collision, decontaminate, filter_audit, line_dedup, ngram_join, ordinal, repeats, secrets, topk, toxicity, turn_repair, url_rules
 from tidemark.llm.shared import table
 
 QUERIES: dict = {}
@@ -98,3 +98,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_block_anchor_dedup", repeats.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), texts=False)
+
+
+@query("op11_collision_near_dedup", collision.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op12_filter_audit", filter_audit.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
