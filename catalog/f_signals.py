@@ -189,9 +189,6 @@ orb_rule(
     mode="atr_regime",
 )
 
-_GRID = dict(fast=[5, 20, 50, 100], slow=[50, 100, 200, 400])
-
-
 def variant_sql(bars_cte: str = "b", fast=(5, 20, 50, 100), slow=(50, 100, 200, 400)) -> str:
     ps = sorted({*fast, *slow})
     smas = ", ".join(f"{SMA(n)} AS m{n}" for n in ps)
@@ -206,15 +203,14 @@ def variant_sql(bars_cte: str = "b", fast=(5, 20, 50, 100), slow=(50, 100, 200,
 
 @query(
     "op_F26_golden_cross_variants",
-    B("lines") + variant_sql() + " SELECT symbol, fast, slow, mode, filter, buffer, count(*) FILTER (weight>0) AS longs, count(*) FILTER (weight<0) AS shorts, coalesce(min(ord) FILTER (weight<>0),-1) AS first_ord FROM vw GROUP BY ALL",
+    B("lines") + variant_sql(fast=tuple(sig.FAST_PERIODS), slow=tuple(sig.SLOW_PERIODS))
+    + " SELECT symbol, fast, slow, mode, filter, buffer, count(*) FILTER (weight>0) AS longs, count(*) FILTER (weight<0) AS shorts, coalesce(min(ord) FILTER (weight<>0),-1) AS first_ord FROM vw GROUP BY ALL",
 )
 def _(spark, sf):
-    v = sig.golden_cross_variants(bars(spark, sf, "lines"), sig.variant_grid(**_GRID))
-    g = v.groupBy("symbol", "fast", "slow", "mode", "filter", "buffer").agg(
-        F.count_if(C("weight") > 0).alias("longs"),
-        F.count_if(C("weight") < 0).alias("shorts"),
-        F.coalesce(F.min(F.when(C("weight") != 0, C("ord"))), F.lit(-1)).alias("first_ord"),
-    )
+    """All 2 960 variants; the sweep counts their weights chunk by chunk."""
+    from catalog.k_validation import full
+
+    g = full(spark, sf).withColumn("first_ord", F.coalesce("first_ord", F.lit(-1)))
     return out(g, "symbol", "fast", "slow", "mode", "filter", "buffer", "longs", "shorts", "first_ord")
 
 

@@ -355,18 +355,20 @@ def _(spark, sf):
     return rk.top_per_group(s, ["symbol"], order, 10).select(*_V.split(", "), "rank")
 
 
-SMALL = dict(fast=[20, 50], slow=[100, 200])
-FULL_SQL = B("lines") + variant_sql(fast=(20, 50), slow=(100, 200)) + f", vk AS MATERIALIZED (SELECT *, concat_ws('/',{_V}) AS key FROM vw)" + g2_sql(0, "vk", name="fr", part="key") + f""", f1 AS (SELECT *, product(1+r) OVER (PARTITION BY key ORDER BY ord) AS equity FROM fr), f2 AS (SELECT *, equity/max(equity) OVER (PARTITION BY key ORDER BY ord)-1 AS dd FROM f1),
+FULL_SQL = B("lines") + variant_sql(fast=tuple(sig.FAST_PERIODS), slow=tuple(sig.SLOW_PERIODS)) + f""", f0 AS (SELECT {_V}, ts, ord, open, weight, coalesce(lag(weight) OVER k,0) AS position, coalesce(lag(weight,2) OVER k,0) AS old, lag(close) OVER k AS pc, close, lead(ts) OVER k AS fts, lead(open) OVER k AS no FROM vw WINDOW k AS (PARTITION BY {_V} ORDER BY ord)),
+ fr AS MATERIALIZED (SELECT {_V}, ts, ord, weight-position AS dw, fts, no, coalesce((1+old*(open/pc-1))*(1+position*(close/open-1)-abs(position-old)*0.0006)-1,0) AS r FROM f0),
+ f1 AS (SELECT {_V}, ts, ord, r, product(1+r) OVER (PARTITION BY {_V} ORDER BY ord) AS equity FROM fr), f2 AS (SELECT *, equity/max(equity) OVER (PARTITION BY {_V} ORDER BY ord)-1 AS dd FROM f1),
  f3 AS (SELECT {_V}, avg(r) FILTER (ord>0)/nullif(stddev_samp(r) FILTER (ord>0),0)*sqrt(252.0) AS sharpe, {CAGR} AS cagr, min(dd) AS mdd FROM f2 GROUP BY {_V}),
- g0 AS (SELECT {_V}, ts, lead(ts) OVER k AS fts, lead(open) OVER k AS no, weight-coalesce(lag(weight) OVER k,0) AS dw FROM vk WINDOW k AS (PARTITION BY key ORDER BY ord)),
- fl AS MATERIALIZED (SELECT concat_ws('/',{_V}) AS symbol, {_V.replace('symbol, ', 'symbol AS sym, ')}, fts AS ts, dw AS qty, no*(CASE WHEN dw>0 THEN 1.0005 ELSE 0.9995 END) AS price, abs(dw)*no*(CASE WHEN dw>0 THEN 1.0005 ELSE 0.9995 END)*1e-4 AS commission, row_number() OVER (PARTITION BY {_V} ORDER BY fts)-1 AS ord FROM g0 WHERE dw<>0 AND fts IS NOT NULL)""" + TRADE_SQL + f""",
+ fl AS MATERIALIZED (SELECT concat_ws('/',{_V}) AS symbol, fts AS ts, dw AS qty, no*(CASE WHEN dw>0 THEN 1.0005 ELSE 0.9995 END) AS price, abs(dw)*no*(CASE WHEN dw>0 THEN 1.0005 ELSE 0.9995 END)*1e-4 AS commission, row_number() OVER (PARTITION BY {_V} ORDER BY fts)-1 AS ord FROM fr WHERE dw<>0 AND fts IS NOT NULL)""" + TRADE_SQL + f""",
  tm AS (SELECT symbol AS key, count(*) AS num_trades, CASE WHEN coalesce(sum(pnl) FILTER (pnl<=0),0)<>0 THEN coalesce(sum(pnl) FILTER (pnl>0),0)/abs(sum(pnl) FILTER (pnl<=0)) WHEN sum(pnl) FILTER (pnl>0)>0 THEN 1e9 ELSE 0 END AS pf, count(*) FILTER (pnl>0)/count(*) AS wr FROM tr GROUP BY symbol),
  f4 AS MATERIALIZED (SELECT {_V}, {R('sharpe', 6)} AS sharpe, {R('cagr', 6)} AS cagr, {R('CASE WHEN mdd<0 THEN cagr/abs(mdd) END', 6)} AS calmar, coalesce(num_trades,0) AS num_trades, {R('pf', 6)} AS profit_factor, {R('wr', 6)} AS win_rate FROM f3 LEFT JOIN tm ON tm.key=concat_ws('/',{_V}))"""
 
 
 def full(spark, sf):
+    """All 2 960 variants per series, net of costs at the next open."""
+
     def make():
-        m = sw.full_sweep(bars(spark, sf, "lines"), sig.variant_grid(**SMALL))
+        m = sw.sweep_variants(bars(spark, sf, "lines"), sig.FAST_PERIODS, sig.SLOW_PERIODS, sig.MODES, sig.FILTERS, sig.BUFFERS)
         m = m.withColumn("profit_factor", F.when(C("profit_factor") > 1e9, 1e9).otherwise(C("profit_factor")))
         return m.withColumns({c: rnd(c, 6) for c in ("sharpe", "cagr", "calmar", "profit_factor", "win_rate")})
 

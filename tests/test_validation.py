@@ -186,3 +186,21 @@ def test_align_keeps_leading_gap_null(make_bars):
     g = cal.align_ffill(a.union(late)).filter("symbol = 'BBB'").orderBy("ts").collect()
     assert [r["close"] for r in g] == [None, None, 10.0, 11.0]
     assert [r["volume"] for r in g] == [0.0, 0.0, 1000.0, 1000.0]
+
+
+@pytest.mark.parametrize("rows", [520, 100_000])
+def test_trade_fold_equals_row_model(make_bars, rows):
+    """Chunks that trades cross must give what one row per bar and variant gives."""
+    rng = np.random.default_rng(8)
+    closes = 100 * np.cumprod(1 + rng.normal(0.0002, 0.01, 1300))
+    b = make_bars(closes.tolist(), opens=(closes * (1 + rng.normal(0, 0.003, 1300))).tolist())
+    axes = dict(fast=[5, 20], slow=[100], modes=["long_only", "long_short"], filters=["none", "combined"], buffers=[0.0, 0.001])
+    vk = ["fast", "slow", "mode", "filter", "buffer"]
+    got = {tuple(r[k] for k in vk): r for r in sw.sweep_variants(b, **axes, rows=rows).collect()}
+    want = sw.full_sweep(b, sig.variant_grid(**axes)).collect()
+    assert len(got) == len(want) == 16
+    for w in want:
+        g = got[tuple(w[k] for k in vk)]
+        for c in ("total_return", "cagr", "sharpe", "calmar", "max_drawdown", "num_trades", "win_rate", "profit_factor", "expectancy"):
+            assert g[c] == pytest.approx(w[c], rel=1e-9, nan_ok=True), c
+    assert sum(w["num_trades"] for w in want) > 100

@@ -145,16 +145,8 @@ def screen_variants(
             "sharpe": F.when(sd > 1e-12, mean / sd * F.sqrt(ppy)),
         }
     ).withColumn("calmar", F.when(C("max_drawdown") < 0, C("cagr") / F.abs("max_drawdown")))
-    names = df.sparkSession.createDataFrame(
-        [
-            (p * len(combos) + c, a, b, *combo)
-            for p, (a, b) in enumerate(pairs)
-            for c, combo in enumerate(combos)
-        ],
-        "vid long, fast long, slow long, mode string, filter string, buffer double",
-    )
     cols = ["approx_trades", "total_return", "cagr", "sharpe", "calmar", "max_drawdown"]
-    return m.select(*keys, "vid", *cols).join(names, "vid")
+    return m.select(*keys, "vid", *cols).join(_variant_names(df, pairs, combos), "vid")
 
 
 def rank_screen(screen: DataFrame, least_trades: int = 10, top: int = 10, keys=SERIES) -> DataFrame:
@@ -194,6 +186,134 @@ def full_sweep(df: DataFrame, grid: list[dict], commission_bps: float = 1.0, sli
     return core.join(trades, vk, "left").fillna(none)
 
 
+def sweep_variants(
+    df: DataFrame, fast, slow, modes, filters, buffers, commission_bps: float = 1.0, slippage_bps: float = 5.0, keys=SERIES,
+    ppy: float = 252.0, rows: int | None = None,
+) -> DataFrame:
+    """As `full_sweep` for every golden-cross variant of every series, without a row per bar and variant.
+
+    A chunk is folded into one row per variant: the segment of its next-open path, and its trades.
+    Weights do not depend on the path, so a chunk knows the position it starts with; of the trade
+    carried in it only lacks the entry price. It returns sums over the trades it closes itself, the
+    exit price of the one carried in and the entry price of the one carried out; consecutive rows
+    then complete each other.
+    """
+    from tidemark.operators.metrics import nz, span_days
+
+    keys = list(keys)
+    periods = sorted({*fast, *slow})
+    pairs = [(a, b) for a in fast for b in slow if a < b]
+    combos = [(m, x, b) for m in modes for x in filters for b in buffers]
+    back = max(periods) + 3
+    rows = max(chunk_rows(rows), back)
+    rate, slip, fee = (commission_bps + slippage_bps) / 1e4, slippage_bps / 1e4, commission_bps / 1e4
+    home, pos = F.floor(C("ord") / rows), F.pmod(C("ord"), F.lit(rows))
+    copies = F.array_compact(F.array(home, F.when(pos >= rows - back, home + 1), F.when((pos == 0) & (home > 0), home - 1)))
+    copied = df.select(*keys, "ord", "open", "close").withColumn("_chunk", F.explode(copies))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        x, op, o = (pdf[c].to_numpy() for c in ("close", "open", "ord"))
+        chunk = int(pdf["_chunk"].iloc[0])
+        own = o // rows == chunk
+        if not own.any():
+            return pd.DataFrame(columns=out_cols)
+        gap, after = np.zeros(len(x)), np.full(len(x), np.nan)
+        gap[1:], after[:-1] = op[1:] / x[:-1] - 1, op[1:]
+        day, live = x / op - 1, o[own] > 0
+        fills = own & ~np.isnan(after)
+        sma, parts = _averages(x, periods), []
+        late = lambda w: np.vstack([np.zeros((1, w.shape[1])), w[:-1]])
+        for p, (a, b) in enumerate(pairs):
+            w = _pair_weights(x, sma[a], sma[b], modes, filters, buffers)
+            w[o < b] = 0.0
+            m = w.shape[1]
+            prev = late(w)
+            old = late(prev)
+            net = ((1 + old * gap[:, None]) * (1 + prev * day[:, None] - np.abs(prev - old) * rate) - 1)[own]
+            net[~live] = 0.0
+            g = np.cumprod(1 + net, axis=0)
+            top = np.maximum.accumulate(g, axis=0)
+            v, t = np.nonzero(((w != prev) & fills[:, None]).T)
+            price = after[t] * (1 + slip * np.sign(w[t, v] - prev[t, v]))
+            side, same = prev[t, v], np.append(False, v[1:] == v[:-1])
+            inside, carried = (side != 0) & same, (side != 0) & ~same
+            pnl = np.zeros(len(v))
+            pnl[1:] = side[1:] * (price[1:] - price[:-1]) - fee * (price[1:] + price[:-1])
+            pnl = np.where(inside, pnl, 0.0)
+            exit_price, exit_side, entry = np.full(m, np.nan), np.zeros(m), np.full(m, np.nan)
+            exit_price[v[carried]], exit_side[v[carried]] = price[carried], side[carried]
+            last = np.flatnonzero(np.append(v[1:] != v[:-1], True)) if len(v) else np.zeros(0, int)
+            entry[v[last]] = np.where(w[t[last], v[last]] != 0, price[last], np.nan)
+            held = w[own] != 0
+            add = lambda values: np.bincount(v, values, m)
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "vid": p * len(combos) + np.arange(len(combos)),
+                        "n": live.sum(), "s1": net.sum(axis=0), "s2": (net**2).sum(axis=0), "growth": g[-1],
+                        "low": g.min(axis=0), "high": top[-1], "dd": (g / top - 1).min(axis=0),
+                        "trades": add(inside).astype(int), "wins": add(pnl > 0).astype(int), "won": add(np.maximum(pnl, 0)), "lost": add(np.minimum(pnl, 0)),
+                        "exit": exit_price, "side": exit_side, "entry": entry,
+                        "longs": (w[own] > 0).sum(axis=0), "shorts": (w[own] < 0).sum(axis=0),
+                        "first_ord": np.where(held.any(axis=0), o[own][held.argmax(axis=0)], -1),
+                    }
+                )
+            )
+        res = pd.concat(parts, ignore_index=True)
+        for k in keys:
+            res[k] = pdf[k].iloc[0]
+        res["_chunk"] = chunk
+        return res[out_cols]
+
+    kinds = {
+        "_chunk": "bigint", "vid": "bigint", "n": "bigint", "s1": "double", "s2": "double", "growth": "double", "low": "double", "high": "double", "dd": "double",
+        "trades": "bigint", "wins": "bigint", "won": "double", "lost": "double", "exit": "double", "side": "double", "entry": "double",
+        "longs": "bigint", "shorts": "bigint", "first_ord": "bigint",
+    }
+    out_cols = [*keys, *kinds]
+    key_types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys]
+    parts = copied.groupBy(*keys, "_chunk").applyInPandas(fold, ", ".join([*key_types, *[f"{c} {t}" for c, t in kinds.items()]]))
+    known = lambda c: F.when(~F.isnan(c), C(c))
+    parts = parts.withColumns({"exit": known("exit"), "entry": known("entry")})
+    before = W.partitionBy(*keys, "vid").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({"_base": F.coalesce(F.product("growth").over(before), F.lit(1.0)), "_in": F.last("entry", ignorenulls=True).over(before)})
+    pnl = C("side") * (C("exit") - C("_in")) - fee * (C("exit") + C("_in"))
+    parts = parts.withColumns({"_top": F.max(C("_base") * C("high")).over(before), "_pnl": pnl})
+    deep = F.least(C("dd"), C("_base") * C("low") / C("_top") - 1)
+    m = parts.groupBy(*keys, "vid").agg(
+        F.sum("n").alias("_n"), F.sum("s1").alias("_s1"), F.sum("s2").alias("_s2"), F.product("growth").alias("_g"), F.min(deep).alias("max_drawdown"),
+        (F.sum("trades") + F.count("_pnl")).alias("num_trades"), (F.sum("wins") + F.count_if(C("_pnl") > 0)).alias("_wins"),
+        (F.sum("won") + F.coalesce(F.sum(F.when(C("_pnl") > 0, C("_pnl"))), F.lit(0.0))).alias("_won"),
+        (F.sum("lost") + F.coalesce(F.sum(F.when(C("_pnl") <= 0, C("_pnl"))), F.lit(0.0))).alias("_lost"),
+        F.sum("longs").alias("longs"), F.sum("shorts").alias("shorts"), F.min(F.when(C("first_ord") >= 0, C("first_ord"))).alias("first_ord"),
+    )
+    m = m.join(df.groupBy(*keys).agg(span_days().alias("_days")), keys)
+    mean = C("_s1") / nz("_n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), (C("_s2") - C("_n") * mean * mean) / nz(C("_n") - 1)))
+    years = F.when(C("_days") > 0, C("_days") / 365.25).otherwise(C("_n") / ppy)
+    some = C("num_trades") > 0
+    m = m.withColumns(
+        {
+            "total_return": C("_g") - 1,
+            "cagr": F.when((years > 0) & (C("_g") > 0), F.pow(C("_g"), 1 / years) - 1),
+            "sharpe": mean / nz(sd) * ppy**0.5,
+            "win_rate": F.when(some, C("_wins") / C("num_trades")),
+            "profit_factor": F.when(some, F.when(C("_lost") != 0, C("_won") / F.abs("_lost")).when(C("_won") > 0, F.lit(float("inf"))).otherwise(0.0)),
+            "expectancy": F.when(some, (C("_won") + C("_lost")) / C("num_trades")),
+        }
+    ).withColumn("calmar", F.when(C("max_drawdown") < 0, C("cagr") / F.abs("max_drawdown")))
+    cols = ["total_return", "cagr", "sharpe", "calmar", "max_drawdown", "num_trades", "win_rate", "profit_factor", "expectancy", "longs", "shorts", "first_ord"]
+    return m.select(*keys, "vid", *cols).join(_variant_names(df, pairs, combos), "vid")
+
+
+def _variant_names(df: DataFrame, pairs, combos) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [(p * len(combos) + c, a, b, *combo) for p, (a, b) in enumerate(pairs) for c, combo in enumerate(combos)],
+        "vid long, fast long, slow long, mode string, filter string, buffer double",
+    )
+
+
 def rank_full(metrics: DataFrame, keys=SERIES) -> DataFrame:
     from tidemark.operators.ranking import FULL_SCORE, score, with_sample_flags
 
