@@ -153,6 +153,20 @@ def test_top_k_of_few_rows(spark):
     assert not topk.top_k(df.limit(0), F.col("_id") % 20 == 0).count()
 
 
+def test_top_k_meets_rows_of_the_same_length(spark):
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3 if i % 4 == 0 else 5)]) for i in range(90)] + [(100, [1.0])]
+    got = {}
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("_id") % 10 == 0, k=4).collect():
+        got.setdefault(x["query_id"], []).append((x["score"], x["vec_id"]))
+    whole = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows}
+    want = {
+        q: sorted(((sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])), key=lambda x: (-x[0], x[1]))[:4]
+        for q in whole if q % 10 == 0 and q < 100
+    }
+    assert got == want
+
+
 # URLs
 
 
@@ -315,6 +329,9 @@ def test_odd_texts_and_split_characters(monkeypatch):
         ids = coder.encode(s)
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(s) and coder.decode(ids) == s.encode()
     ids = np.frombuffer(coder.encode("😀𝒳é😀"), "<u4").tolist()
+    other = bpe.Coder(VOCABULARY, r"\w+ \w+|\s|\S")
+    for text in ("one two three four", "a b c", " x  y z"):
+        assert other.encode(text) == other._of_pieces(text)
     stream = bpe.Stream(coder)
     assert "".join(stream.feed([i]) for i in ids) + stream.feed([], True) == "😀𝒳é😀"
     assert bpe.Stream(coder).feed(ids[:1], True) == "\ufffd"

@@ -87,9 +87,22 @@ def test_stages_on_odd_rows(spark, tables):
     assert not none.count()
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    """Only the copy goes; another text of its id, and its near copies, keep their own class."""
+    a, b, c, d = ("one two three four five six", "other words of a second text here", "a third text that is alone", "fourth text of some more words")
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (5, a), (5, b), (7, c), (5, b), (9, d), (9, long), (11, long + " tail"), (1, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = pipe.drop_near_copies(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, a), (5, b), (7, c), (9, long), (1, d)])
+    near = {(r["doc_id"], r["text_key"]): (r["class_id"], r["n_links"]) for r in pipe.ngram_join.marked_copies(docs).collect()}
+    key = {r["text"]: r["k"] for r in docs.select("text", pipe.decontaminate.text_key(F.col("text")).alias("k")).collect()}
+    assert near[5, key[a]] == (1, 1) and near[5, key[b]] == (5, 1) and near[9, key[d]] == (1, 1) and near[9, key[long]] == (9, 1) and near[11, key[long + " tail"]] == (9, 1)
+
+
 def test_queries_are_all_there():
-    names = {f"op{n}_" for n in range(1, 11)}
-    assert {n[: n.index("_") + 1] for n in queries.QUERIES} == names and len(queries.QUERIES) == 10
+    names = {f"op{n}_" for n in range(1, 14)}
+    assert {n[: n.index("_") + 1] for n in queries.QUERIES} == names and len(queries.QUERIES) == 13
     assert set(queries.ORACLE) < set(queries.QUERIES)
     assert [n for n, _ in pipe.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "byte_bpe"]
 

@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,6 +28,8 @@ from tidemark.llm.shared import short_batches
 
 #: Words, and pieces, whose ids a worker remembers.
 KEPT = 150_000
+#: Patterns under which a single space between two characters that are no white space starts a piece.
+CUT_AT_SPACES = {public_tokenizers.PATTERN}
 _loaded: dict[tuple[str, str], "Coder"] = {}
 
 
@@ -51,6 +54,7 @@ class Coder:
         library = Tokenizer.from_file(vocabulary)
         self.merge = library.model.tokenize
         self.pieces = regex.compile(pattern).findall
+        self.cut_at_spaces = pattern in CUT_AT_SPACES
         known, back = library.get_vocab(with_added_tokens=True), byte_characters()
         self.printable = {b: c for c, b in back.items()}
         self.bytes_of = [b""] * (max(known.values()) + 1)
@@ -86,12 +90,15 @@ class Coder:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        A single space between two other characters that are no white space always starts a
-        piece, so what lies between such spaces is encoded, and remembered, on its own. Texts
-        with any other white space next to a space are cut by the pattern as a whole.
+        Where the pattern starts a piece at each single space between two other characters that
+        are no white space (`CUT_AT_SPACES`), what lies between such spaces is encoded, and
+        remembered, on its own. Texts with any other white space next to a space, and all texts
+        under other patterns, are cut by the pattern as a whole.
         """
         if not text:
             return b""
+        if not self.cut_at_spaces:
+            return self._of_pieces(text)
         first, *rest = text.split(" ")
         if not first or not first[-1:].strip():
             return self._of_pieces(text)

@@ -110,6 +110,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
-@query("op13_turn_repair")
+@query("op13_turn_repair", turn_repair.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))

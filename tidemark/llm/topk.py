@@ -16,8 +16,9 @@ Queries are a stated set, met with all rows in blocks: rows are copied per block
 queries per tile, never row by row. Cutoffs travel with the query blocks, in two steps, since
 they grow with the queries. A tile's results are k numbers per query, not pairs.
 
-Components become floor(scale * x). Vectors that are null, or of another length than most, or
-hold null, NaN or infinite components, and rows with a null id take no part. Rows that share an
+Components become floor(scale * x). Vectors that are null, empty, or hold null, NaN or infinite
+components, and rows with a null id take no part. Vectors of several lengths are dealt by length:
+a query meets the rows of its own, since others have no inner product with it. Rows that share an
 id count once, with the least vector. Fewer than k candidates: all are returned. No rows: none.
 """
 
@@ -66,8 +67,8 @@ def _own(ids: np.ndarray, query_ids: np.ndarray) -> np.ndarray:
     return query_ids[:, None] == ids[None, :]
 
 
-_GATHERED = "_block int, _tile int, _ids array<bigint>, _scores array<double>"
-_ARROW = pa.schema([("_block", pa.int32()), ("_tile", pa.int32()), ("_ids", pa.list_(pa.int64())), ("_scores", pa.list_(pa.float64()))])
+_GATHERED = "_block bigint, _tile int, _ids array<bigint>, _scores array<double>"
+_ARROW = pa.schema([("_block", pa.int64()), ("_tile", pa.int32()), ("_ids", pa.list_(pa.int64())), ("_scores", pa.list_(pa.float64()))])
 
 
 def _gather(k: int):
@@ -87,7 +88,7 @@ def _gather(k: int):
         scores = -np.sort(np.partition(-total, take - 1, axis=1)[:, :take], axis=1)
         if take < k:
             scores = np.concatenate([scores, np.full((len(qids), k - take), -np.inf)], axis=1)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([qids], pa.list_(pa.int64())), pa.array([scores.ravel()], pa.list_(pa.float64()))], schema=_ARROW)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([qids], pa.list_(pa.int64())), pa.array([scores.ravel()], pa.list_(pa.float64()))], schema=_ARROW)
 
     return run
 
@@ -103,7 +104,7 @@ def _merge(k: int):
             ids, s = own[order], s[order]
             best = s if best is None else -np.sort(-np.concatenate([best, s], axis=1), axis=1)[:, :k]
         first = t.column("_block")[0].as_py()
-        return pa.table([pa.array([first], pa.int32()), pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([best.ravel()], pa.list_(pa.float64()))], schema=_ARROW)
+        return pa.table([pa.array([first], pa.int64()), pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([best.ravel()], pa.list_(pa.float64()))], schema=_ARROW)
 
     return run
 
@@ -143,16 +144,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     `is_query` is a condition on the key column `_id`.
     """
     all_rows = stage(usable(vectors, key, vec, scale), "vectors")
-    size = all_rows.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    n, dims = (size["count"], size["d"]) if size else (0, 0)
-    all_rows = all_rows.where(F.size("_v") == dims)
-    tiles = max(1, math.ceil(n / TILE_ROWS))
+    tiles = max(1, math.ceil(all_rows.count() / TILE_ROWS))
     queries = all_rows.where(is_query)
     blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     slot = lambda m, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = all_rows.select("_id", "_v", slot(tiles, 1).alias("_tile"), spread(blocks).alias("_block"))
-    asked = queries.select(F.col("_id").alias("_q"), F.col("_v").alias("_asked"), slot(blocks, 2).alias("_of"))
+    # A block holds queries of one length.
+    block = lambda i: F.size("_v").cast("long") * blocks + i
+    rows = all_rows.select("_id", "_v", slot(tiles, 1).alias("_tile"), spread(blocks).alias("_i")).select("_id", "_v", "_tile", block(F.col("_i")).alias("_block"))
+    asked = queries.select(F.col("_id").alias("_q"), F.col("_v").alias("_asked"), block(slot(blocks, 2)).alias("_of"))
 
     each = asked.withColumn("_in", spread(tiles))
     gathered = rows.groupBy("_block", "_tile").cogroup(each.groupBy("_of", "_in")).applyInArrow(_gather(k), _GATHERED)

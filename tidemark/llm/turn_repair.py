@@ -8,9 +8,10 @@ letters in order) that is least in ASCII.
 A search node is (rows read, state), state being what the last turn kept was. Its prefixes are dropped where
 the node's dominance table holds a cheaper one, or one as cheap and lower in ASCII: as many rows are read and
 as much is paid, neither audit is the start of the other, so the order of the two holds for any common end.
-They are dropped as well where their cost and the least that the rest can cost exceed the incumbent. That bound
-counts what blank, repeated and truncated rows cost in any case, and 2 for every two neighbours that may not
-follow each other: no edit mends more than two such pairs.
+They are dropped as well where their cost and the suffix bound exceed the incumbent, or reach it and their audit
+is above the incumbent's. The bound is what the rest costs at least if audits do not matter, taken backwards over
+rows and states, so that the search only opens prefixes that can tie. (A bound by counts of illegal neighbours
+is looser: at a thousand rows of random roles the search did not end within minutes.)
 
 Rows are dealt by conversation and span of turns, sorted there and read as a stream. A conversation inside one
 span is solved at once. One with several, or with more rows than `SPAN`, is solved piece by piece for all pairs
@@ -25,6 +26,7 @@ without turns, has the digest of the empty string. Other columns are not read; a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,31 +50,35 @@ _WHITE = " \t\n\r\x0b\x0c"
 Row = tuple[str, bool, bool]  # initial of its role, must be deleted, truncated
 
 
-def _bounds(rows: list[Row], ends: tuple[int, ...]) -> tuple[list[int], list[int], list[str | None]]:
-    """From each row on: what is paid in any case, illegal neighbours, and the first row that may stay."""
-    n = len(rows)
-    paid, illegal, first = [0] * (n + 1), [0] * (n + 1), [None] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        initial, forced, cut = rows[i]
-        paid[i] = paid[i + 1] + (DELETE if forced else TRUNCATED if cut else 0)
-        illegal[i], first[i] = illegal[i + 1], first[i + 1]
-        if not forced:
-            follow = first[i + 1]
-            fits = any(_LAST[e] == initial for e in ends) if follow is None else initial + follow in _LEGAL
-            illegal[i] += not fits
-            first[i] = initial
-    return paid, illegal, first
+def _bounds(rows: list[Row], ends: tuple[int, ...]) -> list[list[float]]:
+    """The least that the rows from each one on cost, by state before it, whatever their audit."""
+    cost = [0 if s in ends else math.inf for s in range(4)]
+
+    def with_inserts(cost: list[float]) -> list[float]:
+        for _ in range(2):  # no more than two turns are ever inserted at one place
+            cost = [min(c, INSERT + cost[_NEXT[s]]) for s, c in enumerate(cost)]
+        return cost
+
+    out = [with_inserts(cost)]
+    for initial, forced, cut in reversed(rows):
+        later, cost = out[-1], []
+        for s in range(4):
+            least = DELETE + later[s]
+            if not forced:
+                kept = _AFTER[s].get(initial)
+                stay = min(RETYPE + later[_NEXT[s]], math.inf if kept is None else later[kept])
+                least = min(least, stay + cut * TRUNCATED)
+            cost.append(least)
+        out.append(with_inserts(cost))
+    return out[::-1]
 
 
 def solve(rows: list[Row], start: int = START, ends: tuple[int, ...] = (START, ASSISTANT)) -> tuple[int, str] | None:
     """(cost, audit) of the best edits that lead from state `start` to one of `ends`; None if there are none."""
     n = len(rows)
-    paid, illegal, first = _bounds(rows, ends)
-
-    def bound(i: int, state: int) -> int:
-        follow = first[i]
-        bad = state not in ends if follow is None else follow not in _AFTER[state]
-        return paid[i] + 2 * ((illegal[i] + bad + 1) // 2)
+    bounds = _bounds(rows, ends)
+    if bounds[0][start] == math.inf:
+        return None
 
     best: tuple[int, str] | None = None
     table: dict[tuple[int, int], tuple[int, str]] = {(0, start): (0, "")}
@@ -96,8 +102,8 @@ def solve(rows: list[Row], start: int = START, ends: tuple[int, ...] = (START, A
                     moves.append((cost + RETYPE + cut * TRUNCATED, "R", i + 1, follow))
         open_moves = []
         for paid_so_far, letter, j, to in moves:
-            least, longer = paid_so_far + bound(j, to), audit + letter
-            if best is not None and (least > best[0] or least == best[0] and longer > best[1][: len(longer)]):
+            least, longer = paid_so_far + bounds[j][to], audit + letter
+            if least == math.inf or best is not None and (least > best[0] or least == best[0] and longer > best[1][: len(longer)]):
                 continue
             known = table.get((j, to))
             if known is not None and known <= (paid_so_far, longer):
@@ -361,3 +367,40 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("_sha", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"),
     )
+
+
+#: Dynamic programming over rows and states; audits and texts travel with the costs.
+ORACLE = r"""
+WITH RECURSIVE o AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT c, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 20 AS pick FROM o),
+d AS (SELECT c, turn, CASE WHEN pick = 4 THEN 'user' ELSE role END AS role, CASE WHEN pick = 1 THEN '' WHEN pick = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN pick = 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE pick <> 0),
+r AS (SELECT c, turn, role, text, row_number() OVER w AS i, lag(role[:1]) OVER w AS prev
+      FROM d WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text)),
+q AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth FROM r),
+f AS (SELECT *, role[:1] AS h, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM q),
+p AS (SELECT c, 0::BIGINT AS i, unnest([{'st': 0, 'v': {'cost': 0, 'audit': '', 'txt': ''}}, {'st': 2, 'v': {'cost': 2, 'audit': 'I', 'txt': chr(10) || 'user:'}},
+        {'st': 3, 'v': {'cost': 4, 'audit': 'II', 'txt': chr(10) || 'user:' || chr(10) || 'assistant:'}}], max_depth := 2) FROM (SELECT DISTINCT c FROM f)
+  UNION ALL
+  SELECT c, i, st, min(v) AS v FROM (
+    SELECT c, i, unnest([{'st': st, 'v': {'cost': cost, 'audit': audit, 'txt': txt}},
+        {'st': CASE WHEN st = 2 THEN 3 ELSE 2 END, 'v': {'cost': cost + 2, 'audit': audit || 'I', 'txt': txt || chr(10) || CASE WHEN st = 2 THEN 'assistant:' ELSE 'user:' END}},
+        {'st': CASE WHEN st = 2 THEN 2 ELSE 3 END, 'v': {'cost': cost + 4, 'audit': audit || 'II', 'txt': txt || chr(10) || CASE WHEN st = 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END}}], max_depth := 2)
+    FROM (
+      SELECT p.c, f.i, unnest(list_filter([
+          {'ok': true, 'st': st, 'cost': v.cost + 3, 'audit': v.audit || 'D', 'txt': v.txt},
+          {'ok': fault NOT IN ('b', 'd') AND (h = 'u' AND st <> 2 OR h = 'a' AND st = 2 OR h = 's' AND st = 0), 'st': CASE h WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+           'cost': v.cost + CASE fault WHEN 't' THEN 1 ELSE 0 END, 'audit': v.audit || 'K', 'txt': v.txt || chr(10) || role || ':' || text},
+          {'ok': fault NOT IN ('b', 'd'), 'st': CASE WHEN st = 2 THEN 3 ELSE 2 END,
+           'cost': v.cost + 2 + CASE fault WHEN 't' THEN 1 ELSE 0 END, 'audit': v.audit || 'R', 'txt': v.txt || chr(10) || CASE WHEN st = 2 THEN 'assistant' ELSE 'user' END || ':' || text}
+        ], lambda x: x.ok), max_depth := 2)
+      FROM p JOIN f ON p.c = f.c AND f.i = p.i + 1)) GROUP BY c, i, st),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || h NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+b AS (SELECT n.c, gaps, blank, duplicate, truncated, illegal, min(v) AS v FROM n JOIN p ON p.c = n.c AND p.i = n.n WHERE st IN (0, 3) GROUP BY ALL)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(v.cost, 0)::BIGINT AS cost, coalesce(v.audit, '') AS audit, sha256(coalesce(v.txt[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN b ON b.c = coalesce(conv_id::VARCHAR, ' ')
+"""
