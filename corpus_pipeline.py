@@ -40,15 +40,17 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class stays."""
-    near = stage(ngram_join.near_copies(docs), "near-copies")
-    gone = stage(near.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = stage(near.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "twice")
+    """The document of the least id of each class stays; of rows that are equal in id and text, one."""
+    near = stage(ngram_join.marked_copies(docs), "near-copies")
+    gone = stage(near.where(~F.col("kept")).select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_as")).distinct(), "gone")
+    same = (F.col("doc_id") == F.col("_of")) & (decontaminate.text_key(F.col("text")) == F.col("_as"))
+    kept = docs.join(gone, same, "left_anti")
+    twice = near.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_grams") > 0)).groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_as")).count()
+    twice = stage(twice.where(F.col("count") > 1).drop("count"), "twice")
     if twice.isEmpty():
         return _documents(kept, docs)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return _documents(kept.join(twice, "doc_id", "left_anti"), docs).union(_documents(again, docs))
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _documents(kept.join(twice, same, "left_anti"), docs).union(_documents(again, docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
