@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import B, ISO, R, W_SQL, bars, out, query, rnd
+from catalog.base import B, ISO, R, W_SQL, bars, ctes, out, query, rnd
 from catalog.f_signals import variant_sql
 from catalog.g_returns import FILL_SQL, GOLD, SAME_SQL, TRADE_SQL, g2_sql, gold, gold_equity, trades
 from catalog.h_metrics import CAGR, DAYS, EQ
-from catalog.sqlfrag import SD, SMA
+from catalog.sqlfrag import EMA, PRE, RSI, SD, SMA, wi
 from tidemark.operators import metrics as met
 from tidemark.operators import pnl
 from tidemark.operators import ranking as rk
@@ -224,11 +224,13 @@ WF = dict(train=504, test=252, step=126)
 BURN = 60
 
 
-def wf_sql(src: str = "sg", train: int = 504, test: int = 252, step: int = 126, burn: int = BURN, part: str = "symbol", name: str = "") -> str:
+def wf_sql(src: str = "sg", train: int | str = 504, test: int | str = 252, step: int | str = 126, burn: int = BURN, part: str = "symbol", name: str = "") -> str:
+    """Lengths are numbers, or SQL over the columns of `src`. Series shorter than a window have none."""
     k = part
-    seg = lambda label, lo, hi: f"SELECT s.*, k+1 AS win, '{label}' AS segment, s.ord-k*{step}-{lo} AS o FROM {src} s JOIN wn USING ({k}) WHERE s.ord>=k*{step}+{lo} AND s.ord<k*{step}+{hi}"
-    return f""", wn AS (SELECT {k}, unnest(generate_series(0, (n-{train + test})//{step})) AS k FROM (SELECT {k}, count(*) AS n FROM {src} GROUP BY {k})),
- wq AS MATERIALIZED (SELECT * EXCLUDE (ord, o), ord AS bar, o AS ord, {k}||'/'||win||'/'||segment AS key FROM ({seg('IS', 0, train)} UNION ALL {seg('OOS', train - burn, train + test)} UNION ALL {seg('BM', train, train + test)})), wl AS (SELECT * FROM wq WHERE segment<>'BM')""" + g2_sql(0, "wl", name="wv", part="key") + f""",
+    whole = f"({train})+({test})"
+    seg = lambda label, lo, hi: f"SELECT s.*, k+1 AS win, '{label}' AS segment, s.ord-k*({step})-({lo}) AS o FROM {src} s JOIN wn USING ({k}) WHERE s.ord>=k*({step})+({lo}) AND s.ord<k*({step})+({hi})"
+    return f""", wn AS (SELECT {k}, unnest(generate_series(0, (n-({whole}))//({step}))) AS k FROM (SELECT {k}, count(*) AS n FROM {src} GROUP BY {k}) WHERE n>={whole}),
+ wq AS MATERIALIZED (SELECT * EXCLUDE (ord, o), ord AS bar, o AS ord, {k}||'/'||win||'/'||segment AS key FROM ({seg('IS', 0, train)} UNION ALL {seg('OOS', f'({train})-{burn}', whole)} UNION ALL {seg('BM', train, whole)})), wl AS (SELECT * FROM wq WHERE segment<>'BM')""" + g2_sql(0, "wl", name="wv", part="key") + f""",
  wa AS (SELECT *, coalesce(close/lag(close) OVER w-1,0) AS ra, abs(weight-lag(weight) OVER w) AS dw FROM wq WHERE segment='BM' WINDOW w AS (PARTITION BY key ORDER BY ord)), wm AS (SELECT key, greatest(-1,least(1,avg(weight))) AS aw, coalesce(avg(dw),0)*0.0006 AS cst FROM wa GROUP BY key HAVING avg(abs(weight))>1e-9),
  wc0 AS (SELECT {k}, win, segment, bar, ts, ord-(CASE segment WHEN 'OOS' THEN {burn} ELSE 0 END) AS ord, r FROM wv UNION ALL SELECT {k}, win, segment, bar, ts, ord, aw*ra-cst FROM wa JOIN wm USING (key)),
  wc AS MATERIALIZED (SELECT * EXCLUDE (r), CASE WHEN ord>0 THEN r END AS r, product(CASE WHEN ord>0 THEN 1+r ELSE 1 END) OVER w AS equity FROM wc0 WHERE ord>=0 WINDOW w AS (PARTITION BY {k}, win, segment ORDER BY ord)),
@@ -381,41 +383,76 @@ def _(spark, sf):
     return out(r, *_V.split(", "), "sharpe", "cagr", "calmar", "num_trades", "profit_factor", "win_rate", "low_sample", research_score=8)
 
 
-THRESH = [0.005, 0.01, 0.015, 0.02, 0.03]
+# The thresholds and triples of the two walk-forward sweeps.
+THRESH = [0.005, 0.008, 0.010, 0.012, 0.015, 0.018, 0.020, 0.022, 0.025, 0.030, 0.035, 0.040]
+RSI_N, BB_N, BB_K = [6, 14], [20, 50, 100, 200], [1.5, 2.0, 2.5]
+#: Train, test and step in bars by timeframe: years on days, hundreds of half hours.
+LENGTHS = {"1D": (756, 252, 126), "30m": (400, 200, 100)}
+VARIANTS = [{"rule": "vwap_reversion", "threshold": t, "rsi_length": None, "bb_length": None, "bb_mult": None} for t in THRESH] + [
+    {"rule": "bollinger_rsi", "threshold": None, "rsi_length": float(r), "bb_length": float(n), "bb_mult": k} for r in RSI_N for n in BB_N for k in BB_K
+]
 _TP = "(high+low+close)/3"
-VW_SQL = B("lines") + f", i AS (SELECT *, sum({_TP}*volume) OVER w/sum(volume) OVER w AS v FROM b {W_SQL}), sg AS MATERIALIZED (SELECT symbol||'/'||th AS key0, symbol, th, ts, ord, open, close, CASE WHEN (close-v)/v<-th THEN 1.0 WHEN (close-v)/v>th THEN -1.0 ELSE 0.0 END::DOUBLE AS weight FROM i, (SELECT unnest({THRESH}::DOUBLE[]) AS th))"
-K20_SQL = VW_SQL + wf_sql(part="key0") + AGG_SQL.replace("KEYCOL", "key0") + chain_sql("OOS", "ch", k="key0") + chain_sql("BM", "cb", k="key0") + f""", k20 AS MATERIALIZED (SELECT split_part(key0,'/',1) AS symbol, split_part(key0,'/',2)::DOUBLE AS threshold, n_windows, robust, {R('ch.sharpe')} AS chained_sharpe, {R('ch.sharpe-cb.sharpe')} AS chained_excess_sharpe FROM ag3 LEFT JOIN ch USING (key0) LEFT JOIN cb USING (key0))"""
+_K = "key0"
+_LEN = lambda i: "CASE WHEN key0 LIKE '1D/%' THEN " + str(LENGTHS["1D"][i]) + " ELSE " + str(LENGTHS["30m"][i]) + " END"
+_RSI_LONG = " UNION ALL ".join(f"SELECT symbol, ord, {n} AS rn, {RSI('g', 'l', 100.0)} AS rsi FROM e{n}" for n in RSI_N)
+_BB_LONG = " UNION ALL ".join(f"SELECT symbol, ord, {n} AS n, {SMA(n)} AS mid, {SD(n, pop=True)} AS sd FROM b" for n in BB_N)
+K20_SQL = f"""WITH RECURSIVE {ctes('lines', 'lb')}, {ctes('events', 'vb')}, b AS MATERIALIZED (SELECT '1D/'||symbol AS symbol, ts, ord, open, high, low, close, volume FROM lb UNION ALL SELECT '30m/'||symbol, ts, ord, open, high, low, close, volume FROM vb)""" + PRE + "".join(
+    ", " + EMA(f"e{n}", "pre", {"g": ("gain", wi(n), n), "l": ("loss", wi(n), n)}) for n in RSI_N
+) + f""", rl AS MATERIALIZED ({_RSI_LONG}), bl AS MATERIALIZED ({_BB_LONG}), i AS (SELECT *, sum({_TP}*volume) OVER w/sum(volume) OVER w AS v FROM b {W_SQL}),
+ db AS (SELECT b.symbol, b.ts, b.ord, b.open, b.close, rn, n, k, rsi, mid-k*sd AS lo, mid+k*sd AS up FROM b JOIN rl USING (symbol, ord) JOIN bl USING (symbol, ord), (SELECT unnest({BB_K}::DOUBLE[]) AS k)),
+ ds AS (SELECT *, CASE WHEN rsi<50 AND lag(rsi) OVER w>=50 AND close<up AND lag(close) OVER w>=lag(up) OVER w THEN -1.0 WHEN rsi>50 AND lag(rsi) OVER w<=50 AND close>lo AND lag(close) OVER w<=lag(lo) OVER w THEN 1.0 END AS state FROM db WINDOW w AS (PARTITION BY symbol, rn, n, k ORDER BY ord)),
+ sg AS MATERIALIZED (SELECT symbol||'/'||'v/'||th AS key0, ts, ord, open, close, CASE WHEN (close-v)/v<-th THEN 1.0 WHEN (close-v)/v>th THEN -1.0 ELSE 0.0 END::DOUBLE AS weight FROM i, (SELECT unnest({THRESH}::DOUBLE[]) AS th)
+  UNION ALL SELECT symbol||'/b/'||rn||'/'||n||'/'||k, ts, ord, open, close, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY symbol, rn, n, k ORDER BY ord), 0.0)::DOUBLE FROM ds)"""
+K20_SQL += wf_sql(train=_LEN(0), test=_LEN(1), step=_LEN(2), part=_K)
+K20_SQL += AGG_SQL.replace("KEYCOL", _K) + chain_sql("OOS", "ch", k=_K, step=f"({_LEN(2)})") + chain_sql("BM", "cb", k=_K, step=f"({_LEN(2)})") + f""",
+ lc AS (SELECT key0, count(*) FILTER (t<5) AS n_low FROM (SELECT key0, win, count(*) FILTER (p IS DISTINCT FROM pp)-1 AS t FROM (SELECT *, lag(p) OVER (PARTITION BY key ORDER BY ord) AS pp FROM (SELECT *, coalesce(lag(weight) OVER (PARTITION BY key ORDER BY ord),0) AS p FROM wq WHERE segment='BM')) GROUP BY key0, win) GROUP BY key0),
+ k20 AS MATERIALIZED (SELECT split_part(key0,'/',1) AS timeframe, split_part(key0,'/',2) AS symbol, CASE split_part(key0,'/',3) WHEN 'v' THEN 'vwap_reversion' ELSE 'bollinger_rsi' END AS rule, CASE WHEN split_part(key0,'/',3)='v' THEN split_part(key0,'/',4)::DOUBLE END AS threshold,
+  CASE WHEN split_part(key0,'/',3)='b' THEN split_part(key0,'/',4)::DOUBLE END AS rsi_length, CASE WHEN split_part(key0,'/',3)='b' THEN split_part(key0,'/',5)::DOUBLE END AS bb_length, CASE WHEN split_part(key0,'/',3)='b' THEN split_part(key0,'/',6)::DOUBLE END AS bb_mult,
+  coalesce(n_windows,0) AS n_windows, {R('mean_is_sharpe')} AS mean_is_sharpe, {R('mean_oos_sharpe')} AS mean_oos_sharpe, {R('degradation_ratio', 3)} AS degradation_ratio, coalesce(robust,false) AS robust, coalesce(n_low,0) AS n_low_confidence,
+  {R('ch.sharpe')} AS chained_sharpe, {R('ch.cagr', 6)} AS chained_cagr, {R('ch.maxdd', 6)} AS chained_maxdd, {R('cb.sharpe')} AS chained_benchmark_sharpe, {R('ch.sharpe-cb.sharpe')} AS chained_excess_sharpe, coalesce(ch.sharpe-cb.sharpe>0.2,false) AS has_edge, CASE WHEN n_windows IS NULL THEN 'shorter than one window' END AS reason
+  FROM (SELECT DISTINCT key0 FROM sg) LEFT JOIN ag3 USING (key0) LEFT JOIN ch USING (key0) LEFT JOIN cb USING (key0) LEFT JOIN lc USING (key0))"""
+_KEYS20 = ("timeframe", "symbol", "rule", "threshold", "rsi_length", "bb_length", "bb_mult")
+_ORDER20 = ("chained_excess_sharpe DESC", "symbol", "rule", "threshold", "rsi_length", "bb_length", "bb_mult")
 
 
 def wf_sweep(spark, sf):
-    def make():
-        from tidemark.functions.indicators import typical_price
-        from tidemark.plans.series import scan
+    """Both rules at all parameters over daily and half-hour bars."""
 
-        b = bars(spark, sf, "lines")
-        d = scan(b, {"pv": ("sum", typical_price() * C("volume")), "v": ("sum", "volume")})
-        d = d.withColumn("dev", (C("close") - C("pv") / C("v")) / (C("pv") / C("v")))
-        d = sw.with_grid(d.select("symbol", "ts", "ord", "open", "close", "dev"), [{"threshold": t} for t in THRESH])
-        d = d.withColumn("weight", F.when(C("dev") < -C("threshold"), 1.0).when(C("dev") > C("threshold"), -1.0).otherwise(0.0)).drop("dev")
-        d = stage(d, "vwap-grid")
-        keys = ("symbol", "threshold")
-        curves = stage(wf.walk_forward(d, **WF, burn_in=BURN, keys=keys), "vwap-curves")
-        s = wf.walk_forward_summary(curves, d, WF["step"], keys)
-        return s.withColumns({c: rnd(c, 4) for c in ("chained_sharpe", "chained_excess_sharpe")})
+    def make():
+        both = None
+        for name, kind in (("1D", "lines"), ("30m", "events")):
+            b = bars(spark, sf, kind)
+            d = sig.vwap_reversion_grid(b, THRESH).withColumnRenamed("weights", "_first")
+            d = sig.bollinger_rsi_grid(d, RSI_N, BB_N, BB_K)
+            d = d.select(F.lit(name).alias("timeframe"), "symbol", "ts", "ord", "open", "close", F.concat("_first", "weights").alias("weights"))
+            both = d if both is None else both.unionByName(d)
+        s = wf.sweep_walk_forward(stage(both, "sweep-weights"), LENGTHS, VARIANTS)
+        four = ("mean_is_sharpe", "mean_oos_sharpe", "chained_sharpe", "chained_benchmark_sharpe", "chained_excess_sharpe")
+        return s.withColumns({c: rnd(c, 4) for c in four} | {"degradation_ratio": rnd("degradation_ratio", 3), "chained_cagr": rnd("chained_cagr", 6), "chained_maxdd": rnd("chained_maxdd", 6)})
 
     return staged_once(spark, (sf, "wfsweep"), make)
 
 
-@query("op_K20_walk_forward_sweep", K20_SQL + " SELECT * FROM k20")
+_COLS20 = (*_KEYS20, "n_windows", "mean_is_sharpe", "mean_oos_sharpe", "degradation_ratio", "robust", "n_low_confidence", "chained_sharpe", "chained_cagr", "chained_maxdd", "chained_benchmark_sharpe", "chained_excess_sharpe", "has_edge", "reason")
+
+
+@query("op_K20_walk_forward_sweep", K20_SQL + f" SELECT {', '.join(_COLS20)} FROM k20")
 def _(spark, sf):
-    return wf_sweep(spark, sf).select("symbol", "threshold", "n_windows", "robust", "chained_sharpe", "chained_excess_sharpe")
+    return wf_sweep(spark, sf).select(*_COLS20)
+
+
+@query("op_I4_best_per_asset", K20_SQL + f" SELECT {', '.join(_KEYS20)}, chained_excess_sharpe FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chained_excess_sharpe DESC, timeframe, {', '.join(_ORDER20[2:])}) AS r FROM k20 WHERE chained_excess_sharpe IS NOT NULL) WHERE r=1")
+def _(spark, sf):
+    s = wf_sweep(spark, sf).filter(C("chained_excess_sharpe").isNotNull())
+    order = [F.desc("chained_excess_sharpe"), "timeframe", "rule", *[F.asc_nulls_last(c) for c in _KEYS20[3:]]]
+    return rk.top_per_group(s, ["symbol"], order, 1).select(*_KEYS20, "chained_excess_sharpe")
 
 
-@query("op_I4_best_per_asset", K20_SQL + " SELECT symbol, arg_max(threshold,(chained_excess_sharpe,threshold)) AS threshold, max(chained_excess_sharpe) AS chained_excess_sharpe FROM k20 WHERE chained_excess_sharpe IS NOT NULL GROUP BY symbol")
+@query("op_I4_top_per_timeframe", K20_SQL + f" SELECT {', '.join(_KEYS20)}, chained_excess_sharpe, rank FROM (SELECT *, row_number() OVER (PARTITION BY timeframe ORDER BY {', '.join(_ORDER20)}) AS rank FROM k20 WHERE chained_excess_sharpe IS NOT NULL) WHERE rank<=10")
 def _(spark, sf):
     s = wf_sweep(spark, sf).filter(C("chained_excess_sharpe").isNotNull())
-    best = rk.best_per_group(s, ["symbol"], ["chained_excess_sharpe", "threshold"], ["threshold", "chained_excess_sharpe"])
-    return best.select("symbol", "threshold", "chained_excess_sharpe")
+    order = [F.desc("chained_excess_sharpe"), "symbol", "rule", *[F.asc_nulls_last(c) for c in _KEYS20[3:]]]
+    return rk.top_per_group(s, ["timeframe"], order, 10).select(*_KEYS20, "chained_excess_sharpe", "rank")
 
 
 SLIPS = [0, 2, 5, 10, 20, 50]

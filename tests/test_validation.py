@@ -204,3 +204,34 @@ def test_trade_fold_equals_row_model(make_bars, rows):
         for c in ("total_return", "cagr", "sharpe", "calmar", "max_drawdown", "num_trades", "win_rate", "profit_factor", "expectancy"):
             assert g[c] == pytest.approx(w[c], rel=1e-9, nan_ok=True), c
     assert sum(w["num_trades"] for w in want) > 100
+
+
+@pytest.mark.parametrize("rows", [64, 65_536])
+def test_tree_sweep_equals_copied_curves(make_bars, rows):
+    """Windows put together from tree nodes must give what copying each window gives; short series get a reason."""
+    rng = np.random.default_rng(21)
+    closes = 100 * np.cumprod(1 + rng.normal(0.0003, 0.012, 500))
+    b = make_bars(closes.tolist(), opens=(closes * (1 + rng.normal(0, 0.003, 500))).tolist()).union(make_bars([100.0] * 50, "BBB"))
+    b = b.withColumns({"timeframe": F.lit("1D"), "w0": F.expr("CAST((ord * 7 % 11) % 3 - 1 AS DOUBLE)"), "w1": F.expr("IF(ord > 290, 1D, 0D)")})
+    got = wf.sweep_walk_forward(b.withColumn("weights", F.array("w0", "w1")), {"1D": (200, 80, 30)}, [{"v": "w0"}, {"v": "w1"}], rows=rows).collect()
+    assert {(r["symbol"], r["v"], r["n_windows"], r["reason"]) for r in got} == {("AAA", "w0", 8, None), ("AAA", "w1", 8, None), ("BBB", "w0", 0, "shorter than one window"), ("BBB", "w1", 0, "shorter than one window")}
+    a = b.filter("symbol = 'AAA'")
+    for v in ("w0", "w1"):
+        d = a.withColumn("weight", F.col(v))
+        want = wf.walk_forward_summary(wf.walk_forward(d, 200, 80, 30, burn_in=10), d, 30).first()
+        g = next(r for r in got if r["symbol"] == "AAA" and r["v"] == v)
+        for c in ("mean_is_sharpe", "mean_oos_sharpe", "std_oos_sharpe", "mean_excess_sharpe", "chained_sharpe", "chained_cagr", "chained_maxdd", "chained_benchmark_sharpe", "chained_excess_sharpe"):
+            assert (g[c] is None) == (want[c] is None) and (want[c] is None or g[c] == pytest.approx(want[c], rel=1e-7, abs=1e-9)), (v, c)
+        assert g["robust"] == want["robust"]
+
+
+def test_cover_is_in_order_and_short():
+    from tidemark.plans.segment_tree import LEAST, cover
+
+    for lo, hi in ((0, 1), (3, 3), (5, 130), (0, 1 << 12), (77, 5000)):
+        at = lo
+        found = list(cover(lo, hi, 10))
+        for level, node in found:
+            assert node << level == at and (level == 0 or LEAST <= level <= 10)
+            at += 1 << level
+        assert at == max(lo, hi) and len(found) <= 2 * (10 + 2**LEAST) + (hi - lo >> 10)

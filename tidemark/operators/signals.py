@@ -206,6 +206,44 @@ def bollinger_rsi_double(
     return hold(_with(df, keys, max(n, reach((wilder_alpha(rsi_n), rsi_n))) + 1, build), keys=keys)
 
 
+def vwap_reversion_grid(df: DataFrame, thresholds, keys=SERIES) -> DataFrame:
+    """`vwap_reversion` at several thresholds: adds `weights`, an array in their order."""
+    d = scan(df, {"_pv": ("sum", ind.typical_price() * C("volume")), "_v": ("sum", "volume")}, keys)
+    vwap = C("_pv") / F.nullif(C("_v"), F.lit(0.0))
+    dev = (C("close") - vwap) / vwap
+    return d.withColumn("weights", F.array(*[mask_to_weight([(dev > t, -1.0), (dev < -t, 1.0)]) for t in thresholds])).drop("_pv", "_v")
+
+
+def bollinger_rsi_grid(df: DataFrame, rsi_lengths, bb_lengths, bb_mults, keys=SERIES) -> DataFrame:
+    """`bollinger_rsi_double` for all triples: adds `weights`, an array in order of length, length, multiple.
+
+    Each average is worked out once, and one scan carries all states.
+    """
+    triples = [(r, n, k) for r in rsi_lengths for n in bb_lengths for k in bb_mults]
+
+    def build(d, c):
+        for r in rsi_lengths:
+            d = add_rsi(d, c, f"_rsi{r}", r, no_loss=100.0)
+        d = ind.add_moments(d, c, {f"_{m}{n}": ("close", n, m) for n in bb_lengths for m in ("mean", "sd_pop")})
+        x, level = C("close"), F.lit(50.0)
+        lagged = {f"_rsi{r}": c.lag(f"_rsi{r}") for r in rsi_lengths} | {f"_{m}{n}": c.lag(f"_{m}{n}") for n in bb_lengths for m in ("mean", "sd_pop")}
+        d = d.withColumns({"_px": c.lag("close"), **{f"_p{k}": v for k, v in lagged.items()}})
+        out = {}
+        for i, (r, n, k) in enumerate(triples):
+            rsi, was = C(f"_rsi{r}"), C(f"_p_rsi{r}")
+            lo, lo_was = C(f"_mean{n}") - k * C(f"_sd_pop{n}"), C(f"_p_mean{n}") - k * C(f"_p_sd_pop{n}")
+            up, up_was = C(f"_mean{n}") + k * C(f"_sd_pop{n}"), C(f"_p_mean{n}") + k * C(f"_p_sd_pop{n}")
+            long = (rsi > level) & (was <= level) & (x > lo) & (C("_px") <= lo_was)
+            short = (rsi < level) & (was >= level) & (x < up) & (C("_px") >= up_was)
+            out[f"state{i}"] = states([(long, 1.0), (short, -1.0)])
+        return d.withColumns(out)
+
+    names = [f"state{i}" for i in range(len(triples))]
+    d = _with(df, keys, max(*bb_lengths, *[reach((wilder_alpha(r), r)) for r in rsi_lengths]) + 1, build)
+    d = scan(d, {f"w_{c}": ("last", c) for c in names}, keys)
+    return d.withColumn("weights", F.array(*[F.coalesce(f"w_{c}", F.lit(0.0)) for c in names])).drop(*names, *[f"w_{c}" for c in names])
+
+
 REGISTRY = {
     "buy_hold": buy_hold,
     "golden_cross": golden_cross,

@@ -169,3 +169,145 @@ def walk_forward(
     """Curves of all windows of bars with `weight`, ready for the tables above."""
     rows = window_rows(df, train, test, step, burn_in, keys)
     return segment_curves(rows, train, burn_in, commission_bps, slippage_bps, keys)
+
+
+def sweep_walk_forward(
+    df: DataFrame, lengths: dict[str, tuple[int, int, int]], variants: list[dict], timeframe: str = "timeframe",
+    commission_bps: float = 1.0, slippage_bps: float = 5.0, keys=("timeframe", "symbol"), least_trades: int = 5, rows: int | None = None,
+) -> DataFrame:
+    """Walk-forward of many variants of many series, with window lengths by timeframe.
+
+    `df` has ts, ord, open, close and `weights`, one per variant. Windows are as in `walk_forward` with a
+    burn-in: test slices start with the position held before them, training slices start flat. No
+    curve is copied: a slice is put together from the nodes of `segment_tree` that cover it, for all
+    variants at once; only its first two bars are worked out by themselves. The chained result is the joined
+    segments of the first `step` bars of each test slice.
+
+    One row per series and variant: the columns of `variants`, n_bars, n_windows, the window summary of
+    `aggregate_windows`, n_low_confidence, chained_sharpe, chained_cagr, chained_maxdd,
+    chained_benchmark_sharpe, chained_excess_sharpe, has_edge, and `reason` where a series is too short
+    or its timeframe has no lengths.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.plans.segment_tree import Piece, cover, joined, segment_tree, top_level
+    from tidemark.plans.series import merge_segments
+    from tidemark.session import stage
+
+    keys, spark, n_variants = list(keys), df.sparkSession, len(variants)
+    top, rate = top_level(rows), (commission_bps + slippage_bps) / 1e4
+    tree = stage(segment_tree(df, commission_bps, slippage_bps, keys, rows), "segment-tree")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"))
+    table = spark.createDataFrame([(k, *v) for k, v in lengths.items()], f"{timeframe} string, _train int, _test int, _step int")
+    sizes = stage(sizes.join(table, timeframe, "left"), "sizes")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema if f.name in keys)
+
+    def pieces(batches):
+        """The bars and nodes that each window needs, by tag: first bars, training slice, chained and other part of the test slice."""
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                train, test, step = (int(row[c]) for c in ("_train", "_test", "_step"))
+                chained = min(step, test - 1)
+                for k in range((int(row["n_bars"]) - train - test) // step + 1):
+                    a = k * step
+                    p, e = a + train, a + train + test
+                    parts = [("a", a, a + 1), ("a1", a + 1, a + 2), ("train", a + 2, p), ("p", p, p + 1), ("p1", p + 1, p + 2)]
+                    parts += [("chain", p + 2, p + chained + 1), ("rest", p + chained + 1, e), ("last", e - 1, e), ("end", p + chained, p + chained + 1)]
+                    found = [(tag, i, *x) for tag, lo, hi in parts for i, x in enumerate(cover(lo, hi, top))]
+                    out = pd.DataFrame(found, columns=["tag", "at", "level", "node"])
+                    for c in keys:
+                        out[c] = row[c]
+                    out["window"] = k + 1
+                    yield out[[*keys, "window", "tag", "at", "level", "node"]]
+
+    some = sizes.filter(C("n_bars") >= C("_train") + C("_test"))
+    needed = some.mapInPandas(pieces, f"{types}, window bigint, tag string, at int, level int, node bigint")
+    held = needed.join(tree, [*keys, "level", "node"])
+
+    def ratio(s, q, n):
+        """Mean over sample deviation; null without one."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = s / n
+            var = np.maximum(0.0, q - n * mean * mean) / (n - 1) if n > 1 else np.full_like(mean, np.nan)
+            return np.where(var > 0, mean / np.sqrt(var), np.nan)
+
+    def window(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        by: dict[str, list] = {t: [] for t in ("a", "a1", "train", "p", "p1", "chain", "rest", "last", "end")}
+        for tag, level, body, asset in zip(pdf["tag"], pdf["level"], pdf["body"], pdf["asset"]):
+            by[tag].append(Piece(level, body, asset))
+        a, a1, p, p1, last, end = (by[t][0] for t in ("a", "a1", "p", "p1", "last", "end"))
+        start = a.w * a1.day - np.abs(a.w) * rate  # from flat into the first weight
+        train, _, n = joined(by["train"], n_variants)
+        test, sums, m = joined([p1, *by["chain"], *by["rest"]], n_variants)
+        chain, chain_sums, length = joined(by["chain"] if int(pdf["window"].iloc[0]) == 1 else [p1, *by["chain"]], n_variants)
+        weight = np.clip((test["weight"] + p.w) / (m + 1), -1, 1)
+        cost = test["moved"] / m * rate
+        active = (test["gross"] + np.abs(p.w)) / (m + 1) > 1e-9
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = np.sqrt(max(0.0, sums[1] - sums[0] ** 2 / m) / (m - 1)) * np.abs(weight)
+            bench = np.where(active & (spread > 0), (weight * sums[0] / m - cost) / spread, np.nan)
+        first = weight * p1.asset - cost
+        own, square, bars = chain_sums[0], chain_sums[1], length
+        if int(pdf["window"].iloc[0]) == 1:
+            own, square, bars = own + p1.asset, square + p1.asset**2, bars + 1
+        out = pd.DataFrame(
+            {
+                "variant": np.arange(n_variants), "is_ratio": ratio(train["s"] + start, train["q"] + start**2, n + 1), "oos_ratio": ratio(test["s"], test["q"], m),
+                "bm_ratio": bench, "trades": (p.w != 0) + test["changes"] - last.seg["changes"], "from": p1.time, "to": end.time, "n": length,
+                **{c: chain[c] for c in ("s", "q", "growth", "low", "high", "dd")},
+                "bm_n": np.where(active, bars, 0), "bm_s": np.where(active, weight * own - cost * bars, 0.0),
+                "bm_q": np.where(active, weight**2 * square - 2 * weight * cost * own + cost**2 * bars, 0.0), "bm_first": np.where(active, first, np.nan),
+            }
+        )
+        for c in [*keys, "window"]:
+            out[c] = pdf[c].iloc[0]
+        return out[cols]
+
+    doubles = ["is_ratio", "oos_ratio", "bm_ratio", "trades", "from", "to", "s", "q", "growth", "low", "high", "dd", "bm_s", "bm_q", "bm_first"]
+    cols = [*keys, "window", "variant", "n", "bm_n", *doubles]
+    found = held.groupBy(*keys, "window").applyInPandas(window, f"{types}, window bigint, variant bigint, n bigint, bm_n bigint, {', '.join(f'`{c}` double' for c in doubles)}")
+    found = stage(found, "window-sweep")
+    by = [*keys, "variant"]
+    known = lambda c: F.when(~F.isnan(c), C(c))
+    ppy = inferred_ppy(df, keys)
+    per = found.join(ppy, keys).select(
+        *by, (known("is_ratio") * F.sqrt("ppy")).alias("is_sharpe"), (known("oos_ratio") * F.sqrt("ppy")).alias("oos_sharpe"),
+        ((known("oos_ratio") - known("bm_ratio")) * F.sqrt("ppy")).alias("oos_excess_sharpe"), "trades",
+    )
+    agg = aggregate_windows(per, by).join(per.groupBy(*by).agg(F.count_if(C("trades") < least_trades).alias("n_low_confidence")), by)
+    path = merge_segments(found, by, "window")
+    more = found.groupBy(*by).agg(
+        F.min("from").alias("_from"), F.max("to").alias("_to"), F.sum("bm_n").alias("_bn"), F.sum("bm_s").alias("_bs"), F.sum("bm_q").alias("_bq"),
+        F.min_by("bm_first", F.when(C("bm_n") > 0, C("window"))).alias("_bf"),
+    )
+
+    def sharpe(n, s, q):
+        mean = s / nz(n)
+        return mean / nz(F.sqrt(F.greatest(F.lit(0.0), q - n * mean * mean) / nz(n - 1))) * F.sqrt("ppy")
+
+    days = F.floor((C("_to") - C("_from")) / 86_400_000_000)
+    years = F.when(days > 0, days / 365.25).otherwise(C("n") / C("ppy"))
+    enough = C("n") >= 2
+    bench = sharpe(C("_bn") - 1, C("_bs") - C("_bf"), C("_bq") - C("_bf") * C("_bf"))
+    chained = path.join(more, by).join(ppy, keys).select(
+        *by, F.when(enough, sharpe(C("n"), C("s"), C("q"))).alias("chained_sharpe"), F.when(enough, F.pow("growth", 1 / years) - 1).alias("chained_cagr"),
+        F.when(enough, F.least(F.lit(0.0), C("dd"), C("low") - 1)).alias("chained_maxdd"), F.when(C("_bn") >= 3, bench).alias("chained_benchmark_sharpe"),
+    )
+    names = spark.createDataFrame([(i, *v.values()) for i, v in enumerate(variants)], ", ".join(["variant long", *[f"`{k}` {'string' if isinstance(x, str) else 'double'}" for k, x in _kinds(variants).items()]]))
+    every = sizes.withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_variants - 1).cast("long"))))
+    excess = C("chained_sharpe") - C("chained_benchmark_sharpe")
+    reason = F.when(C("_train").isNull(), "no window lengths for its timeframe").when(C("n_bars") < C("_train") + C("_test"), "shorter than one window")
+    return (
+        every.join(agg, by, "left").join(chained, by, "left").join(names, "variant")
+        .withColumns({"reason": reason, "chained_excess_sharpe": excess, "has_edge": F.coalesce(excess > 0.20, F.lit(False))})
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_windows", "n_low_confidence")})
+        .withColumn("robust", F.coalesce("robust", F.lit(False)))
+        .drop("_train", "_test", "_step")
+    )
+
+
+def _kinds(rows: list[dict]) -> dict:
+    """A value of each column of `rows` that is not null."""
+    return {k: next((r[k] for r in rows if r[k] is not None), 0.0) for k in rows[0]}
