@@ -52,9 +52,40 @@ def _(spark, sf):
     return out(rs.bootstrap_iid(gold_equity(spark, sf), SIMS), "symbol", **_SUM)
 
 
-@query("op_K3_bootstrap_block", BOOT + block_sql("block", 20) + OBS_SQL + PATH_SQL + SUM_SQL)
+BLOCK_SIMS = 1000
+_BAR = "{'s': x, 'q': x*x, 'g': 1+x, 'lo': 1+x, 'hi': 1+x, 'dd': 0.0::DOUBLE}"
+_FLAT = "{'s': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'g': 1.0::DOUBLE, 'lo': 1.0::DOUBLE, 'hi': 1.0::DOUBLE, 'dd': 0.0::DOUBLE}"
+_JOIN = "lambda a, b: {'s': a.s+b.s, 'q': a.q+b.q, 'g': a.g*b.g, 'lo': least(a.lo, a.g*b.lo), 'hi': greatest(a.hi, a.g*b.hi), 'dd': least(a.dd, b.dd, a.g*b.lo/a.hi-1)}"
+
+
+def block_path_sql(stream: str, b: int, skip_first: bool = False, x: str = "x", least: int | None = None) -> str:
+    """`pt`: symbol, sim and `p`, the joined segments of its blocks. Whole blocks are looked up by start, others folded bar by bar."""
+    bars_of = lambda take: f"list_transform(xs[:{take}], lambda x: {_BAR})"
+    first = f"list_concat([{_FLAT}], list_transform(xs[2:take], lambda x: {_BAR}))" if skip_first else bars_of("take")
+    return f""", us AS MATERIALIZED (SELECT sim, k, {U(stream, 'sim', 'k')} AS u FROM (SELECT unnest(generate_series(0,{BLOCK_SIMS - 1})) AS sim), (SELECT unnest(generate_series(0,(SELECT ceil(max(n)/{b}.0)::BIGINT FROM sz)-1)) AS k)),
+ bl AS (SELECT symbol, sim, k, floor(u*(n-{b}))::BIGINT AS start, least({b}, n-k*{b}) AS take FROM sz JOIN us ON k<ceil(n/{b}.0) WHERE n>={least or b + 1}),
+ st0 AS (SELECT symbol, idx AS start, list(x) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN CURRENT ROW AND {b - 1} FOLLOWING) AS xs FROM {x}),
+ st AS MATERIALIZED (SELECT symbol, start, xs, list_reduce({bars_of(b)}, {_JOIN}) AS seg FROM st0),
+ pt AS MATERIALIZED (SELECT symbol, sim, list_reduce(list(g ORDER BY k), {_JOIN}) AS p FROM (
+  SELECT symbol, sim, k, seg AS g FROM bl JOIN st USING (symbol, start) WHERE take={b} AND k>={int(skip_first)}
+  UNION ALL SELECT symbol, sim, k, list_reduce({bars_of('take')}, {_JOIN}) FROM bl JOIN st USING (symbol, start) WHERE take<{b} AND k>={int(skip_first)}
+  {f"UNION ALL SELECT symbol, sim, k, list_reduce({first}, {_JOIN}) FROM bl JOIN st USING (symbol, start) WHERE k=0" if skip_first else ''}) GROUP BY symbol, sim)"""
+
+
+def REASON(n: int) -> str:
+    return f"CASE WHEN n<{n} THEN 'fewer than {n} returns' END AS reason"
+
+
+_SD = lambda n: f"nullif(sqrt(greatest(0,p.q-({n})*(p.s/({n}))*(p.s/({n})))/(({n})-1)),0)"
+BASE = EQ + PPY_SQL + X_SQL
+K3_SQL = BASE + OBS_SQL + block_path_sql("block", 20, skip_first=True) + f""", ss AS (SELECT symbol, p.s/(n-1)/{_SD('n-1')}*sqrt(ppy) AS s, pow(p.g, ppy/(n-1))-1 AS c, p.dd AS d FROM pt JOIN sz USING (symbol) JOIN pp USING (symbol)),
+ sm AS (SELECT symbol, avg(s) AS a, stddev_pop(s) AS b, quantile_cont(s,0.05) AS p05, quantile_cont(s,0.5) AS p50, quantile_cont(s,0.95) AS p95, avg((s>=rs)::INT) AS ps, avg((c>=rc)::INT) AS pc, avg((d<=-0.5)::INT) AS pr FROM ss JOIN ob USING (symbol) GROUP BY symbol)
+ SELECT symbol, {R('rs')} AS real_sharpe, {R('rc', 6)} AS real_cagr, {R('rd', 6)} AS real_maxdd, {R('a')} AS sharpe_mean, {R('b')} AS sharpe_std, {R('p05')} AS sharpe_p05, {R('p50')} AS sharpe_p50, {R('p95')} AS sharpe_p95, {R('ps', 6)} AS p_value_sharpe, {R('pc', 6)} AS p_value_cagr, {R('pr', 6)} AS prob_ruin, {REASON(21)} FROM ob JOIN sz USING (symbol) LEFT JOIN sm USING (symbol)"""
+
+
+@query("op_K3_bootstrap_block", K3_SQL)
 def _(spark, sf):
-    return out(rs.bootstrap_block(gold_equity(spark, sf), SIMS, 20), "symbol", **_SUM)
+    return out(rs.bootstrap_block(gold_equity(spark, sf), BLOCK_SIMS, 20), "symbol", "reason", **_SUM)
 
 
 @query("op_D10_bootstrap_gather", BOOT + IID_SQL + f" SELECT symbol, sim, count(*) AS n, {R('sum(x)', 8)} AS sum_x FROM dr GROUP BY symbol, sim")
@@ -64,18 +95,19 @@ def _(spark, sf):
     return out(g, "symbol", "sim", "n", sum_x=8)
 
 
-NULL_SQL = f""", mu AS (SELECT symbol, avg(x) AS m, coalesce(avg(x)/nullif(stddev_samp(x),0),0) AS o FROM x GROUP BY symbol), xz AS MATERIALIZED (SELECT symbol, idx, x-m AS x FROM x JOIN mu USING (symbol)){block_sql('null', 20, 'xz')},
- ns AS (SELECT symbol, sim, coalesce(avg(x)/nullif(stddev_samp(x),0),0)*sqrt(any_value(ppy)) AS s, any_value(o)*sqrt(any_value(ppy)) AS o FROM dr JOIN pp USING (symbol) JOIN mu USING (symbol) GROUP BY symbol, sim)"""
+NULL_SQL = f""", mu AS (SELECT symbol, avg(x) AS m, coalesce(avg(x)/nullif(stddev_samp(x),0),0) AS o FROM x GROUP BY symbol), xz AS MATERIALIZED (SELECT symbol, idx, x-m AS x FROM x JOIN mu USING (symbol)){block_path_sql('null', 20, x='xz')},
+ ns AS (SELECT symbol, sim, coalesce(p.s/n/{_SD('n')},0)*sqrt(ppy) AS s, o*sqrt(ppy) AS o FROM pt JOIN sz USING (symbol) JOIN pp USING (symbol) JOIN mu USING (symbol)),
+ nn AS (SELECT symbol, avg(s) AS a, stddev_pop(s) AS b, quantile_cont(s,0.05) AS p05, quantile_cont(s,0.95) AS p95, avg((s>=o)::INT) AS p1, avg((abs(s)>=abs(o))::INT) AS p2 FROM ns GROUP BY symbol)"""
 
 
 @query(
     "op_K4_bootstrap_null",
-    BOOT + NULL_SQL + f""" SELECT symbol, {R('any_value(o)')} AS observed_sharpe, {R('avg(s)')} AS null_sharpe_mean, {R('stddev_pop(s)')} AS null_sharpe_std, {R('quantile_cont(s,0.05)')} AS null_sharpe_p05, {R('quantile_cont(s,0.95)')} AS null_sharpe_p95,
- {R('avg((s>=o)::INT)', 6)} AS p_value_one_sided, {R('avg((abs(s)>=abs(o))::INT)', 6)} AS p_value_two_sided FROM ns GROUP BY symbol""",
+    BASE + NULL_SQL + f""" SELECT symbol, {R('mu.o*sqrt(ppy)')} AS observed_sharpe, {R('a')} AS null_sharpe_mean, {R('b')} AS null_sharpe_std, {R('p05')} AS null_sharpe_p05, {R('p95')} AS null_sharpe_p95,
+ {R('p1', 6)} AS p_value_one_sided, {R('p2', 6)} AS p_value_two_sided, {REASON(21)} FROM mu JOIN sz USING (symbol) JOIN pp USING (symbol) LEFT JOIN nn USING (symbol)""",
 )
 def _(spark, sf):
-    d = rs.bootstrap_null(gold_equity(spark, sf), SIMS, 20)
-    return out(d, "symbol", observed_sharpe=4, null_sharpe_mean=4, null_sharpe_std=4, null_sharpe_p05=4, null_sharpe_p95=4, p_value_one_sided=6, p_value_two_sided=6)
+    d = rs.bootstrap_null(gold_equity(spark, sf), BLOCK_SIMS, 20)
+    return out(d, "symbol", "reason", observed_sharpe=4, null_sharpe_mean=4, null_sharpe_std=4, null_sharpe_p05=4, null_sharpe_p95=4, p_value_one_sided=6, p_value_two_sided=6)
 
 
 TX_SQL = FILL_SQL + TRADE_SQL + """, x AS MATERIALIZED (SELECT symbol, pnl/(qty*entry_price) AS x, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, exit_ord, trade)-1 AS idx FROM tr), sz AS (SELECT symbol, count(*) AS n FROM x GROUP BY symbol HAVING count(*)>=MIN),
@@ -141,18 +173,21 @@ def _(spark, sf):
     return out(rs.path_bands(paths(spark, sf)), "symbol", "ord", p05=6, p25=6, p50=6, p75=6, p95=6)
 
 
-@query("op_K9_path_outcomes", PATHS + f" SELECT symbol, sim, {R('arg_max(e,i)', 6)} AS terminal, {R('min(dd)', 6)} AS maxdd FROM pq GROUP BY symbol, sim")
+OUTCOMES = BASE + block_path_sql("paths", 20, least=60)
+
+
+@query("op_K9_path_outcomes", OUTCOMES + f" SELECT symbol, sim, {R('p.g', 6)} AS terminal, {R('p.dd', 6)} AS maxdd, {REASON(60)} FROM sz LEFT JOIN pt USING (symbol)")
 def _(spark, sf):
-    return out(rs.path_outcomes(gold_equity(spark, sf), SIMS, 20), "symbol", "sim", terminal=6, maxdd=6)
+    return out(rs.path_outcomes(gold_equity(spark, sf), BLOCK_SIMS, 20), "symbol", "sim", "reason", terminal=6, maxdd=6)
 
 
 @query(
     "op_K10_marker_percentiles",
-    PATHS + f", oc AS (SELECT symbol, sim, arg_max(e,i) AS terminal, min(dd) AS maxdd FROM pq GROUP BY symbol, sim) SELECT symbol, {', '.join(R(f'quantile_cont({c},{p/100})', 6) + f' AS {c}_p{p:02d}' for c in ('terminal', 'maxdd') for p in (5, 50, 95))} FROM oc GROUP BY symbol",
+    OUTCOMES + f", oc AS (SELECT symbol, p.g AS terminal, p.dd AS maxdd FROM pt), om AS (SELECT symbol, {', '.join(f'quantile_cont({c},{p/100}) AS {c}_p{p:02d}' for c in ('terminal', 'maxdd') for p in (5, 50, 95))} FROM oc GROUP BY symbol) SELECT symbol, {', '.join(R(f'{c}_p{p:02d}', 6) + f' AS {c}_p{p:02d}' for c in ('terminal', 'maxdd') for p in (5, 50, 95))}, {REASON(60)} FROM sz LEFT JOIN om USING (symbol)",
 )
 def _(spark, sf):
-    m = rs.marker_percentiles(rs.path_outcomes(gold_equity(spark, sf), SIMS, 20))
-    return out(m, "symbol", **{f"{c}_p{p:02d}": 6 for c in ("terminal", "maxdd") for p in (5, 50, 95)})
+    m = rs.marker_percentiles(rs.path_outcomes(gold_equity(spark, sf), BLOCK_SIMS, 20))
+    return out(m, "symbol", "reason", **{f"{c}_p{p:02d}": 6 for c in ("terminal", "maxdd") for p in (5, 50, 95)})
 
 
 STAT_SQL = f""", st0 AS (SELECT n, sim, unnest(generate_series(0,n-1)) AS i FROM sz, (SELECT unnest(generate_series(0,{{sims}}-1)) AS sim)), st1 AS (SELECT *, i=0 OR {U('new', 'sim', 'i')}<1.0/greatest(5.0,sqrt(n)) AS fresh, floor({U('start', 'sim', 'i')}*n)::BIGINT AS s FROM st0),
@@ -473,13 +508,13 @@ TARGET = "symbol IN (SELECT symbol FROM b GROUP BY symbol HAVING count(*)%3=0)"
 
 @query(
     "op_K22_targeted_validation",
-    EQ.replace("FROM i)", f"FROM i WHERE {TARGET})", 1) + PPY_SQL + X_SQL + SIMS_SQL + NULL_SQL + f" SELECT symbol, {R('any_value(o)')} AS observed_sharpe, {R('avg((s>=o)::INT)', 6)} AS p_value_one_sided FROM ns GROUP BY symbol",
+    EQ.replace("FROM i)", f"FROM i WHERE {TARGET})", 1) + PPY_SQL + X_SQL + NULL_SQL + f" SELECT symbol, {R('any_value(o)')} AS observed_sharpe, {R('avg((s>=o)::INT)', 6)} AS p_value_one_sided FROM ns GROUP BY symbol",
 )
 def _(spark, sf):
     """Null bootstrap only for the assets on a target list, a semi-join before any resampling."""
     targets = bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n % 3 = 0")
     e = gold_equity(spark, sf).join(targets, "symbol", "left_semi")
-    return out(rs.bootstrap_null(e, SIMS, 20), "symbol", observed_sharpe=4, p_value_one_sided=6)
+    return out(rs.bootstrap_null(e, BLOCK_SIMS, 20), "symbol", observed_sharpe=4, p_value_one_sided=6)
 
 
 @query(

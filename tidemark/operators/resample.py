@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.rng import uniform
+from tidemark.operators.blocks import block_paths
 from tidemark.operators.metrics import nz, span_days
 from tidemark.operators.pnl import next_open_returns
 from tidemark.operators.quality import micros
-from tidemark.plans.series import SERIES, array_segment, equity_scan, on_chunks, path_summary, scan, split_series, summarize_segments, with_ordinal
+from tidemark.plans.series import SERIES, equity_scan, on_chunks, path_summary, scan, split_series, with_ordinal
 from tidemark.session import stage
 
 C = F.col
@@ -139,17 +140,6 @@ def _sim_metrics(g: DataFrame, equity: DataFrame, keys) -> DataFrame:
     )
 
 
-def _block_segments(equity: DataFrame, n_sims: int, block: int, seed: int, stream: str, keys, skip_first: bool) -> DataFrame:
-    """Path segments of drawn blocks, in block order."""
-    x = indexed_returns(equity, keys)
-    sizes = sample_sizes(x, keys).filter(C("n") >= (3 * block if stream == "paths" else 0))
-    d = gather_blocks(block_starts(sizes, n_sims, block, seed, stream), x, block, keys)
-    xs = C("xs")
-    if skip_first:
-        xs = F.when(C("k") == 0, F.transform(xs, lambda v, i: F.when(i > 0, v))).otherwise(xs)
-    return d.select(*keys, "sim", C("k").alias("ord"), array_segment(xs).alias("_g")).select(*keys, "sim", "ord", "_g.*")
-
-
 def _summary(sims: DataFrame, observed: DataFrame, keys) -> DataFrame:
     """Reduce simulations; their number is set by the caller, so percentiles are small."""
     keys = list(keys)
@@ -179,12 +169,32 @@ def bootstrap_iid(equity: DataFrame, n_sims: int = 5000, seed: int = 42, keys=SE
     return _summary(sims, _observed(equity, keys), keys)
 
 
+def too_short(sizes: DataFrame, least: int) -> DataFrame:
+    """`sizes` with `reason`, null for series of `least` values or more."""
+    return sizes.withColumn("reason", F.when(C("n") < least, F.lit(f"fewer than {least} returns")))
+
+
+def _moments(paths: DataFrame) -> DataFrame:
+    """Paths with mean and sd of their returns."""
+    mean = C("s") / nz("n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), C("q") - C("n") * mean * mean) / nz(C("n") - 1))
+    return paths.withColumns({"mean": mean, "sd": sd})
+
+
 def bootstrap_block(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
-    """Blocks of neighbouring returns; each drawn block becomes one path segment."""
+    """Blocks of neighbouring returns, looked up by start. A series of `block` returns or fewer has no simulations, and a reason."""
     keys = list(keys)
-    segments = _block_segments(equity, n_sims, block, seed, "block", keys, skip_first=True)
-    sims = _sim_metrics(summarize_segments(segments, [*keys, "sim"]), equity, keys)
-    return _summary(sims, _observed(equity, keys), keys)
+    x = indexed_returns(equity, keys)
+    sizes = sample_sizes(x, keys)
+    paths = _moments(block_paths(x, sizes, n_sims, block, seed, "block", keys, skip_first=True)).withColumnRenamed("dd", "max_drawdown")
+    found = _summary(_sim_metrics(paths, equity, keys), _observed(equity, keys), keys)
+    return _with_all(_observed(equity, keys).select(*keys, "real_sharpe", "real_cagr", "real_maxdd"), found, too_short(sizes, block + 1), keys)
+
+
+def _with_all(every: DataFrame, found: DataFrame, sizes: DataFrame, keys) -> DataFrame:
+    """`found` completed by the series of `every` that it lacks, with their `reason`."""
+    both = [c for c in every.columns if c in found.columns and c not in keys]
+    return every.join(found.drop(*both), list(keys), "left").join(sizes.select(*keys, "reason"), list(keys), "left")
 
 
 def exact_moments(x: Column, square: Column, n: Column) -> tuple[Column, Column]:
@@ -197,25 +207,18 @@ def exact_moments(x: Column, square: Column, n: Column) -> tuple[Column, Column]
 def bootstrap_null(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
     """Blocks of de-meaned returns: how often a world without drift reaches the Sharpe ratio.
 
-    Only means and deviations are needed, so each drawn block is reduced to its count and
-    sums inside its row. Sums add up as decimals, which no order of arrival can change.
+    The mean is added up in decimals, which no order of arrival can change, and blocks of a path in their
+    order. A series of `block` returns or fewer has its own ratio, no simulations and a reason.
     """
     keys = list(keys)
     x = indexed_returns(equity, keys)
     m, s = exact_moments(C("x"), C("x") * C("x"), F.count("x"))
-    mean = x.groupBy(*keys).agg(m.alias("_mean"), (m / nz(s)).alias("_obs"))
-    flat = x.join(mean, keys).withColumn("x", C("x") - C("_mean"))
-    drawn = gather_blocks(block_starts(sample_sizes(x, keys), n_sims, block, seed, "null"), flat, block, keys)
-    add = lambda f: F.aggregate("xs", F.lit(0.0), lambda acc, v: acc + f(v))
-    blocks = drawn.select(*keys, "sim", F.size("xs").alias("_n"), add(lambda v: v).alias("_a"), add(lambda v: v * v).alias("_b"))
-    ppy = inferred_ppy(equity, keys)
-    m, s = exact_moments(C("_a"), C("_b"), F.sum("_n"))
-    sims = blocks.groupBy(*keys, "sim").agg(F.coalesce(m / nz(s), F.lit(0.0)).alias("_s"))
-    sims = sims.join(ppy, keys).join(mean, keys).select(
-        *keys, (C("_s") * F.sqrt("ppy")).alias("s"), (F.coalesce("_obs", F.lit(0.0)) * F.sqrt("ppy")).alias("o")
-    )
-    return sims.groupBy(*keys).agg(
-        F.first("o").alias("observed_sharpe"),
+    mean = stage(x.groupBy(*keys).agg(m.alias("_mean"), (m / nz(s)).alias("_obs"), F.count(F.lit(1)).alias("n")), "means")
+    flat = x.join(mean.select(*keys, "_mean"), keys).withColumn("x", C("x") - C("_mean")).drop("_mean")
+    paths = _moments(block_paths(flat, mean, n_sims, block, seed, "null", keys))
+    own = mean.join(inferred_ppy(equity, keys), keys).withColumn("o", F.coalesce("_obs", F.lit(0.0)) * F.sqrt("ppy")).select(*keys, "n", "ppy", "o")
+    sims = paths.join(own.drop("n"), keys).withColumn("s", F.coalesce(C("mean") / nz("sd"), F.lit(0.0)) * F.sqrt("ppy"))
+    found = sims.groupBy(*keys).agg(
         F.avg("s").alias("null_sharpe_mean"),
         F.stddev_pop("s").alias("null_sharpe_std"),
         F.percentile("s", 0.05).alias("null_sharpe_p05"),
@@ -223,6 +226,7 @@ def bootstrap_null(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed:
         F.avg((C("s") >= C("o")).cast("double")).alias("p_value_one_sided"),
         F.avg((F.abs("s") >= F.abs("o")).cast("double")).alias("p_value_two_sided"),
     )
+    return _with_all(own.select(*keys, C("o").alias("observed_sharpe")), found, too_short(mean, block + 1), keys)
 
 
 def trade_years(trades: DataFrame, keys=SERIES) -> DataFrame:
@@ -397,10 +401,16 @@ def path_bands(paths: DataFrame, max_bars: int = 400, keys=SERIES) -> DataFrame:
 
 
 def path_outcomes(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
-    """Terminal wealth and largest drawdown per simulation of `simulated_paths`, without building the curves."""
+    """Terminal wealth and largest drawdown per simulation of `simulated_paths`, without building the curves.
+
+    A series of fewer than three blocks has one row without a simulation, and a reason.
+    """
     keys = list(keys)
-    g = summarize_segments(_block_segments(equity, n_sims, block, seed, "paths", keys, skip_first=False), [*keys, "sim"])
-    return g.select(*keys, "sim", C("growth").alias("terminal"), C("max_drawdown").alias("maxdd"))
+    x = indexed_returns(equity, keys)
+    sizes = too_short(sample_sizes(x, keys), 3 * block)
+    g = block_paths(x, sizes.filter(C("reason").isNull()), n_sims, block, seed, "paths", keys)
+    g = g.select(*keys, "sim", C("growth").alias("terminal"), C("dd").alias("maxdd"))
+    return sizes.select(*keys, "reason").join(g, keys, "left").select(*keys, "sim", "terminal", "maxdd", "reason")
 
 
 def sampled_paths(paths: DataFrame, n_paths: int, n_sims: int, max_bars: int = 400, seed: int = 42) -> DataFrame:
@@ -410,8 +420,9 @@ def sampled_paths(paths: DataFrame, n_paths: int, n_sims: int, max_bars: int = 4
 
 
 def marker_percentiles(outcomes: DataFrame, keys=SERIES) -> DataFrame:
+    """Percentiles over simulations per series; a series without any keeps its reason."""
     return outcomes.groupBy(*keys).agg(
-        *[F.percentile(c, p / 100).alias(f"{c}_p{p:02d}") for c in ("terminal", "maxdd") for p in (5, 50, 95)]
+        *[F.percentile(c, p / 100).alias(f"{c}_p{p:02d}") for c in ("terminal", "maxdd") for p in (5, 50, 95)], F.first("reason").alias("reason")
     )
 
 
