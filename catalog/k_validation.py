@@ -47,11 +47,6 @@ _SUM = dict(real_sharpe=4, real_cagr=6, real_maxdd=6, sharpe_mean=4, sharpe_std=
 BOOT = EQ + PPY_SQL + X_SQL + SIMS_SQL
 
 
-@query("op_K2_bootstrap_iid", BOOT + IID_SQL + OBS_SQL + PATH_SQL + SUM_SQL)
-def _(spark, sf):
-    return out(rs.bootstrap_iid(gold_equity(spark, sf), SIMS), "symbol", **_SUM)
-
-
 BLOCK_SIMS = 1000
 _BAR = "{'s': x, 'q': x*x, 'g': 1+x, 'lo': 1+x, 'hi': 1+x, 'dd': 0.0::DOUBLE}"
 _FLAT = "{'s': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'g': 1.0::DOUBLE, 'lo': 1.0::DOUBLE, 'hi': 1.0::DOUBLE, 'dd': 0.0::DOUBLE}"
@@ -83,6 +78,21 @@ K3_SQL = BASE + OBS_SQL + block_path_sql("block", 20, skip_first=True) + f""", s
  SELECT symbol, {R('rs')} AS real_sharpe, {R('rc', 6)} AS real_cagr, {R('rd', 6)} AS real_maxdd, {R('a')} AS sharpe_mean, {R('b')} AS sharpe_std, {R('p05')} AS sharpe_p05, {R('p50')} AS sharpe_p50, {R('p95')} AS sharpe_p95, {R('ps', 6)} AS p_value_sharpe, {R('pc', 6)} AS p_value_cagr, {R('pr', 6)} AS prob_ruin, {REASON(21)} FROM ob JOIN sz USING (symbol) LEFT JOIN sm USING (symbol)"""
 
 
+def drawn_sql(stream: str, b: int | None, least: int, x: str = "x") -> str:
+    """`dl`: symbol, n, sim and ys, the drawn values in order."""
+    at = f"xs[floor(ul[i//{b}+1]*(n-{b}))::BIGINT+i%{b}+1]" if b else "xs[floor(ul[i+1]*n)::BIGINT+1]"
+    return f""", us AS MATERIALIZED (SELECT sim, list({U(stream, 'sim', 'k')} ORDER BY k) AS ul FROM (SELECT unnest(generate_series(0,{BLOCK_SIMS - 1})) AS sim), (SELECT unnest(generate_series(0,(SELECT max(n) FROM sz)-1)) AS k) GROUP BY sim),
+ xl AS MATERIALIZED (SELECT symbol, count(*) AS n, list(x ORDER BY idx) AS xs FROM {x} GROUP BY symbol HAVING count(*)>={least}), dl AS (SELECT symbol, n, sim, list_transform(range(n), lambda i: {at}) AS ys FROM xl, us)"""
+
+
+K2_SQL = BASE + OBS_SQL + drawn_sql("iid", None, 3) + f""", pt AS MATERIALIZED (SELECT symbol, sim, list_reduce(list_concat([{_FLAT}], list_transform(ys[2:], lambda x: {_BAR})), {_JOIN}) AS p FROM dl)""" + K3_SQL[K3_SQL.index(", ss AS (") :].replace(REASON(21), REASON(3))
+
+
+@query("op_K2_bootstrap_iid", K2_SQL)
+def _(spark, sf):
+    return out(rs.bootstrap_iid(gold_equity(spark, sf), BLOCK_SIMS), "symbol", "reason", **_SUM)
+
+
 @query("op_K3_bootstrap_block", K3_SQL)
 def _(spark, sf):
     return out(rs.bootstrap_block(gold_equity(spark, sf), BLOCK_SIMS, 20), "symbol", "reason", **_SUM)
@@ -111,11 +121,12 @@ def _(spark, sf):
 
 
 TX_SQL = FILL_SQL + TRADE_SQL + """, x AS MATERIALIZED (SELECT symbol, pnl/(qty*entry_price) AS x, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, exit_ord, trade)-1 AS idx FROM tr), sz AS (SELECT symbol, count(*) AS n FROM x GROUP BY symbol HAVING count(*)>=MIN),
- ty AS (SELECT symbol, CASE WHEN floor((epoch_us(max(exit_ts))-epoch_us(min(entry_ts)))/86400000000)>0 THEN floor((epoch_us(max(exit_ts))-epoch_us(min(entry_ts)))/86400000000)/365.25 ELSE count(*)*5/252.0 END AS years FROM tr GROUP BY symbol)""" + SIMS_SQL
+ ty AS (SELECT symbol, CASE WHEN floor((epoch_us(max(exit_ts))-epoch_us(min(entry_ts)))/86400000000)>0 THEN floor((epoch_us(max(exit_ts))-epoch_us(min(entry_ts)))/86400000000)/365.25 ELSE count(*)*5/252.0 END AS years FROM tr GROUP BY symbol)"""
 TS_SQL = f""", rl AS (SELECT symbol, coalesce(avg(x)/nullif(stddev_samp(x),0),0) AS rs, exp(sum(ln(1+x))) AS rf FROM x GROUP BY symbol),
- ts AS (SELECT symbol, sim, any_value(n) AS n, any_value(years) AS years, coalesce(avg(x/(1+x))/nullif(stddev_samp(x/(1+x)),0),0)*sqrt(any_value(n)/any_value(years)) AS s, exp(sum(ln(1+x))) AS f FROM dr JOIN ty USING (symbol) GROUP BY symbol, sim)
- SELECT symbol, any_value(n) AS n_trades, {R('any_value(years)', 6)} AS elapsed_years, {R('any_value(rs)*sqrt(any_value(n)/any_value(years))')} AS real_sharpe, {R('any_value(rf)', 6)} AS real_final_equity_mult, {R('avg(s)')} AS sharpe_mean, {R('quantile_cont(s,0.05)')} AS sharpe_p05, {R('quantile_cont(s,0.95)')} AS sharpe_p95,
- {R('avg((s>=rs*sqrt(n/years))::INT)', 6)} AS p_value_sharpe, {R('quantile_cont(f,0.05)', 6)} AS final_eq_p05, {R('quantile_cont(f,0.95)', 6)} AS final_eq_p95, {R('quantile_cont(pow(f,1/years)-1,0.05)', 6)} AS cagr_p05 FROM ts JOIN rl USING (symbol) GROUP BY symbol"""
+ ts AS MATERIALIZED (SELECT symbol, years, coalesce(list_avg(zs)/nullif(list_stddev_samp(zs),0),0)*sqrt(n/years) AS s, f FROM (SELECT symbol, n, years, list_transform(ys, lambda y: y/(1+y)) AS zs, exp(list_sum(list_transform(ys, lambda y: ln(1+y)))) AS f FROM dl JOIN ty USING (symbol))),
+ tq AS (SELECT symbol, avg(s) AS a, quantile_cont(s,0.05) AS p05, quantile_cont(s,0.95) AS p95, avg((s>=rs*sqrt(n/ts.years))::INT) AS ps, quantile_cont(f,0.05) AS f05, quantile_cont(f,0.95) AS f95, quantile_cont(pow(f,1/ts.years)-1,0.05) AS c05 FROM ts JOIN rl USING (symbol) JOIN sz USING (symbol) GROUP BY symbol)
+ SELECT symbol, n AS n_trades, {R('years', 6)} AS elapsed_years, {R('rs*sqrt(n/years)')} AS real_sharpe, {R('rf', 6)} AS real_final_equity_mult, {R('a')} AS sharpe_mean, {R('p05')} AS sharpe_p05, {R('p95')} AS sharpe_p95,
+ {R('ps', 6)} AS p_value_sharpe, {R('f05', 6)} AS final_eq_p05, {R('f95', 6)} AS final_eq_p95, {R('c05', 6)} AS cagr_p05, CASE WHEN n<LEAST THEN 'fewer than LEAST trades' END AS reason FROM sz JOIN ty USING (symbol) JOIN rl USING (symbol) LEFT JOIN tq USING (symbol)"""
 _TS = dict(elapsed_years=6, real_sharpe=4, real_final_equity_mult=6, sharpe_mean=4, sharpe_p05=4, sharpe_p95=4, p_value_sharpe=6, final_eq_p05=6, final_eq_p95=6, cagr_p05=6)
 
 
@@ -124,14 +135,14 @@ def ordered_trades(spark, sf):
     return staged_once(spark, (sf, "trades-ord"), lambda: with_ordinal(t, ["symbol"], ["exit_ts", "exit_ord", "trade"], time_bucket("exit_ts")))
 
 
-@query("op_K5_bootstrap_trades", TX_SQL.replace("MIN", "5") + IID_SQL.replace("'iid'", "'trade'") + TS_SQL)
+@query("op_K5_bootstrap_trades", TX_SQL.replace("MIN", "1") + drawn_sql("trade", None, 5) + TS_SQL.replace("LEAST", "5"))
 def _(spark, sf):
-    return out(rs.bootstrap_trades(ordered_trades(spark, sf), SIMS), "symbol", "n_trades", **_TS)
+    return out(rs.bootstrap_trades(ordered_trades(spark, sf), BLOCK_SIMS), "symbol", "n_trades", "reason", **_TS)
 
 
-@query("op_K6_bootstrap_trades_block", TX_SQL.replace("MIN", "5") + block_sql("tblock", 5) + TS_SQL)
+@query("op_K6_bootstrap_trades_block", TX_SQL.replace("MIN", "1") + drawn_sql("tblock", 5, 6) + TS_SQL.replace("LEAST", "6"))
 def _(spark, sf):
-    return out(rs.bootstrap_trades(ordered_trades(spark, sf), SIMS, 5), "symbol", "n_trades", **_TS)
+    return out(rs.bootstrap_trades(ordered_trades(spark, sf), BLOCK_SIMS, 5), "symbol", "n_trades", "reason", **_TS)
 
 
 @query("op_K7_trade_years", TX_SQL.replace("MIN", "1") + f" SELECT symbol, {R('years', 6)} AS years FROM ty")

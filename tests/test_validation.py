@@ -31,7 +31,7 @@ def test_null_bootstrap_is_centred_and_repeatable(equity):
     for again in (equity, equity.repartition(5)):
         b = rs.bootstrap_null(again, 200).first()
         assert b["p_value_one_sided"] == a["p_value_one_sided"]
-        assert b["symbol"] == a["symbol"] and list(b)[1:] == pytest.approx(list(a)[1:], rel=1e-9)
+        assert b["symbol"] == a["symbol"] and b["reason"] is None and list(b)[1:-1] == pytest.approx(list(a)[1:-1], rel=1e-9)
 
 
 def test_drawn_blocks_do_not_depend_on_partitions(equity):
@@ -235,3 +235,32 @@ def test_cover_is_in_order_and_short():
             assert node << level == at and (level == 0 or LEAST <= level <= 10)
             at += 1 << level
         assert at == max(lo, hi) and len(found) <= 2 * (10 + 2**LEAST) + (hi - lo >> 10)
+
+
+@pytest.mark.parametrize("block,whole", [(20, False), (5, False), (1, True)])
+def test_tiles_of_starts_give_the_same_paths(make_bars, monkeypatch, block, whole):
+    """Draws dealt to tiles and brought back must equal those looked up beside their series."""
+    from tidemark.operators import blocks
+
+    rng = np.random.default_rng(4)
+    b = make_bars(rng.normal(0, 0.01, 333).tolist()).union(make_bars(rng.normal(0, 0.01, 90).tolist(), "BBB"))
+    x = b.select("symbol", F.col("ord").alias("idx"), F.col("close").alias("x"))
+    run = lambda: {(r["symbol"], r["sim"]): list(r)[2:] for r in blocks.block_paths(x, rs.sample_sizes(x), 7, block, skip_first=True, wholly=whole).collect()}
+    want = run()
+    for k, v in {"TILE": 64, "SIMS": 3, "BLOCKS": 4}.items():
+        monkeypatch.setattr(blocks, k, v)
+    got = run()
+    assert set(got) == set(want) and len(got) == 14
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9), k
+
+
+def test_short_series_have_a_reason(make_bars):
+    from tidemark.operators.returns import asset_returns
+
+    rng = np.random.default_rng(5)
+    b = make_bars((100 * np.cumprod(1 + rng.normal(0, 0.01, 120))).tolist()).union(make_bars([100.0 + i % 3 for i in range(12)], "BBB"))
+    e = equity_scan(asset_returns(b))
+    for d, least in ((rs.bootstrap_iid(e, 5), 0), (rs.bootstrap_block(e, 5), 21), (rs.bootstrap_null(e, 5), 21), (rs.marker_percentiles(rs.path_outcomes(e, 5)), 60)):
+        reasons = {r["symbol"]: r["reason"] for r in d.collect()}
+        assert reasons == {"AAA": None, "BBB": f"fewer than {least} returns" if least else None}

@@ -64,15 +64,16 @@ def _looked_up(row, block: int, start: np.ndarray, k: np.ndarray, blocks: int, c
     return out
 
 
-def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, seed: int = 42, stream: str = "block", keys=SERIES, skip_first: bool = False) -> DataFrame:
+def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, seed: int = 42, stream: str = "block", keys=SERIES, skip_first: bool = False, wholly: bool = False) -> DataFrame:
     """keys, sim, n, s, q, growth, low, high, dd of each simulated path of series with more than `block` returns.
 
     `returns` has idx from 0 and x, `sizes` the series to simulate with their n. With `skip_first` the first draw
-    only sets the starting level and does not count.
+    only sets the starting level and does not count. Starts are drawn from n - block positions; `wholly` from all
+    n - block + 1 of them, so that blocks of one value are draws with replacement.
     """
     keys, spark = list(keys), returns.sparkSession
-    tile_rows = TILE
-    sizes = sizes.filter(C("n") > block).select(*keys, "n")
+    tile_rows = min(TILE, 2 * BLOCKS * block)
+    sizes = sizes.filter(C("n") > block - wholly).select(*keys, "n")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in returns.schema if f.name in keys)
     at = F.floor(C("idx") / tile_rows)
     spread = F.when(F.pmod(C("idx"), F.lit(tile_rows)) < block, F.array(at, at - 1)).otherwise(F.array(at))
@@ -95,16 +96,16 @@ def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, s
     draws = stage(draws.select("_part", "_run", F.transform("_u", lambda v: v["u"]).alias("u"), F.size(F.array_distinct(F.transform("_u", lambda v: v["sim"]))).alias("_sims")), "draws")
 
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.ceil(C("n") / block) - 1) / BLOCKS)))
-    # A series of one tile needs TILE / block draws of each simulation at most, whatever the table holds.
-    few = F.broadcast(draws.filter(C("_run") <= (TILE // block + 1) // BLOCKS))
-    tiles = F.ceil((C("n") - block) / tile_rows)
+    # A series of one tile needs tile_rows / block draws of each simulation at most, whatever the table holds.
+    few = F.broadcast(draws.filter(C("_run") <= (tile_rows // block + 1) // BLOCKS))
+    tiles = F.ceil((C("n") - block + int(wholly)) / tile_rows)
 
     def drawn(row, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(simulations x blocks) starts of a pack, its first block number, blocks of the path and values of the last one."""
         blocks = -(-n // block)
         first = int(row["_run"]) * BLOCKS
         u = np.asarray(row["u"]).reshape(int(row["_sims"]), -1)[:, : blocks - first]
-        return np.floor(u * (n - block)).astype(np.int64), first, blocks, n - (blocks - 1) * block
+        return np.floor(u * (n - block + wholly)).astype(np.int64), first, blocks, n - (blocks - 1) * block
 
     def path_rows(row, seg: dict, shape: tuple[int, int], first: int, blocks: int, n: int) -> pd.DataFrame:
         out = pd.DataFrame(chain({f: v.reshape(shape) for f, v in seg.items()}))

@@ -159,14 +159,15 @@ def _summary(sims: DataFrame, observed: DataFrame, keys) -> DataFrame:
 
 
 def bootstrap_iid(equity: DataFrame, n_sims: int = 5000, seed: int = 42, keys=SERIES) -> DataFrame:
-    """Single returns drawn with replacement. As in the curve metrics, the first draw only
-    sets the starting level."""
+    """Single returns drawn with replacement, as blocks of one. As in the curve metrics, the first draw only
+    sets the starting level. A series of fewer than three returns has no simulations, and a reason."""
     keys = list(keys)
     x = indexed_returns(equity, keys)
-    rows = gather(iid_draws(sample_sizes(x, keys), n_sims, seed), x, keys)
-    rows = rows.select(*keys, "sim", C("i").alias("ord"), F.when(C("i") > 0, C("x")).alias("r"))
-    sims = _sim_metrics(path_summary(rows, "r", [*keys, "sim"]), equity, keys)
-    return _summary(sims, _observed(equity, keys), keys)
+    sizes = too_short(sample_sizes(x, keys), 3)
+    paths = block_paths(x, sizes.filter(C("reason").isNull()), n_sims, 1, seed, "iid", keys, skip_first=True, wholly=True)
+    observed = _observed(equity, keys)
+    found = _summary(_sim_metrics(_moments(paths).withColumnRenamed("dd", "max_drawdown"), equity, keys), observed, keys)
+    return _with_all(observed.select(*keys, "real_sharpe", "real_cagr", "real_maxdd"), found, sizes, keys)
 
 
 def too_short(sizes: DataFrame, least: int) -> DataFrame:
@@ -175,9 +176,10 @@ def too_short(sizes: DataFrame, least: int) -> DataFrame:
 
 
 def _moments(paths: DataFrame) -> DataFrame:
-    """Paths with mean and sd of their returns."""
+    """Paths with mean and sd of their returns; what sums of squares cannot tell from equal returns has no spread."""
     mean = C("s") / nz("n")
-    sd = F.sqrt(F.greatest(F.lit(0.0), C("q") - C("n") * mean * mean) / nz(C("n") - 1))
+    around = C("q") - C("n") * mean * mean
+    sd = F.sqrt(F.when(around > 1e-12 * C("q"), around).otherwise(0.0) / nz(C("n") - 1))
     return paths.withColumns({"mean": mean, "sd": sd})
 
 
@@ -243,36 +245,24 @@ def bootstrap_trades(
 ) -> DataFrame:
     """Resampled trade returns, single or in blocks; `trades` carries a dense `ord`.
 
-    The per-trade return of the resampled curve is measured against the value after the
-    trade, x / (1 + x), which does not depend on order, so no path is built.
+    The per-trade return of the resampled curve is measured against the value after the trade,
+    x / (1 + x), which does not depend on order; the same draws give its sums and the growth. A series of
+    fewer than `at_least` trades, or of a block at most, has its own figures, no simulations and a reason.
     """
     keys = list(keys)
     x = trades.select(*keys, C("ord").alias("idx"), (C("pnl") / (C("qty") * C("entry_price"))).alias("x"))
-    sizes = sample_sizes(x, keys).filter(C("n") >= max(at_least, block or 0))
-    draws = block_draws(sizes, n_sims, block, seed, "tblock") if block else iid_draws(sizes, n_sims, seed, "trade")
-    years = trade_years(trades, keys)
-    rows = gather(draws, x, keys)
-    after = C("x") / (1 + C("x"))
-    sims = rows.groupBy(*keys, "sim").agg(
-        F.coalesce(F.avg(after) / nz(F.stddev_samp(after)), F.lit(0.0)).alias("_s"),
-        F.exp(F.sum(F.ln(1 + C("x")))).alias("final"),
-        F.first("n").alias("n"),
-    )
-    real = x.join(sizes, keys, "left_semi").groupBy(*keys).agg(
-        F.coalesce(F.avg("x") / nz(F.stddev_samp("x")), F.lit(0.0)).alias("_rs"), F.exp(F.sum(F.ln(1 + C("x")))).alias("real_final")
-    )
-    j = sims.join(years, keys).join(real, keys)
+    least = max(at_least, (block or 0) + 1)
+    sizes = sample_sizes(x, keys).withColumn("reason", F.when(C("n") < least, F.lit(f"fewer than {least} trades")))
+    some = sizes.filter(C("reason").isNull())
+    drawn = lambda values: block_paths(values, some, n_sims, block or 1, seed, "tblock" if block else "trade", keys, wholly=not block)
+    after = _moments(drawn(x.withColumn("x", C("x") / (1 + C("x"))))).select(*keys, "sim", F.coalesce(C("mean") / nz("sd"), F.lit(0.0)).alias("_s"))
+    sims = after.join(drawn(x).select(*keys, "sim", C("growth").alias("final")), [*keys, "sim"])
+    real = x.groupBy(*keys).agg(F.coalesce(F.avg("x") / nz(F.stddev_samp("x")), F.lit(0.0)).alias("_rs"), F.exp(F.sum(F.ln(1 + C("x")))).alias("real_final"))
+    own = sizes.join(trade_years(trades, keys), keys).join(real, keys)
     root = F.sqrt(C("n") / C("years"))
-    j = j.select(
-        *keys, "n", "years", "real_final", "final", (C("_s") * root).alias("sharpe"), (C("_rs") * root).alias("real_sharpe"),
-        (F.pow("final", 1 / C("years")) - 1).alias("cagr"),
-    )
-    return j.groupBy(*keys).agg(
-        F.first("n").alias("n_trades"),
-        F.first("years").alias("elapsed_years"),
-        F.first("real_sharpe").alias("real_sharpe"),
-        F.first("real_final").alias("real_final_equity_mult"),
-        (F.pow(F.first("real_final"), 1 / F.first("years")) - 1).alias("real_cagr"),
+    own = own.select(*keys, "n", "years", "reason", "real_final", root.alias("_root"), (C("_rs") * root).alias("real_sharpe"))
+    j = sims.join(own, keys).withColumns({"sharpe": C("_s") * C("_root"), "cagr": F.pow("final", 1 / C("years")) - 1})
+    found = j.groupBy(*keys).agg(
         F.avg("sharpe").alias("sharpe_mean"),
         F.percentile("sharpe", 0.05).alias("sharpe_p05"),
         F.percentile("sharpe", 0.50).alias("sharpe_p50"),
@@ -283,6 +273,11 @@ def bootstrap_trades(
         F.percentile("cagr", 0.05).alias("cagr_p05"),
         F.percentile("cagr", 0.95).alias("cagr_p95"),
     )
+    own = own.select(
+        *keys, C("n").alias("n_trades"), C("years").alias("elapsed_years"), "real_sharpe", C("real_final").alias("real_final_equity_mult"),
+        (F.pow("real_final", 1 / C("years")) - 1).alias("real_cagr"), "reason",
+    )
+    return own.join(found, keys, "left")
 
 
 def shuffled_weights(df: DataFrame, blocks: list[int], n_sims: int, seed: int = 42, keys=SERIES) -> DataFrame:
