@@ -5,7 +5,7 @@ Texts are lower-cased (A-Z) and cut into words; a document's set holds its runs
 target recall at the threshold: a pair of that similarity is missed with probability
 (1 - s**rows)**bands.
 
-1. Documents of equal sets are one class: only their representative (least id) goes on.
+1. Documents of equal sets are one class: only their representative goes on, under a number of its own.
 2. Band hashes are shuffled; members of a bucket are tied to the bucket's least member, which
    needs no pairs, and components of these ties hold every pair that shares a bucket.
 3. Full sets of such documents are compared within their component, in tiles of `TILE` documents:
@@ -19,10 +19,10 @@ A component of many documents costs the square of its tiles, spread over as many
 the price of exact link counts. Texts are not shuffled: a bit table of fixed size tells the
 scan which documents are in a component, and their sets move.
 
-Null and empty texts have no set and stand alone, as do rows with a null id. A set is named by its
-least (id, text digest) and its own digest, so texts that share an id keep their own links and class.
-Of each class the row of the least id is `kept` (of several texts of that id and set, the one of the
-least digest); rows that repeat an id and its text are equal and share their marks.
+Null and empty texts have no set and stand alone, as do rows with a null id. Sets, not ids, are
+joined, so texts that share an id keep their own links and class. Of each class the row of the
+least id is `kept` (of several texts of that id, the one of the least digest); rows that repeat an
+id and its text are equal and share their marks.
 """
 
 from __future__ import annotations
@@ -188,17 +188,11 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-#: A set: its least row, by id and digest of the text, and its own digest.
-_REP = "struct<id: bigint, text: bigint, a: bigint, b: bigint>"
-
-
 def _verify(similarity: float):
-    rep_type = pa.struct([(c, pa.int64()) for c in ("id", "text", "a", "b")])
-    kind = pa.schema([("_rep", rep_type), ("_root", rep_type), ("_links", pa.int64())])
+    kind = pa.schema([("_rep", pa.int64()), ("_root", pa.int64()), ("_links", pa.int64())])
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        rep = t.column("_rep").combine_chunks()
-        comp, tile, copies = (t.column(c).to_numpy() for c in ("_comp", "_tile", "_copies"))
+        rep, comp, tile, copies = (t.column(c).to_numpy() for c in ("_rep", "_comp", "_tile", "_copies"))
         lists = t.column("grams").combine_chunks()
         size = np.asarray(lists.value_lengths())
         doc = np.repeat(np.arange(len(rep)), size)
@@ -208,7 +202,7 @@ def _verify(similarity: float):
         np.fill_diagonal(linked, False)
         if key[1].as_py() != key[2].as_py():  # pairs inside one tile are counted where it stands alone
             linked &= tile[:, None] != tile[None, :]
-        return pa.table([rep, rep.take(pa.array(roots(linked))), pa.array((linked @ copies).astype(np.int64))], schema=kind)
+        return pa.table([pa.array(rep), pa.array(rep[roots(linked)]), pa.array((linked @ copies).astype(np.int64))], schema=kind)
 
     return run
 
@@ -221,46 +215,47 @@ def marked_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     read = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"), text_key(F.col(text)).alias("_text"))
     sketch = stage(read.mapInArrow(_sketch(bands, rows), _SKETCH.format("bigint")), "sketch")
     reps = sketch.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("k1", "k2")
-    rep = F.min(F.struct(F.col("_id").alias("id"), F.col("_text").alias("text")))
-    reps = reps.agg(rep.alias("_least"), F.count(F.lit(1)).alias("_copies"), F.min("bands").alias("bands"))
-    rep = F.struct("_least.id", "_least.text", F.col("k1").alias("a"), F.col("k2").alias("b"))
-    reps = stage(reps.select("k1", "k2", rep.alias("_rep"), "_copies", "bands"), "representatives")
+    least = F.min(F.struct(F.col("_id").alias("id"), F.col("_text").alias("text")))
+    reps = reps.agg(least.alias("_least"), F.count(F.lit(1)).alias("_copies"), F.min("bands").alias("bands"))
+    reps = stage(reps.withColumn("_rep", F.monotonically_increasing_id()), "representatives")  # as written, for good
 
     each = reps.select("_rep", F.posexplode("bands").alias("i", "h"))
     hubs = each.groupBy(F.col("i").alias("j"), F.col("h").alias("g")).agg(F.min("_rep").alias("hub"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     ties = each.join(hubs, (F.col("i") == F.col("j")) & (F.col("h") == F.col("g"))).where(F.col("_rep") != F.col("hub"))
     tied = components(ties.select(F.col("_rep").alias("a"), F.col("hub").alias("b")))
 
-    # Two components of one number would only be compared in vain.
-    members = tied.union(tied.select("root", "root").distinct()).select(F.col("node").alias("_node"), F.xxhash64("root").alias("_comp"))
+    members = tied.union(tied.select("root", "root").distinct()).toDF("_node", "_comp")
     size = members.groupBy(F.col("_comp").alias("_c")).agg(F.count(F.lit(1)).alias("m"))
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     members = members.join(size, F.col("_comp") == F.col("_c")).select("_node", "_comp", tiles.alias("_tiles"), F.pmod(F.xxhash64("_node"), tiles).cast("int").alias("_tile"))
-    members = stage(members.join(reps.select("_rep", "_copies", "k1", "k2"), F.col("_node") == F.col("_rep")).drop("_node"), "members")
+    members = stage(members.join(reps.select("_rep", F.col("_least.id").alias("_own"), "_copies", "k1", "k2"), F.col("_node") == F.col("_rep")).drop("_node"), "members")
     packs = max(1, math.ceil(members.count() / TILE))
 
-    bits = bit_table(members.select(F.xxhash64("_rep.id").alias("h")))
+    bits = bit_table(members.select(F.xxhash64("_own").alias("h")))
     full = read.where(F.col("_id").isNotNull()).select("_id", "_t", F.xxhash64("_id").alias("h")).mapInArrow(_full_sets(bits), "_id bigint, x1 bigint, x2 bigint, grams array<bigint>")
     full = full.groupBy("_id", "x1", "x2").agg(F.first("grams").alias("grams"))
-    full = members.join(full, (F.col("_rep.id") == F.col("_id")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")))
+    full = members.join(full, (F.col("_own") == F.col("_id")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")))
     # Small components share a task; the tiles of a large one meet in pairs.
     pack = F.when(F.col("_tiles") == 1, F.pmod(F.xxhash64("_comp"), F.lit(packs)) - packs).otherwise(F.col("_comp"))
     other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     pairs = full.select("*", pack.alias("_pack"), other.alias("_with")).select(
         "_rep", "_comp", "_copies", "_tile", "grams", "_pack", F.least("_tile", "_with").alias("_lo"), F.greatest("_tile", "_with").alias("_hi")
     )
-    found = stage(pairs.groupBy("_pack", "_lo", "_hi").applyInArrow(_verify(similarity), f"_rep {_REP}, _root {_REP}, _links bigint"), "links")
+    found = stage(pairs.groupBy("_pack", "_lo", "_hi").applyInArrow(_verify(similarity), "_rep bigint, _root bigint, _links bigint"), "links")
 
     links = found.groupBy("_rep").agg(F.sum("_links").alias("_links")).where(F.col("_links") > 0)
     classes = components(found.select(F.col("_rep").alias("a"), F.col("_root").alias("b"))).toDF("_rep", "_class")
-    known = reps.select("k1", "k2", "_rep", "_copies").join(links, "_rep", "left").join(classes, "_rep", "left")
-    links = F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))
-    known = known.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.coalesce("_class", "_rep").alias("_class"), links.alias("n_links"))
+    classes = stage(classes.union(classes.select("_class", "_class").distinct()), "classes")
+    firsts = classes.join(reps.select("_rep", "_least"), "_rep").groupBy(F.col("_class").alias("_of")).agg(F.min("_least").alias("_first"))
+    known = reps.select("k1", "k2", "_rep", "_copies", "_least").join(links, "_rep", "left").join(classes, "_rep", "left")
+    known = known.join(stage(firsts, "class-rows"), F.col("_class") == F.col("_of"), "left")
+    n_links = F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))
+    known = known.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.coalesce("_first", "_least").alias("_first"), n_links.alias("n_links"))
     same = (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("n") > 0) & F.col("_id").isNotNull()
-    first = (F.col("_id") == F.col("_class.id")) & (F.col("_text") == F.col("_class.text"))
+    first = (F.col("_id") == F.col("_first.id")) & (F.col("_text") == F.col("_first.text"))
     return sketch.drop("bands").join(known, same, "left").select(
         F.col("_id").alias(key),
-        F.coalesce("_class.id", "_id").alias("class_id"),
+        F.coalesce("_first.id", "_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("n").alias("n_grams"),
         F.col("_text").alias("text_key"),
