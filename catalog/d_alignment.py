@@ -10,7 +10,7 @@ from tidemark.operators import calendar as cal
 
 @query(
     "op_D1_signal_lookup",
-    B().replace("b AS (", "b AS MATERIALIZED (") + f", s AS MATERIALIZED (SELECT symbol, ts, (ord%3)-1 AS weight FROM b WHERE ord%4<>0) SELECT b.symbol, {ISO('b.ts')} AS ts, s.weight::DOUBLE AS weight FROM b LEFT JOIN s USING (symbol, ts)",
+    B() + f" SELECT symbol, {ISO('ts')} AS ts, CASE WHEN ord%4<>0 THEN (ord%3-1)::DOUBLE END AS weight FROM b",
 )
 def _(spark, sf):
     b = bars(spark, sf).select("symbol", "ts", "ord")

@@ -191,38 +191,3 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return out(dd.top_drawdowns(dd.drawdown_episodes(bars(spark, sf), "close")), "symbol", "rank", "start_ts", "trough_ts", "bars", depth=6)
-
-
-VERDICT_SQL = f""", v AS (SELECT symbol, CASE WHEN hash_bucket=0 THEN NULL ELSE sharpe>0 END AS robust, excess>0 AS has_edge, CASE WHEN hash_bucket=1 THEN NULL ELSE excess END AS chained_excess, abs(sharpe)/10 AS p_value FROM (SELECT symbol, count(*)%4 AS hash_bucket, avg(r)/stddev_samp(r)*sqrt(252.0) AS sharpe, avg(r-r_asset) AS excess FROM eq GROUP BY symbol))"""
-
-
-@query(
-    "op_H18_verdict",
-    EQ + VERDICT_SQL + """ SELECT symbol, CASE WHEN robust IS NULL THEN '—' WHEN robust THEN 'YES' ELSE 'NO' END AS wf_robust, CASE WHEN chained_excess IS NULL THEN '—' WHEN has_edge THEN 'YES' ELSE 'NO' END AS edge, CASE WHEN p_value<0.05 THEN 'YES' ELSE 'NO' END AS rc_significant,
- CASE WHEN robust IS NULL THEN 'not validated' WHEN robust AND has_edge THEN 'robust, beats its exposure' WHEN robust THEN 'robust, only its exposure' ELSE 'not robust' END AS summary FROM v""",
-)
-def _(spark, sf):
-    e = gold_equity(spark, sf).groupBy("symbol").agg(
-        (F.count(F.lit(1)) % 4).alias("k"),
-        (F.avg("r") / F.stddev_samp("r") * 252.0**0.5).alias("sharpe"),
-        F.avg(C("r") - C("r_asset")).alias("excess"),
-    )
-    v = e.select(
-        "symbol",
-        F.when(C("k") != 0, C("sharpe") > 0).alias("robust"),
-        (C("excess") > 0).alias("has_edge"),
-        F.when(C("k") != 1, C("excess")).alias("chained_excess"),
-        (F.abs("sharpe") / 10).alias("p_value"),
-    )
-    return met.verdict(v).select("symbol", "wf_robust", "edge", "rc_significant", "summary")
-
-
-@query(
-    "op_H20_comparison_table",
-    EQ + f", m AS (SELECT symbol, stddev_samp(r)*sqrt(252.0) AS vol, avg(r)*252.0/nullif(stddev_samp(r)*sqrt(252.0),0) AS sharpe, min(drawdown) AS mdd FROM eq GROUP BY symbol) SELECT symbol AS strategy, {R('sharpe', 3)} AS sharpe, printf('%.2f%%', {R('vol*100', 2)}) AS vol, printf('%+.2f%%', {R('mdd*100', 2)}) AS max_dd, '—' AS win_rate FROM m",
-)
-def _(spark, sf):
-    from tidemark.operators.ranking import comparison_table
-
-    m = core(spark, sf).withColumnRenamed("symbol", "strategy").withColumn("win_rate", F.lit(None).cast("double"))
-    return out(comparison_table(m), "strategy", "sharpe", "vol", "max_dd", "win_rate")

@@ -587,31 +587,3 @@ def _(spark, sf):
     b = bars(spark, sf)
     sizes = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     return out(rk.every_kth(b, sizes, 100), "symbol", "ord", close=4)
-
-
-RULES = {
-    "golden_cross": lambda d: sig.golden_cross(d, 20, 60),
-    "roc_momentum": sig.roc_momentum,
-    "absolute_momentum": sig.absolute_momentum,
-    "bollinger_meanrev": sig.bollinger_meanrev,
-}
-SCREEN19 = B("orders") + GOLD + f""", m0 AS (SELECT *, close/lag(close,60) OVER w-1 AS m60, close/lag(close,252) OVER w-1 AS m252, {SMA(20)} AS mid, {SD(20)} AS sd FROM b {W_SQL}),
- u AS MATERIALIZED (SELECT symbol, ts, ord, open, close, weight, 'golden_cross' AS strategy FROM sg UNION ALL SELECT symbol, ts, ord, open, close, CASE WHEN m60<-0.02 THEN -1.0 WHEN m60>0.02 THEN 1.0 ELSE 0.0 END, 'roc_momentum' FROM m0 UNION ALL SELECT symbol, ts, ord, open, close, CASE WHEN m252>0 THEN 1.0 ELSE 0.0 END, 'absolute_momentum' FROM m0
-  UNION ALL SELECT symbol, ts, ord, open, close, coalesce(last_value(CASE WHEN close>mid THEN 0.0 WHEN close<mid-2*sd THEN 1.0 END IGNORE NULLS) OVER w,0.0), 'bollinger_meanrev' FROM m0 {W_SQL}),
- uk AS (SELECT *, symbol||strategy AS key FROM u)""" + g2_sql(0, "uk", name="ur", part="key") + f""", ub AS (SELECT symbol, strategy, ord, weight, coalesce(close/lag(close) OVER (PARTITION BY key ORDER BY ord)-1,0) AS ra FROM uk), uw AS (SELECT symbol, strategy, greatest(-1,least(1,avg(weight))) AS aw FROM u GROUP BY symbol, strategy),
- us AS (SELECT symbol, strategy, avg(r)/nullif(stddev_samp(r),0)*sqrt(252.0) AS sharpe FROM ur WHERE ord>0 GROUP BY symbol, strategy), ut AS (SELECT symbol, strategy, avg(aw*ra)/nullif(stddev_samp(aw*ra),0)*sqrt(252.0) AS bench FROM ub JOIN uw USING (symbol, strategy) WHERE ord>0 GROUP BY symbol, strategy),
- sx AS MATERIALIZED (SELECT symbol, strategy, sharpe, sharpe-bench AS excess_sharpe FROM us JOIN ut USING (symbol, strategy))"""
-
-
-def asset_screen(spark, sf):
-    return staged_once(spark, (sf, "assets"), lambda: sw.screen_assets(bars(spark, sf, "orders"), RULES))
-
-
-@query("op_H19_cross_asset_screen", SCREEN19 + f" SELECT symbol, strategy, {R('sharpe')} AS sharpe, {R('excess_sharpe')} AS excess_sharpe FROM sx")
-def _(spark, sf):
-    return out(asset_screen(spark, sf), "symbol", "strategy", sharpe=4, excess_sharpe=4)
-
-
-@query("op_H19_cross_asset_summary", SCREEN19 + f' SELECT strategy, count(excess_sharpe) AS "count", {R("avg(excess_sharpe)")} AS mean, {R("stddev_samp(excess_sharpe)")} AS std, {R("min(excess_sharpe)")} AS min, {R("max(excess_sharpe)")} AS max FROM sx GROUP BY strategy')
-def _(spark, sf):
-    return out(rk.cross_asset_summary(asset_screen(spark, sf)), "strategy", "count", mean=4, std=4, min=4, max=4)

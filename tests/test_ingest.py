@@ -102,7 +102,7 @@ def test_equity_column_is_chosen_over_all_rows(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Date,label,equity,cash\n2020-01-03,8,,5.5\n2020-01-04,9,99.0,5.5\n")
     got = [r["equity"] for r in files.read_equity_artifact(spark, str(tmp_path)).orderBy("ts").collect()]
     assert got == [None, 101.5, None, 99.0]
-    with pytest.raises(ValueError, match="no numeric column"):
+    with pytest.raises(ValueError, match="all numbers"):
         (tmp_path / "text").mkdir()
         (tmp_path / "text" / "c.csv").write_text("Date,label,equity\n2020-01-01,7,\n2020-01-02,x,\n")
         files.read_equity_artifact(spark, str(tmp_path / "text"))

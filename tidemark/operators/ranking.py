@@ -64,23 +64,29 @@ def every_kth(df: DataFrame, sizes: DataFrame, most: int, keys=("symbol",)) -> D
     return d.filter((C("ord") % C("_step") == 0) | (C("ord") == C("n") - 1)).drop("_step", "n")
 
 
-def comparison_table(df: DataFrame) -> DataFrame:
-    """Metrics as the display columns of a comparison, missing values as a dash."""
+def comparison_table(df: DataFrame, keys=("strategy",)) -> DataFrame:
+    """Metrics as the display columns of a comparison: per cents and rounded numbers as text, missing values as a dash."""
     half_up = lambda x, n: F.floor(x * 10.0**n + 0.5) / 10.0**n
-    pct = lambda c, f: F.format_string(f, half_up(C(c) * 100, 2))
-    return df.select(
-        "strategy",
-        half_up(C("sharpe"), 3).alias("sharpe"),
-        pct("volatility", "%.2f%%").alias("vol"),
-        pct("max_drawdown", "%+.2f%%").alias("max_dd"),
-        F.coalesce(F.when(C("win_rate").isNotNull(), pct("win_rate", "%.1f%%")), F.lit("—")).alias("win_rate"),
-    )
+    pct = lambda c: F.format_string("%.2f%%", half_up(C(c) * 100, 2))
+    num = lambda c: F.when(C(c) == float("inf"), "inf").otherwise(F.format_string("%.3f", half_up(F.when(C(c) != float("inf"), C(c)), 3)))
+    whole = lambda c: C(c).cast("string")
+    shown = {
+        "cagr": pct, "volatility": pct, "sharpe": num, "sortino": num, "calmar": num, "max_drawdown": pct, "max_drawdown_duration_bars": whole,
+        "num_trades": whole, "win_rate": num, "profit_factor": num, "expectancy": num,
+    }
+    return df.select(*keys, *[F.coalesce(F.when(C(c).isNotNull(), f(c)), F.lit("—")).alias(c) for c, f in shown.items()])
 
 
 def cross_asset_summary(df: DataFrame, value: str = "excess_sharpe", floor: float | None = None) -> DataFrame:
-    """mean, std, min, max, count of `value` per strategy over assets."""
+    """mean, std, min, max, count of `value` per strategy over assets, with rank by mean (strategies are few)."""
     s = df.groupBy("strategy").agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.count(value).alias("count"),
     )
+    s = s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mean"), "strategy")).cast("long"))
     return s.filter(C("mean") > floor) if floor is not None else s
+
+
+def cross_asset_pivot(df: DataFrame, value: str = "excess_sharpe", assets: list[str] | None = None) -> DataFrame:
+    """`value` by strategy (rows) and asset (columns); `assets` saves a pass that looks for them."""
+    return df.groupBy("strategy").pivot("symbol", assets).agg(F.first(value))

@@ -422,38 +422,43 @@ def marker_percentiles(outcomes: DataFrame, keys=SERIES) -> DataFrame:
 
 
 def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | None = None, seed: int = 42,
-    sims_per_block: int = 256, combos_per_block: int = 256,
+    sims_per_block: int = 256, combos_per_block: int = 256, by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best-of-many test on excess returns f(ord, combo, f), one value per time and combo.
 
     The resampled time indices are shared by all combos and counted first. The sums over
     time are then a product of a (sim x time) count matrix with the (time x combo) matrix
     of centred returns, done tile by tile and added up, so neither side is ever whole in
-    one place.
+    one place. With `by` there is a test for each value of these columns over its own times and combos; tiles carry
+    them, and all tests run as one job.
     """
-    sizes = f.groupBy("combo").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("_n").alias("_min"))
+    by = list(by)
+    sizes = f.groupBy(*by, "combo").agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("_n").alias("_min"))
     checked = sizes.select(
+        *by,
         F.when(C("_min") != C("n"), F.raise_error(F.lit("combos differ in length")).cast("bigint"))
         .when(C("n") < 10, F.raise_error(F.lit("need at least 10 bars")).cast("bigint"))
         .otherwise(C("n"))
         .alias("n")
     )
-    counts = stationary_draws(checked, n_bootstrap, mean_block, seed).groupBy("sim", "idx").agg(F.count(F.lit(1)).alias("w"))
-    means = f.groupBy("combo").agg(F.avg("f").alias("mean"))
-    centred = f.join(means, "combo").select(C("ord").alias("idx"), "combo", (C("f") - C("mean")).alias("c"))
+    counts = stationary_draws(checked, n_bootstrap, mean_block, seed, by).groupBy(*by, "sim", "idx").agg(F.count(F.lit(1)).alias("w"))
+    means = f.groupBy(*by, "combo").agg(F.avg("f").alias("mean"))
+    centred = f.join(means, [*by, "combo"]).select(*by, C("ord").alias("idx"), "combo", (C("f") - C("mean")).alias("c"))
     tile = F.floor(C("idx") / SPAN)
     groups = -(-n_bootstrap // sims_per_block)
-    lots = F.broadcast(sizes.select(F.ceil(C("k") / combos_per_block).alias("_lots")))  # one row
+    lots = sizes.select(*by, F.ceil(C("k") / combos_per_block).alias("_lots"))
+    meet = lambda a, b: a.join(b, by) if by else a.join(F.broadcast(b))  # one row without `by`
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = counts.join(lots).withColumns({"tile": tile, "part": F.floor(C("sim") / sims_per_block), "lot": upto(C("_lots"))})
-    right = centred.join(lots).withColumns(
+    left = meet(counts, lots).withColumns({"tile": tile, "part": F.floor(C("sim") / sims_per_block), "lot": upto(C("_lots"))})
+    right = meet(centred, lots).withColumns(
         {"tile": tile, "part": upto(F.lit(groups).cast("long")), "lot": F.pmod(F.xxhash64("combo"), C("_lots"))}
     )
     tile_keys = ("tile", "part", "lot")
+    left = left.withColumnsRenamed({c: f"_of_{c}" for c in by})  # both sides come from `f`
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"sim": [], "combo": [], "s": []}).astype({"sim": "int32", "combo": "str", "s": "float64"})
+            return pd.DataFrame({**{c: [] for c in by}, "sim": [], "combo": [], "s": []}).astype({**{c: "str" for c in by}, "sim": "int32", "combo": "str", "s": "float64"})
         sims, si = np.unique(a["sim"].to_numpy(), return_inverse=True)
         names, ci = np.unique(b["combo"].to_numpy(dtype=str), return_inverse=True)
         base = int(b["idx"].min())
@@ -463,19 +468,22 @@ def reality_check(f: DataFrame, n_bootstrap: int = 5000, mean_block: float | Non
         c = np.zeros((span, len(names)))
         c[b["idx"].to_numpy() - base, ci] = b["c"].to_numpy()
         s = w @ c
-        return pd.DataFrame({"sim": np.repeat(sims, len(names)), "combo": np.tile(names, len(sims)), "s": s.ravel()})
-
-    sums = left.drop("_lots").groupBy(*tile_keys).cogroup(right.drop("_lots").groupBy(*tile_keys)).applyInPandas(product, "sim int, combo string, s double")
-    per_sim = sums.groupBy("sim", "combo").agg(F.sum("s").alias("s")).groupBy("sim").agg(F.max("s").alias("best"))
-    observed = means.agg(
+        out = pd.DataFrame({"sim": np.repeat(sims, len(names)), "combo": np.tile(names, len(sims)), "s": s.ravel()})
+        for i, c in enumerate(by):
+            out.insert(i, c, a[f"_of_{c}"].iloc[0])
+        return out
+
+    sums = left.drop("_lots").groupBy(*[f"_of_{c}" for c in by], *tile_keys).cogroup(right.drop("_lots").groupBy(*by, *tile_keys)).applyInPandas(product, "".join(f"`{c}` {f.dtypes[f.columns.index(c)][1]}, " for c in by) + "sim int, combo string, s double")
+    per_sim = sums.groupBy(*by, "sim", "combo").agg(F.sum("s").alias("s")).groupBy(*by, "sim").agg(F.max("s").alias("best"))
+    observed = means.groupBy(*by).agg(
         F.max("mean").alias("best_mean"), F.max_by("combo", F.struct(C("mean"), C("combo"))).alias("best_combo"),
         F.count_if(C("mean") > 0).alias("n_positive"), F.count_if(C("mean") < 0).alias("n_negative"),
     )
-    one = observed.join(sizes.select("n", "k"))  # one row each
-    v = per_sim.join(F.broadcast(one)).select(
+    one = meet(observed, sizes.select(*by, "n", "k"))
+    v = meet(per_sim, one).select(
         "*", (C("best") / F.sqrt("n")).alias("v"), (C("best_mean") * F.sqrt("n")).alias("v_obs")
     )
-    return v.groupBy("n", "k", "best_combo", "best_mean", "n_positive", "n_negative", "v_obs").agg(
+    return v.groupBy(*by, "n", "k", "best_combo", "best_mean", "n_positive", "n_negative", "v_obs").agg(
         F.avg("v").alias("v_mean"), F.stddev_samp("v").alias("v_std"),
         F.percentile("v", 0.5).alias("v_p50"), F.percentile("v", 0.95).alias("v_p95"), F.percentile("v", 0.99).alias("v_p99"),
         F.max("v").alias("v_max"), F.avg((C("v") >= C("v_obs")).cast("double")).alias("p_value"),

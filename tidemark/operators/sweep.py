@@ -336,19 +336,49 @@ def cost_sensitivity(df: DataFrame, slippages=(0.0, 2.0, 5.0, 10.0, 20.0, 50.0),
     return core_metrics(curve, vk)
 
 
-def screen_assets(df: DataFrame, rules: dict, keys=SERIES, ppy: float = 252.0) -> DataFrame:
-    """Sharpe of each rule and of its same-exposure benchmark per asset, and the difference."""
+def rule_signals(df: DataFrame, rules: dict, keys=SERIES) -> DataFrame:
+    """keys, strategy, ts, ord, open, close, weight of each rule, one below the other."""
     from functools import reduce
 
-    from tidemark.operators.metrics import nz
-    from tidemark.operators.pnl import next_open_returns, same_exposure_benchmark
+    cols = [*keys, "ts", "ord", "open", "close", "weight"]
+    return reduce(DataFrame.unionByName, [f(df).select(*cols).withColumn("strategy", F.lit(n)) for n, f in rules.items()])
 
-    signals = reduce(
-        DataFrame.unionByName,
-        [f(df).select(*keys, "ts", "ord", "open", "close", "weight").withColumn("strategy", F.lit(n)) for n, f in rules.items()],
+
+def rule_curves(signals: DataFrame, commission_bps: float = 1.0, slippage_bps: float = 5.0, keys=("symbol", "strategy")) -> DataFrame:
+    """Next-open equity of each asset and rule; the first bar has no return."""
+    from tidemark.operators.pnl import next_open_returns
+    from tidemark.plans.series import equity_scan
+
+    curve = equity_scan(next_open_returns(signals, commission_bps, slippage_bps, keys=keys), keys=keys)
+    return curve.withColumn("r", F.when(C("ord") > 0, C("r")))
+
+
+def rule_trades(signals: DataFrame, commission_bps: float = 1.0, slippage_bps: float = 5.0, keys=("symbol", "strategy")) -> DataFrame:
+    """Round trips of a unit of weight, filled at the next open."""
+    from tidemark.operators.pnl import fill_events
+    from tidemark.operators.trades import extract_trades
+    from tidemark.plans.series import time_bucket, with_ordinal
+    from tidemark.session import stage
+
+    fills = fill_events(signals, slippage_bps, keys).select(
+        *keys, C("fill_ts").alias("ts"), C("delta_weight").alias("qty"), "price",
+        (F.abs("delta_weight") * C("price") * commission_bps / 1e4).alias("commission"),
     )
-    vk = [*keys, "strategy"]
-    sharpe = lambda d, name: d.filter("ord > 0").groupBy(*vk).agg((F.avg("r") / nz(F.stddev_samp("r")) * ppy**0.5).alias(name))
-    a = sharpe(next_open_returns(signals, keys=vk), "sharpe")
-    b = sharpe(same_exposure_benchmark(signals, costs=False, keys=vk), "benchmark_sharpe")
-    return a.join(b, vk).withColumn("excess_sharpe", C("sharpe") - C("benchmark_sharpe"))
+    return extract_trades(stage(with_ordinal(stage(fills, "rule-fills"), keys, ["ts"], time_bucket()), "rule-fills"), keys)
+
+
+def screen_assets(signals: DataFrame, curves: DataFrame, trades: DataFrame, keys=("symbol", "strategy"), ppy: float = 252.0, rf: float = 0.0) -> DataFrame:
+    """One row per asset and rule: curve metrics, trade statistics (null without trades) and the Sharpe ratio over that
+    of a static position of the rule's average weight."""
+    from tidemark.operators.drawdown import longest_underwater
+    from tidemark.operators.metrics import core_metrics, nz, trade_metrics
+    from tidemark.operators.pnl import same_exposure_benchmark
+
+    keys = list(keys)
+    core = core_metrics(curves, keys, ppy, rf).select(*keys, "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown")
+    bench = same_exposure_benchmark(signals, costs=False, keys=keys).filter("ord > 0").groupBy(*keys)
+    bench = bench.agg((F.avg("r") / nz(F.stddev_samp("r")) * ppy**0.5).alias("benchmark_sharpe"), F.first("avg_weight").alias("avg_exposure"))
+    under = longest_underwater(curves, keys=keys).select(*keys, "max_drawdown_duration_bars")
+    stats = trade_metrics(trades, keys).select(*keys, "num_trades", "win_rate", "profit_factor", "expectancy")
+    out = core.join(bench, keys).join(under, keys, "left").join(stats, keys, "left")
+    return out.withColumns({"excess_sharpe": C("sharpe") - C("benchmark_sharpe"), "num_trades": F.coalesce("num_trades", F.lit(0))})

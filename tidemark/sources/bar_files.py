@@ -73,7 +73,7 @@ def read_equity_artifact(spark: SparkSession, path: str, keep=()) -> DataFrame:
     seen = raw.agg(*counts).first() if others else None
     numeric = [c for i, c in enumerate(others) if seen[f"p{i}"] and seen[f"p{i}"] == seen[f"n{i}"]]
     if not numeric:
-        raise ValueError(f"no numeric column in {path}")
+        raise ValueError(f"{path} has no column whose values are all numbers")
     return raw.select(*keep, F.col(when).cast("timestamp_ntz").alias("ts"), F.col(numeric[0]).try_cast("double").alias("equity"))
 
 
