@@ -78,11 +78,11 @@ K3_SQL = BASE + OBS_SQL + block_path_sql("block", 20, skip_first=True) + f""", s
  SELECT symbol, {R('rs')} AS real_sharpe, {R('rc', 6)} AS real_cagr, {R('rd', 6)} AS real_maxdd, {R('a')} AS sharpe_mean, {R('b')} AS sharpe_std, {R('p05')} AS sharpe_p05, {R('p50')} AS sharpe_p50, {R('p95')} AS sharpe_p95, {R('ps', 6)} AS p_value_sharpe, {R('pc', 6)} AS p_value_cagr, {R('pr', 6)} AS prob_ruin, {REASON(21)} FROM ob JOIN sz USING (symbol) LEFT JOIN sm USING (symbol)"""
 
 
-def drawn_sql(stream: str, b: int | None, least: int, x: str = "x") -> str:
-    """`dl`: symbol, n, sim and ys, the drawn values in order."""
+def drawn_sql(stream: str, b: int | None, least: int, x: str = "x", tag: str = "") -> str:
+    """`dl`: symbol, n, sim and ys, the drawn values in order; CTE names end in `tag`."""
     at = f"xs[floor(ul[i//{b}+1]*(n-{b}))::BIGINT+i%{b}+1]" if b else "xs[floor(ul[i+1]*n)::BIGINT+1]"
-    return f""", us AS MATERIALIZED (SELECT sim, list({U(stream, 'sim', 'k')} ORDER BY k) AS ul FROM (SELECT unnest(generate_series(0,{BLOCK_SIMS - 1})) AS sim), (SELECT unnest(generate_series(0,(SELECT max(n) FROM sz)-1)) AS k) GROUP BY sim),
- xl AS MATERIALIZED (SELECT symbol, count(*) AS n, list(x ORDER BY idx) AS xs FROM {x} GROUP BY symbol HAVING count(*)>={least}), dl AS (SELECT symbol, n, sim, list_transform(range(n), lambda i: {at}) AS ys FROM xl, us)"""
+    return f""", us{tag} AS MATERIALIZED (SELECT sim, list({U(stream, 'sim', 'k')} ORDER BY k) AS ul FROM (SELECT unnest(generate_series(0,{BLOCK_SIMS - 1})) AS sim), (SELECT unnest(generate_series(0,(SELECT max(n) FROM sz)-1)) AS k) GROUP BY sim),
+ xl{tag} AS MATERIALIZED (SELECT symbol, count(*) AS n, list(x ORDER BY idx) AS xs FROM {x} GROUP BY symbol HAVING count(*)>={least}), dl{tag} AS (SELECT symbol, n, sim, list_transform(range(n), lambda i: {at}) AS ys FROM xl{tag}, us{tag})"""
 
 
 K2_SQL = BASE + OBS_SQL + drawn_sql("iid", None, 3) + f""", pt AS MATERIALIZED (SELECT symbol, sim, list_reduce(list_concat([{_FLAT}], list_transform(ys[2:], lambda x: {_BAR})), {_JOIN}) AS p FROM dl)""" + K3_SQL[K3_SQL.index(", ss AS (") :].replace(REASON(21), REASON(3))
@@ -105,14 +105,15 @@ def _(spark, sf):
     return out(g, "symbol", "sim", "n", sum_x=8)
 
 
-NULL_SQL = f""", mu AS (SELECT symbol, avg(x) AS m, coalesce(avg(x)/nullif(stddev_samp(x),0),0) AS o FROM x GROUP BY symbol), xz AS MATERIALIZED (SELECT symbol, idx, x-m AS x FROM x JOIN mu USING (symbol)){block_path_sql('null', 20, x='xz')},
+def null_sql(b: int) -> str:
+    return f""", mu AS (SELECT symbol, avg(x) AS m, coalesce(avg(x)/nullif(stddev_samp(x),0),0) AS o FROM x GROUP BY symbol), xz AS MATERIALIZED (SELECT symbol, idx, x-m AS x FROM x JOIN mu USING (symbol)){block_path_sql('null', b, x='xz')},
  ns AS (SELECT symbol, sim, coalesce(p.s/n/{_SD('n')},0)*sqrt(ppy) AS s, o*sqrt(ppy) AS o FROM pt JOIN sz USING (symbol) JOIN pp USING (symbol) JOIN mu USING (symbol)),
  nn AS (SELECT symbol, avg(s) AS a, stddev_pop(s) AS b, quantile_cont(s,0.05) AS p05, quantile_cont(s,0.95) AS p95, avg((s>=o)::INT) AS p1, avg((abs(s)>=abs(o))::INT) AS p2 FROM ns GROUP BY symbol)"""
 
 
 @query(
     "op_K4_bootstrap_null",
-    BASE + NULL_SQL + f""" SELECT symbol, {R('mu.o*sqrt(ppy)')} AS observed_sharpe, {R('a')} AS null_sharpe_mean, {R('b')} AS null_sharpe_std, {R('p05')} AS null_sharpe_p05, {R('p95')} AS null_sharpe_p95,
+    BASE + null_sql(20) + f""" SELECT symbol, {R('mu.o*sqrt(ppy)')} AS observed_sharpe, {R('a')} AS null_sharpe_mean, {R('b')} AS null_sharpe_std, {R('p05')} AS null_sharpe_p05, {R('p95')} AS null_sharpe_p95,
  {R('p1', 6)} AS p_value_one_sided, {R('p2', 6)} AS p_value_two_sided, {REASON(21)} FROM mu JOIN sz USING (symbol) JOIN pp USING (symbol) LEFT JOIN nn USING (symbol)""",
 )
 def _(spark, sf):
@@ -514,20 +515,6 @@ def _(spark, sf):
     return out(sw.cost_sensitivity(gold(spark, sf)), "symbol", "slippage_bps", total_return=6, sharpe=4)
 
 
-TARGET = "symbol IN (SELECT symbol FROM b GROUP BY symbol HAVING count(*)%3=0)"
-
-
-@query(
-    "op_K22_targeted_validation",
-    EQ.replace("FROM i)", f"FROM i WHERE {TARGET})", 1) + PPY_SQL + X_SQL + NULL_SQL + f" SELECT symbol, {R('any_value(o)')} AS observed_sharpe, {R('avg((s>=o)::INT)', 6)} AS p_value_one_sided FROM ns GROUP BY symbol",
-)
-def _(spark, sf):
-    """Null bootstrap only for the assets on a target list, a semi-join before any resampling."""
-    targets = bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n % 3 = 0")
-    e = gold_equity(spark, sf).join(targets, "symbol", "left_semi")
-    return out(rs.bootstrap_null(e, BLOCK_SIMS, 20), "symbol", observed_sharpe=4, p_value_one_sided=6)
-
-
 @query(
     "op_K23_excess_summary",
     EQ + SAME_SQL + f""", b1 AS (SELECT *, product(1+r) OVER w AS equity FROM bm {W_SQL}), b2 AS (SELECT *, equity/max(equity) OVER w-1 AS dd, CASE WHEN ord>0 THEN r END AS rr FROM b1 {W_SQL}), s AS (SELECT symbol, avg(r)/nullif(stddev_samp(r),0)*sqrt(252.0) AS sharpe, {CAGR} AS cagr, min(drawdown) AS mdd FROM eq GROUP BY symbol),

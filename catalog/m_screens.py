@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ORACLE, TICKS, B, R, bars, out, query, rnd
+from catalog.base import ORACLE, TICKS, R, bars, out, query, rnd
 from catalog.f_signals import _NOTE_SELECT
-from catalog.g_returns import GOLD, TRADE_SQL, g2_sql, gold
-from catalog.h_metrics import CAGR, _RF
-from catalog.k_validation import _PAIR_SQL, AGG_SQL, CHAIN, PAIRS, STAT_SQL, WF, WFQ, wf_curves
+from catalog.g_returns import TRADE_SQL, g2_sql, gold
+from catalog.h_metrics import _RF, CAGR, DAYS
+from catalog.k_validation import _BAR, _FLAT, _JOIN, _PAIR_SQL, _SD, ALL_BLOCKS, BLOCK_SIMS, BLOCKS, CHAIN, OBS_SQL, PAIRS, PPY_SQL, SHUF_OUT, SHUF_SQL, SHUFFLES, SIZES_P, STAT_SQL, WF, WFQ, X_SQL, drawn_sql, null_sql, wf_curves
 from tidemark.functions import indicators as ind
 from tidemark.operators import metrics as met
 from tidemark.operators import pnl
@@ -17,7 +17,7 @@ from tidemark.operators import resample as rs
 from tidemark.operators import signals as sig
 from tidemark.operators import sweep as sw
 from tidemark.operators import walkforward as wf
-from tidemark.plans.series import on_chunks
+from tidemark.plans.series import on_chunks, time_bucket, with_ordinal
 from tidemark.session import stage, staged_once
 
 C = F.col
@@ -53,9 +53,9 @@ SCREEN = CURVES + f""", ub AS (SELECT {_K}, ord, weight, coalesce(close/lag(clos
  g0 AS (SELECT {_K}, lead(ts) OVER k AS fts, lead(open) OVER k AS no, weight-coalesce(lag(weight) OVER k,0) AS dw FROM u WINDOW k AS (PARTITION BY {_K} ORDER BY ord)),
  fl AS MATERIALIZED (SELECT symbol||'/'||strategy AS symbol, fts AS ts, dw AS qty, no*(CASE WHEN dw>0 THEN 1.0005 ELSE 0.9995 END) AS price, abs(dw)*no*(CASE WHEN dw>0 THEN 1.0005 ELSE 0.9995 END)*1e-4 AS commission, row_number() OVER (PARTITION BY {_K} ORDER BY fts)-1 AS ord FROM g0 WHERE dw<>0 AND fts IS NOT NULL)""" + TRADE_SQL + f""",
  tm AS (SELECT symbol AS key, count(*) AS num_trades, CASE WHEN coalesce(sum(pnl) FILTER (pnl<=0),0)<>0 THEN coalesce(sum(pnl) FILTER (pnl>0),0)/abs(sum(pnl) FILTER (pnl<=0)) WHEN sum(pnl) FILTER (pnl>0)>0 THEN 1e9 ELSE 0 END AS pf, count(*) FILTER (pnl>0)/count(*) AS wr, avg(pnl) AS ex FROM tr GROUP BY symbol),
- us AS (SELECT {_K}, avg(r)/nullif(stddev_samp(r),0)*sqrt(252.0) AS sharpe, (avg(r)-RFP)*252.0/nullif(stddev_samp(r)*sqrt(252.0),0) AS sharpe_rf, CASE WHEN count(*) FILTER (r<RFP)>1 THEN (avg(r)-RFP)*252.0/nullif(stddev_samp(r) FILTER (r<RFP)*sqrt(252.0),0) END AS sortino,
+ uq AS (SELECT {_K}, avg(r)/nullif(stddev_samp(r),0)*sqrt(252.0) AS sharpe, (avg(r)-RFP)*252.0/nullif(stddev_samp(r)*sqrt(252.0),0) AS sharpe_rf, CASE WHEN count(*) FILTER (r<RFP)>1 THEN (avg(r)-RFP)*252.0/nullif(stddev_samp(r) FILTER (r<RFP)*sqrt(252.0),0) END AS sortino,
   stddev_samp(r)*sqrt(252.0) AS vol, {CAGR} AS cagr, min(drawdown) AS mdd FROM ue GROUP BY {_K}),
- sx AS MATERIALIZED (SELECT us.*, sharpe-bench AS excess_sharpe, bench, aw, dd_bars, coalesce(num_trades,0) AS num_trades, wr, pf, ex FROM us JOIN ut USING ({_K}) JOIN ux USING ({_K}) LEFT JOIN tm ON tm.key=symbol||'/'||strategy)"""
+ sx AS MATERIALIZED (SELECT uq.*, sharpe-bench AS excess_sharpe, bench, aw, dd_bars, coalesce(num_trades,0) AS num_trades, wr, pf, ex FROM uq JOIN ut USING ({_K}) JOIN ux USING ({_K}) LEFT JOIN tm ON tm.key=symbol||'/'||strategy)"""
 SCREEN = SCREEN.replace("RFP", _RF)
 
 
@@ -152,3 +152,54 @@ def _(spark, sf):
     rc = reality_by_asset(spark, sf).select("symbol", "p_value", C("best_combo").alias("rc_best_combo"))
     v = bars(spark, sf, "lines").select("symbol").distinct().join(s, "symbol", "left").join(rc, "symbol", "left")
     return out(met.verdict(v).withColumn("rc_p_value", C("p_value")), "symbol", "wf_robust", "edge", "rc_significant", "rc_best_combo", "summary", rc_p_value=6)
+
+
+# Validation of the pairs of asset and rule that the screen finds above the floor.
+KEYS, NULL_BLOCK, TRADES = ["symbol", "strategy"], 21, 20
+TARGETS = f", tg AS MATERIALIZED (SELECT {_K} FROM sx WHERE excess_sharpe>{FLOOR})"
+PAIR_EQ = f", eq AS MATERIALIZED (SELECT symbol||'/'||strategy AS symbol, ts, ord, r, equity, drawdown FROM ue JOIN tg USING ({_K}))"
+K22_SQL = SCREEN + TARGETS + PAIR_EQ + PPY_SQL + X_SQL + OBS_SQL + null_sql(NULL_BLOCK).replace(" pt AS ", " pn AS ").replace("FROM pt ", "FROM pn ") + drawn_sql("iid", None, 3, tag="i") + f""", pi AS MATERIALIZED (SELECT symbol, sim, list_reduce(list_concat([{_FLAT}], list_transform(ys[2:], lambda x: {_BAR})), {_JOIN}) AS p FROM dli),
+ ii AS (SELECT symbol, quantile_cont(s,0.05) AS p05, quantile_cont(s,0.95) AS p95 FROM (SELECT symbol, p.s/(n-1)/{_SD('n-1')}*sqrt(ppy) AS s FROM pi JOIN sz USING (symbol) JOIN pp USING (symbol)) GROUP BY symbol),
+ tt AS (SELECT tr.* FROM tr JOIN tg ON tr.symbol=tg.symbol||'/'||tg.strategy), tx AS MATERIALIZED (SELECT symbol, pnl/(qty*entry_price) AS x, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, exit_ord, trade)-1 AS idx FROM tt),
+ ty AS (SELECT symbol, count(*) AS nt, CASE WHEN {DAYS.replace('max(ts)', 'max(exit_ts)').replace('min(ts)', 'min(entry_ts)')}>0 THEN {DAYS.replace('max(ts)', 'max(exit_ts)').replace('min(ts)', 'min(entry_ts)')}/365.25 ELSE count(*)*5/252.0 END AS years FROM tt GROUP BY symbol)""" + drawn_sql("trade", None, TRADES, x="tx", tag="t") + f""",
+ ti AS (SELECT symbol, quantile_cont(s,0.05) AS p05, quantile_cont(s,0.95) AS p95 FROM (SELECT symbol, coalesce(list_avg(zs)/nullif(list_stddev_samp(zs),0),0)*sqrt(n/years) AS s FROM (SELECT symbol, n, years, list_transform(ys, lambda y: y/(1+y)) AS zs FROM dlt JOIN ty USING (symbol))) GROUP BY symbol)
+ SELECT sx.symbol, sx.strategy, num_trades AS n_trades, {R('mu.o*sqrt(ppy)')} AS observed_sharpe, {R('bench')} AS benchmark_sharpe, {R('excess_sharpe')} AS excess_sharpe, {R('aw', 6)} AS avg_weight, {R('p1', 6)} AS null_p_value, {R('ii.p05')} AS sharpe_p05, {R('ii.p95')} AS sharpe_p95, {R('ti.p05')} AS trade_sharpe_p05, {R('ti.p95')} AS trade_sharpe_p95
+ FROM sx JOIN mu ON mu.symbol=sx.symbol||'/'||sx.strategy JOIN pp ON pp.symbol=mu.symbol LEFT JOIN nn ON nn.symbol=mu.symbol LEFT JOIN ii ON ii.symbol=mu.symbol LEFT JOIN ti ON ti.symbol=mu.symbol"""
+
+
+def targets(spark, sf):
+    return screen(spark, sf).filter(C("excess_sharpe") > FLOOR)
+
+
+@query("op_K22_targeted_validation", K22_SQL)
+def _(spark, sf):
+    """Null test and interval of each target, and from 20 trades on the interval of its trades."""
+    t = targets(spark, sf)
+    mine = lambda d: d.join(t.select(*KEYS), KEYS, "left_semi")
+    e = stage(mine(curves(spark, sf)), "target-curves")
+    null = rs.bootstrap_null(e, BLOCK_SIMS, NULL_BLOCK, keys=KEYS).select(*KEYS, "observed_sharpe", C("p_value_one_sided").alias("null_p_value"))
+    iid = rs.bootstrap_iid(e, BLOCK_SIMS, keys=KEYS).select(*KEYS, "sharpe_p05", "sharpe_p95")
+    tr = stage(with_ordinal(mine(rule_trades(spark, sf)), KEYS, ["exit_ts", "exit_ord", "trade"], time_bucket("exit_ts")), "target-trades")
+    own = rs.bootstrap_trades(tr, BLOCK_SIMS, keys=KEYS, at_least=TRADES).select(*KEYS, C("sharpe_p05").alias("trade_sharpe_p05"), C("sharpe_p95").alias("trade_sharpe_p95"))
+    d = t.select(*KEYS, C("num_trades").alias("n_trades"), "benchmark_sharpe", "excess_sharpe", C("avg_exposure").alias("avg_weight"))
+    d = d.join(null, KEYS).join(iid, KEYS, "left").join(own, KEYS, "left")
+    four = ("observed_sharpe", "benchmark_sharpe", "excess_sharpe", "sharpe_p05", "sharpe_p95", "trade_sharpe_p05", "trade_sharpe_p95")
+    return out(d, "symbol", "strategy", "n_trades", avg_weight=6, null_p_value=6, **dict.fromkeys(four, 4))
+
+
+SWEEP_SQL = SCREEN + TARGETS + f", b AS MATERIALIZED (SELECT key AS symbol, ts, ord, open, close FROM uk JOIN tg USING ({_K})), sg AS MATERIALIZED (SELECT key AS symbol, ts, ord, open, close, weight FROM uk JOIN tg USING ({_K}))" + SHUF_SQL.replace(str(BLOCKS), str(ALL_BLOCKS)).replace("generate_series(0,5)", f"generate_series(0,{SHUFFLES - 1})") + g2_sql(0, "sp", name="sr", part="key") + g2_sql(0) + SHUF_OUT + SIZES_P
+
+
+@query(
+    "op_K22_targeted_shuffles",
+    SWEEP_SQL + f" SELECT split_part(symbol,'/',1) AS symbol, split_part(symbol,'/',2) AS strategy, b AS block, {R('p', 6)} AS p_value, CASE WHEN p<0.01 THEN 'strong' WHEN p<0.05 THEN 'sig' WHEN p<0.1 THEN 'marginal' ELSE 'no' END AS class, b=arg_min(b,(p,b)) OVER (PARTITION BY symbol) AS best FROM bp",
+)
+def _(spark, sf):
+    """Shuffle sweep of each target over all block sizes, its best size marked."""
+    from pyspark.sql import Window as W
+
+    s = signals(spark, sf).join(targets(spark, sf).select(*KEYS), KEYS, "left_semi")
+    d = stage(rs.signal_block_shuffle(stage(s, "target-signals"), ALL_BLOCKS, SHUFFLES, keys=KEYS), "target-shuffles").withColumn("p_value", rnd("p_value", 6))
+    best = F.min_by("block", F.struct("p_value", "block")).over(W.partitionBy(*KEYS))  # over six sizes
+    d = d.withColumns({"class": rk.p_class(C("p_value")), "best": C("block") == best})
+    return out(d, "symbol", "strategy", "block", "class", "best", "p_value")
