@@ -264,3 +264,14 @@ def test_short_series_have_a_reason(make_bars):
     for d, least in ((rs.bootstrap_iid(e, 5), 0), (rs.bootstrap_block(e, 5), 21), (rs.bootstrap_null(e, 5), 21), (rs.marker_percentiles(rs.path_outcomes(e, 5)), 60)):
         reasons = {r["symbol"]: r["reason"] for r in d.collect()}
         assert reasons == {"AAA": None, "BBB": f"fewer than {least} returns" if least else None}
+
+
+def test_reality_check_by_key_equals_one_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, t, f"c{k}", float(rng.normal(0.0005 * k, 0.01))) for s, n in (("A", 300), ("B", 180)) for t in range(n) for k in range(3)]
+    f = spark.createDataFrame(rows, "symbol string, ord long, combo string, f double")
+    both = {r["symbol"]: r.asDict() for r in rs.reality_check(f, 40, by=("symbol",), sims_per_block=16).collect()}
+    for s in ("A", "B"):
+        one = rs.reality_check(f.filter(F.col("symbol") == s).drop("symbol"), 40).first().asDict()
+        assert {k: both[s][k] for k in ("n", "k", "best_combo", "p_value")} == {k: one[k] for k in ("n", "k", "best_combo", "p_value")}
+        assert both[s]["v_p95"] == pytest.approx(one["v_p95"])
