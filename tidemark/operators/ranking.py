@@ -44,12 +44,6 @@ def top_per_group(df: DataFrame, keys, order, n: int, name: str = "rank") -> Dat
     return df.withColumn(name, rank.cast("long")).filter(C(name) <= n)
 
 
-def best_per_group(df: DataFrame, keys, by, row=None) -> DataFrame:
-    """Row with the largest `by` per group."""
-    rest = [c for c in (row or df.columns) if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_r")).select(*keys, "_r.*")
-
-
 def p_class(p: Column) -> Column:
     return F.when(p < 0.01, "strong").when(p < 0.05, "sig").when(p < 0.10, "marginal").otherwise("no")
 

@@ -1,8 +1,8 @@
 """Bootstraps, shuffles and the reality check.
 
-A resample is a key: rows are (series, sim, i), so all resamples of all series run as one
-job. Draws are numbered i = 0..n-1 and gather their value by an equi-join on the drawn
-index; both sides are spread over (series, index), whatever the length of a series.
+A resample is a key, so all resamples of all series run as one job. Summaries of paths come
+from `blocks.block_paths`; where draws themselves are wanted, rows are (series, sim, i) and gather
+their value by an equi-join on the drawn index, whatever the length of a series.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from pyspark.sql import Window as W
 from tidemark.functions.rng import uniform
 from tidemark.operators.blocks import block_paths
 from tidemark.operators.metrics import nz, span_days
-from tidemark.operators.pnl import next_open_returns
 from tidemark.operators.quality import micros
-from tidemark.plans.series import SERIES, equity_scan, on_chunks, path_summary, scan, split_series, with_ordinal
+from tidemark.plans.series import SERIES, equity_scan, on_chunks, scan, split_series, with_ordinal
 from tidemark.session import stage
 
 C = F.col
@@ -67,21 +66,6 @@ def block_draws(sizes: DataFrame, n_sims: int, block: int, seed: int = 42, strea
     return d.withColumns({"i": C("k") * block + C("_j"), "idx": C("start") + C("_j")}).drop("_j", "k", "start", "take")
 
 
-def gather_blocks(starts: DataFrame, returns: DataFrame, block: int, keys=SERIES) -> DataFrame:
-    """`xs`, the values of each drawn block as an array of at most `block` values.
-
-    Returns are packed once into arrays of two neighbouring stretches of `block` values; any
-    block lies inside one of them. The join then moves one row per block, not per value.
-    """
-    keys = list(keys)
-    at = F.floor(C("idx") / block)
-    twice = returns.withColumn("_b", F.explode(F.array(at, at - 1))).filter("_b >= 0")
-    packed = twice.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("_p"))
-    packed = packed.select(*keys, "_b", F.transform("_p", lambda v: v["x"]).alias("_xs"))
-    d = starts.withColumn("_b", F.floor(C("start") / block)).join(packed, [*keys, "_b"])
-    return d.withColumn("xs", F.slice("_xs", (C("start") % block + 1).cast("int"), C("take"))).drop("_b", "_xs")
-
-
 def stationary_draws(sizes: DataFrame, n_sims: int, mean_block: float | None = None, seed: int = 42, keys=()) -> DataFrame:
     """Blocks of geometric length with uniform starts, wrapping at n.
 

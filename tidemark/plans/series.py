@@ -263,25 +263,6 @@ def path_summary(df: DataFrame, ret: str = "r", keys=SERIES, rows: int | None =
     return summarize_segments(one, keys, rows)
 
 
-def array_segment(values: Column) -> Column:
-    """Struct of SEGMENT fields of an array of returns; nulls keep the level and do not count."""
-    zero = F.struct(
-        F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(1.0).alias("growth"),
-        F.lit(float("inf")).alias("low"), F.lit(0.0).alias("high"), F.lit(0.0).alias("dd"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        r = F.coalesce(x, F.lit(0.0))
-        g = acc["growth"] * (1 + r)
-        top = F.greatest(acc["high"], g)
-        return F.struct(
-            (acc["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"), (acc["s"] + r).alias("s"), (acc["q"] + r * r).alias("q"),
-            g.alias("growth"), F.least(acc["low"], g).alias("low"), top.alias("high"), F.least(acc["dd"], g / top - 1).alias("dd"),
-        )
-
-    return F.aggregate(values, zero, step)
-
-
 def cumulative_runs(df: DataFrame, starts_new: Column, keys=SERIES, name: str = "run", rows: int | None = None) -> DataFrame:
     """Number the stretches of a series; `starts_new` is true on the first row of each."""
     return scan(df, {name: ("sum", F.when(starts_new, 1).otherwise(0).cast("long"))}, keys, rows)
