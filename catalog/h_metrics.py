@@ -156,21 +156,21 @@ _CENTRE = f"({_poly(met.ACKLAM_A, '(q*q)')}*q/({_poly(met.ACKLAM_B, '(q*q)')}*(q
 
 @query(
     "op_H14_qq_table",
-    B() + RET + f""", s AS (SELECT symbol, count(r) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM r GROUP BY symbol HAVING count(r)>=20),
+    B() + RET + f""", s0 AS (SELECT symbol, count(r) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM r GROUP BY symbol), s AS (SELECT * FROM s0 WHERE n>=20 AND sd>0),
  k AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r, ord)-1 AS pos FROM r WHERE r IS NOT NULL), pp AS (SELECT *, CASE WHEN pos=0 THEN 1-pow(0.5,1.0/n) WHEN pos=n-1 THEN pow(0.5,1.0/n) ELSE (pos+1-0.3175)/(n+0.365) END AS p FROM k JOIN s USING (symbol)),
- z AS (SELECT *, p-0.5 AS q, {_T} AS t FROM pp) SELECT symbol, pos, {R(f'CASE WHEN p<0.02425 THEN {_TAIL} WHEN p>1-0.02425 THEN -{_TAIL} ELSE {_CENTRE} END')} AS theoretical, {R('(r-m)/sd')} AS sample FROM z""",
+ z AS (SELECT *, p-0.5 AS q, {_T} AS t FROM pp) SELECT symbol, pos, {R(f'CASE WHEN p<0.02425 THEN {_TAIL} WHEN p>1-0.02425 THEN -{_TAIL} ELSE {_CENTRE} END')} AS theoretical, {R('(r-m)/sd')} AS sample, NULL::VARCHAR AS reason FROM z UNION ALL SELECT symbol, NULL, NULL, NULL, CASE WHEN n<20 THEN 'fewer than 20 returns' ELSE 'returns do not differ' END FROM s0 WHERE n<20 OR sd=0""",
 )
 def _(spark, sf):
-    return out(met.qq_table(ret.asset_returns(bars(spark, sf))), "symbol", "pos", theoretical=4, sample=4)
+    return out(met.qq_table(ret.asset_returns(bars(spark, sf))), "symbol", "pos", "reason", theoretical=4, sample=4)
 
 
 @query(
     "op_H15_regime_performance",
-    B() + REGIME_SQL + f""" SELECT symbol, regime, count(r) AS n_bars, {R('count(*) FILTER (r>0)/count(r)', 6)} AS hit_rate, {R('stddev_samp(r)*sqrt(252.0)', 6)} AS ann_vol, {R('coalesce(avg(r)/nullif(stddev_samp(r),0)*sqrt(252.0),0)')} AS sharpe FROM lb GROUP BY symbol, regime HAVING count(r)>=5""",
+    B() + REGIME_SQL + f""" SELECT symbol, regime, count(r) AS n_bars, {R('CASE WHEN count(r)>=5 THEN count(*) FILTER (r>0)/count(r) END', 6)} AS hit_rate, {R('CASE WHEN count(r)>=5 THEN stddev_samp(r)*sqrt(252.0) END', 6)} AS ann_vol, {R('CASE WHEN count(r)>=5 THEN coalesce(avg(r)/nullif(stddev_samp(r),0)*sqrt(252.0),0) END')} AS sharpe, CASE WHEN count(r)<5 THEN 'fewer than 5 bars' END AS reason FROM lb GROUP BY symbol, regime""",
 )
 def _(spark, sf):
     p = met.regime_performance(dd.regime_labels(ret.asset_returns(bars(spark, sf))))
-    return out(p, "symbol", "regime", "n_bars", hit_rate=6, ann_vol=6, sharpe=4)
+    return out(p, "symbol", "regime", "n_bars", "reason", hit_rate=6, ann_vol=6, sharpe=4)
 
 
 @query(

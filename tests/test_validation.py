@@ -275,3 +275,17 @@ def test_reality_check_by_key_equals_one_at_a_time(spark):
         one = rs.reality_check(f.filter(F.col("symbol") == s).drop("symbol"), 40).first().asDict()
         assert {k: both[s][k] for k in ("n", "k", "best_combo", "p_value")} == {k: one[k] for k in ("n", "k", "best_combo", "p_value")}
         assert both[s]["v_p95"] == pytest.approx(one["v_p95"])
+
+
+def test_short_series_and_rare_regimes_keep_a_row(spark, make_bars):
+    from tidemark.operators import metrics as met
+    from tidemark.operators.returns import asset_returns
+
+    r = asset_returns(make_bars([100.0 + (i * 7 % 5) for i in range(40)]).union(make_bars([100.0 + i % 3 for i in range(9)], "BBB")).union(make_bars([5.0] * 30, "CCC")))
+    got = met.qq_table(r).collect()
+    assert {(x["symbol"], x["reason"]) for x in got if x["pos"] is None} == {("BBB", "fewer than 20 returns"), ("CCC", "returns do not differ")}
+    assert all(x["reason"] is None for x in got if x["symbol"] == "AAA") and sum(x["symbol"] == "AAA" for x in got) >= 39
+    labels = spark.createDataFrame([("A", "low", 0.01 * i) for i in range(6)] + [("A", "high", 0.02)] * 2, "symbol string, regime string, r double")
+    p = {x["regime"]: x for x in met.regime_performance(labels).collect()}
+    assert p["low"]["reason"] is None and p["low"]["sharpe"] > 0
+    assert (p["high"]["n_bars"], p["high"]["sharpe"], p["high"]["reason"]) == (2, None, "fewer than 5 bars")
