@@ -42,9 +42,15 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each class stays; of rows that are equal in id and text, one."""
     near = stage(ngram_join.marked_copies(docs), "near-copies")
-    gone = stage(near.where(~F.col("kept")).select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_as")).distinct(), "gone")
+    ids = near.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+    ids = stage(ids.where(~F.col("all")), "ids-with-copies")
+    kept = docs.join(ids.where(~F.col("some")).select("doc_id"), "doc_id", "left_anti")
     same = (F.col("doc_id") == F.col("_of")) & (decontaminate.text_key(F.col("text")) == F.col("_as"))
-    kept = docs.join(gone, same, "left_anti")
+    # Ids that some texts leave and others keep are told apart by text.
+    gone = near.where(~F.col("kept")).join(ids.where("some").select("doc_id"), "doc_id", "left_semi")
+    gone = stage(gone.select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_as")).distinct(), "gone")
+    if not gone.isEmpty():
+        kept = kept.join(gone, same, "left_anti")
     twice = near.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_grams") > 0)).groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_as")).count()
     twice = stage(twice.where(F.col("count") > 1).drop("count"), "twice")
     if twice.isEmpty():
