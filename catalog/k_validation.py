@@ -298,14 +298,24 @@ def chain_sql(segment: str, name: str, step: int = 126, k: str = "symbol") -> st
 WFQ = B("lines") + GOLD + wf_sql()
 
 
+# Every series, with the reason where it holds no window.
+WN_SQL = f", wi AS (SELECT symbol, count(*) AS n_bars, CASE WHEN count(*)<{WF['train'] + WF['test']} THEN '{wf.SHORT}' END AS reason FROM sg GROUP BY symbol)"
+
+
+def wf_counts(spark, sf):
+    return wf.window_counts(gold(spark, sf, "lines"), **WF)
+
+
 def wf_curves(spark, sf):
     return staged_once(spark, (sf, "wf"), lambda: wf.walk_forward(gold(spark, sf, "lines"), **WF, burn_in=BURN))
 
 
-@query("op_K13_walk_forward_windows", WFQ + ' SELECT symbol, win AS "window", segment, min(bar) AS first_bar, max(bar) AS last_bar, count(*) AS bars FROM wq GROUP BY symbol, win, segment')
+@query("op_K13_walk_forward_windows", WFQ + WN_SQL + ' SELECT symbol, win AS "window", segment, min(bar) AS first_bar, max(bar) AS last_bar, count(bar) AS bars, any_value(reason) AS reason FROM wi LEFT JOIN wq USING (symbol) GROUP BY symbol, win, segment')
 def _(spark, sf):
     rows = wf.window_rows(gold(spark, sf, "lines"), **WF, burn_in=BURN)
-    return rows.groupBy("symbol", "window", "segment").agg(F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"), F.count(F.lit(1)).alias("bars"))
+    slices = rows.groupBy("symbol", "window", "segment").agg(F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"), F.count(F.lit(1)).alias("bars"))
+    every = wf_counts(spark, sf).select("symbol", "reason").join(slices, "symbol", "left")
+    return every.withColumn("bars", F.coalesce("bars", F.lit(0)))
 
 
 _SEG = [f"{s}_{c}" for s in ("is", "oos", "oos_benchmark") for c in ("sharpe", "cagr", "maxdd")]
@@ -323,10 +333,11 @@ AGG_SQL = """, ag AS (SELECT KEYCOL, count(*) AS n_windows, count(oos_sharpe) AS
 _AGG = ["mean_is_sharpe", "mean_oos_sharpe", "median_oos_sharpe", "std_oos_sharpe", "min_oos_sharpe", "max_oos_sharpe", "pct_positive_oos", "mean_excess_sharpe", "median_excess_sharpe", "pct_positive_excess", "degradation_ratio"]
 
 
-@query("op_K15_walk_forward_aggregate", WFQ + AGG_SQL.replace("KEYCOL", "symbol") + f" SELECT symbol, n_windows, n_oos_clean, robust, {', '.join(R(c) + f' AS {c}' for c in _AGG)} FROM ag3")
+@query("op_K15_walk_forward_aggregate", WFQ + WN_SQL + AGG_SQL.replace("KEYCOL", "symbol") + f" SELECT symbol, n_bars, reason, coalesce(n_windows,0) AS n_windows, coalesce(n_oos_clean,0) AS n_oos_clean, coalesce(robust,false) AS robust, {', '.join(R(c) + f' AS {c}' for c in _AGG)} FROM wi LEFT JOIN ag3 USING (symbol)")
 def _(spark, sf):
     t = wf.aggregate_windows(wf.windows_table(wf_curves(spark, sf), gold(spark, sf, "lines")))
-    return out(t, "symbol", "n_windows", "n_oos_clean", "robust", **{c: 4 for c in _AGG})
+    t = wf.with_short_series(t, wf_counts(spark, sf))
+    return out(t, "symbol", "n_bars", "reason", "n_windows", "n_oos_clean", "robust", **{c: 4 for c in _AGG})
 
 
 CHAIN = AGG_SQL.replace("KEYCOL", "symbol") + chain_sql("OOS", "ch") + chain_sql("BM", "cb")
@@ -334,11 +345,12 @@ CHAIN = AGG_SQL.replace("KEYCOL", "symbol") + chain_sql("OOS", "ch") + chain_sql
 
 @query(
     "op_K16_chained_oos",
-    WFQ + CHAIN + f""" SELECT symbol, ch.bars AS chained_bars, {R('ch.sharpe')} AS chained_sharpe, {R('ch.cagr', 6)} AS chained_cagr, {R('ch.maxdd', 6)} AS chained_maxdd, {R('ch.sharpe-cb.sharpe')} AS chained_excess_sharpe, {R('ch.cagr-cb.cagr', 6)} AS chained_excess_cagr, coalesce(ch.sharpe-cb.sharpe>0.2,false) AS has_edge, robust FROM ag3 LEFT JOIN ch USING (symbol) LEFT JOIN cb USING (symbol)""",
+    WFQ + WN_SQL + CHAIN + f""" SELECT symbol, reason, ch.bars AS chained_bars, {R('ch.sharpe')} AS chained_sharpe, {R('ch.cagr', 6)} AS chained_cagr, {R('ch.maxdd', 6)} AS chained_maxdd, {R('ch.sharpe-cb.sharpe')} AS chained_excess_sharpe, {R('ch.cagr-cb.cagr', 6)} AS chained_excess_cagr, coalesce(ch.sharpe-cb.sharpe>0.2,false) AS has_edge, coalesce(robust,false) AS robust FROM wi LEFT JOIN ag3 USING (symbol) LEFT JOIN ch USING (symbol) LEFT JOIN cb USING (symbol)""",
 )
 def _(spark, sf):
     s = wf.walk_forward_summary(wf_curves(spark, sf), gold(spark, sf, "lines"), WF["step"])
-    return out(s, "symbol", "chained_bars", "has_edge", "robust", chained_sharpe=4, chained_cagr=6, chained_maxdd=6, chained_excess_sharpe=4, chained_excess_cagr=6)
+    s = wf.with_short_series(s, wf_counts(spark, sf))
+    return out(s, "symbol", "reason", "chained_bars", "has_edge", "robust", chained_sharpe=4, chained_cagr=6, chained_maxdd=6, chained_excess_sharpe=4, chained_excess_cagr=6)
 
 
 @query(

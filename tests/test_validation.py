@@ -125,7 +125,23 @@ def test_walk_forward_windows_and_flat_excess(make_bars):
     s = wf.walk_forward_summary(c, b, 100).first()
     assert abs(s["chained_excess_sharpe"]) < 0.2 and not s["has_edge"]
     with pytest.raises(Exception, match="exceeds the data length"):
-        wf.walk_forward(b, train=600, test=200).collect()
+        wf.walk_forward(b, train=600, test=200, strict=True).collect()
+
+
+def test_short_series_have_a_reason_and_leave_the_others_alone(make_bars):
+    """A series a bar short of a window has one row with a reason; the rest is as without it."""
+    rng = np.random.default_rng(4)
+    prices = (100 * np.exp(np.cumsum(rng.normal(0, 0.01, 500)))).tolist()
+    long, edge, short = (make_bars(prices[:n]).withColumns({"symbol": F.lit(s), "weight": F.lit(1.0)}) for s, n in (("long", 500), ("edge", 300), ("short", 299)))
+    every = long.unionByName(edge).unionByName(short)
+    counts = wf.window_counts(every, 200, 100, 50)
+    assert {r["symbol"]: (r["n_bars"], r["n_windows"], r["reason"]) for r in counts.collect()} == {"long": (500, 5, None), "edge": (300, 1, None), "short": (299, 0, wf.SHORT)}
+    got = wf.with_short_series(wf.walk_forward_summary(wf.walk_forward(every, 200, 100, 50), every, 50), counts)
+    got = {r["symbol"]: r.asDict() for r in got.collect()}
+    assert set(got) == {"long", "edge", "short"}
+    assert (got["short"]["n_windows"], got["short"]["robust"], got["short"]["has_edge"], got["short"]["mean_oos_sharpe"], got["short"]["reason"]) == (0, False, False, None, wf.SHORT)
+    alone = wf.walk_forward_summary(wf.walk_forward(long, 200, 100, 50), long, 50).first().asDict()
+    assert all(got["long"][c] == pytest.approx(v) for c, v in alone.items()) and got["long"]["reason"] is None
 
 
 @pytest.mark.parametrize("rows", [520, 100_000])

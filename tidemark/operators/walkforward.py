@@ -15,22 +15,32 @@ C = F.col
 SEGMENTS = ("IS", "OOS", "BM")
 
 
-def window_rows(df: DataFrame, train: int, test: int, step: int | None = None, burn_in: int = 0, keys=SERIES) -> DataFrame:
+SHORT = "shorter than one window"
+
+
+def window_counts(df: DataFrame, train: int, test: int, step: int | None = None, keys=SERIES) -> DataFrame:
+    """n_bars and n_windows of every series, and `reason` where it has no window."""
+    n = C("n_bars")
+    windows = F.when(n >= train + test, F.floor((n - train - test) / (step or test)) + 1).otherwise(0).cast("bigint")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"))
+    return sizes.withColumns({"n_windows": windows, "reason": F.when(n < train + test, SHORT)})
+
+
+def window_rows(df: DataFrame, train: int, test: int, step: int | None = None, burn_in: int = 0, keys=SERIES, strict: bool = False) -> DataFrame:
     """Each bar once per (window, segment) that holds it, with its place `ord` in the segment.
 
     Window w (from 1) trains on [s, s+train) and tests on the next `test` bars, with
     s = (w-1) * step. A position belongs to a short run of windows, found by arithmetic.
     Segment OOS starts `burn_in` bars early; BM is the plain test slice. A series shorter
-    than train + test fails the job.
+    than train + test has no windows (`window_counts` says so); with `strict` it fails the job.
     """
     keys = list(keys)
     step = step or test
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys,
-        F.when(C("_n") < train + test, F.raise_error(F.lit("train + test exceeds the data length")).cast("bigint"))
-        .otherwise(F.floor((C("_n") - train - test) / step))
-        .alias("_last"),
-    )
+    last = C("n_windows") - 1
+    if strict:
+        last = F.when(last < 0, F.raise_error(F.lit("train + test exceeds the data length")).cast("bigint")).otherwise(last)
+    n = window_counts(df, train, test, step, keys).select(*keys, last.alias("_last"))
+    n = n if strict else n.filter("_last >= 0")
     d = df.withColumnRenamed("ord", "bar").join(n, keys)
 
     def held_by(seg: str, lo: int, hi: int) -> Column:
@@ -145,8 +155,15 @@ def chain(curves: DataFrame, df: DataFrame, step: int, segment: str, keys=SERIES
     return m.filter("bars >= 3").select(*keys, "bars", "sharpe", "cagr", "maxdd")
 
 
+def with_short_series(summary: DataFrame, counts: DataFrame, keys=SERIES) -> DataFrame:
+    """One row for every series of `window_counts`: those without a window have no metrics, false flags and a `reason`."""
+    summary = counts.select(*keys, "n_bars", "reason").join(summary, list(keys), "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_windows", "n_oos_clean")}
+    return summary.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("robust", "has_edge") if c in summary.columns})
+
+
 def walk_forward_summary(curves: DataFrame, df: DataFrame, step: int, keys=SERIES) -> DataFrame:
-    """Window aggregate plus chained out-of-sample metrics, excess and verdict flags."""
+    """Window aggregate plus chained out-of-sample metrics, excess and verdict flags, for series with a window."""
     keys = list(keys)
     agg = aggregate_windows(windows_table(curves, df, keys), keys)
     oos = chain(curves, df, step, "OOS", keys)
@@ -164,10 +181,10 @@ def walk_forward_summary(curves: DataFrame, df: DataFrame, step: int, keys=SERIE
 
 def walk_forward(
     df: DataFrame, train: int = 756, test: int = 252, step: int | None = None, burn_in: int = 0,
-    commission_bps: float = 1.0, slippage_bps: float = 5.0, keys=SERIES,
+    commission_bps: float = 1.0, slippage_bps: float = 5.0, keys=SERIES, strict: bool = False,
 ) -> DataFrame:
     """Curves of all windows of bars with `weight`, ready for the tables above."""
-    rows = window_rows(df, train, test, step, burn_in, keys)
+    rows = window_rows(df, train, test, step, burn_in, keys, strict)
     return segment_curves(rows, train, burn_in, commission_bps, slippage_bps, keys)
 
 
@@ -298,7 +315,7 @@ def sweep_walk_forward(
     names = spark.createDataFrame([(i, *v.values()) for i, v in enumerate(variants)], ", ".join(["variant long", *[f"`{k}` {'string' if isinstance(x, str) else 'double'}" for k, x in _kinds(variants).items()]]))
     every = sizes.withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_variants - 1).cast("long"))))
     excess = C("chained_sharpe") - C("chained_benchmark_sharpe")
-    reason = F.when(C("_train").isNull(), "no window lengths for its timeframe").when(C("n_bars") < C("_train") + C("_test"), "shorter than one window")
+    reason = F.when(C("_train").isNull(), "no window lengths for its timeframe").when(C("n_bars") < C("_train") + C("_test"), SHORT)
     return (
         every.join(agg, by, "left").join(chained, by, "left").join(names, "variant")
         .withColumns({"reason": reason, "chained_excess_sharpe": excess, "has_edge": F.coalesce(excess > 0.20, F.lit(False))})
