@@ -382,3 +382,13 @@ def test_grades_are_ordered_and_learned(spark, prose):
     assert got[900]["value"] == got[901]["value"] == 0
     none = ordinal.train(df, df.select("doc_id", "grade").limit(0), 3)
     assert abs(ordinal.score(df.limit(1), none).first()["expected_grade"] - 1) < 0.35
+
+
+def test_line_dedup_passes_clashing_columns_through(spark):
+    """Columns named like the operator's own keep their values, and lines go as without them."""
+    rows = [(i, f"menu\nown {i}", "h", "mine", [i], "k", "h2") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _host string, _keys array<int>, _kept string, _host_ string")
+    got = line_dedup.drop_boilerplate(docs)
+    assert set(docs.columns) < set(got.columns)
+    want = {(i, f"own {i}", "h", "mine", (i,), "k", "h2", 1) for i in range(6)}
+    assert {(r["doc_id"], r["text"], r["source"], r["_host"], tuple(r["_keys"]), r["_kept"], r["_host_"], r["n_dropped"]) for r in got.collect()} == want

@@ -8,7 +8,8 @@ a line on all of them meets in one task. Texts never move: a host has at most
 and pages join one row per host. That small table is written first, hence broadcast only if its
 size is known to fit; else the join is a shuffle that adaptive execution can split by pages.
 
-Null and empty hosts are one site. Null texts stay null and have no lines. Lines of white space
+Further columns pass through under any name, also those this module uses itself; only the text, n_lines and
+n_dropped are replaced. Null and empty hosts are one site. Null texts stay null and have no lines. Lines of white space
 shape the text and are never dropped. Repeated rows count as pages of their own.
 """
 
@@ -48,18 +49,31 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min
     )
 
 
+def _free(taken: list[str], *names: str) -> list[str]:
+    """Each name, lengthened until no column has it."""
+    low = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n in low:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """`docs` with boilerplate lines cut out of `text`, and n_lines and n_dropped added or replaced."""
     found = stage(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    joined = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(found, "_host", "left")
+    site, keys, cut = _free(docs.columns, "_host", "_keys", "_kept")
+    found = found.select(F.col("_host").alias(site), F.col("_keys").alias(keys))
+    joined = docs.withColumn(site, F.coalesce(F.col(host).cast("string"), F.lit(""))).join(found, site, "left")
     lines = lines_of(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), line_key(x)))
-    joined = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(keys), line_key(x)))
+    joined = joined.withColumn(cut, F.when(F.col(keys).isNotNull(), kept))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_kept = F.when(F.col("_kept").isNull(), n_lines).otherwise(F.size("_kept")).cast("long")
+    n_kept = F.when(F.col(cut).isNull(), n_lines).otherwise(F.size(cut)).cast("long")
     out = {c: F.col(c) for c in docs.columns}
     out |= {"n_lines": n_lines, "n_dropped": n_lines - n_kept}
-    out[text] = F.when(F.col("_kept").isNull() | (n_kept == n_lines), F.col(text)).otherwise(F.array_join("_kept", "\n"))
+    out[text] = F.when(F.col(cut).isNull() | (n_kept == n_lines), F.col(text)).otherwise(F.array_join(cut, "\n"))
     return joined.select(*[v.alias(k) for k, v in out.items()])
 
 
