@@ -50,6 +50,7 @@ def with_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ord")
     """
     keys, df = list(keys), split_series(df)
     tagged = df.withColumn("_bucket", bucket)
+    dealt = tagged.repartition(*keys, "_bucket")
     counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(
@@ -57,7 +58,7 @@ def with_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ord")
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        tagged.withColumn("_rn", F.row_number().over(inside))
+        dealt.withColumn("_rn", F.row_number().over(inside))
         .join(starts, [*keys, "_bucket"])
         .withColumn(name, (F.col("_start") + F.col("_rn") - 1).cast("long"))
         .drop("_bucket", "_rn", "_start")
@@ -65,16 +66,14 @@ def with_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ord")
 
 
 def split_series(df: DataFrame) -> DataFrame:
-    """Have every window and aggregate deal rows by all of its keys.
+    """Have adaptive execution split a hot symbol in joins, even where an aggregate by symbol follows.
 
-    A join on the symbol leaves rows dealt by symbol, which Spark takes as good enough for
-    windows on (symbol, chunk): one symbol would then be one task. With the first setting they
-    get an exchange of their own. With the second, adaptive execution splits the rows of a hot
-    symbol in such a join even where an aggregate by symbol follows, at the cost of a shuffle.
+    A join on the symbol leaves rows dealt by symbol, which Spark takes as good enough for windows
+    on (symbol, chunk): one symbol would then be one task. The plans here therefore deal rows by
+    (symbol, chunk) themselves. Windows on more keys inside a chunk then need no exchange of their
+    own, which Spark's setting to deal by all keys of every window would give each of them.
     """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
-    conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    df.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return df
 
 
@@ -130,7 +129,7 @@ def on_chunks(
         out = out.withColumn("_chunk", F.explode(F.array_compact(F.array(*targets))))
     else:
         out = out.withColumn("_chunk", F.col("_home"))
-    out = build(out, Chunk((*keys, "_chunk")))
+    out = build(out.repartition(*keys, "_chunk"), Chunk((*keys, "_chunk")))
     return out.filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 
 
@@ -171,7 +170,7 @@ def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int | None = None) -> Da
         *[_RUNNING[op](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (op, _) in specs.items()],
     )
     upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    local = base.select(
+    local = base.repartition(*keys, "_chunk").select(
         *df.columns,
         "_chunk",
         *[_RUNNING[op](F.col(f"_x_{n}")).over(upto).alias(f"_l_{n}") for n, (op, _) in specs.items()],
@@ -191,7 +190,7 @@ def equity_scan(
     scaled by the growth before them, so no second scan over the rows is needed.
     """
     keys, df = list(keys), split_series(df)
-    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows))))
+    base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows)))).repartition(*keys, "_chunk")
     upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     local = base.withColumn("_g", F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
     totals = local.groupBy(*keys, "_chunk").agg(
@@ -240,6 +239,7 @@ def summarize_segments(segments: DataFrame, keys, rows: int | None = None) -> Da
     """
     keys = list(keys)
     chunked = segments.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows))))
+    chunked = chunked.repartition(*keys, "_chunk")
     g = merge_segments(merge_segments(chunked, [*keys, "_chunk"]), keys, "_chunk")
     mean = F.col("s") / F.nullif("n", F.lit(0))
     var = (F.col("q") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0))
