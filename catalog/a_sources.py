@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import B, ISO, R, bars, iso, out, query, rnd
 from tidemark.operators import ingest as ing
+from tidemark.plans.series import chunk_rows
 from tidemark.session import staged_once, work_root
 from tidemark.sources import bar_files as files
 
@@ -47,7 +48,11 @@ def defects(spark, sf):
 
 
 def csv_folder(spark, sf):
-    """The faulty bars written as CSV, a folder of part files per symbol."""
+    """The faulty bars written as CSV, a folder of part files per symbol.
+
+    Rows are gathered by symbol and chunk first, so that the number of files follows the data, not tasks
+    times symbols. Tasks put their files in place themselves: one after the other would take the driver longer.
+    """
     key = f"{work_root(spark)}/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
 
     def make():
@@ -57,8 +62,11 @@ def csv_folder(spark, sf):
             *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close")],
             F.col("volume").alias("Vol"),
             F.col("symbol").alias("sym"),
+            F.floor(F.col("file_ord") / (2 * chunk_rows())).alias("_chunk"),
         )
-        rows.write.partitionBy("file").option("header", True).csv(key)
+        rows = rows.repartition("file", "_chunk").drop("_chunk")
+        write = rows.write.partitionBy("file").option("header", True)
+        write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).csv(key)
         return spark.createDataFrame([(key,)], "path string")
 
     return staged_once(spark, (sf, "csvdir"), make).first()["path"]
