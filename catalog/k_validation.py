@@ -101,7 +101,7 @@ def _(spark, sf):
 @query("op_D10_bootstrap_gather", BOOT + IID_SQL + f" SELECT symbol, sim, count(*) AS n, {R('sum(x)', 8)} AS sum_x FROM dr GROUP BY symbol, sim")
 def _(spark, sf):
     x = rs.indexed_returns(gold_equity(spark, sf))
-    g = rs.gather(rs.iid_draws(rs.sample_sizes(x), SIMS), x).groupBy("symbol", "sim").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_x"))
+    g = rs.block_paths(x, rs.sample_sizes(x), SIMS, 1, 42, "iid", wholly=True).withColumnRenamed("s", "sum_x")
     return out(g, "symbol", "sim", "n", sum_x=8)
 
 
@@ -198,7 +198,7 @@ def _(spark, sf):
     OUTCOMES + f", oc AS (SELECT symbol, p.g AS terminal, p.dd AS maxdd FROM pt), om AS (SELECT symbol, {', '.join(f'quantile_cont({c},{p/100}) AS {c}_p{p:02d}' for c in ('terminal', 'maxdd') for p in (5, 50, 95))} FROM oc GROUP BY symbol) SELECT symbol, {', '.join(R(f'{c}_p{p:02d}', 6) + f' AS {c}_p{p:02d}' for c in ('terminal', 'maxdd') for p in (5, 50, 95))}, {REASON(60)} FROM sz LEFT JOIN om USING (symbol)",
 )
 def _(spark, sf):
-    m = rs.marker_percentiles(rs.path_outcomes(gold_equity(spark, sf), BLOCK_SIMS, 20))
+    m = rs.outcome_percentiles(gold_equity(spark, sf), BLOCK_SIMS, 20)
     return out(m, "symbol", "reason", **{f"{c}_p{p:02d}": 6 for c in ("terminal", "maxdd") for p in (5, 50, 95)})
 
 

@@ -2,7 +2,7 @@
 
 A drawn block is known by its start, so its path segment is the same in all simulations: it is worked out
 once for each start and then only looked up. The values of a series are cut into tiles of starts. Where one
-tile holds the series, its simulations are put together beside it, a pack of draws at a time; else draws
+tile holds the series, its simulations are put together beside it, as arrays of its row; else draws
 are dealt to the tiles of their starts, looked up there and brought back by pack. Only the first block, which
 sets the level, and the last one, which is cut, need their values.
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rng import uniform
+from tidemark.functions.rng import uniform, uniform_rows
 from tidemark.plans.series import SERIES, merge_segments
 from tidemark.session import stage
 
@@ -64,16 +64,89 @@ def _looked_up(row, block: int, start: np.ndarray, k: np.ndarray, blocks: int, c
     return out
 
 
+def _field(name: str):
+    return lambda v: v[name]
+
+
+def packed_series(df: DataFrame, sizes: DataFrame, values: list[str], keys=SERIES, order: str = "idx") -> DataFrame:
+    """keys, n and an array of each of `values`, one row for each series of `sizes`.
+
+    For series short enough for one row; sizes say little about the work on them, hence the plain number of tasks.
+    """
+    keys, tasks = list(keys), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, order, *values).join(sizes.select(*keys, "n"), keys).repartition(tasks, *keys)
+    rows = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(order, *values))).alias("_p"))
+    return rows.select(*keys, "n", *[F.transform("_p", _field(c)).alias(c) for c in values])
+
+
+def _path_arrays(x: np.ndarray, u: np.ndarray, block: int, wholly: bool, skip_first: bool) -> dict[str, np.ndarray]:
+    """Segment of the whole path of each row of numbers `u`, a few simulations at a time."""
+    n, blocks = len(x), u.shape[1]
+    row = {"xs": x} if block == 1 else {"xs": x, **segments(np.lib.stride_tricks.sliding_window_view(x, block))}
+    found = []
+    some = max(1, 65_536 // blocks)
+    for at in range(0, len(u), some):
+        start = np.floor(u[at : at + some] * (n - block + wholly)).astype(np.int64)
+        if block == 1:
+            r = x[start]
+            if skip_first:
+                r[:, 0] = 0.0
+            found.append(segments(r))
+        else:
+            k = np.tile(np.arange(blocks), len(start))
+            seg = _looked_up(row, block, start.ravel(), k, blocks, n - (blocks - 1) * block, skip_first)
+            found.append(chain({f: v.reshape(start.shape) for f, v in seg.items()}))
+    return {f: np.concatenate([d[f] for d in found]) for f in FIELDS}
+
+
 def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, seed: int = 42, stream: str = "block", keys=SERIES, skip_first: bool = False, wholly: bool = False) -> DataFrame:
-    """keys, sim, n, s, q, growth, low, high, dd of each simulated path of series with more than `block` returns.
+    """keys, sim, n, s, q, growth, low, high, dd: the rows of `packed_paths` by simulation."""
+    d = packed_paths(returns, sizes, n_sims, block, seed, stream, keys, skip_first, wholly)
+    d = d.select(*keys, "n", F.posexplode(F.arrays_zip(*FIELDS)).alias("sim", "_v"))
+    return d.select(*keys, "sim", "n", *[C("_v")[f].alias(f) for f in FIELDS])
+
+
+def packed_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, seed: int = 42, stream: str = "block", keys=SERIES, skip_first: bool = False, wholly: bool = False) -> DataFrame:
+    """keys, n and arrays s, q, growth, low, high, dd over the simulated paths of series with more than `block` returns.
 
     `returns` has idx from 0 and x, `sizes` the series to simulate with their n. With `skip_first` the first draw
     only sets the starting level and does not count. Starts are drawn from n - block positions; `wholly` from all
-    n - block + 1 of them, so that blocks of one value are draws with replacement.
+    n - block + 1 of them, so that blocks of one value are draws with replacement. A series of one tile is one row
+    all the way: its simulations never move, and the numbers they share are worked out in the task.
     """
-    keys, spark = list(keys), returns.sparkSession
+    keys = list(keys)
+    sizes = stage(sizes.filter(C("n") > block - wholly).select(*keys, "n"), "path-sizes")
+    tiles = F.ceil((C("n") - block + int(wholly)) / min(TILE, 2 * BLOCKS * block))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in returns.schema if f.name in keys)
+    cols = [*keys, "n", *FIELDS]
+
+    def simulated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                n = int(row["n"])
+                u = uniform_rows(seed, stream, n_sims, -(-n // block))
+                found = _path_arrays(np.asarray(row["x"]), u, block, wholly, skip_first)
+                rows.append({**{c: row[c] for c in keys}, "n": n - skip_first, **found})
+                if len(rows) * n_sims >= 65_536:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
+            yield pd.DataFrame(rows, columns=cols)
+
+    schema = f"{types}, n bigint, {', '.join(f'{f} array<double>' for f in FIELDS)}"
+    short = packed_series(returns, sizes.filter(tiles <= 1), ["x"], keys).mapInPandas(simulated, schema)
+    wide = sizes.filter(tiles > 1)
+    if wide.isEmpty():
+        return short
+    rows = _tiled_paths(returns, wide, n_sims, block, seed, stream, keys, skip_first, wholly)
+    rows = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sim", *FIELDS))).alias("_p"))
+    return short.unionByName(rows.select(*keys, "n", *[F.transform("_p", _field(f)).alias(f) for f in FIELDS]))
+
+
+def _tiled_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, seed: int, stream: str, keys, skip_first: bool, wholly: bool) -> DataFrame:
+    """keys, sim, n, s, q, growth, low, high, dd of series of several tiles."""
+    spark = returns.sparkSession
     tile_rows = min(TILE, 2 * BLOCKS * block)
-    sizes = sizes.filter(C("n") > block - wholly).select(*keys, "n")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in returns.schema if f.name in keys)
     at = F.floor(C("idx") / tile_rows)
     spread = F.when(F.pmod(C("idx"), F.lit(tile_rows)) < block, F.array(at, at - 1)).otherwise(F.array(at))
@@ -96,9 +169,6 @@ def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, s
     draws = stage(draws.select("_part", "_run", F.transform("_u", lambda v: v["u"]).alias("u"), F.size(F.array_distinct(F.transform("_u", lambda v: v["sim"]))).alias("_sims")), "draws")
 
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.ceil(C("n") / block) - 1) / BLOCKS)))
-    # A series of one tile needs tile_rows / block draws of each simulation at most, whatever the table holds.
-    few = F.broadcast(draws.filter(C("_run") <= (tile_rows // block + 1) // BLOCKS))
-    tiles = F.ceil((C("n") - block + int(wholly)) / tile_rows)
 
     def drawn(row, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(simulations x blocks) starts of a pack, its first block number, blocks of the path and values of the last one."""
@@ -118,18 +188,6 @@ def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, s
     cols = [*keys, "sim", "ord", "n", *FIELDS]
     schema = f"{types}, sim int, ord bigint, n bigint, {', '.join(f'{f} double' for f in FIELDS)}"
 
-    def at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                start, first, blocks, cut = drawn(row, int(row["n"]))
-                k = np.tile(first + np.arange(start.shape[1]), len(start))
-                seg = _looked_up(row, block, start.ravel(), k, blocks, cut, skip_first)
-                yield path_rows(row, seg, start.shape, first, blocks, int(row["n"]))
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    alone = starts.filter((tiles <= 1) & (C("_tile") == 0)).repartition(tasks, *keys)  # sizes say little about the work
-    short = alone.withColumn("_run", runs).join(few, "_run").mapInPandas(at_once, schema)
-
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Draws of a pack by tile of their start; `_at` is their place in the pack."""
         for pdf in batches:
@@ -165,9 +223,9 @@ def block_paths(returns: DataFrame, sizes: DataFrame, n_sims: int, block: int, s
         return path_rows(row, seg, shape, first, blocks, n)
 
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_sims - 1) // SIMS).cast("long")))
-    wide = sizes.filter(tiles > 1).withColumn("_run", runs).withColumn("_part", parts)
+    wide = sizes.withColumn("_run", runs).withColumn("_part", parts)
     long = wide.join(draws, ["_run", "_part"]).mapInPandas(dealt, f"{types}, _tile bigint, _part bigint, _run bigint, _sims int, _at array<bigint>, _start array<bigint>")
     long = long.join(starts, [*keys, "_tile"])
     found = long.mapInPandas(looked_up, f"{types}, _part bigint, _run bigint, _sims int, n bigint, _at array<bigint>, {', '.join(f'{f} array<double>' for f in FIELDS)}")
     found = found.groupBy(*keys, "_part", "_run").applyInPandas(together, schema)
-    return merge_segments(stage(short.unionByName(found), "block-paths"), [*keys, "sim"])
+    return merge_segments(stage(found, "block-paths"), [*keys, "sim"])

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.rng import uniform
-from tidemark.operators.blocks import block_paths
+from tidemark.functions.rng import uniform, uniform_rows
+from tidemark.operators.blocks import TILE, block_paths, packed_paths, packed_series
 from tidemark.operators.metrics import nz, span_days
 from tidemark.operators.quality import micros
 from tidemark.plans.series import SERIES, equity_scan, on_chunks, scan, split_series, with_ordinal
@@ -115,30 +115,63 @@ def _observed(equity: DataFrame, keys) -> DataFrame:
     )
 
 
-def _sim_metrics(g: DataFrame, equity: DataFrame, keys) -> DataFrame:
-    g = g.join(inferred_ppy(equity, keys), list(keys))
-    return g.select(
-        *keys, "sim", C("max_drawdown").alias("maxdd"),
-        (C("mean") / nz("sd") * F.sqrt("ppy")).alias("sharpe"),
-        (F.pow("growth", C("ppy") / C("n")) - 1).alias("cagr"),
-    )
+def path_sharpe(n: Column, s: Column, q: Column) -> Column:
+    """Mean over deviation of a path's returns; what sums of squares cannot tell from equal returns has no spread."""
+    mean = s / F.nullif(n, F.lit(0))
+    around = q - n * mean * mean
+    sd = F.sqrt(F.when(around > 1e-12 * q, around).otherwise(0.0) / F.nullif(n - 1, F.lit(0)))
+    return mean / F.nullif(sd, F.lit(0.0))
 
 
-def _summary(sims: DataFrame, observed: DataFrame, keys) -> DataFrame:
-    """Reduce simulations; their number is set by the caller, so percentiles are small."""
-    keys = list(keys)
-    return sims.join(observed, keys).groupBy(*keys).agg(
-        F.first("real_sharpe").alias("real_sharpe"),
-        F.first("real_cagr").alias("real_cagr"),
-        F.first("real_maxdd").alias("real_maxdd"),
-        F.avg("sharpe").alias("sharpe_mean"),
-        F.stddev_pop("sharpe").alias("sharpe_std"),
-        F.percentile("sharpe", 0.05).alias("sharpe_p05"),
-        F.percentile("sharpe", 0.50).alias("sharpe_p50"),
-        F.percentile("sharpe", 0.95).alias("sharpe_p95"),
-        F.avg((C("sharpe") >= C("real_sharpe")).cast("double")).alias("p_value_sharpe"),
-        F.avg((C("cagr") >= C("real_cagr")).cast("double")).alias("p_value_cagr"),
-        F.avg((C("maxdd") <= -0.5).cast("double")).alias("prob_ruin"),
+def over_paths(f, *fields: str) -> Column:
+    """Array of `f` of the fields of each path."""
+    return F.transform(F.arrays_zip(*fields), lambda v: f(*[v[c] for c in fields]))
+
+
+def array_mean(a: Column) -> Column:
+    """Mean of the values that are not null."""
+    a = F.array_compact(a)
+    return F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.nullif(F.size(a), F.lit(0))
+
+
+def array_std(a: str, mean: str) -> Column:
+    """Population deviation around a mean worked out before."""
+    return F.sqrt(array_mean(F.transform(a, lambda v: (v - C(mean)) * (v - C(mean)))))
+
+
+def array_share(a, test) -> Column:
+    return array_mean(F.transform(a, lambda v: test(v).cast("double")))
+
+
+def array_percentile(a: str, p: float) -> Column:
+    """Interpolated percentile of an ascending array without nulls."""
+    at = F.lit(p) * (F.size(a) - 1)
+    lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    low, high = F.get(a, lo), F.get(a, hi)
+    return F.when(lo == hi, low).otherwise((hi - at) * low + (at - lo) * high)
+
+
+def _ascending(a: Column) -> Column:
+    return F.sort_array(F.array_compact(a))
+
+
+def _summary(paths: DataFrame, equity: DataFrame, observed: DataFrame, keys) -> DataFrame:
+    """Reduce the simulations inside the row of their series."""
+    ppy = inferred_ppy(equity, keys).withColumnRenamed("ppy", "_ppy")
+    d = paths.join(observed.drop("ppy"), keys).join(ppy, keys)
+    n, ppy = C("n"), C("_ppy")
+    d = d.select(
+        *keys, "real_sharpe", "real_cagr", "real_maxdd", "dd",
+        _ascending(over_paths(lambda s, q: path_sharpe(n, s, q) * F.sqrt(ppy), "s", "q")).alias("_s"),
+        over_paths(lambda g, _: F.pow(g, ppy / n) - 1, "growth", "dd").alias("_c"),
+    ).withColumn("sharpe_mean", array_mean(C("_s")))
+    return d.select(
+        *keys, "real_sharpe", "real_cagr", "real_maxdd", "sharpe_mean",
+        array_std("_s", "sharpe_mean").alias("sharpe_std"),
+        *[array_percentile("_s", p / 100).alias(f"sharpe_p{p:02d}") for p in (5, 50, 95)],
+        array_share("_s", lambda v: v >= C("real_sharpe")).alias("p_value_sharpe"),
+        array_share("_c", lambda v: v >= C("real_cagr")).alias("p_value_cagr"),
+        array_share("dd", lambda v: v <= -0.5).alias("prob_ruin"),
     )
 
 
@@ -148,9 +181,9 @@ def bootstrap_iid(equity: DataFrame, n_sims: int = 5000, seed: int = 42, keys=SE
     keys = list(keys)
     x = indexed_returns(equity, keys)
     sizes = too_short(sample_sizes(x, keys), 3)
-    paths = block_paths(x, sizes.filter(C("reason").isNull()), n_sims, 1, seed, "iid", keys, skip_first=True, wholly=True)
-    observed = _observed(equity, keys)
-    found = _summary(_sim_metrics(_moments(paths).withColumnRenamed("dd", "max_drawdown"), equity, keys), observed, keys)
+    paths = packed_paths(x, sizes.filter(C("reason").isNull()), n_sims, 1, seed, "iid", keys, skip_first=True, wholly=True)
+    observed = stage(_observed(equity, keys), "observed")
+    found = _summary(paths, equity, observed, keys)
     return _with_all(observed.select(*keys, "real_sharpe", "real_cagr", "real_maxdd"), found, sizes, keys)
 
 
@@ -172,9 +205,10 @@ def bootstrap_block(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed
     keys = list(keys)
     x = indexed_returns(equity, keys)
     sizes = sample_sizes(x, keys)
-    paths = _moments(block_paths(x, sizes, n_sims, block, seed, "block", keys, skip_first=True)).withColumnRenamed("dd", "max_drawdown")
-    found = _summary(_sim_metrics(paths, equity, keys), _observed(equity, keys), keys)
-    return _with_all(_observed(equity, keys).select(*keys, "real_sharpe", "real_cagr", "real_maxdd"), found, too_short(sizes, block + 1), keys)
+    paths = packed_paths(x, sizes, n_sims, block, seed, "block", keys, skip_first=True)
+    observed = stage(_observed(equity, keys), "observed")
+    found = _summary(paths, equity, observed, keys)
+    return _with_all(observed.select(*keys, "real_sharpe", "real_cagr", "real_maxdd"), found, too_short(sizes, block + 1), keys)
 
 
 def _with_all(every: DataFrame, found: DataFrame, sizes: DataFrame, keys) -> DataFrame:
@@ -201,16 +235,17 @@ def bootstrap_null(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed:
     m, s = exact_moments(C("x"), C("x") * C("x"), F.count("x"))
     mean = stage(x.groupBy(*keys).agg(m.alias("_mean"), (m / nz(s)).alias("_obs"), F.count(F.lit(1)).alias("n")), "means")
     flat = x.join(mean.select(*keys, "_mean"), keys).withColumn("x", C("x") - C("_mean")).drop("_mean")
-    paths = _moments(block_paths(flat, mean, n_sims, block, seed, "null", keys))
+    paths = packed_paths(flat, mean, n_sims, block, seed, "null", keys)
     own = mean.join(inferred_ppy(equity, keys), keys).withColumn("o", F.coalesce("_obs", F.lit(0.0)) * F.sqrt("ppy")).select(*keys, "n", "ppy", "o")
-    sims = paths.join(own.drop("n"), keys).withColumn("s", F.coalesce(C("mean") / nz("sd"), F.lit(0.0)) * F.sqrt("ppy"))
-    found = sims.groupBy(*keys).agg(
-        F.avg("s").alias("null_sharpe_mean"),
-        F.stddev_pop("s").alias("null_sharpe_std"),
-        F.percentile("s", 0.05).alias("null_sharpe_p05"),
-        F.percentile("s", 0.95).alias("null_sharpe_p95"),
-        F.avg((C("s") >= C("o")).cast("double")).alias("p_value_one_sided"),
-        F.avg((F.abs("s") >= F.abs("o")).cast("double")).alias("p_value_two_sided"),
+    sims = paths.join(own.drop("n"), keys)
+    found = sims.select(*keys, "o", F.sort_array(over_paths(lambda s, q: F.coalesce(path_sharpe(C("n"), s, q), F.lit(0.0)) * F.sqrt("ppy"), "s", "q")).alias("_s"))
+    found = found.withColumn("null_sharpe_mean", array_mean(C("_s"))).select(
+        *keys, "null_sharpe_mean",
+        array_std("_s", "null_sharpe_mean").alias("null_sharpe_std"),
+        array_percentile("_s", 0.05).alias("null_sharpe_p05"),
+        array_percentile("_s", 0.95).alias("null_sharpe_p95"),
+        array_share("_s", lambda v: v >= C("o")).alias("p_value_one_sided"),
+        array_share("_s", lambda v: F.abs(v) >= F.abs("o")).alias("p_value_two_sided"),
     )
     return _with_all(own.select(*keys, C("o").alias("observed_sharpe")), found, too_short(mean, block + 1), keys)
 
@@ -296,7 +331,7 @@ def _placed_blocks(sizes: DataFrame, n_sims: int, seed: int, keys) -> DataFrame:
         *by, "_bucket", F.coalesce(F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lag("_last").over(before).alias("_before")
     )
     inside = W.partitionBy(*by, "_bucket").orderBy("_u", "src")
-    d = d.withColumns({"_rn": F.row_number().over(inside), "_p": F.lag("src").over(inside)}).join(starts.hint("merge"), [*by, "_bucket"])
+    d = d.repartition(*by, "_bucket").withColumns({"_rn": F.row_number().over(inside), "_p": F.lag("src").over(inside)}).join(starts.hint("merge"), [*by, "_bucket"])
     return d.select(*by, "src", (C("_start") + C("_rn") - 1).alias("dst"), F.coalesce("_p", "_before").alias("prev"))
 
 
@@ -379,17 +414,31 @@ def path_bands(paths: DataFrame, max_bars: int = 400, keys=SERIES) -> DataFrame:
     )
 
 
+def _packed_outcomes(equity: DataFrame, n_sims: int, block: int, seed: int, keys) -> DataFrame:
+    """keys, reason and arrays terminal and maxdd over simulations, null for a series of fewer than three blocks."""
+    x = indexed_returns(equity, keys)
+    sizes = too_short(sample_sizes(x, keys), 3 * block)
+    g = packed_paths(x, sizes.filter(C("reason").isNull()), n_sims, block, seed, "paths", keys)
+    g = g.select(*keys, C("growth").alias("terminal"), C("dd").alias("maxdd"))
+    return sizes.select(*keys, "reason").join(g, keys, "left")
+
+
 def path_outcomes(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
     """Terminal wealth and largest drawdown per simulation of `simulated_paths`, without building the curves.
 
     A series of fewer than three blocks has one row without a simulation, and a reason.
     """
     keys = list(keys)
-    x = indexed_returns(equity, keys)
-    sizes = too_short(sample_sizes(x, keys), 3 * block)
-    g = block_paths(x, sizes.filter(C("reason").isNull()), n_sims, block, seed, "paths", keys)
-    g = g.select(*keys, "sim", C("growth").alias("terminal"), C("dd").alias("maxdd"))
-    return sizes.select(*keys, "reason").join(g, keys, "left").select(*keys, "sim", "terminal", "maxdd", "reason")
+    d = _packed_outcomes(equity, n_sims, block, seed, keys)
+    d = d.select(*keys, "reason", F.posexplode_outer(F.arrays_zip("terminal", "maxdd")).alias("sim", "_v"))
+    return d.select(*keys, "sim", C("_v.terminal").alias("terminal"), C("_v.maxdd").alias("maxdd"), "reason")
+
+
+def outcome_percentiles(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, keys=SERIES) -> DataFrame:
+    """`marker_percentiles` of `path_outcomes`, worked out inside the row of each series."""
+    keys = list(keys)
+    d = _packed_outcomes(equity, n_sims, block, seed, keys).withColumns({c: F.sort_array(c) for c in ("terminal", "maxdd")})
+    return d.select(*keys, *[array_percentile(c, p / 100).alias(f"{c}_p{p:02d}") for c in ("terminal", "maxdd") for p in (5, 50, 95)], "reason")
 
 
 def sampled_paths(paths: DataFrame, n_paths: int, n_sims: int, max_bars: int = 400, seed: int = 42) -> DataFrame:
