@@ -173,16 +173,12 @@ def _(spark, sf):
 PATHS = BOOT + block_sql("paths", 20) + """, pe AS MATERIALIZED (SELECT *, product(1+x) OVER (PARTITION BY symbol, sim ORDER BY i) AS e FROM dr WHERE n>=60), pq AS MATERIALIZED (SELECT *, e/max(e) OVER (PARTITION BY symbol, sim ORDER BY i)-1 AS dd FROM pe)"""
 
 
-def paths(spark, sf):
-    return rs.simulated_paths(gold_equity(spark, sf), SIMS, 20)
-
-
 @query(
     "op_K9_path_bands",
     PATHS + f" SELECT symbol, i AS ord, {', '.join(R(f'quantile_cont(e,{p/100})', 6) + f' AS p{p:02d}' for p in (5, 25, 50, 75, 95))} FROM pq WHERE i%ceil(n/400.0)::BIGINT=0 OR i=n-1 GROUP BY symbol, i",
 )
 def _(spark, sf):
-    return out(rs.path_bands(paths(spark, sf)), "symbol", "ord", p05=6, p25=6, p50=6, p75=6, p95=6)
+    return out(rs.simulated_bands(gold_equity(spark, sf), SIMS, 20), "symbol", "ord", p05=6, p25=6, p50=6, p75=6, p95=6)
 
 
 OUTCOMES = BASE + block_path_sql("paths", 20, least=60)

@@ -7,6 +7,8 @@ their value by an equi-join on the drawn index, whatever the length of a series.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -335,20 +337,88 @@ def _placed_blocks(sizes: DataFrame, n_sims: int, seed: int, keys) -> DataFrame:
     return d.select(*by, "src", (C("_start") + C("_rn") - 1).alias("dst"), F.coalesce("_p", "_before").alias("prev"))
 
 
+def _shuffled_sharpe(w: np.ndarray, o: np.ndarray, c: np.ndarray, block: int, n_sims: int, rate: float, seed: int, warmup: int) -> np.ndarray:
+    """Mean over deviation of the weights as they are (first) and of each shuffle of their blocks."""
+    n, k = len(w), len(w) // block
+    if n < 3:
+        return np.zeros(n_sims + 1)
+    gap, day = o[1:] / c[:-1] - 1, c[1:] / o[1:] - 1
+    order = np.vstack([np.arange(k), block_orders(seed, block, n_sims, k)])
+    out = np.zeros(n_sims + 1)
+    some = max(1, 65_536 // n)
+    for at in range(0, n_sims + 1, some):
+        lot = order[at : at + some]
+        src = (lot[:, :, None] * block + np.arange(block)).reshape(len(lot), k * block)
+        placed = np.concatenate([w[src], np.broadcast_to(w[k * block :], (len(src), n - k * block))], axis=1)
+        if warmup:
+            placed[:, :warmup] = 0.0
+        new = placed[:, :-1]
+        old = np.concatenate([np.zeros((len(new), 1)), new[:, :-1]], axis=1)
+        r = (1 + old * gap) * (1 + new * day - np.abs(new - old) * rate) - 1
+        r = np.where(np.isnan(r), 0.0, r)
+        sd = r.std(axis=1, ddof=1)
+        out[at : at + some] = np.divide(r.mean(axis=1), sd, out=np.zeros(len(r)), where=sd > 0)
+    return out
+
+
+@lru_cache(maxsize=512)
+def block_orders(seed: int, block: int, n_sims: int, k: int) -> np.ndarray:
+    """Source block of each place in each simulation; series of as many blocks share it."""
+    return np.argsort(uniform_rows(seed, "shuffle", n_sims, k, block), axis=1, kind="stable").astype(np.int32)
+
+
 def signal_block_shuffle(
     df: DataFrame, blocks: list[int], n_sims: int = 500, commission_bps: float = 1.0, slippage_bps: float = 5.0,
     seed: int = 42, warmup: int = 0, keys=SERIES,
 ) -> DataFrame:
     """Sharpe ratio of the rule against the same weights with their blocks shuffled.
 
-    The weights of a block and the price moves they meet travel as one row each; a placed block is
-    reduced to its count and sums in its row, as in the null test. The rule itself is one more
-    placement, so that a shuffle that changes nothing ties with it exactly. Estimates of size do
-    not count unfolded rows, and a broadcast would not fit the driver, hence the merge joins.
+    A series of one tile is one row all the way, as in the bootstraps. In longer ones the weights of a block and
+    the price moves they meet travel as one row each; a placed block is reduced to its count and sums in its row, as
+    in the null test. The rule itself is one more placement, so that a shuffle that changes nothing ties with it
+    exactly. Estimates of size do not count unfolded rows, and a broadcast would not fit the driver, hence the merge
+    joins of the latter.
     """
     keys = list(keys)
-    df = split_series(df)
+    df = df.select(*keys, "ord", "ts", "open", "close", "weight")
+    sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "shuffle-sizes")
     rate = (commission_bps + slippage_bps) / 1e4
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+    cols = [*keys, "block", "_s"]
+
+    def simulated(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                w, o, c = (np.array(row[v], dtype=float) for v in ("weight", "open", "close"))
+                for b in blocks:
+                    rows.append({**{v: row[v] for v in keys}, "block": b, "_s": _shuffled_sharpe(w, o, c, b, n_sims, rate, seed, warmup)})
+                if len(rows) * n_sims >= 65_536:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
+            yield pd.DataFrame(rows, columns=cols)
+
+    values = ["weight", "open", "close"]
+    packed = packed_series(df, sizes.filter(C("n") <= TILE), values, keys, "ord")
+    d = packed.mapInPandas(simulated, f"{types}, block int, _s array<double>").join(inferred_ppy(df, keys), keys)
+    d = d.select(*keys, "block", (F.get("_s", F.lit(0)) * F.sqrt("ppy")).alias("o"), F.sort_array(F.transform(F.slice("_s", 2, n_sims), lambda v: v * F.sqrt("ppy"))).alias("_s"))
+    d = d.withColumn("null_sharpe_mean", array_mean(C("_s")))
+    short = d.select(
+        *keys, "block", C("o").alias("observed_sharpe"), "null_sharpe_mean",
+        array_std("_s", "null_sharpe_mean").alias("null_sharpe_std"),
+        array_percentile("_s", 0.05).alias("null_sharpe_p05"),
+        array_percentile("_s", 0.95).alias("null_sharpe_p95"),
+        array_share("_s", lambda v: v >= C("o")).alias("p_value"),
+    )
+    wide = sizes.filter(C("n") > TILE)
+    if wide.isEmpty():
+        return short
+    return short.unionByName(_placed_shuffle(df.join(wide.select(*keys), keys), blocks, n_sims, rate, seed, warmup, keys))
+
+
+def _placed_shuffle(df: DataFrame, blocks: list[int], n_sims: int, rate: float, seed: int, warmup: int, keys) -> DataFrame:
+    """`signal_block_shuffle` of long series, a row for each placed block."""
+    df = split_series(df)
     each = lambda d: d.withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks])))
     pack = lambda d, at, row: each(d).groupBy(*keys, "block", F.floor(at / C("block")).alias("_at")).agg(F.sort_array(F.collect_list(row)).alias("_v"))
     weights = pack(df, C("ord"), F.struct("ord", C("weight").alias("w"))).select(*keys, "block", "_at", F.transform("_v", lambda v: v["w"]).alias("ws"))
@@ -414,6 +484,42 @@ def path_bands(paths: DataFrame, max_bars: int = 400, keys=SERIES) -> DataFrame:
     )
 
 
+def simulated_bands(equity: DataFrame, n_sims: int = 5000, block: int = 20, seed: int = 42, max_bars: int = 400, keys=SERIES) -> DataFrame:
+    """`path_bands` of `simulated_paths`. Curves of a series of one tile are built beside it, a kept bar's values at
+    a time taken from them; only bands leave the task."""
+    keys = list(keys)
+    x = indexed_returns(equity, keys)
+    sizes = stage(sample_sizes(x, keys).filter(C("n") >= 3 * block), "band-sizes")
+    probs = (5, 25, 50, 75, 95)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name in keys)
+
+    def bands(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                v, n = np.asarray(row["x"]), int(row["n"])
+                u = uniform_rows(seed, "paths", n_sims, -(-n // block))
+                step = -(-n // max_bars)
+                ords = np.unique(np.append(np.arange(0, n, step), n - 1))
+                level = np.empty((n_sims, len(ords)))
+                some = max(1, 65_536 // n)
+                for at in range(0, n_sims, some):
+                    start = np.floor(u[at : at + some] * (n - block)).astype(np.int64)
+                    drawn = v[(start[:, :, None] + np.arange(block)).reshape(len(start), -1)[:, :n]]
+                    level[at : at + some] = np.cumprod(1 + drawn, axis=1)[:, ords]
+                found = np.percentile(level, probs, axis=0)
+                out = pd.DataFrame({"ord": ords, **{f"p{p:02d}": f for p, f in zip(probs, found)}})
+                for i, c in enumerate(keys):
+                    out.insert(i, c, row[c])
+                yield out
+
+    schema = f"{types}, ord bigint, {', '.join(f'p{p:02d} double' for p in probs)}"
+    short = packed_series(x, sizes.filter(C("n") <= TILE), ["x"], keys).mapInPandas(bands, schema)
+    wide = sizes.filter(C("n") > TILE)
+    if wide.isEmpty():
+        return short
+    return short.unionByName(path_bands(simulated_paths(equity.join(wide.select(*keys), keys), n_sims, block, seed, keys), max_bars, keys))
+
+
 def _packed_outcomes(equity: DataFrame, n_sims: int, block: int, seed: int, keys) -> DataFrame:
     """keys, reason and arrays terminal and maxdd over simulations, null for a series of fewer than three blocks."""
     x = indexed_returns(equity, keys)
