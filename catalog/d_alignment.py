@@ -105,11 +105,11 @@ def _(spark, sf):
     B() + ", ex AS (SELECT symbol FROM b GROUP BY symbol HAVING count(*)%2=0) SELECT symbol, count(*) AS n, symbol IN (SELECT symbol FROM ex) AS excluded FROM b GROUP BY symbol",
 )
 def _(spark, sf):
-    b = bars(spark, sf).select("symbol")
-    ex = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 0").select("symbol")
-    kept = b.join(ex, "symbol", "left_anti").withColumn("excluded", F.lit(False))
-    gone = b.join(ex, "symbol", "left_semi").withColumn("excluded", F.lit(True))
-    return kept.union(gone).groupBy("symbol", "excluded").agg(F.count(F.lit(1)).alias("n"))
+    n = bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    ex = n.filter("n % 2 = 0").select("symbol")
+    kept = n.join(ex, "symbol", "left_anti").withColumn("excluded", F.lit(False))
+    gone = n.join(ex, "symbol", "left_semi").withColumn("excluded", F.lit(True))
+    return kept.union(gone).select("symbol", "excluded", "n")
 
 
 @query("op_D12_rebalance_membership", B("orders") + SNAP_SQL + f" SELECT symbol, {ISO('ts')} AS ts, ts IN (SELECT ts FROM rb) AS rebalance FROM b")
