@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import B, ISO, R, W_SQL, bars, ctes, out, query
 from tidemark.operators import calendar as cal
+from tidemark.session import stage
 
 
 @query(
@@ -105,7 +106,8 @@ def _(spark, sf):
     B() + ", ex AS (SELECT symbol FROM b GROUP BY symbol HAVING count(*)%2=0) SELECT symbol, count(*) AS n, symbol IN (SELECT symbol FROM ex) AS excluded FROM b GROUP BY symbol",
 )
 def _(spark, sf):
-    n = bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    # Written first: the optimizer would move the joins below the count, where all bars meet them.
+    n = stage(bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), "symbol-counts")
     ex = n.filter("n % 2 = 0").select("symbol")
     kept = n.join(ex, "symbol", "left_anti").withColumn("excluded", F.lit(False))
     gone = n.join(ex, "symbol", "left_semi").withColumn("excluded", F.lit(True))
