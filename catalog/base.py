@@ -29,7 +29,9 @@ def query(name: str, sql: str | None = None):
 # Rounding with the same double arithmetic on both sides.
 def rnd(x, n: int = 4) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x * float(10**n) + 0.5) / float(10**n)
+    v = x * float(10**n) + 0.5
+    # Spark's floor is a long; from 2^53 on a double is whole anyway, as in the SQL.
+    return F.when(F.abs(v) < 2.0**53, F.floor(v)).otherwise(v) / float(10**n)
 
 
 def R(expr: str, n: int = 4) -> str:
