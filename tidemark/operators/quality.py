@@ -116,8 +116,13 @@ def more_than_one_per_day(signals: DataFrame, day: Column) -> DataFrame:
 
 
 def direction_time_distribution(signals: DataFrame) -> DataFrame:
-    """Counts by direction and time of day with totals of either level."""
-    return signals.rollup("direction", F.date_format("ts", "HH:mm").alias("hhmm")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts by direction and time of day with totals of either level; the grand total is there without signals too."""
+    levels = signals.rollup("direction", F.date_format("ts", "HH:mm").alias("hhmm")).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_level")
+    )
+    # Spark's rollup of no rows is empty, other engines count them.
+    none = signals.sparkSession.sql("SELECT CAST(NULL AS STRING) AS direction, CAST(NULL AS STRING) AS hhmm, 0L AS n, 3L AS _level")
+    return levels.unionByName(none).groupBy("direction", "hhmm", "_level").agg(F.sum("n").alias("n")).drop("_level")
 
 
 def next_bar_mapping(bars: DataFrame) -> DataFrame:
