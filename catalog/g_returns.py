@@ -14,8 +14,8 @@ from tidemark.operators import metrics as met
 from tidemark.operators import pnl
 from tidemark.operators import signals as sig
 from tidemark.operators import trades as trd
-from tidemark.plans.series import equity_scan
-from tidemark.session import staged_once
+from tidemark.plans.series import equity_on_chunks, equity_scan
+from tidemark.session import once, staged_once
 
 C = F.col
 
@@ -35,11 +35,14 @@ G1 = f""", p0 AS (SELECT *, coalesce(lag(weight) OVER w,0) AS position, coalesce
 def gold_equity(spark, sf, kind="supp"):
     """Equity curve of the golden-cross weights, written once: several metrics read it."""
 
+    def build(d, c):
+        return pnl.weight_returns_on(sig.golden_cross_on(d, c, 20, 60), c).drop("_f", "_s")
+
     def make():
-        d = equity_scan(pnl.weight_returns(gold(spark, sf, kind)))
+        d = equity_on_chunks(bars(spark, sf, kind), build, f"{kind}-gold", back=60 + 2)
         return d.withColumn("r", F.when(C("ord") > 0, C("r")))
 
-    return staged_once(spark, (sf, kind, "gold"), make)
+    return once(spark, (sf, kind, "gold"), make)
 
 
 @query(

@@ -17,17 +17,19 @@ def weight_returns(df: DataFrame, cost_bps: float = 6.0, keys=SERIES) -> DataFra
     Adds r_asset, position, turnover and r.
     """
 
-    def build(d, c):
-        d = d.withColumns(
-            {
-                "r_asset": F.coalesce(C("close") / c.lag("close") - 1, F.lit(0.0)),
-                "position": c.lag("weight", 1, 0.0),
-                "_before": c.lag("weight", 2, 0.0),
-            }
-        )
-        return d.withColumn("turnover", F.abs(C("position") - C("_before"))).drop("_before")
+    return on_chunks(df, lambda d, c: weight_returns_on(d, c, cost_bps), keys, back=2)
 
-    d = on_chunks(df, build, keys, back=2)
+
+def weight_returns_on(d: DataFrame, c, cost_bps: float = 6.0) -> DataFrame:
+    """`weight_returns` inside a chunk; reaches two rows back."""
+    d = d.withColumns(
+        {
+            "r_asset": F.coalesce(C("close") / c.lag("close") - 1, F.lit(0.0)),
+            "position": c.lag("weight", 1, 0.0),
+            "_before": c.lag("weight", 2, 0.0),
+        }
+    )
+    d = d.withColumn("turnover", F.abs(C("position") - C("_before"))).drop("_before")
     return d.withColumn("r", C("position") * C("r_asset") - C("turnover") * (cost_bps / 1e4))
 
 

@@ -98,15 +98,17 @@ def buy_hold(df: DataFrame, keys=SERIES) -> DataFrame:
 
 
 def golden_cross(df: DataFrame, fast: int = 50, slow: int = 200, kind: str = "sma", keys=SERIES) -> DataFrame:
-    def build(d, c):
-        if kind == "ema":
-            d = ewm(d, c, {"_f": ("close", span_alpha(fast), fast), "_s": ("close", span_alpha(slow), slow)})
-        else:
-            d = ind.add_moments(d, c, {"_f": ("close", fast, "mean"), "_s": ("close", slow, "mean")})
-        return d.withColumn("weight", F.when(C("_f") > C("_s"), 1.0).otherwise(0.0))
-
     back = ewm_reach(span_alpha(slow), slow) if kind == "ema" else slow
-    return _with(df, keys, back, build)
+    return _with(df, keys, back, lambda d, c: golden_cross_on(d, c, fast, slow, kind))
+
+
+def golden_cross_on(d: DataFrame, c, fast: int, slow: int, kind: str = "sma") -> DataFrame:
+    """`golden_cross` inside a chunk, with its helper columns `_f` and `_s`."""
+    if kind == "ema":
+        d = ewm(d, c, {"_f": ("close", span_alpha(fast), fast), "_s": ("close", span_alpha(slow), slow)})
+    else:
+        d = ind.add_moments(d, c, {"_f": ("close", fast, "mean"), "_s": ("close", slow, "mean")})
+    return d.withColumn("weight", F.when(C("_f") > C("_s"), 1.0).otherwise(0.0))
 
 
 def ema_cross(df: DataFrame, fast: int = 12, slow: int = 26, keys=SERIES) -> DataFrame:

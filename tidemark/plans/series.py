@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.session import stage
+
 CHUNK_ROWS = 65_536
 SERIES = ("symbol",)
 _chunk: ContextVar[int] = ContextVar("chunk_rows", default=CHUNK_ROWS)
@@ -196,10 +198,7 @@ def equity_scan(
     totals = local.groupBy(*keys, "_chunk").agg(
         F.max_by("_g", "ord").alias("_growth"), F.max("_g").alias("_high")
     )
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.product("_growth").over(before), F.lit(1.0)))
-    totals = totals.withColumn("_top", F.max(F.col("_base") * F.col("_high")).over(before))
-    carries = totals.select(*keys, "_chunk", "_base", "_top")
+    carries = _equity_carries(totals, keys)
     local = local.withColumn("_lh", F.max("_g").over(upto))
     return (
         local.join(carries, [*keys, "_chunk"])
@@ -210,6 +209,44 @@ def equity_scan(
     )
 
 
+def equity_on_chunks(
+    df: DataFrame, build, tag: str, ret: str = "r", keys=SERIES, back: int = 0, rows: int | None = None, start: float = 1.0
+) -> DataFrame:
+    """`equity_scan` of the returns that `build` adds, behind the one exchange of its frames.
+
+    Rows are written once, with the path inside their chunk. Only chunks after the first of
+    a series have a carry, one in `rows` rows, so it is small and its join deals no rows.
+    """
+    keys, rows = list(keys), max(chunk_rows(rows), back, 1)
+
+    def local(d, c):
+        d = build(d, c)
+        own, upto = F.col("_home") == F.col("_chunk"), c.w.rowsBetween(W.unboundedPreceding, 0)
+        d = d.withColumn("_g", F.product(F.lit(1.0) + F.coalesce(F.when(own, F.col(ret)), F.lit(0.0))).over(upto))
+        return d.withColumn("_lh", F.max(F.when(own, F.col("_g"))).over(upto))
+
+    base = stage(on_chunks(df, local, keys, back=back, rows=rows), tag)
+    base = base.withColumn("_chunk", F.floor(F.col("ord") / F.lit(rows)))
+    totals = base.groupBy(*keys, "_chunk").agg(F.max_by("_g", "ord").alias("_growth"), F.max("_g").alias("_high"))
+    carries = stage(_equity_carries(totals, keys).filter("_chunk > 0"), f"{tag}-carries")
+    scale = F.coalesce("_base", F.lit(1.0))
+    return (
+        base.join(carries, [*keys, "_chunk"], "left")
+        .withColumn("equity", F.lit(start) * scale * F.col("_g"))
+        .withColumn("peak", F.lit(start) * F.greatest(scale * F.col("_lh"), F.col("_top")))
+        .withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+        .drop("_chunk", "_g", "_lh", "_base", "_top")
+    )
+
+
+def _equity_carries(totals: DataFrame, keys: list) -> DataFrame:
+    """Growth and highest level before each chunk, from the `_growth` and `_high` of every chunk."""
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("_base", F.coalesce(F.product("_growth").over(before), F.lit(1.0)))
+    totals = totals.withColumn("_top", F.max(F.col("_base") * F.col("_high")).over(before))
+    return totals.select(*keys, "_chunk", "_base", "_top")
+
+
 SEGMENT = ("n", "s", "q", "growth", "low", "high", "dd")
 
 

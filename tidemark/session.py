@@ -48,6 +48,14 @@ def staged_once(spark: SparkSession, key: tuple, make) -> DataFrame:
     return _STAGED[full]
 
 
+def once(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """`make()`, which stages what it needs itself, the first time `key` is asked for in this application."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _STAGED:
+        _STAGED[full] = make()
+    return _STAGED[full]
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables this application has staged; frames that still read them can no longer be run."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/{spark.sparkContext.applicationId}")
