@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.series import SERIES, scan
+from tidemark.plans.series import SERIES, chunk_rows, scan_dealt, split_series
 from tidemark.session import stage
 
 C = F.col
@@ -18,9 +18,11 @@ def extract_trades(fills: DataFrame, keys=SERIES) -> DataFrame:
     The running quantity marks each fill as opening, closing, flipping or adding. A
     running count of openings and flips numbers the trades; a flip closes one trade and
     opens the next with half of its commission each. Trades still open are left out.
+    Fills are dealt once, by chunk; both counts and the parts of a trade inside a chunk go by that.
     """
     keys = list(keys)
-    d = scan(fills, {"pos": ("sum", "qty")}, keys)
+    base = split_series(fills).withColumn("_chunk", F.floor(C("ord") / F.lit(chunk_rows())))
+    d = scan_dealt(base.repartition(*keys, "_chunk"), {"pos": ("sum", "qty")}, keys, base)
     prev = C("pos") - C("qty")
     flat_before, flat_after = F.abs(prev) < TOL, F.abs("pos") < TOL
     kind = (
@@ -31,7 +33,7 @@ def extract_trades(fills: DataFrame, keys=SERIES) -> DataFrame:
     )
     d = d.withColumn("kind", kind).filter(C("kind").isNotNull())
     starts = C("kind").isin("open", "flip")
-    d = scan(d, {"trade": ("sum", F.when(starts, 1).otherwise(0).cast("long"))}, keys)
+    d = scan_dealt(d, {"trade": ("sum", F.when(starts, 1).otherwise(0).cast("long"))}, keys)
     part = lambda trade, kind_, qty, share: F.struct(
         trade.alias("trade"), F.lit(kind_).alias("kind"), qty.alias("qty"), (C("commission") * share).alias("commission")
     )
@@ -39,19 +41,22 @@ def extract_trades(fills: DataFrame, keys=SERIES) -> DataFrame:
         C("kind") == "flip",
         F.array(part(C("trade") - 1, "close", C("qty"), 0.5), part(C("trade"), "open", C("pos"), 0.5)),
     ).otherwise(F.array(F.struct(C("trade"), C("kind"), C("qty"), C("commission"))))
-    rows = d.select(*keys, "ts", "ord", "price", F.explode(parts).alias("p")).select(*keys, "ts", "ord", "price", "p.*")
+    rows = d.select(*keys, "_chunk", "ts", "ord", "price", F.explode(parts).alias("p")).select(*keys, "_chunk", "ts", "ord", "price", "p.*")
     at = lambda col, which: F.max(F.when(C("kind") == which, C(col)))
-    t = rows.groupBy(*keys, "trade").agg(
+    inside = rows.groupBy(*keys, "_chunk", "trade").agg(
         at("ts", "open").alias("entry_ts"),
         at("ts", "close").alias("exit_ts"),
         at("price", "open").alias("entry_price"),
         at("price", "close").alias("exit_price"),
         at("qty", "open").alias("_q"),
-        F.coalesce(at("commission", "open"), F.lit(0.0)).alias("_c0"),
-        F.coalesce(at("commission", "close"), F.lit(0.0)).alias("_c1"),
+        at("commission", "open").alias("_c0"),
+        at("commission", "close").alias("_c1"),
         F.count_if(C("kind") == "add").alias("scale_ins"),
         at("ord", "close").alias("exit_ord"),
     )
+    ends = ("entry_ts", "exit_ts", "entry_price", "exit_price", "_q", "_c0", "_c1", "exit_ord")
+    t = inside.groupBy(*keys, "trade").agg(*[F.max(c).alias(c) for c in ends], F.sum("scale_ins").alias("scale_ins"))
+    t = t.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_c0", "_c1")})
     gross = (C("exit_price") - C("entry_price")) * C("_q")
     return t.filter(C("exit_ts").isNotNull() & C("entry_ts").isNotNull()).select(
         *keys,

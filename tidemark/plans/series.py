@@ -160,9 +160,19 @@ def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int | None = None) -> Da
     """
     keys, df = list(keys), split_series(df)
     base = df.withColumn("_chunk", F.floor(F.col("ord") / F.lit(chunk_rows(rows))))
-    for name, (_, col) in specs.items():
-        base = base.withColumn(f"_x_{name}", F.col(col) if isinstance(col, str) else col)
-    totals = base.groupBy(*keys, "_chunk").agg(
+    out = scan_dealt(base.repartition(*keys, "_chunk"), specs, keys, base)
+    return out.select(*[c for c in df.columns if c not in specs], *specs)
+
+
+def scan_dealt(dealt: DataFrame, specs: dict, keys=SERIES, source: DataFrame | None = None) -> DataFrame:
+    """`scan` of rows that hold their `_chunk` and are dealt by (keys, _chunk), as the result is again.
+
+    Totals are counted from `source`, the same rows as they lie before they are dealt, if it is given.
+    """
+    keys = list(keys)
+    cols = {n: F.col(c) if isinstance(c, str) else c for n, (_, c) in specs.items()}
+    added = lambda d: d.withColumns({f"_x_{n}": c for n, c in cols.items()})
+    totals = added(source or dealt).groupBy(*keys, "_chunk").agg(
         *[_TOTAL[op](F.col(f"_x_{n}")).alias(f"_t_{n}") for n, (op, _) in specs.items()]
     )
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -172,13 +182,12 @@ def scan(df: DataFrame, specs: dict, keys=SERIES, rows: int | None = None) -> Da
         *[_RUNNING[op](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (op, _) in specs.items()],
     )
     upto = W.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    local = base.repartition(*keys, "_chunk").select(
-        *df.columns,
-        "_chunk",
+    local = added(dealt).select(
+        *dealt.columns,
         *[_RUNNING[op](F.col(f"_x_{n}")).over(upto).alias(f"_l_{n}") for n, (op, _) in specs.items()],
     )
     return local.join(carries, [*keys, "_chunk"]).select(
-        *[c for c in df.columns if c not in specs],
+        *[c for c in dealt.columns if c not in specs],
         *[_MERGE[op](F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (op, _) in specs.items()],
     )
 
