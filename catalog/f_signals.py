@@ -272,10 +272,11 @@ def _(spark, sf):
     from tidemark.plans.series import on_chunks
 
     def build(d, c):
-        d = d.withColumns({"f": ind.sma(c, "close", 50), "s": ind.sma(c, "close", 200)})
-        return d.withColumn("weight", F.when(C("f") > C("s"), 1.0).when((C("f") < C("s")) & (C("close") < C("s")), -1.0).otherwise(0.0))
+        d = ind.add_moments(d, c, {"f": ("close", 50, "mean"), "s": ("close", 200, "mean")})
+        d = d.withColumn("weight", F.when(C("f") > C("s"), 1.0).when((C("f") < C("s")) & (C("close") < C("s")), -1.0).otherwise(0.0))
+        return qa.with_previous_weight(d, c)
 
-    return qa.signal_profile(on_chunks(bars(spark, sf), build, back=200))
+    return qa.profile_changes(on_chunks(bars(spark, sf), build, back=201))
 
 
 _AUDIT = ORB_CTE + """, e AS (SELECT symbol, ts, dir AS expected FROM br), f AS (SELECT symbol, ts + CASE WHEN day LIKE '%5' THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS ts, CASE WHEN day LIKE '%7' THEN -dir ELSE dir END AS found FROM br)"""

@@ -82,10 +82,15 @@ def load_summary(df: DataFrame) -> DataFrame:
 
 def signal_profile(signals: DataFrame) -> DataFrame:
     """Long, short and flat bars, change events and entries from flat or the other side."""
-    def build(d, c):
-        return d.withColumn("_prev", c.lag("weight", 1, 0.0))
+    return profile_changes(on_chunks(signals, with_previous_weight, back=1))
+
+
+def with_previous_weight(d: DataFrame, c) -> DataFrame:
+    return d.withColumn("_prev", c.lag("weight", 1, 0.0))
+
 
-    s = on_chunks(signals, build, back=1)
+def profile_changes(s: DataFrame) -> DataFrame:
+    """`signal_profile` of rows that hold the weight before theirs as `_prev`."""
     w, p = F.col("weight"), F.col("_prev")
     entry = (w != 0) & (F.signum(w) != F.signum(p))
     return s.groupBy("symbol").agg(
