@@ -175,4 +175,4 @@ def test_signal_profile_folds_no_long_frames(spark):
     from catalog import QUERIES
 
     plan = QUERIES["op_B11_signal_profile"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "-199" not in plan and plan.count("REPARTITION_BY_COL") == 1
+    assert "RowFrame, -199, currentrow" not in plan and plan.count("REPARTITION_BY_COL") == 1
