@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as ind
 from tidemark.operators.contracts import in_session
 from tidemark.plans.selection import prefix_ranks
-from tidemark.plans.series import SERIES, on_chunks, scan
+from tidemark.plans.series import SERIES, on_chunks
 
 C = F.col
 
@@ -22,13 +22,8 @@ def above_expanding_quantile(
     number of values not above it exceeds ceil(q * (n - 1)), so a rank decides and the
     quantile itself is not needed.
     """
-    keys = list(keys)
-    marked = df.withColumn("probe", C(current))
-    ranks = prefix_ranks(marked, events & C(current).isNotNull(), keys, value)
-    own = F.when(C(value).isNotNull(), 1).otherwise(0).cast("long")
-    picked = scan(df, {"n": ("sum", own)}, keys).withColumn("n", C("n") - own).filter(events & C(current).isNotNull())
-    joined = picked.join(ranks, [*keys, "ord"]).filter(C("n") >= at_least)
-    return joined.withColumn("at_or_above", C("rank") > F.ceil(F.lit(q) * (C("n") - 1)))
+    ranks = prefix_ranks(df.withColumn("probe", C(current)), events, keys, value).drop("probe").filter(C("n") >= at_least)
+    return ranks.withColumn("at_or_above", C("rank") > F.ceil(F.lit(q) * (C("n") - 1)))
 
 
 def session_bars(df: DataFrame, start: str = "09:30", end: str = "10:00", zone: str | None = "+03:00", keys=SERIES) -> DataFrame:

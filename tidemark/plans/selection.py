@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidemark.plans.series import chunk_rows, scan, with_ordinal
+from tidemark.plans.series import chunk_rows, scan, split_series, with_ordinal
+from tidemark.session import stage
 
 ACCURACY = 10_000
+TILE = 512
 
 
 def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
@@ -105,41 +113,105 @@ def value_positions(df: DataFrame, keys, value: str, tie, name: str = "pos", spr
     return with_ordinal(tagged, keys, [value, *tie], bucket, name).drop("_cuts")
 
 
-def prefix_ranks(df: DataFrame, events, keys=("symbol",), value: str = "value", base: int = 4096) -> DataFrame:
-    """For each event row, how many earlier rows of its series have a value <= its `probe`.
+def ranks_before(values: np.ndarray, upto: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """For each probe, how many of the first `upto` values are <= it; `upto` is non-decreasing.
+
+    Values are met in tiles: those before a tile are kept sorted, those inside compared one by one.
+    """
+    out = np.zeros(len(upto), np.int64)
+    sorted_before = values[:0]
+    for start in range(0, int(upto[-1]) + 1, TILE):
+        tile = values[start : start + TILE]
+        a, z = np.searchsorted(upto, [start, start + TILE])
+        if a < z:
+            seen = np.arange(len(tile)) < (upto[a:z] - start)[:, None]
+            inside = ((tile <= probes[a:z, None]) & seen).sum(1)
+            out[a:z] = np.searchsorted(sorted_before, probes[a:z], "right") + inside
+        sorted_before = np.sort(np.concatenate([sorted_before, np.sort(tile)]), kind="stable")
+    # As in Spark, NaN is above all numbers and equal to itself.
+    return np.where(np.isnan(probes), upto, out)
+
+
+def _ranks_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Event rows with `n` and `rank` inside their block; blocks come whole, in order, `_first` on their first row.
+
+    `_row` is a list of the one event, null on other rows, which then take no room in a batch.
+    """
+
+    def ranked(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        numbers = lambda c: c.to_numpy().astype(np.float64)
+        known = np.asarray(t["_v"].is_valid())
+        before = np.concatenate([[0], np.cumsum(known)])
+        values, starts = numbers(t["_v"])[known], np.flatnonzero(np.asarray(t["_first"]))
+        at = np.flatnonzero(np.asarray(t["_row"].is_valid()))
+        if not len(at):
+            return []
+        events = pa.table({"_row": pc.list_flatten(t["_row"])})
+        probes, block = numbers(pc.struct_field(events["_row"], "probe")), np.searchsorted(starts, at, "right") - 1
+        n, rank = before[at] - before[starts[block]], np.zeros(len(at), np.int64)
+        edges = np.flatnonzero(np.diff(block, prepend=-1, append=len(starts)))
+        for a, z in zip(edges[:-1], edges[1:]):
+            base = before[starts[block[a]]]
+            rank[a:z] = ranks_before(values[base : base + n[z - 1]], n[a:z], probes[a:z])
+        return events.append_column("n", pa.array(n, pa.int64())).append_column("rank", pa.array(rank)).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        first = np.flatnonzero(np.asarray(batch.column("_first")))
+        if len(first) and (held or first[-1] > 0):
+            yield from ranked([*held, batch.slice(0, first[-1])])
+            held, batch = [], batch.slice(first[-1])
+        held.append(batch)
+    if held:
+        yield from ranked(held)
+
+
+def prefix_ranks(df: DataFrame, events, keys=("symbol",), value: str = "value", base: int | None = None) -> DataFrame:
+    """Event rows with `n`, how many earlier rows of their series have a value, and `rank`, how many of these are <= `probe`.
 
     `df` holds keys, ord, `value`; the Column `events` marks rows and `probe` is their
-    threshold. Rows of the event's own block of `base` positions are compared directly.
-    Earlier blocks are met level by level, as in a merge sort over time: on each level a
-    right half counts the rows of the left half below its thresholds with a running sum
-    in value order. Every row takes part in log2(n / base) running sums and no pairs of
-    distant rows are formed.
+    threshold. Earlier rows of the event's own block of `base` positions, a chunk, are counted
+    where the block lies. Only series with events beyond their first block go on: earlier blocks
+    are met level by level, as in a merge sort over time: on each level a right half counts the
+    rows of the left half below its thresholds with a running sum in value order. Every row of
+    these takes part in log2(n / base) running sums and no pairs of rows are formed.
     """
-    keys = list(keys)
-    rows = df.select(*keys, "ord", F.col(value).alias("_v"), F.when(events, F.col("probe")).alias("_probe"))
-    top = rows.agg(F.max("ord")).first()[0] or 0  # one number, read from file statistics
-    asked = rows.filter(F.col("_probe").isNotNull())
-    blk = lambda c: F.floor(F.col(c) / base)
-    near = (
-        asked.select(*keys, "ord", "_probe", blk("ord").alias("_blk"))
-        .join(
-            rows.filter(F.col("_v").isNotNull()).select(*keys, F.col("ord").alias("_o"), "_v", blk("ord").alias("_blk")),
-            [*keys, "_blk"],
+    keys, base, df = list(keys), chunk_rows(base), split_series(df)
+    blk = F.floor(F.col("ord") / F.lit(base))
+    asked = events & F.col("probe").isNotNull()
+    order = W.partitionBy(*keys, "_blk").orderBy("ord")
+    rows = (
+        df.select(
+            *keys, "ord", blk.alias("_blk"), F.col(value).alias("_v"),
+            F.when(asked, F.array(F.struct(*df.columns, blk.alias("_blk")))).alias("_row"),
         )
-        .filter((F.col("_o") < F.col("ord")) & (F.col("_v") <= F.col("_probe")))
-        .groupBy(*keys, "ord")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .repartition(*keys, "_blk")
+        .withColumn("_first", F.lag("ord").over(order).isNull())
+        .sortWithinPartitions(*keys, "_blk", "ord")
+        .select("_v", "_row", "_first")
     )
-    parts = [near]
+    event = rows.schema["_row"].dataType.elementType
+    kinds = T.StructType().add("_row", event).add("n", T.LongType()).add("rank", T.LongType())
+    found = stage(rows.mapInArrow(_ranks_in_blocks, kinds).select("_row.*", "n", "rank"), "ranks")
+    top = found.agg(F.max("_blk")).first()[0] or 0  # one number, read from file statistics
+    if not top:
+        return found.drop("_blk")
+
+    # At most one series in `base` rows goes on.
+    long = stage(found.filter("_blk > 0").select(*keys).distinct(), "ranks-long")
+    rows = stage(df.select(*keys, "ord", F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).join(long, keys, "left_semi"), "ranks-rows")
+    later = found.filter("_blk > 0")
+    parts = []
     half = base
-    while half <= top:
+    while half <= top * base:
         side = F.floor(F.col("ord") / half) % 2
         group = F.floor(F.col("ord") / (2 * half))
-        points = rows.filter((side == 0) & F.col("_v").isNotNull()).select(
+        points = rows.filter(side == 0).select(
             *keys, "ord", group.alias("_g"), F.col("_v").alias("_at"), F.lit(0).alias("_side")
         )
-        probes = asked.filter(side == 1).select(
-            *keys, "ord", group.alias("_g"), F.col("_probe").alias("_at"), F.lit(1).alias("_side")
+        probes = later.filter(side == 1).select(
+            *keys, "ord", group.alias("_g"), F.col("probe").alias("_at"), F.lit(1).alias("_side")
         )
         both = value_positions(points.unionByName(probes), [*keys, "_g"], "_at", ["_side", "ord"])
         both = scan(
@@ -152,4 +224,14 @@ def prefix_ranks(df: DataFrame, events, keys=("symbol",), value: str = "value",
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
-    return total.groupBy(*keys, "ord").agg(F.sum("_n").alias("rank"))
+    ranks = total.groupBy(*keys, "ord").agg(F.sum("_n").alias("_ranks"))
+    # A count and a start for each block: every block up to the last one of an event has a row, also without values.
+    counts = rows.groupBy(*keys, blk.alias("_blk")).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counts.unionByName(later.groupBy(*keys, "_blk").agg(F.lit(0).cast("long").alias("_n")))
+    upto = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.groupBy(*keys, "_blk").agg(F.sum("_n").alias("_n")).withColumn("_before", F.sum("_n").over(upto)).drop("_n")
+    later = later.join(starts, [*keys, "_blk"], "left").join(ranks, [*keys, "ord"], "left").withColumns(
+        {"n": F.col("n") + F.coalesce("_before", F.lit(0)), "rank": F.col("rank") + F.coalesce("_ranks", F.lit(0))}
+    )
+    cols = [*df.columns, "n", "rank"]
+    return found.filter("_blk = 0").select(*cols).unionByName(later.select(*cols))
