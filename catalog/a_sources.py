@@ -51,7 +51,7 @@ def csv_folder(spark, sf):
     """The faulty bars written as CSV, a folder of part files per symbol.
 
     Rows are gathered by symbol and chunk first, so that the number of files follows the data, not tasks
-    times symbols. Tasks put their files in place themselves: one after the other would take the driver longer.
+    times symbols.
     """
     key = f"{work_root(spark)}/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
 
@@ -64,9 +64,7 @@ def csv_folder(spark, sf):
             F.col("symbol").alias("sym"),
             F.floor(F.col("file_ord") / (2 * chunk_rows())).alias("_chunk"),
         )
-        rows = rows.repartition("file", "_chunk").drop("_chunk")
-        write = rows.write.partitionBy("file").option("header", True)
-        write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).csv(key)
+        files.sink_csv_files(rows, key, "file", "_chunk")
         return spark.createDataFrame([(key,)], "path string")
 
     return staged_once(spark, (sf, "csvdir"), make).first()["path"]

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +64,55 @@ def sink_bars(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "symbol").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
+def sink_csv_files(df: DataFrame, path: str, folder: str, number: str) -> None:
+    """A folder `folder=value` per value of that column, in it a CSV file with a header per `number` there.
+
+    Rows are gathered by file first, so that the number of files follows the data. In a folder of the file
+    system itself tasks put the files in place with plain calls: Hadoop starts several processes for each file
+    it creates there. A file appears under its name when it is whole, so a repeated task leaves no half of one.
+    """
+    spark, cols = df.sparkSession, [c for c in df.columns if c not in (folder, number)]
+    dealt = df.repartition(folder, number)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getUri().getScheme() != "file":
+        write = dealt.drop(number).write.partitionBy(folder).option("header", True)
+        return write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).csv(path)
+    fs.mkdirs(at)
+    root = at.toUri().getPath()
+    head = spark.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in cols]))).first()[0]
+
+    def put(batches):
+        name, out, n = None, None, 0
+
+        def close():
+            out.close()
+            os.replace(out.name, f"{os.path.dirname(out.name)}/part-{name.partition('/')[0]}.csv")
+
+        for b in batches:
+            runs, start = pc.run_end_encode(b.column(0)), 0
+            for to, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if to != name:
+                    if out:
+                        close()
+                    name, n = to, n + 1
+                    # Spark's own names of partition folders, which it undoes when it reads them.
+                    value = re.sub("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", name.partition("/")[2])
+                    home = f"{root}/{folder}={value or '__HIVE_DEFAULT_PARTITION__'}"
+                    os.makedirs(home, exist_ok=True)
+                    out = open(f"{home}/.{uuid.uuid4().hex}", "w", encoding="utf-8", newline="")
+                    out.write(head + "\n")
+                out.write("\n".join(b.column(1).slice(start, end - start).to_pylist()) + "\n")
+                start = end
+        if out:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    file = F.concat_ws("/", F.col(number).cast("string"), F.coalesce(F.col(folder).cast("string"), F.lit("")))
+    lines = dealt.select(file.alias("file"), F.to_csv(F.struct(*cols)).alias("line")).sortWithinPartitions("file")
+    lines.mapInArrow(put, "files long").agg(F.sum("files")).first()
+
+
 def read_equity_artifact(spark: SparkSession, path: str, keep=()) -> DataFrame:
     """`keep`, ts and equity: the first time-like column and the first other column that is numeric.
 
