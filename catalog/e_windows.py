@@ -12,7 +12,7 @@ from tidemark.operators import drawdown as dd
 from tidemark.operators import returns as ret
 from tidemark.operators import rolling as rol
 from tidemark.operators import signals as sig
-from tidemark.plans.series import equity_scan, on_chunks, scan
+from tidemark.plans.series import on_chunks, scan
 
 C = F.col
 KEYED = f"symbol, {ISO('ts')} AS ts"
@@ -202,7 +202,7 @@ RET = f", r AS MATERIALIZED (SELECT *, close/lag(close) OVER w-1 AS r FROM b {W_
 @query("op_E20_compounding", B() + RET + f" SELECT {KEYED}, {R('exp(sum(ln(1+coalesce(r,0)/2)) OVER w)')} AS growth FROM r {W_SQL}")
 def _(spark, sf):
     d = ret.asset_returns(bars(spark, sf)).withColumn("h", C("r") / 2)
-    return out(equity_scan(d, "h").withColumnRenamed("equity", "growth"), "symbol", "ts", growth=4)
+    return out(ret.compounded_growth(d, "h"), "symbol", "ts", growth=4)
 
 
 @query("op_E21_running_drawdown", B() + f" SELECT {KEYED}, {R('max(close) OVER w')} AS peak, {R('close/max(close) OVER w-1',6)} AS drawdown FROM b {W_SQL}")

@@ -10,7 +10,7 @@ from tidemark.operators import drawdown as dd
 from tidemark.operators import pnl
 from tidemark.operators import returns as ret
 from tidemark.operators import signals as sig
-from tidemark.plans.series import chunks_of, equity_scan, on_chunks
+from tidemark.plans.series import chunks_of, on_chunks
 
 C = F.col
 #: At least four chunks per symbol at every scale factor from 0.01 on.
@@ -43,7 +43,7 @@ def _(b):
 @ticks("op_E20_compounding_ticks", "op_E20_compounding")
 def _(b):
     d = ret.asset_returns(b).withColumn("h", C("r") / 2)
-    return out(equity_scan(d, "h").withColumnRenamed("equity", "growth"), "symbol", "ts", growth=4)
+    return out(ret.compounded_growth(d, "h"), "symbol", "ts", growth=4)
 
 
 @ticks("op_E21_running_drawdown_ticks", "op_E21_running_drawdown")

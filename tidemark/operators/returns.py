@@ -23,3 +23,19 @@ def cumulative_excess(df: DataFrame, strategy: str, benchmark: str, keys=SERIES)
     """Compounded difference of two return columns."""
     diff = F.coalesce(F.col(strategy) - F.col(benchmark), F.lit(0.0))
     return scan(df, {"_g": ("prod", 1 + diff)}, keys).withColumn("excess", F.col("_g") - 1).drop("_g")
+
+
+def compounded_growth(df: DataFrame, ret: str = "r", name: str = "growth", keys=SERIES) -> DataFrame:
+    """exp of the running sum of ln(1 + return); a null return keeps the level, one of -1 or less is an error.
+
+    A running product rounds at every row and stays at infinity once it is there. Logarithms are summed
+    here as whole numbers of 2^-32 and what is left over as whole numbers of 2^-62, so that a value has only
+    the error of its sum as one double, however many rows there are and wherever chunks are cut.
+    """
+    g = 1 + F.coalesce(F.col(ret), F.lit(0.0))
+    log = F.when(g > 0, F.ln(g)).otherwise(F.raise_error(F.lit(f"{ret} of -1 or less has no logarithm")).cast("double"))
+    d = df.withColumn("_log", log)
+    whole = F.rint(F.col("_log") * 2.0**32)
+    rest = F.rint((F.col("_log") - whole / 2.0**32) * 2.0**62)
+    d = scan(d, {"_whole": ("sum", whole.cast("long")), "_rest": ("sum", rest.cast("long"))}, keys)
+    return d.withColumn(name, F.exp(F.col("_whole") / 2.0**32 + F.col("_rest") / 2.0**62)).drop("_log", "_whole", "_rest")
